@@ -1,0 +1,377 @@
+"""Registered queries: scalar functions, features, filters, learned model."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..functions import geo, scalar, text
+from ..functions.registry import register_sql_functions
+from ..operators import features, learned, places, predicates
+from ..operators.hours import filter_open, hour_intervals, hour_rules, open_at
+from ..sources import sinks, weather
+from .oracle import bucket, c01, dist, heading, home_weight, learned_sql, merchant_weight, octant, pmod, profile, r, rc, rint, sig, ticket
+from .registry import big, query, r6
+from .tables import Tables
+
+# --- features ---------------------------------------------------------------
+
+
+@query("prj_1_merchant_weight", f"SELECT m.view_id, m.id, {rc(merchant_weight(), 'weight')} FROM merchants_v m JOIN views_v v ON v.view_id = m.view_id")
+def _(t: Tables) -> DataFrame:
+    return t.merchants.join(t.views.select("view_id", "hour"), "view_id").select("view_id", "id", r6(features.merchant_weight("amenity", "hour"), "weight"))
+
+
+@query("prj_2_residential_weight", f"SELECT h.view_id, h.id, {rc(home_weight(), 'weight')} FROM residential_v h JOIN views_v v ON v.view_id = h.view_id")
+def _(t: Tables) -> DataFrame:
+    return t.residential.join(t.views.select("view_id", "hour", "dow"), "view_id").select(
+        "view_id", "id", r6(features.residential_weight("building", "landuse", "place_weight", "hour", "dow"), "weight"))
+
+
+_HOURS = {"ev": "SELECT event_id, extract(hour FROM ts) AS hour, (extract(isodow FROM ts) % 7) AS dow FROM events"}
+
+
+def _events(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.hour("ts").alias("hour"), (F.dayofweek("ts") - 1).alias("dow"))
+
+
+@query("prj_3_demand_profile", f"SELECT event_id, {profile('m')} AS merchant, {profile('r')} AS residential FROM ev", _HOURS)
+def _(t: Tables) -> DataFrame:
+    m, res = features.demand_profile("hour", "dow")
+    return _events(t).select("event_id", m.alias("merchant"), res.alias("residential"))
+
+
+@query("prj_4_time_bucket", "SELECT event_id, b.n AS name, b.l AS label, b.i AS w_i, b.m AS w_m, b.r AS w_r, b.d AS w_d FROM (SELECT event_id, " + bucket("(((hour - 30) % 24 + 24) % 24)") + " AS b FROM ev) x", _HOURS)
+def _(t: Tables) -> DataFrame:
+    return _events(t).select("event_id", features.time_bucket(F.col("hour") - 30).alias("b")).select("event_id", "b.*")
+
+
+@query("prj_5_ticket_index", f"SELECT view_id, id, {rc(ticket(), 'ticket')} FROM merchants_v")
+def _(t: Tables) -> DataFrame:
+    return t.merchants.select("view_id", "id", r6(features.ticket_index("amenity", "cuisine", "name"), "ticket"))
+
+
+@query("prj_6_cuisine_list", "SELECT view_id, id, array_to_string(list_filter([trim(x) FOR x IN string_split(lower(coalesce(cuisine, '')), ';')], lambda y: y <> ''), '|') AS cuisines FROM merchants_v")
+def _(t: Tables) -> DataFrame:
+    return t.merchants.select("view_id", "id", F.array_join(features.cuisine_list("cuisine"), "|").alias("cuisines"))
+
+
+@query("prj_7_amenity_class", "SELECT p_partkey, CASE WHEN lower(p_type) = 'cafe' OR p_size % 4 = 2 THEN 'cafe' WHEN p_size % 4 = 0 THEN 'restaurant' ELSE 'other' END AS amenity_class FROM part")
+def _(t: Tables) -> DataFrame:
+    raw = F.when(F.col("p_size") % 4 == 2, "CAFE").when(F.col("p_size") % 4 == 0, "Restaurant").otherwise(F.col("p_type"))
+    return t.part.select("p_partkey", features.amenity_class(raw).alias("amenity_class"))
+
+
+@query("prj_18_rain_lift", f"SELECT event_id, {rc('least(2.5e-1, greatest(0e0, 2.5e-1 * (1 - exp(-precipitation / 2.5e0))))', 'rain_boost')} FROM weather_v")
+def _(t: Tables) -> DataFrame:
+    return t.weather.select("event_id", r6(weather.rain_lift("precipitation"), "rain_boost"))
+
+
+_WMO = "CASE WHEN weather_code = 0 THEN 'clear' WHEN weather_code BETWEEN 1 AND 3 THEN 'cloudy' WHEN weather_code BETWEEN 51 AND 57 THEN 'drizzle' WHEN weather_code BETWEEN 61 AND 67 THEN 'rain' WHEN weather_code BETWEEN 71 AND 77 THEN 'snow' WHEN weather_code BETWEEN 80 AND 82 THEN 'showers' WHEN weather_code BETWEEN 85 AND 86 THEN 'snow showers' WHEN weather_code >= 95 THEN 'thunderstorm' ELSE 'mixed precipitation' END"
+
+
+@query("prj_19_weather_label", f"SELECT event_id, {_WMO} AS label FROM weather_v")
+def _(t: Tables) -> DataFrame:
+    return t.weather.select("event_id", weather.weather_label("weather_code").alias("label"))
+
+
+@query("prj_25_place_attributes", """SELECT view_id, id, coalesce(nullif(name, ''), 'Food place') AS title, CASE amenity WHEN 'restaurant' THEN 'Restaurant' WHEN 'fast_food' THEN 'Fast Food' WHEN 'cafe' THEN 'Cafe' ELSE 'Food Court' END AS amenity_label,
+ CASE cuisine WHEN 'burger' THEN 'Burger' WHEN 'coffee_shop' THEN 'Coffee Shop' WHEN 'thai;sushi' THEN 'Thai|Sushi' WHEN 'pizza' THEN 'Pizza' WHEN 'steak_house' THEN 'Steak House' ELSE '' END AS cuisines,
+ array_to_string(list_filter([CASE WHEN delivery = 'yes' THEN 'Delivery' END, CASE WHEN takeaway = 'only' THEN 'Takeout' END, CASE WHEN drive_through = 'yes' THEN 'Drive-thru' END], lambda x: x IS NOT NULL), '|') AS services,
+ CASE WHEN website LIKE 'http%' THEN website WHEN website IS NOT NULL THEN 'https://' || website END AS website_url, CASE WHEN website LIKE 'http%' THEN replace(website, 'https://www.', '') WHEN website IS NOT NULL THEN replace(replace(website, 'www.', ''), '/menu', '') END AS website_label,
+ trim(phone) AS phone_number, addr_housenumber || ' ' || addr_street || CASE WHEN addr_city IS NOT NULL THEN ', ' || addr_city ELSE '' END AS address, replace(opening_hours, ';', ' · ') AS opening_hours_text FROM merchants_v""")
+def _(t: Tables) -> DataFrame:
+    a = places.place_attributes(t.merchants)
+    return a.select("view_id", "id", "title", "amenity_label", F.array_join("cuisine_labels", "|").alias("cuisines"), F.array_join("service_labels", "|").alias("services"),
+                    "website_url", "website_label", "phone_number", "address", "opening_hours_text")
+
+
+@query("prj_30_model_name", "SELECT doc_id, CASE WHEN lang = 'en' THEN 'glm' WHEN lang = 'de' THEN 'softplus' WHEN n % 2 = 0 THEN 'softplus' ELSE 'legacy' END AS model FROM (SELECT doc_id, lang, n_chars AS n FROM documents) x")
+def _(t: Tables) -> DataFrame:
+    name = F.when(F.col("lang") == "en", " GLM ").when(F.col("lang") == "de", "softplus").otherwise(F.col("lang"))
+    return t.documents.select("doc_id", learned.resolve_model(name, F.col("n_chars") % 2 == 0).alias("model"))
+
+
+# --- scalar functions -----------------------------------------------------------
+
+_ROUTE = ("from_lat", "from_lon", "lat", "lon")
+
+
+@query("fn_1_haversine", f"SELECT route_id, {rc(dist(*_ROUTE), 'meters', 4)}, {rc(dist(*_ROUTE), 'sql_meters', 4)} FROM routes_v")
+def _(t: Tables) -> DataFrame:
+    register_sql_functions(t.spark)
+    return t.routes.select("route_id", r6(geo.haversine_m(*_ROUTE), "meters", 4), r6(F.expr("cc_haversine_m(from_lat, from_lon, lat, lon)"), "sql_meters", 4))
+
+
+@query("fn_2_initial_bearing", f"SELECT route_id, {rc(heading(*_ROUTE), 'bearing')} FROM routes_v")
+def _(t: Tables) -> DataFrame:
+    return t.routes.select("route_id", r6(geo.bearing_deg(*_ROUTE), "bearing"))
+
+
+@query("fn_3_normalize_heading", f"SELECT event_id, {pmod('gps_heading')} AS heading FROM fixes_v")
+def _(t: Tables) -> DataFrame:
+    return t.fixes.select("event_id", geo.normalize_heading("gps_heading").alias("heading"))
+
+
+@query("fn_4_heading_delta", f"SELECT route_id, abs({pmod('bearing_after - bearing_before + 540')} - 180) AS delta, CASE WHEN bearing_after IS NULL THEN 0 ELSE (bearing_after - bearing_before + 540) % 360 - 180 END AS turn FROM routes_v")
+def _(t: Tables) -> DataFrame:
+    return t.routes.select("route_id", geo.heading_delta("bearing_after", "bearing_before").alias("delta"), geo.turn_delta("bearing_before", "bearing_after").alias("turn"))
+
+
+_ARC = pmod("bearing_before + (" + pmod("bearing_after - bearing_before + 540") + " - 180) * 3e-1")
+
+
+@query("fn_5_interpolate_heading", f"SELECT route_id, {rc('CASE WHEN bearing_after IS NULL THEN bearing_before ELSE ' + _ARC + ' END', 'heading')} FROM routes_v")
+def _(t: Tables) -> DataFrame:
+    return t.routes.select("route_id", r6(geo.interpolate_heading("bearing_before", "bearing_after", F.lit(0.3)), "heading"))
+
+
+@query("fn_6_blend_factor", f"SELECT route_id, {rc('greatest(1e-1, 1 - exp(-duration_s / 3e2))', 'blend')} FROM routes_v")
+def _(t: Tables) -> DataFrame:
+    return t.routes.select("route_id", r6(geo.blend_factor("duration_s", 300.0, 0.1), "blend"))
+
+
+@query("fn_7_low_pass_heading", f"SELECT route_id, {rc('CASE WHEN bearing_after IS NULL OR abs(' + pmod('bearing_after - bearing_before + 540') + ' - 180) < 1.05e0 THEN bearing_before ELSE ' + _ARC.replace('3e-1', '6.8e-1') + ' END', 'heading')} FROM routes_v")
+def _(t: Tables) -> DataFrame:
+    return t.routes.select("route_id", r6(geo.low_pass_heading("bearing_before", "bearing_after"), "heading"))
+
+
+_SIDE = {"pv": "SELECT route_id, (lon - from_lon) * 111320e0 * cos(radians((lat + from_lat) / 2)) AS vx, (lat - from_lat) * 111320e0 AS vy, (o_lon - lon) * 111320e0 * cos(radians((lat + o_lat) / 2)) AS px, (o_lat - lat) * 111320e0 AS py FROM (SELECT *, lat + 1e-3 * (route_id % 7 - 3) AS o_lat, lon + 1e-3 * (route_id % 5 - 2) AS o_lon FROM routes_v) x"}
+
+
+@query("fn_8_relative_side", f"SELECT route_id, {rc('vx', d=4)}, {rc('vy', d=4)}, CASE WHEN sqrt(px * px + py * py) < 12 THEN 'center' WHEN abs(vx * py - vy * px) < greatest(14e0, sqrt(px * px + py * py) * 1.8e-1) THEN CASE WHEN vx * px + vy * py >= 0 THEN 'ahead' ELSE 'behind' END WHEN vx * py - vy * px > 0 THEN 'left' ELSE 'right' END AS side FROM pv", _SIDE)
+def _(t: Tables) -> DataFrame:
+    df = t.routes.withColumns({"o_lat": F.col("lat") + 1e-3 * (F.col("route_id") % 7 - 3), "o_lon": F.col("lon") + 1e-3 * (F.col("route_id") % 5 - 2)})
+    vx, vy = geo.planar_vector(*_ROUTE)
+    return df.select("route_id", r6(vx, "vx", 4), r6(vy, "vy", 4), geo.relative_side(*_ROUTE, "o_lat", "o_lon").alias("side"))
+
+
+@query("fn_9_compass_octant", f"SELECT route_id, {octant(*_ROUTE)} AS octant FROM routes_v")
+def _(t: Tables) -> DataFrame:
+    return t.routes.select("route_id", geo.octant_label(*_ROUTE).alias("octant"))
+
+
+_P = "greatest(1e-6, least(1 - 1e-6, probability))"
+
+
+@query("fn_11_logistic_functions", f"SELECT doc_id, {rc(sig('probability * 8 - 4'), 'sigmoid')}, {rc('ln(1 + exp(probability * 8 - 4))', 'softplus')}, {rc(f'-{_P} * ln({_P}) - (1 - {_P}) * ln(1 - {_P})', 'entropy')}, {rc(_P, 'safe')} FROM predictions_v")
+def _(t: Tables) -> DataFrame:
+    z = F.col("probability") * 8 - 4
+    return t.predictions.select("doc_id", r6(scalar.sigmoid(z), "sigmoid"), r6(scalar.softplus(z), "softplus"), r6(scalar.binary_entropy("probability"), "entropy"), r6(scalar.safe_probability("probability"), "safe"))
+
+
+@query("fn_12_clamp_and_parse", f"SELECT view_id, id, coalesce(try_cast(place_weight AS DOUBLE), 7e-1) AS finite_or, {c01('coalesce(try_cast(place_weight AS DOUBLE), 0) - 2e-1')} AS clamped, CASE WHEN place_weight IS NULL THEN false ELSE true END AS flag FROM residential_v")
+def _(t: Tables) -> DataFrame:
+    w = F.col("place_weight")
+    return t.residential.select("view_id", "id", scalar.finite_or(w, 0.7).alias("finite_or"), scalar.clamp01(F.coalesce(w.try_cast("double"), F.lit(0.0)) - 0.2).alias("clamped"),
+                                scalar.parse_flag(F.when(w.isNotNull(), "TRUE ").otherwise("false"), True).alias("flag"))
+
+
+@query("fn_13_degree_steps", f"SELECT view_id, {rc('grid_step / 111320e0', 'dlat', 9)}, {rc('grid_step / greatest(1e-6, cos(radians((south + north) / 2)) * 111320e0)', 'dlon', 9)} FROM views_v")
+def _(t: Tables) -> DataFrame:
+    a, b = geo.degree_steps("grid_step", (F.col("south") + F.col("north")) / 2.0, 1e-6)
+    return t.views.select("view_id", r6(a, "dlat", 9), r6(b, "dlon", 9))
+
+
+@query("fn_14_text_formats", f"""SELECT route_id, CASE WHEN distance_m * 5 >= 16093 THEN printf('%.0f mi', distance_m * 5 / 1609.344e0) WHEN distance_m * 5 >= 1609.344e0 THEN printf('%.1f mi', distance_m * 5 / 1609.344e0) ELSE CAST(distance_m * 5 AS BIGINT) || ' m' END AS distance_text,
+ CASE WHEN m < 60 THEN m || ' min' WHEN m % 60 = 0 THEN (m // 60) || ' hr' ELSE (m // 60) || ' hr ' || (m % 60) || ' min' END AS duration_text, {rint('first_m / 4e1 * 100')} || '%' AS percent_text FROM (SELECT *, greatest(1, {rint('duration_s * 9 / 60')}) AS m FROM routes_v) x""")
+def _(t: Tables) -> DataFrame:
+    return t.routes.select("route_id", text.distance_text(F.col("distance_m") * 5).alias("distance_text"), text.duration_text(F.col("duration_s") * 9).alias("duration_text"),
+                           text.percent_text(F.col("first_m") / 40.0).alias("percent_text"))
+
+
+@query("fn_15_tag_label", "SELECT p_partkey, array_to_string([upper(left(w, 1)) || substr(w, 2) FOR w IN string_split(p_name || ' iPod', ' ')], ' ') AS label FROM part")
+def _(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", text.tag_label(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("__iPod "))).alias("label"))
+
+
+@query("fn_16_urls", "SELECT page_id, CASE WHEN url LIKE 'http%' THEN url ELSE 'https://' || url END AS absolute, regexp_replace(regexp_extract(url, '^https?://([^/:?#]+)', 1), '^www\\.', '') AS host FROM pages")
+def _(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", text.absolute_url("url").alias("absolute"), text.host_label("url").alias("host"))
+
+
+@query("fn_17_coordinate_cell", "SELECT route_id, floor(lat * 1e3 + 5e-1) / 1e3 AS lat3, floor(lon * 1e2 + 5e-1) / 1e2 AS lon2 FROM routes_v")
+def _(t: Tables) -> DataFrame:
+    return t.routes.select("route_id", geo.rounded_coordinate("lat", 3).alias("lat3"), geo.rounded_coordinate("lon", 2).alias("lon2"))
+
+
+# --- filters ----------------------------------------------------------------
+
+@query("flt_1_point_in_view", "SELECT view_id, id FROM boxed_merchants")
+def _(t: Tables) -> DataFrame:
+    return predicates.in_views(t.merchants, t.clamped_views).select("view_id", "id")
+
+
+_BOX2 = {"two": "SELECT v.view_id, v.south AS a_south, v.west AS a_west, v.north AS a_north, v.east AS a_east, v.south + (view_id % 3) * 4.5e-2 AS b_south, v.west AS b_west, v.north + (view_id % 3) * 9e-2 AS b_north, v.east - 1e-2 AS b_east FROM views_v v"}
+
+
+def _two_boxes(t: Tables) -> DataFrame:
+    k = F.col("view_id") % 3
+    return t.views.select("view_id", *[F.col(c).alias(f"a_{c}") for c in ("south", "west", "north", "east")], (F.col("south") + k * 4.5e-2).alias("b_south"),
+                          F.col("west").alias("b_west"), (F.col("north") + k * 9e-2).alias("b_north"), (F.col("east") - 1e-2).alias("b_east"))
+
+
+_X = "NOT (b_west > a_east OR b_east < a_west OR b_south > a_north OR b_north < a_south)"
+_C = "(b_south >= a_south AND b_west >= a_west AND b_north <= a_north AND b_east <= a_east)"
+
+
+@query("flt_2_box_relations", f"SELECT view_id, {_X} AS intersects, {_C} AS contains FROM two", _BOX2)
+def _(t: Tables) -> DataFrame:
+    return _two_boxes(t).select("view_id", predicates.boxes_intersect("a_", "b_").alias("intersects"), predicates.box_contains("a_", "b_").alias("contains"))
+
+
+@query("flt_3_view_clamp", f"SELECT view_id, {rc('south', d=9)}, {rc('west', d=9)}, {rc('north', d=9)}, {rc('east', d=9)}, big AS clamped FROM clamped")
+def _(t: Tables) -> DataFrame:
+    return t.clamped_views.select("view_id", *[r6(c, digits=9) for c in ("south", "west", "north", "east")], "clamped")
+
+
+@query("flt_4_data_freshness", f"SELECT view_id, CASE WHEN NOT ({_X}) THEN 'stale' WHEN NOT {_C} THEN 'extends' ELSE 'ok' END AS freshness FROM two", _BOX2)
+def _(t: Tables) -> DataFrame:
+    return _two_boxes(t).select("view_id", predicates.data_freshness("a_", "b_").alias("freshness"))
+
+
+@query("flt_5_open_now", "SELECT m.view_id, m.id FROM merchants_v m JOIN merchant_open o ON o.view_id = m.view_id AND o.id = m.id WHERE o.is_open")
+def _(t: Tables) -> DataFrame:
+    return filter_open(t.merchants, t.views.select("view_id", "osm_day", "minute")).select("view_id", "id")
+
+
+@query("flt_5_hour_intervals", "SELECT m.view_id, m.id, h.osm_day, h.a AS start_min, h.b AS end_min FROM merchants_v m JOIN hours_known h ON h.text = m.opening_hours")
+def _(t: Tables) -> DataFrame:
+    return hour_intervals(hour_rules(t.merchants)).select("view_id", "id", big("osm_day"), big("start_min"), big("end_min"))
+
+
+@query("join_8_hours_eligibility", "SELECT view_id, id, is_open FROM merchant_open")
+def _(t: Tables) -> DataFrame:
+    return open_at(t.merchants, t.views.select("view_id", "osm_day", "minute")).select("view_id", "id", "is_open")
+
+
+@query("flt_6_assignable", "SELECT (SELECT count(*) FROM drivers_v WHERE capacity >= 1) AS drivers, (SELECT count(*) FROM orders_v WHERE dropoff_lat IS NOT NULL) AS orders")
+def _(t: Tables) -> DataFrame:
+    d = t.drivers.where(predicates.driver_assignable()).agg(F.count(F.lit(1)).alias("drivers"))
+    return d.join(t.orders_derived.where(predicates.order_assignable()).agg(F.count(F.lit(1)).alias("orders")), F.lit(True))
+
+
+@query("flt_9_jitter", f"SELECT route_id, CASE WHEN {dist(*_ROUTE)} >= 6e3 THEN {r(heading(*_ROUTE))} END AS course FROM routes_v")
+def _(t: Tables) -> DataFrame:
+    return t.routes.select("route_id", r6(geo.course_deg(*_ROUTE, 6000.0), "course"))
+
+
+@query("flt_10_accuracy", "SELECT event_id, greatest(accuracy, 12e0) AS accuracy_m, accuracy <= 45 AS shows_circle FROM fixes_v")
+def _(t: Tables) -> DataFrame:
+    return t.fixes.select("event_id", predicates.accuracy_radius("accuracy").alias("accuracy_m"), predicates.shows_accuracy_circle("accuracy").alias("shows_circle"))
+
+
+# --- sinks ------------------------------------------------------------------
+
+@query("snk_1_point_features", "SELECT view_id, id, 'Feature' AS kind, floor(lon * 1e6 + 5e-1) / 1e6 AS x, floor(lat * 1e6 + 5e-1) / 1e6 AS y, id AS prop FROM parking_v")
+def _(t: Tables) -> DataFrame:
+    f = t.parking.select("view_id", "id", sinks.point_feature("lat", "lon", F.struct("id")).alias("j"))
+    g = lambda p: F.get_json_object("j", p)
+    return f.select("view_id", "id", g("$.type").alias("kind"), r6(g("$.geometry.coordinates[0]").cast("double"), "x"), r6(g("$.geometry.coordinates[1]").cast("double"), "y"), g("$.properties.id").alias("prop"))
+
+
+@query("snk_2_accuracy_circle", f"SELECT event_id, i, {rc('lon + cos(i / 48e0 * 2 * pi()) * a / (111320e0 * greatest(cos(radians(lat)), 1e-1))', 'x', 8)}, {rc('lat + sin(i / 48e0 * 2 * pi()) * a / 111320e0', 'y', 8)} FROM (SELECT *, greatest(accuracy, 12e0) AS a, unnest(range(0, 49)) AS i FROM fixes_v WHERE accuracy <= 45) x")
+def _(t: Tables) -> DataFrame:
+    f = t.fixes.where(predicates.shows_accuracy_circle("accuracy"))
+    ring = sinks.circle_ring("lat", "lon", predicates.accuracy_radius("accuracy"))
+    return f.select("event_id", F.posexplode(ring).alias("i", "p")).select("event_id", big("i"), r6(F.col("p")[0], "x", 8), r6(F.col("p")[1], "y", 8))
+
+
+# --- learned model ---------------------------------------------------------
+
+_L_IN = "SELECT doc_id, probability AS sig_m, 1 - probability AS sig_r, (n % 97) / 97e0 AS sig_i, (n % 89) / 89e0 AS sig_d, (n % 83) / 83e0 AS sup, (n % 79) / 79e0 AS res_share, 3e0 + n % 24 AS horizon, (['morning','lunch','afternoon','dinner','late_dinner','late_night','post_midnight'])[n % 7 + 1] AS bname, CASE WHEN n % 2 = 0 THEN 1e0 ELSE 0e0 END AS weekend, probability AS base_a, 5e-1 AS base_q FROM (SELECT p.*, d.n_chars AS n FROM predictions_v p JOIN documents d ON d.doc_id = p.doc_id) x"
+
+
+def _learned_inputs(t: Tables) -> DataFrame:
+    n = F.col("n_chars")
+    names = F.array(*[F.lit(x) for x in ("morning", "lunch", "afternoon", "dinner", "late_dinner", "late_night", "post_midnight")])
+    return t.predictions.join(t.documents.select("doc_id", "n_chars"), "doc_id").select(
+        "doc_id", F.col("probability").alias("sig_m"), (1 - F.col("probability")).alias("sig_r"), (n % 97 / 97.0).alias("sig_i"), (n % 89 / 89.0).alias("sig_d"), (n % 83 / 83.0).alias("sup"),
+        (n % 79 / 79.0).alias("res_share"), (3.0 + n % 24).alias("horizon"), F.element_at(names, (n % 7 + 1).cast("int")).alias("bname"), (n % 2 == 0).alias("weekend"),
+        F.col("probability").alias("base_a"), F.lit(0.5).alias("base_q"))
+
+
+@query("ml_1_feature_maps", f"SELECT doc_id, {rc('ln(1 + greatest(1e0, horizon) / 10)', 'horizon_log')}, {rc('sig_m * sig_r', 'demand_x_proximity')}, {rc('sig_m * sup', 'demand_x_support')}, {rc('sig_m * sig_d', 'competition_x_demand')}, {rc('sig_i * sig_r', 'income_x_proximity')}, weekend * CASE WHEN bname = 'dinner' THEN 1e0 ELSE 0e0 END AS weekend_dinner, CASE WHEN bname IN ('late_night', 'post_midnight') THEN 1e0 ELSE 0e0 END AS late_night FROM l_in", {"l_in": _L_IN})
+def _(t: Tables) -> DataFrame:
+    fa, fq = learned.feature_columns("sig_i", "sig_m", "sig_r", "sig_d", "sup", "res_share", "horizon", "bname", "weekend")
+    return _learned_inputs(t).select("doc_id", *[r6(fa[k], k) for k in ("horizon_log", "demand_x_proximity", "demand_x_support", "competition_x_demand")],
+                                     r6(fq["income_x_proximity"], "income_x_proximity"), fa["weekend_dinner"].alias("weekend_dinner"), fq["late_night"].alias("late_night"))
+
+
+@query("ml_2_learned_prediction", f"SELECT doc_id, {rc('raw_a')}, {rc('cal_a')}, {rc('raw_q')}, {rc('cal_q')}, {rc('conf')}, {rc('mass')}, {rc('blend')}, {rc('l_any')}, {rc('l_quality')}, {rc('sup_scale')} FROM (" + learned_sql("l_in") + ") z", {"l_in": _L_IN})
+def _(t: Tables) -> DataFrame:
+    df = learned.with_learned(_learned_inputs(t), "sig_i", "sig_m", "sig_r", "sig_d", "sup", "res_share", "horizon", "bname", "weekend", "base_a", "base_q", "q_")
+    names = {"raw_p_any": "raw_a", "calibrated_p_any": "cal_a", "raw_quality": "raw_q", "calibrated_quality": "cal_q", "confidence": "conf", "support_mass": "mass", "blend": "blend", "p_any": "l_any", "quality": "l_quality", "support_scale": "sup_scale"}
+    return df.select("doc_id", *[r6("q_" + a, b) for a, b in names.items()])
+
+
+@query("ml_3_train_logistic")
+def _(t: Tables) -> DataFrame:
+    """Weights after 25 projected steps on the labelled documents."""
+    rows = t.predictions.withColumns({"p": F.col("probability"), "anti": 1.0 - F.col("probability")})
+    w, loss = learned.train_logistic(rows, ["p", "anti"], weight="weight", iterations=25, positive=["p"], negative=["anti"])
+    return t.spark.createDataFrame([(k, float(v)) for k, v in {**w, "average_loss": loss}.items()], "name string, value double")
+
+
+@query("ml_4_beta_calibrator")
+def _(t: Tables) -> DataFrame:
+    fit = learned.fit_beta_calibrator(t.predictions, "probability", iterations=25)
+    return t.spark.createDataFrame([(k, float(v)) for k, v in fit.items()], "name string, value double")
+
+
+_ECE = "SELECT lang, least(floor(probability * 10), 9) AS b, count(*) AS n, sum(probability) AS sp, sum(label) AS sy FROM predictions_v GROUP BY ALL"
+
+
+@query("agg_18_calibration_error", f"SELECT lang, {rc('sum(abs(sp - sy)) / sum(n)', 'ece')} FROM bins GROUP BY lang", {"bins": _ECE})
+def _(t: Tables) -> DataFrame:
+    return learned.calibration_error(t.predictions, by=["lang"]).select("lang", r6("ece"))
+
+
+@query("agg_19_brier", f"SELECT lang, {rc('avg((probability - label) * (probability - label))', 'brier')} FROM predictions_v GROUP BY lang")
+def _(t: Tables) -> DataFrame:
+    return learned.brier_score(t.predictions, by=["lang"]).select("lang", r6("brier"))
+
+
+_LL = f"-(label * ln({_P}) + (1 - label) * ln(1 - {_P})) * weight"
+
+
+@query("agg_20_log_loss", f"SELECT lang, {rc(f'sum({_LL}) / count(*)', 'log_loss')} FROM predictions_v GROUP BY lang")
+def _(t: Tables) -> DataFrame:
+    return learned.log_loss(t.predictions, weight="weight", by=["lang"]).select("lang", r6("log_loss"))
+
+
+@query("ml_5_metrics", f"SELECT x.ece, y.brier, y.log_loss FROM (SELECT {rc('sum(abs(sp - sy)) / sum(n)', 'ece')} FROM (SELECT b, sum(n) AS n, sum(sp) AS sp, sum(sy) AS sy FROM bins GROUP BY b) q) x, (SELECT {rc('avg((probability - label) * (probability - label))', 'brier')}, {rc(f'sum({_LL}) / count(*)', 'log_loss')} FROM predictions_v) y", {"bins": _ECE})
+def _(t: Tables) -> DataFrame:
+    p = t.predictions
+    return learned.calibration_error(p).join(learned.brier_score(p), F.lit(True)).join(learned.log_loss(p, weight="weight"), F.lit(True)).select(r6("ece"), r6("brier"), r6("log_loss"))
+
+
+_M = 4294967295
+
+
+def _mul(a: str, b: str) -> str:
+    return f"((((({a}) * (({b}) & 65535)) & {_M}) + ((((({a}) * (({b}) >> 16)) & 65535)) << 16)) & {_M})"
+
+
+def _draws() -> str:
+    """All 11 draws of each row, with 16-bit split products."""
+    levels = "SELECT row_ix, j, (42 + " + _mul("(row_ix * 11 + j) & 4294967295", "1831565813") + f") & {_M} AS s FROM (SELECT o_orderkey AS row_ix, unnest(range(1, 12)) AS j FROM orders) a"
+    v1 = f"SELECT row_ix, j, {_mul('xor(s, s >> 15)', 's | 1')} AS v FROM ({levels}) b"
+    v2 = f"SELECT row_ix, j, xor(v, (v + {_mul('xor(v, v >> 7)', 'v | 61')}) & {_M}) AS v FROM ({v1}) c"
+    u = f"SELECT row_ix, j, xor(v, v >> 14) / 4294967296e0 AS u FROM ({v2}) d"
+    return "SELECT row_ix, " + ", ".join(f"max(CASE WHEN j = {j} THEN u END) AS u{j}" for j in range(1, 12)) + f" FROM ({u}) e GROUP BY row_ix"
+
+
+_SYN = {
+    "draws": _draws(),
+    "syn1": f"SELECT *, {c01('1.2e-1 + 7.4e-1 * u5 + CASE WHEN bname = ' + chr(39) + 'dinner' + chr(39) + ' THEN 8e-2 ELSE 0e0 END')} AS sig_i, {c01('pow(u3, 7.2e-1)')} AS sig_m, {c01('pow(u4, 8.5e-1)')} AS sig_r, CASE WHEN u2 < 3.2e-1 THEN 1e0 ELSE 0e0 END AS weekend, 3 + floor(u10 * 24) AS horizon, "
+            + c01("CASE WHEN bname = 'dinner' THEN 3.4e-1 WHEN bname IN ('late_night', 'post_midnight') THEN 4.2e-1 ELSE 2e-1 END + (u6 - 5e-1) * 2.8e-1") + " AS res_share FROM (SELECT *, (['morning','lunch','afternoon','dinner','late_dinner','late_night','post_midnight'])[CAST(floor(u1 * 7) AS BIGINT) + 1] AS bname FROM draws) x",
+    "syn2": f"SELECT *, {c01('1e-1 + 5.8e-1 * sig_m + 1.8e-1 * sig_r + 1.5e-1 * (1 - sig_d) + (u9 - 5e-1) * 1.6e-1')} AS sup FROM (SELECT *, {c01('1.5e-1 + 6.5e-1 * sig_m * u7 + 1.5e-1 * res_share + (u8 - 5e-1) * 1.8e-1')} AS sig_d FROM syn1) x",
+    "syn3": f"SELECT *, {sig('-1.75e0 + 2.1e0 * sig_m + 9e-1 * sig_r - 1.15e0 * sig_d + 1.5e-1 * res_share + 5.5e-1 * ln(1 + horizon / 10)')} AS base_a, {sig('-6.5e-1 + 1.6e0 * sig_i + 6e-1 * sig_r - 2.5e-1 * CASE WHEN bname IN (' + chr(39) + 'late_night' + chr(39) + ', ' + chr(39) + 'post_midnight' + chr(39) + ') THEN 1e0 ELSE 0e0 END')} AS base_q FROM syn2",
+    "syn4": learned_sql("syn3"),
+}
+
+
+@query("ml_6_synthetic_rows", f"SELECT row_ix, bname AS bucket_name, u2 < 3.2e-1 AS is_weekend, horizon AS horizon_min, {rc('sig_m')}, {rc('sig_r')}, {rc('sig_i')}, {rc('sig_d')}, {rc('sup', 'support_score')}, {rc('res_share', 'residential_share')}, {rc(c01('base_a * (2.5e-1 + 7.5e-1 * base_q)'), 'legacy_p_good')}, {rc(c01('l_any * (2.5e-1 + 7.5e-1 * l_quality)'), 'learned_p_good')} FROM syn4", _SYN)
+def _(t: Tables) -> DataFrame:
+    rows = t.base("orders").select(F.col("o_orderkey").alias("row_ix"))
+    return learned.synthetic_predictions(rows, 42).select("row_ix", "bucket_name", "is_weekend", "horizon_min", *[r6(c) for c in (
+        "sig_m", "sig_r", "sig_i", "sig_d", "support_score", "residential_share", "legacy_p_good", "learned_p_good")])

@@ -113,7 +113,13 @@ class Tables:
             text = re.sub(rf"\b(FROM|JOIN)\s+{b}\b", rf"\1 parquet.`{self.sf_dir}/{b}.parquet`", text)
         return self.spark.sql(text)
 
+    @cached_property
+    def orders_derived(self) -> DataFrame:
+        return self.derived("orders_v")
+
     def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_"):
+            raise AttributeError(name)
         if name + "_v" in TABLES:
             df = self.derived(name + "_v")
         elif name in BASE:
