@@ -231,17 +231,16 @@ def _shortest_path_matching(c: np.ndarray) -> np.ndarray:
 
 
 def _match_market(pdf: pd.DataFrame) -> pd.DataFrame:
-    grid = pdf.pivot(index="driver_id", columns="order_id", values="total_cost")
-    grid = grid.sort_index(axis=0).sort_index(axis=1)
-    c = grid.to_numpy()
-    if c.shape[0] <= c.shape[1]:
-        cols = _shortest_path_matching(c)
-        rows = np.arange(c.shape[0])
+    drivers, di = np.unique(pdf["driver_id"].to_numpy(str), return_inverse=True)
+    orders, oi = np.unique(pdf["order_id"].to_numpy(str), return_inverse=True)
+    c = np.full((len(drivers), len(orders)), UNREACHABLE)
+    c[di, oi] = pdf["total_cost"].to_numpy()
+    if len(drivers) <= len(orders):
+        rows, cols = np.arange(len(drivers)), _shortest_path_matching(c)
     else:
-        rows = _shortest_path_matching(c.T)
-        cols = np.arange(c.shape[1])
-    return pd.DataFrame({"market_id": pdf["market_id"].iloc[0], "driver_id": grid.index.to_numpy()[rows],
-                         "order_id": grid.columns.to_numpy()[cols]})
+        rows, cols = _shortest_path_matching(c.T), np.arange(len(orders))
+    return pd.DataFrame({"market_id": pdf["market_id"].iloc[0], "driver_id": drivers[rows].astype(object),
+                         "order_id": orders[cols].astype(object)})
 
 
 def match_orders(pairs: DataFrame, local_pair_limit: int = LOCAL_PAIR_LIMIT, epsilon: float = 1e-4) -> DataFrame:

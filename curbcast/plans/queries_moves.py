@@ -1,0 +1,564 @@
+"""Registered queries: streams, as-of joins, history, dispatch, routes."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..checkpoints import stage, stage_path
+from ..functions import geo
+from ..operators import asof, dispatch, nearby, places, rank, routes
+from ..sources import weather
+from ..streaming import folds, jobs, readings
+from .oracle import c01, dist, heading, octant, pmod, r, rc, rint
+from .queries_field import _FRICTION, _NEAR_STEPS, _RANKED, _ranked_lots, _ring_sql, lots, once, scored_merchants
+from .registry import big, query, r6
+from .tables import Tables
+
+H = 3600.0  # events of one device are hours apart, so tolerances are hours here
+HEADING = 6 * H
+
+# --- fixes and readings ------------------------------------------------------
+
+
+def _fixes(t: Tables) -> DataFrame:
+    return readings.normalize_fixes(t.local_fixes)
+
+
+def _readings(t: Tables) -> DataFrame:
+    return readings.orientation_readings(t.readings.withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+@query("str_1_normalized_fixes", f"SELECT event_id, device_id, greatest(accuracy, 12e0) AS accuracy_m, accuracy <= 45 AS shows_circle, {pmod('gps_heading')} AS gps_heading, CASE WHEN speed IS NOT NULL THEN {r('greatest(speed, 0e0)')} END AS speed FROM fixes_v")
+def _(t: Tables) -> DataFrame:
+    return _fixes(t).select("event_id", "device_id", "accuracy_m", "shows_circle", "gps_heading", r6("speed"))
+
+
+@query("str_1_latest_fix", "SELECT device_id, arg_max(lat, ts) AS lat, max(ts) AS ts FROM fixes_v GROUP BY device_id")
+def _(t: Tables) -> DataFrame:
+    return readings.latest_fix(_fixes(t)).select("device_id", "lat", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+_READ = {"reads": f"SELECT event_id, device_id, ts, CASE WHEN compass_heading IS NOT NULL THEN CASE WHEN compass_accuracy IS NULL OR compass_accuracy <= 30 THEN compass_heading END WHEN type = 'deviceorientationabsolute' THEN {pmod('360 - alpha')} END AS heading, CASE WHEN compass_heading IS NOT NULL THEN 'webkit-compass' WHEN type = 'deviceorientationabsolute' THEN 'absolute-alpha' END AS heading_source, CASE WHEN compass_heading IS NOT NULL THEN compass_accuracy IS NULL OR compass_accuracy <= 30 ELSE type = 'deviceorientationabsolute' END AS reliable FROM readings_v",
+         "accepted": "SELECT * FROM reads WHERE heading IS NOT NULL AND reliable"}
+
+
+@query("str_3_orientation_reading", "SELECT event_id, heading, heading_source, reliable FROM reads", _READ)
+def _(t: Tables) -> DataFrame:
+    return _readings(t).select("event_id", "heading", "heading_source", "reliable")
+
+
+@query("flt_8_reliable_readings", "SELECT event_id, device_id, heading FROM accepted", _READ)
+def _(t: Tables) -> DataFrame:
+    return readings.accepted_readings(_readings(t)).select("event_id", "device_id", "heading")
+
+
+_ASOF = {**_READ, "matched": "SELECT f.event_id, f.device_id, f.ts, f.lat, f.lon, f.gps_heading, a.heading AS s_heading, a.ts AS s_ts FROM fixes_v f ASOF LEFT JOIN accepted a ON a.device_id = f.device_id AND f.ts >= a.ts",
+         "fresh": f"SELECT *, s_ts IS NOT NULL AND epoch(ts) - epoch(s_ts) <= {HEADING} AS is_fresh FROM matched"}
+
+
+def _sensor(t: Tables) -> DataFrame:
+    acc = readings.accepted_readings(_readings(t)).select("device_id", "ts", F.col("heading").alias("sensor_heading"))
+    return asof.asof_latest(_fixes(t), acc, "device_id", "ts", ["sensor_heading"], HEADING, "sensor_at")
+
+
+@query("join_12_sensor_as_of", "SELECT event_id, CASE WHEN is_fresh THEN s_heading END AS sensor_heading FROM fresh", _ASOF)
+def _(t: Tables) -> DataFrame:
+    return _sensor(t).select("event_id", "sensor_heading")
+
+
+@query("str_12_sensor_age", f"SELECT event_id, CASE WHEN is_fresh THEN {r('epoch(ts) - epoch(s_ts)', 3)} END AS age_s, is_fresh FROM fresh", _ASOF)
+def _(t: Tables) -> DataFrame:
+    age, fresh = readings.sensor_age("ts", "sensor_at", HEADING)
+    return _sensor(t).select("event_id", r6(F.when(fresh, age), "age_s", 3), fresh.alias("is_fresh"))
+
+
+@query("str_4_heading_fusion", f"SELECT event_id, CASE WHEN is_fresh THEN s_heading WHEN gps_heading IS NOT NULL THEN {pmod('gps_heading')} ELSE CAST(event_id % 360 AS DOUBLE) END AS effective_heading, CASE WHEN is_fresh THEN 'sensor' WHEN gps_heading IS NOT NULL THEN 'gps' ELSE 'bearing' END AS heading_source FROM fresh", _ASOF)
+def _(t: Tables) -> DataFrame:
+    acc = readings.accepted_readings(_readings(t)).select("device_id", "ts", F.col("heading").alias("sensor_heading"))
+    f = _fixes(t).select("event_id", "device_id", "ts", F.col("gps_heading").alias("stored_heading"),
+                         F.when(F.col("gps_heading").isNotNull(), "gps").alias("stored_source"), (F.col("event_id") % 360).cast("double").alias("map_bearing"))
+    return asof.fuse_headings(f, acc, HEADING).select("event_id", "effective_heading", "heading_source")
+
+
+_PREV = {"prev": "SELECT *, lag(lat) OVER w AS p_lat, lag(lon) OVER w AS p_lon, lag(ts) OVER w AS p_ts FROM fixes_v WINDOW w AS (PARTITION BY device_id ORDER BY ts, event_id)"}
+
+
+def _with_prev(t: Tables) -> DataFrame:
+    return asof.previous_row(_fixes(t), "device_id", "ts", "event_id", ["lat", "lon", "ts"])
+
+
+@query("join_14_previous_fix", "SELECT event_id, p_lat AS prev_lat, p_lon AS prev_lon FROM prev", _PREV)
+def _(t: Tables) -> DataFrame:
+    return _with_prev(t).select("event_id", "prev_lat", "prev_lon")
+
+
+_COURSE_SQL = f"SELECT event_id, CASE WHEN p_lat IS NOT NULL AND {dist('p_lat', 'p_lon', 'lat', 'lon')} >= 1.5e0 THEN {r(heading('p_lat', 'p_lon', 'lat', 'lon'))} END AS course, CASE WHEN p_lat IS NOT NULL THEN {r(dist('p_lat', 'p_lon', 'lat', 'lon'), 3)} END AS moved_m FROM prev"
+
+
+def _course(t: Tables) -> DataFrame:
+    return _with_prev(t).select("event_id", r6(geo.course_deg("prev_lat", "prev_lon", "lat", "lon"), "course"), r6(geo.haversine_m("prev_lat", "prev_lon", "lat", "lon"), "moved_m", 3))
+
+
+query("win_5_course_and_distance", _COURSE_SQL, _PREV)(_course)
+query("str_2_course", _COURSE_SQL, _PREV)(_course)
+
+_CARRY = "SELECT event_id, last_value(CASE WHEN speed IS NOT NULL THEN greatest(speed, 0e0) END IGNORE NULLS) OVER (PARTITION BY device_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS carried FROM fixes_v"
+
+
+def _carry(t: Tables) -> DataFrame:
+    return asof.carry_forward(_fixes(t), "device_id", "ts", "event_id", "speed", "carried").select("event_id", "carried")
+
+
+query("win_6_carry_forward", _CARRY)(_carry)
+query("str_10_speed_carry_forward", _CARRY)(_carry)
+
+
+# --- folds -------------------------------------------------------------------
+
+def _fold_in(t: Tables) -> DataFrame:
+    def make() -> DataFrame:
+        c = geo.course_deg("prev_lat", "prev_lon", "lat", "lon")
+        s = _sensor(t).select("event_id", F.col("sensor_at"), "sensor_heading")
+        df = _with_prev(t).withColumn("course", F.when(F.col("gps_heading").isNull(), c)).join(s, "event_id")
+        return df.select("event_id", "device_id", "ts", F.unix_micros("ts").cast("double").alias("us"), (F.unix_micros("ts") / 1e6).alias("t"), "lat", "lon", "gps_heading", "course",
+                         ((F.unix_micros("ts") - F.unix_micros("sensor_at")) / 1e6).alias("sensor_age"), "sensor_heading", "speed", "remaining_m", "instruction")
+    return once(t, "_fold_in", make)
+
+
+_SEQ = {**_ASOF, "seq": f"""SELECT f.event_id, f.device_id, row_number() OVER w AS n, epoch_us(f.ts) / 1e6 AS t, f.lat, f.lon, CASE WHEN f.speed IS NULL THEN 0e0 ELSE greatest(f.speed, 0e0) END AS speed, {pmod('f.gps_heading')} AS gps,
+ CASE WHEN f.gps_heading IS NULL AND lag(f.lat) OVER w IS NOT NULL AND {dist('lag(f.lat) OVER w', 'lag(f.lon) OVER w', 'f.lat', 'f.lon')} >= 1.5e0 THEN {heading('lag(f.lat) OVER w', 'lag(f.lon) OVER w', 'f.lat', 'f.lon')} END AS course, x.is_fresh, x.s_heading, f.remaining_m, f.instruction
+ FROM fixes_v f JOIN fresh x ON x.event_id = f.event_id WINDOW w AS (PARTITION BY f.device_id ORDER BY f.ts, f.event_id)"""}
+
+
+def _recursive(first: str, step: str, cols: str) -> str:
+    """Walk ``seq`` per device: first-row values, next-row values (p = previous, s = row)."""
+    return f"SELECT * FROM (WITH RECURSIVE walk AS (SELECT s.event_id, s.device_id, s.n, {first} FROM seq s WHERE s.n = 1 UNION ALL SELECT s.event_id, s.device_id, s.n, {step} FROM walk p JOIN seq s ON s.device_id = p.device_id AND s.n = p.n + 1) SELECT {cols} FROM walk) z"
+
+
+_GATE = f"(({dist('p.a_lat', 'p.a_lon', 's.lat', 's.lon')} >= 3e3) AND s.t - p.a_t >= {3 * H})"
+
+
+@query("str_7_reroute_gate", _recursive("true AS accepted, s.t AS a_t, s.lat AS a_lat, s.lon AS a_lon",
+       f"{_GATE}, CASE WHEN {_GATE} THEN s.t ELSE p.a_t END, CASE WHEN {_GATE} THEN s.lat ELSE p.a_lat END, CASE WHEN {_GATE} THEN s.lon ELSE p.a_lon END", "event_id, accepted"), _SEQ)
+def _(t: Tables) -> DataFrame:
+    return folds.fold_sorted(_fold_in(t), "device_id", ["ts", "event_id"], ["t", "lat", "lon"], "accepted BOOLEAN", lambda: folds.reroute_step(3000.0, 3 * H)).select("event_id", "accepted")
+
+
+_EMIT = f"(s.gps IS NOT NULL AND (p.e_gps IS NULL OR abs({pmod('s.gps - p.e_gps + 540')} - 180) >= 60 OR {dist('s.lat', 's.lon', 'p.e_lat', 'p.e_lon')} >= 6e3 OR abs(s.speed - p.e_speed) >= 1))"
+
+
+@query("str_8_change_gate", _recursive("s.gps IS NOT NULL AS emitted, s.gps AS e_gps, s.lat AS e_lat, s.lon AS e_lon, s.speed AS e_speed",
+       f"{_EMIT}, CASE WHEN s.gps IS NULL THEN NULL WHEN {_EMIT} THEN s.gps ELSE p.e_gps END, CASE WHEN {_EMIT} THEN s.lat ELSE p.e_lat END, CASE WHEN {_EMIT} THEN s.lon ELSE p.e_lon END, CASE WHEN {_EMIT} THEN s.speed ELSE p.e_speed END", "event_id, emitted"), _SEQ)
+def _(t: Tables) -> DataFrame:
+    return folds.fold_sorted(_fold_in(t), "device_id", ["ts", "event_id"], ["gps_heading", "lat", "lon", "speed"], "emitted BOOLEAN", lambda: folds.change_step(60.0, 6000.0, 1.0)).select("event_id", "emitted")
+
+
+_TGT = "coalesce(s.gps, s.course)"
+_TAU = 6 * H * 1000
+_BLEND = pmod(f"p.stored + ({pmod(_TGT + ' - p.stored + 540')} - 180) * (1 - exp(-CASE WHEN p.last_t IS NULL THEN {_TAU} ELSE (s.t - p.last_t) * 1000 END / {_TAU}))")
+
+
+@query("str_5_heading_update", _recursive(
+    f"CASE WHEN s.is_fresh THEN NULL ELSE {_TGT} END AS stored, CASE WHEN s.is_fresh THEN NULL WHEN s.gps IS NOT NULL THEN 'gps' WHEN s.course IS NOT NULL THEN 'course' END AS source, CASE WHEN NOT s.is_fresh AND {_TGT} IS NOT NULL THEN s.t END AS last_t",
+    f"CASE WHEN s.is_fresh THEN p.stored WHEN {_TGT} IS NULL THEN NULL WHEN p.stored IS NULL THEN {_TGT} ELSE {_BLEND} END, CASE WHEN s.is_fresh THEN p.source WHEN s.gps IS NOT NULL THEN 'gps' WHEN s.course IS NOT NULL THEN 'course' END, CASE WHEN s.is_fresh OR {_TGT} IS NULL THEN p.last_t ELSE s.t END",
+    f"event_id, {r('stored', 4)} AS stored_heading, source AS stored_source"), _SEQ)
+def _(t: Tables) -> DataFrame:
+    return folds.fold_sorted(_fold_in(t), "device_id", ["ts", "event_id"], ["t", "gps_heading", "course", "sensor_age"], "stored_heading DOUBLE, stored_source STRING",
+                             lambda: folds.heading_step(HEADING, float(_TAU))).select("event_id", r6("stored_heading", digits=4), "stored_source")
+
+
+_SM_TGT = "CASE WHEN s.is_fresh THEN s.s_heading ELSE s.gps END"
+_SM_ARC = pmod(f"({_SM_TGT}) - p.sm + 540") + " - 180"
+_SM = pmod(f"p.sm + ({_SM_ARC}) * CASE WHEN s.is_fresh THEN least(8.2e-1, 6.8e-1 + least(1.2e-1, abs({_SM_ARC}) / 360)) ELSE 1 - exp(-((s.t - p.last_t) * 1000) / {_TAU}) END")
+
+
+@query("str_6_circular_smoothing", _recursive(
+    f"{_SM_TGT} AS sm, CASE WHEN ({_SM_TGT}) IS NOT NULL THEN s.t END AS last_t",
+    f"CASE WHEN ({_SM_TGT}) IS NULL THEN NULL WHEN p.sm IS NULL THEN {_SM_TGT} ELSE {_SM} END, CASE WHEN ({_SM_TGT}) IS NULL THEN p.last_t ELSE s.t END", f"event_id, {r('sm', 4)} AS smoothed"), _SEQ)
+def _(t: Tables) -> DataFrame:
+    df = _fold_in(t).withColumns({"target": F.coalesce("sensor_heading", "gps_heading"), "source": F.when(F.col("sensor_heading").isNotNull(), "sensor").otherwise("gps")})
+    return folds.fold_sorted(df, "device_id", ["ts", "event_id"], ["t", "target", "source"], "smoothed DOUBLE",
+                             lambda: folds.smoothing_step(gps_tau_ms=float(_TAU))).select("event_id", r6("smoothed", digits=4))
+
+
+@query("str_9_arrival_mode", _recursive("CASE WHEN s.remaining_m <= 260 THEN 'arrival' ELSE 'driver' END AS mode",
+       "CASE WHEN p.mode = 'driver' AND s.remaining_m <= 260 THEN 'arrival' WHEN p.mode = 'arrival' AND s.remaining_m >= 420 THEN 'driver' ELSE p.mode END", "event_id, mode"), _SEQ)
+def _(t: Tables) -> DataFrame:
+    """Between the two limits the last decisive row counts, so a carry-forward says it all."""
+    d = _fixes(t).withColumn("decisive", F.when(F.col("remaining_m") <= 260, "arrival").when(F.col("remaining_m") >= 420, "driver"))
+    return asof.carry_forward(d, "device_id", "ts", "event_id", "decisive", "m").select("event_id", F.coalesce("m", F.lit("driver")).alias("mode"))
+
+
+@query("str_13_no_repeats", "SELECT event_id, instruction IS DISTINCT FROM lag(instruction) OVER (PARTITION BY device_id ORDER BY ts, event_id) AS said FROM fixes_v WHERE instruction IS NOT NULL")
+def _(t: Tables) -> DataFrame:
+    d = t.local_fixes.where(F.col("instruction").isNotNull())
+    p = asof.previous_row(d, "device_id", "ts", "event_id", ["instruction"])
+    return p.select("event_id", (~F.col("instruction").eqNullSafe(F.col("prev_instruction"))).alias("said"))
+
+
+# --- streaming runs ------------------------------------------------------------
+
+def _event_stream(t: Tables) -> DataFrame:
+    schema = t.events.schema
+    return t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _run(df: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over everything that has landed; the result is a table."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    out, ck = stage_path(spark, "stream"), stage_path(spark, "stream-ck")
+    q = df.writeStream.format("parquet").option("checkpointLocation", ck).option("path", out).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
+@query("src_11_fix_stream", "SELECT event_id, user_id AS device_id, greatest(5e0 + event_id % 60, 12e0) AS accuracy_m FROM events WHERE event_type NOT IN ('click', 'view')")
+def _(t: Tables) -> DataFrame:
+    s = _event_stream(t).where(~F.col("event_type").isin("click", "view")).select(
+        "event_id", F.col("user_id").alias("device_id"), "ts", F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), (5 + F.col("event_id") % 60).cast("double").alias("accuracy"),
+        F.lit(None).cast("double").alias("gps_heading"), F.col("value").alias("speed"))
+    return _run(readings.normalize_fixes(s)).select("event_id", "device_id", "accuracy_m")
+
+
+@query("src_12_reading_stream", "SELECT event_id, heading, heading_source FROM reads", _READ)
+def _(t: Tables) -> DataFrame:
+    e = F.col("event_id")
+    s = _event_stream(t).where(F.col("event_type").isin("click", "view")).select(
+        e, F.col("user_id").alias("device_id"), "ts", F.when(e % 4 < 2, (e * 53 % 360).cast("double")).alias("compass_heading"),
+        F.when(e % 5 != 0, (e % 45).cast("double")).alias("compass_accuracy"), F.when(e % 4 == 2, "deviceorientationabsolute").otherwise("deviceorientation").alias("type"),
+        F.lit(False).alias("absolute"), (e * 71 % 360).cast("double").alias("alpha"))
+    return _run(readings.orientation_readings(s)).select("event_id", "heading", "heading_source")
+
+
+@query("str_7_reroute_gate_stream", _recursive("true AS accepted, s.t AS a_t, s.lat AS a_lat, s.lon AS a_lon",
+       f"{_GATE}, CASE WHEN {_GATE} THEN s.t ELSE p.a_t END, CASE WHEN {_GATE} THEN s.lat ELSE p.a_lat END, CASE WHEN {_GATE} THEN s.lon ELSE p.a_lon END", "event_id, accepted"), _SEQ)
+def _(t: Tables) -> DataFrame:
+    """The gate as a state processor over the landed fixes."""
+    src, path = _fold_in(t).select("event_id", "device_id", "ts", "t", "lat", "lon"), stage_path(t.spark, "fixes")
+    src.write.parquet(path)
+    s = t.spark.readStream.schema(src.schema).parquet(path)
+    out = jobs.fold_stream(s, "device_id", ["ts", "event_id"], ["t", "lat", "lon"], "accepted BOOLEAN", "t DOUBLE, lat DOUBLE, lon DOUBLE", lambda: folds.reroute_step(3000.0, 3 * H))
+    return _run(out).select("event_id", "accepted")
+
+
+# --- history -------------------------------------------------------------------
+
+_HIST = "SELECT user_id, place_id, count(*) FILTER (kind = 'open') AS open_count, count(*) FILTER (kind = 'route') AS route_count, min(ts) AS first_seen_at, max(ts) AS last_opened_at, max(CASE WHEN kind = 'route' THEN ts END) AS last_route_at, arg_max(title, ts) AS title FROM history_v GROUP BY user_id, place_id"
+_HC = ["user_id", "place_id", "open_count", "route_count", "first_seen_at", "last_opened_at", "last_route_at", "title"]
+
+
+@query("agg_21_place_history", _HIST)
+def _(t: Tables) -> DataFrame:
+    return places.place_history(t.history).select(*_HC)
+
+
+_KEEP = "SELECT user_id, place_id, open_count, route_count FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_opened_at DESC, place_id) AS rn FROM hist) x WHERE rn <= 20"
+
+
+@query("srt_3_history_retention", _KEEP, {"hist": _HIST})
+def _(t: Tables) -> DataFrame:
+    return places.retain_newest(places.place_history(t.history), 20).select("user_id", "place_id", "open_count", "route_count")
+
+
+query("snk_3_history_store", _KEEP, {"hist": _HIST})(lambda t: _history_store(t, False))
+query("str_11_history_stream", _KEEP, {"hist": _HIST})(lambda t: _history_store(t, True))
+
+
+def _history_store(t: Tables, stream: bool) -> DataFrame:
+    from ..sources import sinks
+    out = stage_path(t.spark, "history")
+    if not stream:
+        sinks.write_history(places.place_history(t.history), out, 20)
+        return t.spark.read.parquet(out).select("user_id", "place_id", "open_count", "route_count")
+    e = _event_stream(t).select("event_id", "user_id", (F.col("event_id") % 50).alias("place_id"), F.when(F.col("event_type") == "purchase", "route").otherwise("open").alias("kind"), "ts")
+    jobs.write_history_stream(e, out, stage_path(t.spark, "history-ck"), 20).awaitTermination()
+    return t.spark.read.parquet(jobs.latest_version(t.spark, out)).select("user_id", "place_id", "open_count", "route_count")
+
+
+@query("prj_27_familiarity", f"SELECT user_id, place_id, CASE WHEN route_count >= 6 OR open_count >= 14 THEN 'Highly familiar' WHEN route_count >= 2 OR open_count >= 5 THEN 'Familiar' ELSE 'Fresh read' END AS familiarity, CASE WHEN s < 3600 THEN greatest(1, {rint('s / 60')}) || ' min ago' WHEN s < 86400 THEN greatest(1, {rint('s / 3600')}) || ' hr ago' ELSE greatest(1, {rint('s / 86400')}) || ' day ago' END AS opened_text FROM (SELECT *, epoch(TIMESTAMP '2024-02-01 00:00:00') - epoch(last_opened_at) AS s FROM hist) x", {"hist": _HIST})
+def _(t: Tables) -> DataFrame:
+    h = places.add_familiarity(places.place_history(t.history), "2024-02-01 00:00:00")
+    return h.select("user_id", "place_id", "familiarity", "opened_text")
+
+
+@query("join_13_weather_as_of", f"""SELECT f.event_id, CASE WHEN w.ts IS NOT NULL AND epoch(f.ts) - epoch(w.ts) <= {12 * H} THEN {r('w.precipitation')} END AS precipitation_mm FROM (SELECT *, CAST(floor(lat * 1e2 + 5e-1) AS BIGINT) AS cy, CAST(floor(lon * 1e2 + 5e-1) AS BIGINT) AS cx FROM fixes_v) f
+ ASOF LEFT JOIN (SELECT ts, arg_max(precipitation, event_id) AS precipitation, CAST(floor(lat * 1e2 + 5e-1) AS BIGINT) AS cy, CAST(floor(lon * 1e2 + 5e-1) AS BIGINT) AS cx FROM weather_v GROUP BY ALL) w ON w.cy = f.cy AND w.cx = f.cx AND f.ts >= w.ts""")
+def _(t: Tables) -> DataFrame:
+    w = t.weather.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "lat", "lon", F.col("precipitation").alias("precipitation_mm"),
+                         weather.weather_label("weather_code").alias("weather_label"), weather.rain_lift("precipitation").alias("rain_boost"))
+    return asof.weather_for(t.local_fixes.select("event_id", "ts", "lat", "lon"), w, 12 * H).select("event_id", r6("precipitation_mm"))
+
+
+# --- dispatch ------------------------------------------------------------------
+
+_DSP = {
+    "dd": "SELECT *, CASE lower(motion_state) WHEN 'parked' THEN 8.5e-1 WHEN 'driving_away' THEN 1.25e0 WHEN 'high_speed' THEN 1.4e0 ELSE 1e0 END AS mult FROM drivers_v WHERE capacity >= 1",
+    "oo": f"SELECT *, {dist('pickup_lat', 'pickup_lon', 'dropoff_lat', 'dropoff_lon')} / 8 / 60 AS delivery FROM orders_v WHERE dropoff_lat IS NOT NULL",
+    "pp": f"SELECT d.market_id, d.id AS driver_id, o.id AS order_id, d.mult, d.capacity, o.delivery, o.parking_friction, o.customer_wait_min, o.prep_time_min, greatest({dist('d.lat', 'd.lon', 'o.pickup_lat', 'o.pickup_lon')} / 8 / 60, d.available_at_min - o.created_at_min) AS pickup FROM dd d JOIN oo o ON o.market_id = d.market_id",
+    "cc": "SELECT *, greatest(0e0, pickup + delivery + parking_friction + customer_wait_min) * mult + prep AS total FROM (SELECT *, 7e-1 * greatest(0e0, prep_time_min - greatest(0e0, pickup)) + greatest(0e0, greatest(0e0, pickup) - prep_time_min) / 3 AS prep, FROM pp) x",
+}
+
+
+def _pairs(t: Tables) -> DataFrame:
+    return once(t, "_pairs", lambda: dispatch.pair_costs(_drivers(t), _orders(t)))
+
+
+def _drivers(t: Tables) -> DataFrame:
+    return once(t, "_ndrivers", lambda: dispatch.normalize_drivers(t.drivers))
+
+
+def _orders(t: Tables) -> DataFrame:
+    return once(t, "_norders", lambda: dispatch.normalize_orders(t.orders_derived))
+
+
+@query("prj_29_sanitized_inputs", "SELECT market_id, id AS driver_id, CASE lower(motion_state) WHEN 'parked' THEN 'parked' WHEN 'driving_away' THEN 'driving_away' WHEN 'high_speed' THEN 'high_speed' ELSE 'slow' END AS motion_state, CAST(capacity AS BIGINT) AS capacity, capacity >= 1 AS assignable FROM drivers_v")
+def _(t: Tables) -> DataFrame:
+    return _drivers(t).select("market_id", "driver_id", "motion_state", big("capacity"), "assignable")
+
+
+@query("dsp_1_normalized_orders", f"SELECT market_id, id AS order_id, {rc('pickup_lat')}, prep_time_min, parking_friction, dropoff_lat IS NOT NULL AS assignable FROM orders_v")
+def _(t: Tables) -> DataFrame:
+    return _orders(t).select("market_id", "order_id", r6("pickup_lat"), "prep_time_min", "parking_friction", "assignable")
+
+
+@query("dsp_2_leg_minutes", f"SELECT market_id, driver_id, order_id, {rc('greatest(0e0, pickup)', 'pickup_minutes')}, {rc('delivery', 'delivery_minutes')} FROM pp", _DSP)
+def _(t: Tables) -> DataFrame:
+    return _pairs(t).select("market_id", "driver_id", "order_id", r6("pickup_minutes"), r6("delivery_minutes"))
+
+
+@query("dsp_3_prep_penalty", f"SELECT market_id, driver_id, order_id, {rc('prep', 'prep_penalty')} FROM cc", _DSP)
+def _(t: Tables) -> DataFrame:
+    return _pairs(t).select("market_id", "driver_id", "order_id", r6("prep_penalty"))
+
+
+_COST = f"SELECT market_id, driver_id, order_id, {rc('total', 'total_cost')} FROM cc"
+
+
+def _costs(t: Tables) -> DataFrame:
+    return _pairs(t).select("market_id", "driver_id", "order_id", r6("total_cost"))
+
+
+query("dsp_4_single_costs", _COST, _DSP)(_costs)
+query("join_5_cost_pairs", _COST, _DSP)(_costs)
+
+
+@query("agg_15_best_single", f"SELECT market_id, order_id, {rc('min(total)', 'best_single')} FROM cc GROUP BY ALL", _DSP)
+def _(t: Tables) -> DataFrame:
+    return dispatch.best_single_costs(_pairs(t)).select("market_id", "order_id", r6("best_single"))
+
+
+@query("agg_16_unmatched_cost", f"SELECT market_id, {rc('least(2.5e11, greatest(1e6, max(total) + 1000, max(total) * 10 + 1000))', 'dummy_cost')} FROM cc GROUP BY ALL", _DSP)
+def _(t: Tables) -> DataFrame:
+    return dispatch.unmatched_cost(_pairs(t)).select("market_id", r6("dummy_cost"))
+
+
+@query("dsp_5_cost_bounds", f"SELECT market_id, {rc('min(total)', 'cheapest')}, {rc('max(total)', 'dearest')}, count(*) AS pairs FROM cc GROUP BY ALL", _DSP)
+def _(t: Tables) -> DataFrame:
+    return _pairs(t).groupBy("market_id").agg(F.min("total_cost").alias("a"), F.max("total_cost").alias("b"), F.count(F.lit(1)).alias("pairs")).select("market_id", r6("a", "cheapest"), r6("b", "dearest"), "pairs")
+
+
+_VX = lambda p: f"({dist(p + '.pickup_lat', p + '.pickup_lon', p + '.pickup_lat', p + '.dropoff_lon')} * CASE WHEN {p}.dropoff_lon >= {p}.pickup_lon THEN 1 ELSE -1 END)"
+_VY = lambda p: f"({dist(p + '.pickup_lat', p + '.pickup_lon', p + '.dropoff_lat', p + '.pickup_lon')} * CASE WHEN {p}.dropoff_lat >= {p}.pickup_lat THEN 1 ELSE -1 END)"
+_SAVE = {**_DSP, "ov": f"SELECT *, {_VX('o')} AS vx, {_VY('o')} AS vy FROM oo o",
+         "sv": f"SELECT *, exp(-gp / 4) * 2 + sim * 5e-1 * least(da, db) + greatest(0e0, least(1e0, 1 - gd / greatest(da + db, 1e-9))) * sim * 7.5e-1 * least(da, db) AS savings FROM (SELECT a.market_id, a.id AS order_id, b.id AS other_order_id, a.delivery AS da, b.delivery AS db, {dist('a.pickup_lat', 'a.pickup_lon', 'b.pickup_lat', 'b.pickup_lon')} / 480 AS gp, {dist('a.dropoff_lat', 'a.dropoff_lon', 'b.dropoff_lat', 'b.dropoff_lon')} / 480 AS gd, CASE WHEN sqrt(a.vx * a.vx + a.vy * a.vy) <= 1e-9 OR sqrt(b.vx * b.vx + b.vy * b.vy) <= 1e-9 THEN 0 ELSE (greatest(-1e0, least(1e0, (a.vx * b.vx + a.vy * b.vy) / (sqrt(a.vx * a.vx + a.vy * a.vy) * sqrt(b.vx * b.vx + b.vy * b.vy)))) + 1) / 2 END AS sim FROM ov a JOIN ov b ON b.market_id = a.market_id AND b.id <> a.id) x"}
+
+
+def _savings(t: Tables) -> DataFrame:
+    return once(t, "_savings", lambda: dispatch.order_savings(_orders(t), _orders(t).where("assignable").select("market_id", "order_id")))
+
+
+@query("dsp_6_direction_similarity", f"SELECT market_id, order_id, other_order_id, {rc('sim', 'direction_score')} FROM sv", _SAVE)
+def _(t: Tables) -> DataFrame:
+    return _savings(t).select("market_id", "order_id", "other_order_id", r6("direction_score"))
+
+
+_SAVE_Q = f"SELECT market_id, order_id, other_order_id, {rc('savings')} FROM sv"
+query("dsp_7_route_savings", _SAVE_Q, _SAVE)(lambda t: _savings(t).select("market_id", "order_id", "other_order_id", r6("savings")))
+query("join_6_savings_pairs", _SAVE_Q, _SAVE)(lambda t: _savings(t).select("market_id", "order_id", "other_order_id", r6("savings")))
+
+
+def _matched(t: Tables) -> DataFrame:
+    return once(t, "_matched", lambda: dispatch.match_orders(_pairs(t)))
+
+
+@query("dsp_8_matching")
+def _(t: Tables) -> DataFrame:
+    m = _matched(t).join(_pairs(t).select("market_id", "driver_id", "order_id", "total_cost"), ["market_id", "driver_id", "order_id"])
+    return m.groupBy("market_id").agg(F.count(F.lit(1)).alias("matched"), F.sum("total_cost").alias("total_cost")).select("market_id", "matched", r6("total_cost"))
+
+
+def _dispatch(t: Tables) -> dict[str, DataFrame]:
+    if "_dispatch" not in t.__dict__:
+        t.__dict__["_dispatch"] = dispatch.assign_orders(t.drivers, t.orders_derived)
+    return t.__dict__["_dispatch"]
+
+
+@query("dsp_9_batched_dispatch")
+def _(t: Tables) -> DataFrame:
+    return _dispatch(t)["assignments"].select("market_id", "driver_id", "order_ids", r6("total_cost"), "components")
+
+
+@query("dsp_10_dispatch_report", "SELECT d.market_id, (SELECT count(*) FROM drivers_v x WHERE x.market_id = d.market_id) AS driver_count, (SELECT count(*) FROM orders_v x WHERE x.market_id = d.market_id) AS order_count FROM (SELECT market_id FROM drivers_v UNION SELECT market_id FROM orders_v) d")
+def _(t: Tables) -> DataFrame:
+    return _dispatch(t)["diagnostics"].select("market_id", "driver_count", "order_count")
+
+
+@query("agg_17_dispatch_diagnostics")
+def _(t: Tables) -> DataFrame:
+    return _dispatch(t)["diagnostics"]
+
+
+query("join_15_unassigned_orders")(lambda t: _dispatch(t)["unassigned_orders"])
+query("set_3_unassigned_drivers")(lambda t: _dispatch(t)["unassigned_drivers"])
+
+
+@query("dsp_11_single_cost_report", f"SELECT d.market_id, d.id AS driver_id, o.id AS order_id, {r('c.total')} AS total_cost, c.total IS NOT NULL AS matched FROM drivers_v d JOIN orders_v o ON o.market_id = d.market_id LEFT JOIN cc c ON c.market_id = d.market_id AND c.driver_id = d.id AND c.order_id = o.id", _DSP)
+def _(t: Tables) -> DataFrame:
+    return dispatch.single_cost_report(_drivers(t), _orders(t)).select("market_id", "driver_id", "order_id", r6("total_cost"), "matched")
+
+
+@query("srt_4_stable_order", "SELECT market_id, id AS order_id, row_number() OVER (PARTITION BY market_id ORDER BY id, ingest_ix) AS position FROM orders_v")
+def _(t: Tables) -> DataFrame:
+    return rank.stable_order(_orders(t), ["market_id"], "order_id", "ingest_ix").select("market_id", "order_id", big("position"))
+
+
+@query("srt_6_seed_order")
+def _(t: Tables) -> DataFrame:
+    return rank.stable_order(_matched(t), ["market_id"], "driver_id", "order_id").select("market_id", "driver_id", "order_id", big("position"))
+
+
+# --- routes --------------------------------------------------------------------
+
+def _nested(t: Tables) -> DataFrame:
+    """Route rows with nested steps from the flat route table."""
+    c = F.col
+    mid_lat, mid_lon = (c("from_lat") + c("lat")) / 2.0, (c("from_lon") + c("lon")) / 2.0
+    line = F.array(F.array("from_lon", "from_lat"), F.array(mid_lon, mid_lat), F.array("lon", "lat"))
+    null = F.lit(None)
+
+    def step(dist_m, kind, mod, before, after, lanes, entries, exit_no):
+        entry = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: i < entries)
+        lane = F.when(lanes > 0, F.array_repeat(F.lit("l"), lanes))
+        return F.struct(
+            c("road").alias("name"), dist_m.cast("double").alias("distance"), c("driving_side").alias("driving_side"), F.array(F.array("from_lon", "from_lat"), F.array("lon", "lat")).alias("coordinates"),
+            F.struct(kind.cast("string").alias("type"), mod.cast("string").alias("modifier"), null.cast("string").alias("instruction"), exit_no.cast("int").alias("exit"), before.cast("double").alias("bearing_before"), after.cast("double").alias("bearing_after")).alias("maneuver"),
+            F.array(F.struct(lane.cast("array<string>").alias("lanes"), entry.alias("entry"))).alias("intersections"))
+
+    zero = F.lit(0)
+    steps = F.array(step(c("first_m"), F.lit("depart"), null, null, null, zero, zero, null),
+                    step(c("second_m"), c("turn_type"), c("turn_modifier"), c("bearing_before"), c("bearing_after"), c("lanes"), c("entries"), c("exit_no")),
+                    step(F.lit(0.0), F.lit("arrive"), c("arrive_modifier"), null, null, zero, zero, null))
+    return t.routes.select("route_id", "trip_id", c("ts").cast("timestamp").alias("ts"), "view_id", "point_id", "lat", "lon", "distance_m", "duration_s",
+                           F.when(c("same_end"), F.concat(line, F.array(F.array("lon", "lat")))).otherwise(line).alias("coordinates"), steps.alias("steps"))
+
+
+_ANGLE = "CASE WHEN bearing_after IS NULL THEN 0e0 ELSE abs((bearing_after - bearing_before + 540) % 360 - 180) END"
+_TYPE = "CASE WHEN turn_type = 'roundabout' THEN 8.4e-1 WHEN turn_type IN ('fork', 'merge', 'on ramp', 'off_ramp') THEN 7.2e-1 WHEN turn_type = 'end of road' THEN 6.3e-1 WHEN turn_type = 'turn' THEN 4.8e-1 ELSE 3.4e-1 END"
+_TURN_SCORE = c01(f"4.2e-1 * {_TYPE} + 2.8e-1 * {c01('(' + _ANGLE + ') / 135')} + 1.6e-1 * {c01('greatest(0, lanes - 1) / 4e0')} + 1.4e-1 * {c01('greatest(0, entries - 1) / 4e0')}")
+_TL = lambda s: f"CASE WHEN {s} >= 7.6e-1 THEN 'Complex' WHEN {s} >= 5.6e-1 THEN 'Busy' WHEN {s} >= 3.4e-1 THEN 'Moderate' ELSE 'Clean' END"
+_ROAD = "CASE WHEN road IS NULL THEN '' ELSE ' on ' || road END"
+_TURN_TEXT = f"""trim(CASE turn_type WHEN 'turn' THEN 'Turn ' || coalesce(turn_modifier, '') || {_ROAD} WHEN 'merge' THEN 'Merge' || {_ROAD} WHEN 'on ramp' THEN 'Take the ' || coalesce(turn_modifier || ' ', '') || 'on-ramp' || {_ROAD} WHEN 'off_ramp' THEN 'Take the ' || coalesce(turn_modifier || ' ', '') || 'exit' || {_ROAD}
+ WHEN 'roundabout' THEN CASE WHEN exit_no > 0 THEN 'Take exit ' || exit_no || ' at the roundabout' ELSE 'Enter the roundabout' END || {_ROAD} WHEN 'end of road' THEN 'At the end of the road, turn ' || coalesce(turn_modifier, '') || {_ROAD} WHEN 'fork' THEN 'Keep ' || coalesce(turn_modifier, 'ahead') || {_ROAD}
+ WHEN 'new name' THEN CASE WHEN road IS NULL THEN 'Continue ahead' ELSE 'Continue as ' || road END ELSE 'Continue ' || coalesce(turn_modifier, 'ahead') || {_ROAD} END)"""
+
+
+@query("rte_1_primary_step", "SELECT route_id, CASE WHEN first_m > 15 OR second_m <= 15 THEN 'depart' ELSE turn_type END AS kind FROM routes_v")
+def _(t: Tables) -> DataFrame:
+    return _nested(t).select("route_id", routes.primary_step()["maneuver"]["type"].alias("kind"))
+
+
+@query("rte_2_arrival_step", "SELECT route_id, 'arrive' AS kind, arrive_modifier AS modifier FROM routes_v")
+def _(t: Tables) -> DataFrame:
+    m = routes.arrival_step()["maneuver"]
+    return _nested(t).select("route_id", m["type"].alias("kind"), m["modifier"].alias("modifier"))
+
+
+@query("rte_3_final_turn_step", "SELECT route_id, turn_type AS kind FROM routes_v")
+def _(t: Tables) -> DataFrame:
+    return _nested(t).select("route_id", routes.final_turn_step()["maneuver"]["type"].alias("kind"))
+
+
+@query("rte_4_approach_segment", f"SELECT route_id, {rc('(from_lat + lat) / 2', 'start_lat', 9)}, {rc('lat', 'end_lat', 9)} FROM routes_v")
+def _(t: Tables) -> DataFrame:
+    return _nested(t).select("route_id", routes.approach_segment().alias("a")).select("route_id", r6("a.start_lat", digits=9), r6("a.end_lat", digits=9))
+
+
+_MID = ("(from_lat + lat) / 2", "(from_lon + lon) / 2")
+
+
+@query("rte_5_route_bearings", f"SELECT route_id, {rc(heading('from_lat', 'from_lon', *_MID), 'from_start')}, {rc(heading(*_MID, 'lat', 'lon'), 'from_end')}, {rc('coalesce(bearing_after, bearing_before)', 'arrival_bearing')} FROM routes_v")
+def _(t: Tables) -> DataFrame:
+    return _nested(t).select("route_id", r6(routes.polyline_bearing(), "from_start"), r6(routes.polyline_bearing(from_end=True), "from_end"), r6(routes.route_bearing(True), "arrival_bearing"))
+
+
+@query("rte_6_turn_complexity", f"SELECT route_id, {rc('s', 'score')}, {_TL('s')} AS label, CASE WHEN lanes > 0 AND entries > 1 THEN lanes || CASE WHEN lanes = 1 THEN ' lane' ELSE ' lanes' END || ' · ' || entries || ' legal branches' WHEN lanes > 0 THEN lanes || CASE WHEN lanes = 1 THEN ' lane' ELSE ' lanes' END WHEN entries > 1 THEN entries || ' legal branches' ELSE {_TURN_TEXT} END AS detail FROM (SELECT *, {_TURN_SCORE} AS s FROM routes_v) x")
+def _(t: Tables) -> DataFrame:
+    return _nested(t).select("route_id", routes.turn_complexity(routes.final_turn_step()).alias("x")).select("route_id", r6("x.score"), "x.label", "x.detail")
+
+
+@query("rte_7_step_instruction", f"SELECT route_id, {_TURN_TEXT} AS turn_text, 'Head out' || {_ROAD} AS depart_text FROM routes_v")
+def _(t: Tables) -> DataFrame:
+    return _nested(t).select("route_id", routes.step_instruction(routes.final_turn_step()).alias("turn_text"), routes.step_instruction(F.col("steps")[0]).alias("depart_text"))
+
+
+@query("agg_22_route_bounds", f"SELECT route_id, {rc('least(from_lon, lon)', 'west', 9)}, {rc('least(from_lat, lat)', 'south', 9)}, {rc('greatest(from_lon, lon)', 'east', 9)}, {rc('greatest(from_lat, lat)', 'north', 9)} FROM routes_v")
+def _(t: Tables) -> DataFrame:
+    return _nested(t).select("route_id", routes.route_bounds().alias("b")).select("route_id", *[r6(f"b.{c}", digits=9) for c in ("west", "south", "east", "north")])
+
+
+def _snapshot(t: Tables) -> DataFrame:
+    def make() -> DataFrame:
+        base = _nested(t)
+        # A route ends at a merchant of its view: destinations are the scored merchants.
+        s = scored_merchants(t)
+        near = nearby.nearest_parking(s.select("view_id", "point_id", "lat", "lon"), _ranked_lots(t))
+        dest = places.pickup_friction(s, near)
+        ring = lambda lo, hi: nearby.parking_in_ring(s, lots(t), lo, hi, 1)
+        target = base.withColumn("point_id", F.concat(F.lit("node/"), (F.col("view_id") * 500 + F.col("route_id") % 500).cast("string")))
+        return routes.navigation_snapshot(target, dest, near, ring(322.0, 804.0), ring(90.0, 321.0))
+    return once(t, "_snapshot", make)
+
+
+_REL = lambda la, lo: f"""(CASE WHEN {la} IS NULL THEN NULL ELSE (SELECT CASE WHEN sqrt(px * px + py * py) < 12 THEN 'center' WHEN abs(vx * py - vy * px) < greatest(14e0, sqrt(px * px + py * py) * 1.8e-1) THEN CASE WHEN vx * px + vy * py >= 0 THEN 'ahead' ELSE 'behind' END WHEN vx * py - vy * px > 0 THEN 'left' ELSE 'right' END
+ FROM (SELECT (lon - sx) * 111320e0 * cos(radians((lat + sy) / 2)) AS vx, (lat - sy) * 111320e0 AS vy, ({lo} - lon) * 111320e0 * cos(radians((lat + {la}) / 2)) AS px, ({la} - lat) * 111320e0 AS py) v) END)"""
+_RING1 = lambda lo, hi: f"SELECT n.view_id, n.point_id, n.lot_id, x.suitability, x.probability_delta, x.distance_m, n.lot_lat, n.lot_lon FROM near_lots n JOIN ({_ring_sql(lo, hi, 1)}) x ON x.view_id = n.view_id AND x.point_id = n.point_id AND x.lot_id = n.lot_id"
+_SNAP = {
+    **_NEAR_STEPS, "fr": _FRICTION, "stage_lots": _RING1(322, 804), "micro_lots": _RING1(90, 321),
+    "snap1": f"""SELECT r.*, (r.from_lat + r.lat) / 2 AS sy, (r.from_lon + r.lon) / 2 AS sx, f.friction, f.near_lat, f.near_lon, f.near_m, f.p_good AS dest_p, g.lot_id AS stage_id, g.lot_lat AS stage_lat, g.lot_lon AS stage_lon, g.probability_delta AS stage_delta, h.lot_lat AS micro_lat, h.lot_lon AS micro_lon, h.suitability AS micro_suit, {_TURN_SCORE} AS turn,
+  CASE WHEN arrive_modifier = 'left' THEN 'left' WHEN arrive_modifier IN ('right', 'sharp right') THEN 'right' ELSE 'center' END AS side FROM (SELECT *, 'node/' || (view_id * 500 + route_id % 500) AS dest_id FROM routes_v) r
+  LEFT JOIN fr f ON f.view_id = r.view_id AND f.point_id = r.dest_id LEFT JOIN stage_lots g ON g.view_id = r.view_id AND g.point_id = r.dest_id LEFT JOIN micro_lots h ON h.view_id = r.view_id AND h.point_id = r.dest_id""",
+    "snap2": f"SELECT *, {_REL('near_lat', 'near_lon')} AS near_side, {_REL('stage_lat', 'stage_lon')} AS stage_side, {_REL('micro_lat', 'micro_lon')} AS micro_side FROM snap1",
+    "snap3": "SELECT *, " + c01("CASE WHEN side = 'center' THEN 4.6e-1 ELSE 6.4e-1 END + CASE WHEN side = driving_side THEN 1.4e-1 WHEN side <> 'center' THEN -1.4e-1 ELSE 0 END + CASE WHEN near_side IS NULL OR side = 'center' THEN 0 WHEN near_side = side THEN 1.2e-1 ELSE -8e-2 END + CASE WHEN stage_side IS NULL OR side = 'center' THEN 0 WHEN stage_side = side THEN 6e-2 ELSE -4e-2 END + CASE WHEN micro_side IS NULL OR side = 'center' THEN 0 WHEN micro_side = side THEN 4e-2 ELSE -3e-2 END - "
+             + c01("(turn - 3e-1) / 7e-1") + " * 1.2e-1 - coalesce(friction, 0) * 8e-2") + " AS conf FROM snap2",
+    "snap4": "SELECT *, CASE WHEN side = 'center' THEN CASE WHEN conf >= 6.2e-1 THEN 'Straight-in arrival' ELSE 'Curbside uncertain' END WHEN side = driving_side AND conf >= 7.2e-1 THEN 'Likely ' || side || '-side curb' WHEN side <> driving_side THEN upper(left(side, 1)) || substr(side, 2) || '-side finish' ELSE upper(left(side, 1)) || substr(side, 2) || '-side possible' END AS curb, "
+             + c01("3.4e-1 * coalesce(dest_p, 3.4e-1) + 2.4e-1 * coalesce(1 - friction, 4e-1) + 2.4e-1 * conf + 1.8e-1 * CASE WHEN stage_delta IS NOT NULL THEN " + c01("5.2e-1 + stage_delta * 2.6e0") + " WHEN micro_suit IS NOT NULL THEN " + c01("3.6e-1 + micro_suit * 4.8e-1") + " ELSE 2.6e-1 END") + " AS ready FROM snap3",
+}
+
+
+@query("rte_8_approach_profile", f"SELECT route_id, side AS arrival_side, driving_side AS legal_curb_side, {rc('conf', 'curbside_confidence')}, curb AS curbside_label, {octant('sy', 'sx', 'lat', 'lon')} AS approach_direction FROM snap4", _SNAP)
+def _(t: Tables) -> DataFrame:
+    return _snapshot(t).select("route_id", "arrival_side", "legal_curb_side", r6("curbside_confidence"), "curbside_label", "approach_direction")
+
+
+@query("rte_9_arrival_readiness", f"SELECT route_id, {rc('ready', 'readiness')}, CASE WHEN ready >= 7.4e-1 THEN 'Arrival locked' WHEN ready >= 5.6e-1 THEN 'Arrival building' ELSE 'Arrival watch' END AS readiness_headline, distance_m <= 420 AS is_final_approach FROM snap4", _SNAP)
+def _(t: Tables) -> DataFrame:
+    return _snapshot(t).select("route_id", r6("readiness"), "readiness_headline", "is_final_approach")
+
+
+@query("rte_10_navigation_snapshot", f"SELECT route_id, stage_id AS stage_lot_id, {r('friction')} AS friction, {rc('conf', 'curbside_confidence')}, {rc('ready', 'readiness')}, {_TL('turn')} AS turn_label FROM snap4", _SNAP)
+def _(t: Tables) -> DataFrame:
+    return _snapshot(t).select("route_id", "stage_lot_id", r6("friction"), r6("curbside_confidence"), r6("readiness"), F.col("final_turn.label").alias("turn_label"))
+
+
+@query("rte_11_reroute_delta", f"""SELECT route_id, CASE WHEN p_dur IS NULL OR NOT changed THEN NULL WHEN dt <= -18 THEN 'Reroute improves arrival' WHEN dt >= 18 THEN 'Reroute slows arrival' WHEN curb <> p_curb THEN 'Reroute changes curbside' ELSE 'Reroute changes arrival setup' END AS delta_headline,
+ CASE WHEN p_dur IS NULL OR NOT changed THEN NULL WHEN dt > 0 THEN 'watch' ELSE 'good' END AS delta_tone FROM (SELECT *, duration_s - p_dur AS dt, abs(duration_s - p_dur) >= 18 OR abs(distance_m - p_dist) >= 60 OR curb <> p_curb OR tl <> p_tl OR (stage_id IS NOT NULL AND stage_id IS DISTINCT FROM p_stage) OR coalesce(fl <> p_fl, false) AS changed FROM
+ (SELECT *, lag(duration_s) OVER w AS p_dur, lag(distance_m) OVER w AS p_dist, lag(curb) OVER w AS p_curb, lag(tl) OVER w AS p_tl, lag(stage_id) OVER w AS p_stage, lag(fl) OVER w AS p_fl FROM (SELECT *, {_TL('turn')} AS tl, CASE WHEN friction >= 7.2e-1 THEN 'High friction' WHEN friction >= 5e-1 THEN 'Sticky' WHEN friction >= 2.8e-1 THEN 'Manageable' WHEN friction IS NOT NULL THEN 'Easy' END AS fl FROM snap4) a WINDOW w AS (PARTITION BY trip_id ORDER BY ts, route_id)) b) c""", _SNAP)
+def _(t: Tables) -> DataFrame:
+    return routes.reroute_delta(_snapshot(t)).select("route_id", "delta_headline", "delta_tone")
+
+
+@query("rte_12_destinations", f"SELECT q.point_id, CASE WHEN m.merchant_id IS NULL THEN 'spot' ELSE 'restaurant' END AS destination_kind, coalesce(p.name, 'Selected spot') AS destination_title FROM routes_v q LEFT JOIN (SELECT q.view_id, q.point_id, arg_min(m.id, m.ingest_ix) AS merchant_id FROM routes_v q JOIN merchants_v m ON m.view_id = q.view_id AND {dist('q.lat', 'q.lon', 'm.lat', 'm.lon')} <= 40 GROUP BY ALL) m ON m.view_id = q.view_id AND m.point_id = q.point_id LEFT JOIN merchants_v p ON p.view_id = q.view_id AND p.id = m.merchant_id")
+def _(t: Tables) -> DataFrame:
+    q = t.routes.select("view_id", "point_id", "lat", "lon", F.lit("").alias("title"))
+    none = scored_merchants(t).select("view_id", "point_id", "p_good")
+    return routes.resolve_destinations(q, t.merchants, none).select("point_id", "destination_kind", "destination_title")
