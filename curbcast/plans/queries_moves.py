@@ -535,19 +535,19 @@ _SNAP = {
 }
 
 
-@query("rte_8_approach_profile", f"SELECT route_id, side AS arrival_side, driving_side AS legal_curb_side, {rc('conf', 'curbside_confidence')}, curb AS curbside_label, {octant('sy', 'sx', 'lat', 'lon')} AS approach_direction FROM snap4", _SNAP)
+@query("rte_8_approach_profile", f"SELECT route_id, side AS arrival_side, driving_side AS legal_curb_side, {rc('conf', 'curbside_confidence', 8)}, curb AS curbside_label, {octant('sy', 'sx', 'lat', 'lon')} AS approach_direction FROM snap4", _SNAP)
 def _(t: Tables) -> DataFrame:
-    return _snapshot(t).select("route_id", "arrival_side", "legal_curb_side", r6("curbside_confidence"), "curbside_label", "approach_direction")
+    return _snapshot(t).select("route_id", "arrival_side", "legal_curb_side", r6("curbside_confidence", digits=8), "curbside_label", "approach_direction")
 
 
-@query("rte_9_arrival_readiness", f"SELECT route_id, {rc('ready', 'readiness')}, CASE WHEN ready >= 7.4e-1 THEN 'Arrival locked' WHEN ready >= 5.6e-1 THEN 'Arrival building' ELSE 'Arrival watch' END AS readiness_headline, distance_m <= 420 AS is_final_approach FROM snap4", _SNAP)
+@query("rte_9_arrival_readiness", f"SELECT route_id, {rc('ready', 'readiness', 8)}, CASE WHEN ready >= 7.4e-1 THEN 'Arrival locked' WHEN ready >= 5.6e-1 THEN 'Arrival building' ELSE 'Arrival watch' END AS readiness_headline, distance_m <= 420 AS is_final_approach FROM snap4", _SNAP)
 def _(t: Tables) -> DataFrame:
-    return _snapshot(t).select("route_id", r6("readiness"), "readiness_headline", "is_final_approach")
+    return _snapshot(t).select("route_id", r6("readiness", digits=8), "readiness_headline", "is_final_approach")
 
 
-@query("rte_10_navigation_snapshot", f"SELECT route_id, stage_id AS stage_lot_id, {r('friction')} AS friction, {rc('conf', 'curbside_confidence')}, {rc('ready', 'readiness')}, {_TL('turn')} AS turn_label FROM snap4", _SNAP)
+@query("rte_10_navigation_snapshot", f"SELECT route_id, stage_id AS stage_lot_id, {r('friction')} AS friction, {rc('conf', 'curbside_confidence', 8)}, {rc('ready', 'readiness', 8)}, {_TL('turn')} AS turn_label FROM snap4", _SNAP)
 def _(t: Tables) -> DataFrame:
-    return _snapshot(t).select("route_id", "stage_lot_id", r6("friction"), r6("curbside_confidence"), r6("readiness"), F.col("final_turn.label").alias("turn_label"))
+    return _snapshot(t).select("route_id", "stage_lot_id", r6("friction"), r6("curbside_confidence", digits=8), r6("readiness", digits=8), F.col("final_turn.label").alias("turn_label"))
 
 
 @query("rte_11_reroute_delta", f"""SELECT route_id, CASE WHEN p_dur IS NULL OR NOT changed THEN NULL WHEN dt <= -18 THEN 'Reroute improves arrival' WHEN dt >= 18 THEN 'Reroute slows arrival' WHEN curb <> p_curb THEN 'Reroute changes curbside' ELSE 'Reroute changes arrival setup' END AS delta_headline,
