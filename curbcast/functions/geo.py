@@ -22,10 +22,9 @@ def haversine_m(lat1, lon1, lat2, lon2) -> Column:
 
 
 def haversine_or_unreachable(lat1, lon1, lat2, lon2) -> Column:
-    """Distance used by dispatch: bad coordinates give the unreachable cost."""
-    ok = is_finite(lat1) & is_finite(lon1) & is_finite(lat2) & is_finite(lon2)
-    return F.when(ok, F.least(F.lit(UNREACHABLE), haversine_m(lat1, lon1, lat2, lon2))).otherwise(
-        F.lit(UNREACHABLE))
+    """Distance used by dispatch: missing coordinates give the unreachable cost."""
+    top = F.lit(UNREACHABLE)
+    return F.least(top, F.coalesce(F.nanvl(haversine_m(lat1, lon1, lat2, lon2), top), top))
 
 
 def trig_columns(lat="lat", lon="lon", prefix="") -> list[Column]:

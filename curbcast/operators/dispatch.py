@@ -2,7 +2,7 @@
 
 Everything but the matching itself is a DataFrame: normalised inputs, pair
 costs, best singles, savings, batch candidates and the final report.  Markets
-whose pair count fits one task are matched in a grouped Pandas function; larger
+whose pair count fits one task are matched by a small numpy step over sorted rows; larger
 markets are matched by an auction that runs as Spark rounds.
 """
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..checkpoints import stage
 from ..functions.geo import UNREACHABLE, clamp_latitude, clamp_longitude, haversine_or_unreachable
 from ..functions.scalar import clamp, finite_or
-from .blocks import block_join
+from .blocks import block_join, spread
 from .predicates import driver_assignable, order_assignable
 
 EPS = 1e-9
@@ -51,9 +51,9 @@ class DispatchParams:
 
 
 def cost(x: Column) -> Column:
-    """Costs live in [0, 1e12]; anything not finite is the top."""
-    return F.when(x.isNull() | F.isnan(x), F.lit(UNREACHABLE)).otherwise(
-        F.greatest(F.lit(0.0), F.least(F.lit(UNREACHABLE), x)))
+    """Costs live in [0, 1e12]; anything missing or not a number is the top."""
+    top = F.lit(UNREACHABLE)
+    return F.greatest(F.lit(0.0), F.least(top, F.coalesce(F.nanvl(x, top), top)))
 
 
 def _id(name: str, prefix: str) -> Column:
@@ -230,17 +230,39 @@ def _shortest_path_matching(c: np.ndarray) -> np.ndarray:
     return out
 
 
-def _match_market(pdf: pd.DataFrame) -> pd.DataFrame:
-    drivers, di = np.unique(pdf["driver_id"].to_numpy(str), return_inverse=True)
-    orders, oi = np.unique(pdf["order_id"].to_numpy(str), return_inverse=True)
-    c = np.full((len(drivers), len(orders)), UNREACHABLE)
-    c[di, oi] = pdf["total_cost"].to_numpy()
+def _match_cells(d: np.ndarray, o: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matched (driver, order) ids of one market's cost cells."""
+    drivers, di = np.unique(d, return_inverse=True)
+    orders, oi = np.unique(o, return_inverse=True)
+    grid = np.full((len(drivers), len(orders)), UNREACHABLE)
+    grid[di, oi] = c
     if len(drivers) <= len(orders):
-        rows, cols = np.arange(len(drivers)), _shortest_path_matching(c)
-    else:
-        rows, cols = _shortest_path_matching(c.T), np.arange(len(orders))
-    return pd.DataFrame({"market_id": pdf["market_id"].iloc[0], "driver_id": drivers[rows].astype(object),
-                         "order_id": orders[cols].astype(object)})
+        return drivers, orders[_shortest_path_matching(grid)]
+    return drivers[_shortest_path_matching(grid.T)], orders
+
+
+def _match_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Match market after market from rows sorted by market; only the market
+    that is still being read is kept (its size is within the pair limit)."""
+    rest = None
+
+    def solve(pdf: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        m, d, o, c = (pdf[x].to_numpy() for x in ("market_id", "driver_id", "order_id", "total_cost"))
+        parts = [(m[i], *_match_cells(d[i:j].astype(str), o[i:j].astype(str), c[i:j])) for i, j in zip(bounds[:-1], bounds[1:])]
+        return pd.DataFrame({"market_id": np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]),
+                             "driver_id": np.concatenate([p[1] for p in parts]).astype(object),
+                             "order_id": np.concatenate([p[2] for p in parts]).astype(object)})
+
+    for pdf in batches:
+        if rest is not None:
+            pdf = pd.concat([rest, pdf], ignore_index=True)
+        m = pdf["market_id"].to_numpy()
+        starts = np.concatenate([[0], np.flatnonzero(m[1:] != m[:-1]) + 1])
+        rest = pdf.iloc[starts[-1]:]
+        if len(starts) > 1:
+            yield solve(pdf, starts)
+    if rest is not None and len(rest):
+        yield solve(rest, np.array([0, len(rest)]))
 
 
 def match_orders(pairs: DataFrame, local_pair_limit: int = LOCAL_PAIR_LIMIT, epsilon: float = 1e-4) -> DataFrame:
@@ -255,8 +277,8 @@ def match_orders(pairs: DataFrame, local_pair_limit: int = LOCAL_PAIR_LIMIT, eps
     keyed = pairs.select("market_id", "driver_id", "order_id", "total_cost").where(F.col("total_cost") < UNREACHABLE)
     sizes = keyed.groupBy("market_id").agg(F.count(F.lit(1)).alias("_pairs"))
     small = keyed.join(sizes.where(F.col("_pairs") <= local_pair_limit).select("market_id"), "market_id")
-    out = small.groupBy("market_id").applyInPandas(
-        _match_market, f"market_id {market_type}, driver_id string, order_id string")
+    out = spread(small, "market_id").sortWithinPartitions("market_id").mapInPandas(
+        _match_sorted, f"market_id {market_type}, driver_id string, order_id string")
     big = sizes.where(F.col("_pairs") > local_pair_limit).select("market_id")
     if big.limit(1).count() == 0:
         return out
@@ -356,7 +378,7 @@ def _take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def take_batches(candidates: DataFrame) -> DataFrame:
     """Resolve who takes which second order, in driver order per market."""
     cols = candidates.select("market_id", "driver_id", "order_id", "other_order_id", "other_ix", "owner_id", "savings", "other_cost")
-    ordered = cols.repartition("market_id").sortWithinPartitions("market_id", "driver_id", "order_id", "other_order_id", "other_ix")
+    ordered = spread(cols, "market_id").sortWithinPartitions("market_id", "driver_id", "order_id", "other_order_id", "other_ix")
     return ordered.mapInPandas(_take, cols.schema)
 
 

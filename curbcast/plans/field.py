@@ -19,17 +19,22 @@ from ..operators.stats import lambda_reference, view_stats
 
 @dataclass
 class Field:
-    """A scored field; every member is a lazy DataFrame."""
+    """A scored field; every member is a DataFrame."""
     views: DataFrame
     merchants: DataFrame
     parking: DataFrame
     residential: DataFrame
     calibration: DataFrame
-    heat: DataFrame
+    grid_features: DataFrame
+
+    @property
+    def heat(self) -> DataFrame:
+        """Every grid node, scored."""
+        return score_points(self.grid_features, self.views, self.calibration)
 
 
 def grid_field(views: DataFrame, merchants: DataFrame, parking: DataFrame, residential: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(calibration, heat): lambda_ref per view and every scored grid node.
+    """(calibration, grid features): lambda_ref per view and the kernel sums.
 
     The kernel sums are computed once and serve both the calibration and the
     scoring pass; they are staged because the selection of lambda_ref reads
@@ -38,21 +43,20 @@ def grid_field(views: DataFrame, merchants: DataFrame, parking: DataFrame, resid
     places = stage(weighted_places(merchants, parking, residential, views, grid=True), "places")
     feats = stage(kernel_features(grid_nodes(views), places), "grid-features")
     ref = stage(lambda_reference(add_effective_intensity(feats, views, calibration=True)), "lambda-ref")
-    return ref, score_points(feats, views, ref)
+    return ref, feats
 
 
 def load_field(views: DataFrame, merchants: DataFrame, parking: DataFrame, residential: DataFrame) -> Field:
     """Clamp the views, keep what lies inside them and is open, and score."""
     v, m, p, r = load_inputs(views, merchants, parking, residential)
-    ref, heat = grid_field(v, m, p, r)
-    return Field(v, m, p, r, ref, stage(heat, "heat"))
+    ref, feats = grid_field(v, m, p, r)
+    return Field(v, m, p, r, ref, feats)
 
 
 def load_inputs(views: DataFrame, merchants: DataFrame, parking: DataFrame, residential: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(views, open merchants, parking, residential) of the clamped views."""
     v = stage(clamp_views(views), "views")
-    boxed = stage(in_views(merchants, v), "merchants")
-    m = stage(filter_open(boxed, v.select("view_id", "osm_day", "minute")), "open-merchants")
+    m = stage(filter_open(in_views(merchants, v), v.select("view_id", "osm_day", "minute")), "open-merchants")
     return v, m, stage(in_views(parking, v), "parking"), stage(in_views(residential, v), "residential")
 
 

@@ -18,11 +18,15 @@ from .tables import Tables
 def field(t: Tables) -> Field:
     if "_field" not in t.__dict__:
         v, m, p, h = field_inputs(t)
-        ref, heat = grid_field(v, m, p, h)
-        t.__dict__["_field"] = Field(v, m, p, h, ref, stage(heat, "heat"))
+        ref, feats = grid_field(v, m, p, h)
+        t.__dict__["_field"] = Field(v, m, p, h, ref, feats)
     return t.__dict__["_field"]
 
 
+def heat(t: Tables) -> DataFrame:
+    return once(t, "_heat", lambda: field(t).heat)
+
+
 def scored_merchants(t: Tables) -> DataFrame:
     return once(t, "_scored_merchants", lambda: _score_merchants(t))
 
@@ -110,7 +114,7 @@ def field_inputs(t: Tables):
 
 @query("grd_3_probability_heat", f"SELECT view_id, point_id, {rc('lat', d=9)}, {rc('lon', d=9)}, {rc('p_good')}, {rc('p_good_low')}, {rc('p_good_high')}, {rc('composite')} FROM grid_scores")
 def _(t: Tables) -> DataFrame:
-    return field(t).heat.select("view_id", "point_id", r6("lat", digits=9), r6("lon", digits=9), r6("p_good"), r6("p_good_low"), r6("p_good_high"), r6("composite"))
+    return heat(t).select("view_id", "point_id", r6("lat", digits=9), r6("lon", digits=9), r6("p_good"), r6("p_good_low"), r6("p_good_high"), r6("composite"))
 
 
 @query("agg_8_order_quantile", "SELECT amenity, " + ", ".join(
@@ -133,12 +137,12 @@ _STAT_COLS = list(stats.VIEW_STATS.items())
 @query("agg_10_view_stats", "SELECT view_id, count(*) AS sample_count, " + ", ".join(
     rc(f"(list_sort(list({c})))[CAST(floor({q} * (count(*) - 1)) AS BIGINT) + 1]", n) for n, (c, q) in _STAT_COLS) + " FROM grid_scores GROUP BY view_id")
 def _(t: Tables) -> DataFrame:
-    return stats.view_stats(field(t).heat).select("view_id", big("sample_count"), *[r6(n) for n, _ in _STAT_COLS])
+    return stats.view_stats(heat(t)).select("view_id", big("sample_count"), *[r6(n) for n, _ in _STAT_COLS])
 
 
 @query("agg_24_mean_heat", f"SELECT view_id, {rc('avg(p_good)', 'mean_heat')} FROM grid_scores GROUP BY view_id")
 def _(t: Tables) -> DataFrame:
-    return field(t).heat.groupBy("view_id").agg(F.avg("p_good").alias("m")).select("view_id", r6("m", "mean_heat"))
+    return heat(t).groupBy("view_id").agg(F.avg("p_good").alias("m")).select("view_id", r6("m", "mean_heat"))
 
 
 # --- scorer ----------------------------------------------------------------
@@ -233,7 +237,7 @@ _PCT = "SELECT p.view_id, p.id, p.p_good, (SELECT count(*) FROM grid_scores g WH
 @query("win_4_percentile_in_view", f"SELECT view_id, id, {rint('1e2 * u / n')} AS percentile FROM pct", {"pct": _PCT})
 def _(t: Tables) -> DataFrame:
     f = field(t)
-    return stats.percentile_in_sample(lots(t).select("view_id", "id", "p_good"), f.heat.select("view_id", "p_good"),
+    return stats.percentile_in_sample(lots(t).select("view_id", "id", "p_good"), heat(t).select("view_id", "p_good"),
                                       "view_id", "p_good", "p_good").select("view_id", "id", big("percentile"))
 
 
@@ -247,7 +251,7 @@ def _(t: Tables) -> DataFrame:
  CASE WHEN p >= 90 THEN 'Top ' || greatest(1, 100 - p) || '%' WHEN p >= 70 THEN 'Above avg' WHEN p >= 40 THEN 'Mid pack' ELSE 'Lower tier' END AS compact FROM (SELECT *, {rint('1e2 * u / n')} AS p FROM pct) x""", {"pct": _PCT})
 def _(t: Tables) -> DataFrame:
     f = field(t)
-    df = stats.percentile_in_sample(lots(t).select("view_id", "id", "p_good"), f.heat.select("view_id", "p_good"), "view_id", "p_good", "p_good")
+    df = stats.percentile_in_sample(lots(t).select("view_id", "id", "p_good"), heat(t).select("view_id", "p_good"), "view_id", "p_good", "p_good")
     return df.select("view_id", "id", rank.percentile_text("percentile").alias("rank_text"), rank.compact_rank("percentile").alias("compact"))
 
 
@@ -398,7 +402,7 @@ FROM clamped v LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) b ON b.view_id =
 def _(t: Tables) -> DataFrame:
     f = field(t)
     counts = audit.load_counts(f.merchants, f.parking, f.residential, f.residential.where(F.col("place_weight").isNotNull()))
-    return audit.load_summary(counts, lots(t), stats.view_stats(f.heat)).select(
+    return audit.load_summary(counts, lots(t), stats.view_stats(heat(t))).select(
         "view_id", "merchants_count", "parking_count", "residential_count", "best_id", "best_range", "typical_range", "hot_range")
 
 

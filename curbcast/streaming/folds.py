@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
+from ..operators.blocks import spread
+
 R = 6371000.0
 Step = Callable[[tuple | None, tuple], tuple[tuple | None, tuple]]
 
@@ -160,4 +162,4 @@ def fold_sorted(df: DataFrame, key: str, order: Sequence[str], inputs: Sequence[
             extra = pd.DataFrame(rows, columns=names, index=pdf.index, dtype=object)
             yield pd.concat([pdf, extra], axis=1)
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return spread(df, key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
