@@ -226,18 +226,30 @@ def _mul32(a: Column, b: Column) -> Column:
     return (low.bitwiseAND(F.lit(_MASK)) + F.shiftleft(high, 16)).bitwiseAND(F.lit(_MASK))
 
 
-def uniform_draw(row_ix, draw: int, seed) -> Column:
-    """Draw number ``draw`` (1-based) of a row, uniform in [0, 1).
+def add_uniform_draws(df: DataFrame, row_ix: str, seed, draws: Sequence[int], prefix: str = "_u") -> DataFrame:
+    """Numbered draws of each row, uniform in [0, 1).
 
     The generator's state grows by a constant, so any draw of any row is a pure
-    function of its position and the rows can be made in parallel.
+    function of its position and the rows can be made in parallel.  Each mixing
+    step is its own projection level, so no expression is repeated.
     """
-    s = F.when(col(seed) == 0, F.lit(1)).otherwise(col(seed)).cast("bigint").bitwiseAND(F.lit(_MASK))
-    pos = (col(row_ix).cast("bigint") * DRAWS_PER_ROW + draw).bitwiseAND(F.lit(_MASK))
-    state = (s + _mul32(pos, F.lit(_STEP).cast("bigint"))).bitwiseAND(F.lit(_MASK))
-    v = _mul32(state.bitwiseXOR(F.shiftright(state, 15)), state.bitwiseOR(F.lit(1)))
-    v = v.bitwiseXOR((v + _mul32(v.bitwiseXOR(F.shiftright(v, 7)), v.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(_MASK)))
-    return v.bitwiseXOR(F.shiftright(v, 14)) / F.lit(4294967296.0)
+    m = F.lit(_MASK)
+    s = F.when(col(seed) == 0, F.lit(1)).otherwise(col(seed)).cast("bigint").bitwiseAND(m)
+    c = lambda tag, j: F.col(f"_{tag}{j}")
+
+    def state(j: int) -> Column:
+        pos = (F.col(row_ix).cast("bigint") * DRAWS_PER_ROW + j).bitwiseAND(m)
+        return (s + _mul32(pos, F.lit(_STEP).cast("bigint"))).bitwiseAND(m)
+
+    df = df.withColumns({f"_s{j}": state(j) for j in draws})
+    df = df.withColumns({f"_a{j}": c("s", j).bitwiseXOR(F.shiftright(c("s", j), 15)) for j in draws}
+                        | {f"_b{j}": c("s", j).bitwiseOR(F.lit(1)) for j in draws})
+    df = df.withColumns({f"_v{j}": _mul32(c("a", j), c("b", j)) for j in draws})
+    df = df.withColumns({f"_a{j}": c("v", j).bitwiseXOR(F.shiftright(c("v", j), 7)) for j in draws}
+                        | {f"_b{j}": c("v", j).bitwiseOR(F.lit(61)) for j in draws})
+    df = df.withColumns({f"_w{j}": c("v", j).bitwiseXOR((c("v", j) + _mul32(c("a", j), c("b", j))).bitwiseAND(m)) for j in draws})
+    df = df.withColumns({f"{prefix}{j}": c("w", j).bitwiseXOR(F.shiftright(c("w", j), 14)) / F.lit(4294967296.0) for j in draws})
+    return df.drop(*[f"_{tag}{j}" for tag in "sabvw" for j in draws])
 
 
 def synthetic_predictions(rows: DataFrame, seed, row_ix: str = "row_ix") -> DataFrame:
@@ -248,7 +260,7 @@ def synthetic_predictions(rows: DataFrame, seed, row_ix: str = "row_ix") -> Data
     """
     names = ["morning", "lunch", "afternoon", "dinner", "late_dinner", "late_night", "post_midnight"]
     u = {n: f"_u{n}" for n in range(1, DRAWS_PER_ROW + 1)}
-    df = rows.withColumns({u[n]: uniform_draw(row_ix, n, seed) for n in u})
+    df = add_uniform_draws(rows, row_ix, seed, list(u))
     c = F.col
     df = df.withColumn("bucket_name", F.element_at(F.array(*[F.lit(x) for x in names]),
                                                    (F.floor(c(u[1]) * 7.0) + 1).cast("int")))

@@ -175,7 +175,7 @@ def score(demand_rows: str, ref: str) -> str:
 
 
 def quantile(q: float, x: str) -> str:
-    return f"(list_sort(list({x})))[CAST(floor({q!r} * (count(*) - 1)) AS BIGINT) + 1]"
+    return f"(list_sort(list({x})))[CAST(floor({q!r}e0 * (count(*) - 1)) AS BIGINT) + 1]"
 
 
 STEPS: dict[str, str] = {

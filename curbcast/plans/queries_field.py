@@ -118,7 +118,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("agg_8_order_quantile", "SELECT amenity, " + ", ".join(
-    f"{rc('(list_sort(list(p_retailprice)))[CAST(floor(' + repr(q) + ' * (count(*) - 1)) AS BIGINT) + 1]', n)}" for n, q in (("q50", .5), ("q70", .7), ("q90", .9)))
+    f"{rc('(list_sort(list(p_retailprice)))[CAST(floor(' + repr(q) + 'e0 * (count(*) - 1)) AS BIGINT) + 1]', n)}" for n, q in (("q50", .5), ("q70", .7), ("q90", .9)))
     + " FROM (SELECT p_type AS amenity, p_retailprice FROM part) x GROUP BY amenity")
 def _(t: Tables) -> DataFrame:
     src = t.part.select(F.col("p_type").alias("amenity"), "p_retailprice")
@@ -135,7 +135,7 @@ _STAT_COLS = list(stats.VIEW_STATS.items())
 
 
 @query("agg_10_view_stats", "SELECT view_id, count(*) AS sample_count, " + ", ".join(
-    rc(f"(list_sort(list({c})))[CAST(floor({q} * (count(*) - 1)) AS BIGINT) + 1]", n) for n, (c, q) in _STAT_COLS) + " FROM grid_scores GROUP BY view_id")
+    rc(f"(list_sort(list({c})))[CAST(floor({q}e0 * (count(*) - 1)) AS BIGINT) + 1]", n) for n, (c, q) in _STAT_COLS) + " FROM grid_scores GROUP BY view_id")
 def _(t: Tables) -> DataFrame:
     return stats.view_stats(heat(t)).select("view_id", big("sample_count"), *[r6(n) for n, _ in _STAT_COLS])
 
@@ -397,7 +397,7 @@ def _(t: Tables) -> DataFrame:
  (SELECT count(*) FROM boxed_homes m WHERE m.view_id = v.view_id) AS residential_count, b.id AS best_id, {rint('b.p_good_low * 100')} || '% - ' || {rint('b.p_good_high * 100')} || '%' AS best_range,
  {rint('s.ml * 100')} || '% - ' || {rint('s.mh * 100')} || '%' AS typical_range, {rint('s.tl * 100')} || '% - ' || {rint('s.th * 100')} || '%' AS hot_range
 FROM clamped v LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) b ON b.view_id = v.view_id LEFT JOIN (SELECT view_id, """ + ", ".join(
-    f"(list_sort(list({c})))[CAST(floor({q} * (count(*) - 1)) AS BIGINT) + 1] AS {n}" for n, c, q in (("ml", "p_good_low", .5), ("mh", "p_good_high", .5), ("tl", "p_good_low", .9), ("th", "p_good_high", .9)))
+    f"(list_sort(list({c})))[CAST(floor({q}e0 * (count(*) - 1)) AS BIGINT) + 1] AS {n}" for n, c, q in (("ml", "p_good_low", .5), ("mh", "p_good_high", .5), ("tl", "p_good_low", .9), ("th", "p_good_high", .9)))
     + " FROM grid_scores GROUP BY view_id) s ON s.view_id = v.view_id", {"ranked": _RANKED})
 def _(t: Tables) -> DataFrame:
     f = field(t)
@@ -441,9 +441,9 @@ def _(t: Tables) -> DataFrame:
     return nearby.best_parking(pts, lots(t)).select("view_id", "point_id", "lot_id", big("distance_m"), r6("lot_p_good"))
 
 
-def _ring_sql(lo: int, hi: int, k: int) -> str:
+def _ring_sql(lo: int, hi: int, k: int, raw: bool = False) -> str:
     suit = _SUIT.format(p="lot_p", d="lot_d", w="lot_w", m="distance_m")
-    return f"""SELECT view_id, point_id, rank, lot_id, distance_m, {rc('suit', 'suitability')}, {rc('delta', 'probability_delta')}, direction FROM (SELECT *, row_number() OVER (PARTITION BY view_id, point_id ORDER BY suit DESC, delta DESC, ingest_ix) AS rank FROM
+    return f"""SELECT view_id, point_id, rank, lot_id, distance_m, {'suit AS suitability, delta AS probability_delta' if raw else rc('suit', 'suitability') + ', ' + rc('delta', 'probability_delta')}, direction FROM (SELECT *, row_number() OVER (PARTITION BY view_id, point_id ORDER BY suit DESC, delta DESC, ingest_ix) AS rank FROM
  (SELECT view_id, point_id, lot_id, distance_m, ingest_ix, {suit} AS suit, lot_p - here_p AS delta, {octant('lat', 'lon', 'lot_lat', 'lot_lon')} AS direction FROM near_lots WHERE distance_m BETWEEN {lo} AND {hi}) x) y WHERE rank <= {k}"""
 
 

@@ -521,7 +521,7 @@ def _snapshot(t: Tables) -> DataFrame:
 
 _REL = lambda la, lo: f"""(CASE WHEN {la} IS NULL THEN NULL ELSE (SELECT CASE WHEN sqrt(px * px + py * py) < 12 THEN 'center' WHEN abs(vx * py - vy * px) < greatest(14e0, sqrt(px * px + py * py) * 1.8e-1) THEN CASE WHEN vx * px + vy * py >= 0 THEN 'ahead' ELSE 'behind' END WHEN vx * py - vy * px > 0 THEN 'left' ELSE 'right' END
  FROM (SELECT (lon - sx) * 111320e0 * cos(radians((lat + sy) / 2)) AS vx, (lat - sy) * 111320e0 AS vy, ({lo} - lon) * 111320e0 * cos(radians((lat + {la}) / 2)) AS px, ({la} - lat) * 111320e0 AS py) v) END)"""
-_RING1 = lambda lo, hi: f"SELECT n.view_id, n.point_id, n.lot_id, x.suitability, x.probability_delta, x.distance_m, n.lot_lat, n.lot_lon FROM near_lots n JOIN ({_ring_sql(lo, hi, 1)}) x ON x.view_id = n.view_id AND x.point_id = n.point_id AND x.lot_id = n.lot_id"
+_RING1 = lambda lo, hi: f"SELECT n.view_id, n.point_id, n.lot_id, x.suitability, x.probability_delta, x.distance_m, n.lot_lat, n.lot_lon FROM near_lots n JOIN ({_ring_sql(lo, hi, 1, True)}) x ON x.view_id = n.view_id AND x.point_id = n.point_id AND x.lot_id = n.lot_id"
 _SNAP = {
     **_NEAR_STEPS, "fr": _FRICTION, "stage_lots": _RING1(322, 804), "micro_lots": _RING1(90, 321),
     "snap1": f"""SELECT r.*, (r.from_lat + r.lat) / 2 AS sy, (r.from_lon + r.lon) / 2 AS sx, f.friction, f.near_lat, f.near_lon, f.near_m, f.p_good AS dest_p, g.lot_id AS stage_id, g.lot_lat AS stage_lat, g.lot_lon AS stage_lon, g.probability_delta AS stage_delta, h.lot_lat AS micro_lat, h.lot_lon AS micro_lon, h.suitability AS micro_suit, {_TURN_SCORE} AS turn,
