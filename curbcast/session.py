@@ -10,7 +10,10 @@ def local_session(cores: str | int = "*", app: str = "curbcast", shuffle_partiti
             .config("spark.sql.adaptive.enabled", "true")
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.driver.memory", "12g")
+            # Wide generated methods are compiled too, instead of being interpreted.
+            .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
             .config("spark.ui.enabled", "false")
+            .config("spark.python.sql.dataFrameDebugging.enabled", "false")
             .config("spark.ui.showConsoleProgress", "false")
             .config("spark.sql.execution.arrow.pyspark.enabled", "true")
             .config("spark.sql.streaming.stateStore.providerClass",
