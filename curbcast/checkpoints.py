@@ -23,7 +23,7 @@ def stage_root(spark: SparkSession) -> str:
     if shared:
         return shared.rstrip("/")
     sc = spark.sparkContext
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     return _LOCAL_ROOT.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="curbcast-stage-"))
 
