@@ -2,11 +2,13 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..checkpoints import stage
 
@@ -121,3 +123,39 @@ def crc32(data: bytes) -> int:
 
 
 Frames = Iterator[pd.DataFrame]
+Batches = Iterator[pa.RecordBatch]
+
+
+def small_batches(batches: Batches, rows: int = 256) -> Batches:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], dict]], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, *schema): ``make()`` gives a worker's function from a list of texts to columns.
+
+    Texts are whole and may be null; ids pass through unread, so any type,
+    null and repeat is kept.
+    """
+    rows = pick(docs, doc_id=id_col, text=text_col)
+    fields = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(fields)
+
+    def run(batches: Batches) -> Batches:
+        work = make()
+        for batch in small_batches(batches):
+            out = work(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(out[f.name], f.type) for f in arrow]], names=["doc_id", *arrow.names])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *fields]))
+
+
+def map_text_column(docs: DataFrame, make: Callable[[], Callable[[list], list]], text_col: str = "text") -> DataFrame:
+    """``docs`` with its text column replaced; every row and every other column stays."""
+    def run(batches: Batches) -> Batches:
+        work = make()
+        for batch in small_batches(batches):
+            k = batch.schema.get_field_index(text_col)
+            yield batch.set_column(k, text_col, pa.array(work(batch.column(k).to_pylist()), pa.string()))
+    return docs.mapInArrow(run, docs.schema)

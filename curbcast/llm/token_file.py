@@ -20,9 +20,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Frames, crc32, pick
+from .common import Batches, Frames, crc32, pick, small_batches
 
 BLOCK_IDS = 1 << 20          # ids of a block, unless one document has more
 CACHE_UNITS = 300_000        # remembered units of a worker; a full memory starts anew
@@ -167,26 +169,25 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
     One range shuffle of the texts; blocks are cut as a sorted partition
     streams by, so memory is a batch and a block.
     """
-    def blocks(frames: Frames) -> Frames:
+    def blocks(batches: Batches) -> Batches:
         from pyspark import TaskContext
         part, encoder, end = TaskContext.get().partitionId(), unit_encoder(vocabulary), np.array([end_id], "<u4").tobytes()
         ids, raws, held, block, start = [], [], 0, 0, 0
-        for frame in frames:
-            keys = [None if pd.isna(v) else int(v) for v in frame["id"]]
-            for at in range(0, len(keys), 256):
-                for key, raw in zip(keys[at:at + 256], encoder.encode(frame["text"].tolist()[at:at + 256])):
-                    ids.append(key)
-                    raws.append(raw + end)
-                    held += len(raw) // 4 + 1
-                    if held >= block_ids:
-                        yield pd.DataFrame([_block(part, block, start, ids, raws, width)])
-                        ids, raws, held, block, start = [], [], 0, block + 1, start + held
+        for batch in small_batches(batches):
+            for key, raw in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
+                ids.append(key)
+                raws.append(raw + end)
+                held += len(raw) // 4 + 1
+                if held >= block_ids:
+                    yield pa.RecordBatch.from_pylist([_block(part, block, start, ids, raws, width)], schema)
+                    ids, raws, held, block, start = [], [], 0, block + 1, start + held
         if ids:
-            yield pd.DataFrame([_block(part, block, start, ids, raws, width)])
+            yield pa.RecordBatch.from_pylist([_block(part, block, start, ids, raws, width)], schema)
 
+    schema = to_arrow_schema(T.StructType.fromDDL(BLOCKS))
     rows = pick(docs, id=id_col, text=text_col)
     (rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-         .mapInPandas(blocks, BLOCKS).write.parquet(path))
+         .mapInArrow(blocks, BLOCKS).write.parquet(path))
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
