@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..checkpoints import stage_path
-from . import bpe, language, secrets, token_file
+from . import bpe, language, secrets, token_file, toxicity
 from .common import crc_part, table
 
 END_ID = 2
@@ -34,6 +34,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, vocabulary, bpe.build_lexicon(docs, vocabulary))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(crc_part("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
+                                              (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
