@@ -82,7 +82,6 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
     minimum and a join, so a hub with very many edges is combined before it is
     shuffled.  Rounds are written tables; the driver sees one count a round.
     """
-    from pyspark.sql import Window
     arcs = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "arcs")
     while True:
         both = arcs.unionByName(arcs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -95,8 +94,9 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         nxt = stage(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "arcs")
         # Done when every node has one arc and no target has an arc of its own.
-        heads = nxt.select("b").distinct()
-        if not nxt.join(heads, nxt["a"] == heads["b"], "left_semi").limit(1).count():
+        tails = nxt.groupBy("a").agg(F.count("*").alias("arcs"))
+        heads = nxt.select(F.col("b").alias("a")).distinct().withColumn("head", F.lit(True))
+        if not tails.join(heads, "a", "left").where("arcs > 1 or head").limit(1).count():
             return nxt.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
         arcs = nxt
 
@@ -159,3 +159,39 @@ def map_text_column(docs: DataFrame, make: Callable[[], Callable[[list], list]],
             k = batch.schema.get_field_index(text_col)
             yield batch.set_column(k, text_col, pa.array(work(batch.column(k).to_pylist()), pa.string()))
     return docs.mapInArrow(run, docs.schema)
+
+
+def runs(batches: Batches) -> Iterator[pa.Table]:
+    """Tables of rows with one value of the first column, from a stream sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and keys[a] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = keys[a]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def block_pairs(rows: DataFrame, keys: list[str], split_on: str, most: int) -> DataFrame:
+    """Rows dealt to (key, block, block) units of at most about ``2 * most`` rows.
+
+    Every two rows of a key meet in one unit: a key with more than ``most`` rows
+    is split by a hash of ``split_on`` into blocks, and a row goes to each pair of
+    blocks with its own.  Adds ``unit`` (the hash of key and blocks, sorted within
+    partitions), ``own`` (the row's block), ``low`` and ``high`` (the unit's blocks).
+    """
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("size")).where(F.col("size") > most)
+    split = rows.join(hot, keys, "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / most), F.lit(1)).cast("int"))
+    split = split.withColumn("own", F.pmod(F.xxhash64(split_on), F.col("blocks")).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    split = split.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("size", "blocks", "other")
+    split = split.withColumn("unit", F.xxhash64(*keys, "low", "high"))
+    return split.repartition("unit").sortWithinPartitions("unit")

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..checkpoints import stage_path
-from . import bpe, language, secrets, token_file, toxicity
+from . import bpe, language, secrets, token_file, toxicity, vectors
 from .common import crc_part, table
 
 END_ID = 2
@@ -41,9 +41,28 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r(node, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON r.node = l.a),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT c.node AS vec_id, coalesce(n.n, 0) AS n_links, c.root AS component_id, c.node = c.root AS kept FROM c LEFT JOIN n ON n.a = c.node
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op6_vector_duplicates": OP6_SQL}
