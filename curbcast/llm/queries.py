@@ -7,12 +7,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..checkpoints import stage_path
-from . import bpe, language, secrets, token_file, toxicity, vectors
+from . import bpe, language, ngram_join, secrets, token_file, toxicity, vectors
 from .common import crc_part, table
 
 END_ID = 2
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = stage_path(spark, "token-file")
     token_file.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), END_ID)
