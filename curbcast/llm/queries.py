@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..checkpoints import stage_path
-from . import bpe, language, ngram_join, secrets, suffix_dedup, token_file, toxicity, vectors
+from . import bpe, decontaminate, language, licenses, ngram_join, secrets, suffix_dedup, token_file, toxicity, vectors
 from .common import crc_part, table
 
 END_ID = 2
@@ -23,6 +23,10 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_token_files(spark, path)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -68,9 +72,41 @@ SELECT c.node AS vec_id, coalesce(n.n, 0) AS n_links, c.root AS component_id, c.
 """
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/doc_id.txt``."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")))
+    found = licenses.scan(docs.select(path.alias("path"), "text"))
+    return found.select(F.regexp_extract("path", "([^/]*)[.]txt$", 1).cast("bigint").alias("doc_id"), "path", "license", "cosine", "own", "from_dir")
+
+
+def op10_sql() -> str:
+    weights, idf, other = licenses.template_weights()
+    text = lambda rows: ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else repr(v) for v in r) + ")" for r in rows)
+    return f"""
+WITH template(template, license, word, weight) AS (VALUES {text(weights)}),
+frequency(word, idf) AS (VALUES {text(sorted(idf.items()))}),
+files AS (SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') AS dir, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id || '.txt' AS path, text FROM documents),
+lines AS (SELECT path, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM files WHERE regexp_matches(text, '{licenses.TRIGGER}')),
+numbered AS (SELECT path, unnest(parts) AS line, unnest(range(len(parts))) AS unit FROM lines),
+units AS (SELECT * FROM numbered WHERE regexp_matches(line, '{licenses.TRIGGER}')),
+words AS (SELECT path, unit, word, count(*) AS n FROM (SELECT path, unit, unnest(regexp_extract_all(lower(line), '{licenses.WORD}')) AS word FROM units) GROUP BY ALL),
+valued AS (SELECT path, unit, word, n * CAST(coalesce(idf, {other!r}) AS DOUBLE) AS value FROM words LEFT JOIN frequency USING (word)),
+lengths AS (SELECT path, unit, sqrt(sum(value * value)) AS length FROM valued GROUP BY ALL),
+met AS (SELECT path, unit, template, license, sum(value * CAST(weight AS DOUBLE)) AS dot FROM valued JOIN template USING (word) GROUP BY ALL),
+scored AS (SELECT path, unit, license, max(round(dot / length, 6)) AS cosine FROM met JOIN lengths USING (path, unit) WHERE round(dot / length, 6) >= {licenses.LEAST_COSINE} GROUP BY ALL),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY path, unit ORDER BY cosine DESC, license) = 1),
+own AS (SELECT path, license, cosine FROM best QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, unit, license) = 1),
+heads AS (SELECT f.dir, b.license, count(*) AS n FROM best b JOIN files f USING (path) WHERE b.unit = 0 GROUP BY ALL),
+speaking AS (SELECT dir, license FROM heads QUALIFY row_number() OVER (PARTITION BY dir ORDER BY n DESC, license) = 1)
+SELECT f.doc_id, f.path, coalesce(o.license, s.license) AS license, o.cosine, o.license IS NOT NULL AS own, CASE WHEN o.license IS NULL THEN s.dir END AS from_dir
+FROM files f LEFT JOIN own o USING (path) LEFT JOIN speaking s ON s.dir = f.dir
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
+    return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn) and not name.endswith("_sql")}
 
 
 def oracles() -> dict[str, str]:
-    return {"op6_vector_duplicates": OP6_SQL}
+    return {"op6_vector_duplicates": OP6_SQL, "op10_license_scan": op10_sql()}
