@@ -26,6 +26,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
+from ..checkpoints import stage
 from .common import map_texts, pick
 
 LEXICON_UNITS = 60_000      # most frequent units compiled into the automaton
@@ -310,16 +311,26 @@ def _codec(vocabulary: str, lexicon_file: str | None) -> Codec:
 # --- Spark -----------------------------------------------------------------------------
 
 def frequent_units(docs: DataFrame, most: int = LEXICON_UNITS, text_col: str = "text") -> DataFrame:
-    """(unit, n): the most frequent space-delimited units of all texts, ties by unit."""
+    """(unit, n): at most ``most`` of the most frequent space-delimited units of all texts.
+
+    Counts fall into fine logarithmic classes; the highest classes that fit are
+    taken whole, so the driver and no task ever sees more than that.
+    """
     unit = F.explode(F.split(F.concat(F.lit(" "), F.col("text")), " ", -1)).alias("unit")
-    return (pick(docs, text=text_col).where("text is not null").select(unit).where("unit <> ''").groupBy("unit").agg(F.count("*").alias("n"))
-            .where("n > 1").orderBy(F.desc("n"), "unit").limit(most))
+    counts = pick(docs, text=text_col).where("text is not null").select(unit).where("unit <> ''").groupBy("unit").agg(F.count("*").alias("n"))
+    counts = stage(counts.where("n > 1").withColumn("class", F.floor(F.log2("n") * 64).cast("int")), "units")
+    left, least = most, 1 << 30
+    for r in counts.groupBy("class").count().orderBy(F.desc("class")).collect():
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r["class"]
+    return counts.where(F.col("class") >= least).select("unit", "n")
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, most: int = LEXICON_UNITS, text_col: str = "text") -> str:
     """Compile the lexicon and hand its file to every executor; returns the file's name."""
     spark = docs.sparkSession
-    words = [" " + r.unit for r in frequent_units(docs, most, text_col).collect()]
+    words = sorted(" " + r.unit for r in frequent_units(docs, most, text_col).collect())
     vocab = _vocabulary(vocabulary)
     kept = [w for w in words if len(w.encode("utf-8", "replace")) <= LONGEST_UNIT and not w[1].isspace()]
     arrays = compile_lexicon([w.encode("utf-8", "replace") for w in kept], [vocab.encode_unit(w) for w in kept])
@@ -334,6 +345,15 @@ def encode(docs: DataFrame, vocabulary: str, lexicon_file: str | None = None, id
     return map_texts(docs, lambda: lambda texts: {"ids": _codec(vocabulary, lexicon_file).encode(texts)}, "ids array<int>", id_col, text_col)
 
 
+def encode_checked(docs: DataFrame, vocabulary: str, lexicon_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded): ids of every whole text, and whether decoding them gives the text (null: empty) again."""
+    def work(texts: list) -> dict:
+        codec = _codec(vocabulary, lexicon_file)
+        ids = codec.encode(texts)
+        return {"n_tokens": [len(x) for x in ids], "ids": ids, "decoded": [codec.decode(x) == (t or "") for x, t in zip(ids, texts)]}
+    return map_texts(docs, lambda: work, "n_tokens bigint, ids array<int>, decoded boolean", id_col, text_col)
+
+
 def decode(ids: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, text): texts of id lists; null for a null list."""
     def work(rows: list) -> dict:

@@ -151,6 +151,17 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], dict]], schem
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *fields]))
 
 
+def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list], list]], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text ``make()``'s function answers with true; every column stays."""
+    def run(batches: Batches) -> Batches:
+        work = make()
+        for batch in small_batches(batches):
+            kept = batch.filter(pa.array(work(batch.column(batch.schema.get_field_index(text_col)).to_pylist()), pa.bool_()))
+            if kept.num_rows:
+                yield kept
+    return docs.mapInArrow(run, docs.schema)
+
+
 def map_text_column(docs: DataFrame, make: Callable[[], Callable[[list], list]], text_col: str = "text") -> DataFrame:
     """``docs`` with its text column replaced; every row and every other column stays."""
     def run(batches: Batches) -> Batches:

@@ -183,4 +183,4 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE,
 def clean(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a test item."""
     held = contaminated(docs, items, least, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(held, id_col, "left_anti").select(*docs.columns)
+    return docs.join(held.hint("shuffle_hash"), id_col, "left_anti").select(*docs.columns)

@@ -9,8 +9,9 @@ unseen one goes on with its context's back-off row and the next lower order.
 
 A text gets the language of lowest cross-entropy per symbol.  On a held part
 of the training sample the confidence is fitted (softmax of the differences)
-and the rejection bound is set: the largest cross-entropy of any calibration
-text of that language, plus a slack that widens for short texts.
+and the rejection bound is set: it lies ``SLACK`` of the way from the largest cross-entropy of any
+calibration text of that language to that of evenly drawn symbols, and is wider
+for short texts.
 
 Fitting uses about ``SAMPLE_DOCS`` labelled texts a language, chosen by a hash
 of the id; scoring reads every whole text.  Defined results: null texts and
@@ -25,12 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import MIX_A, U64, Batches, crc_part, map_texts, mix64, pick, share_of, small_batches
+from .common import MIX_A, U64, Batches, crc_part, keep_rows, map_texts, mix64, pick, share_of, small_batches
 
 ORDER = 4
 SAMPLE_DOCS = 1500
 PIECE = 1 << 18             # symbols worked on at a time; long texts pass in pieces
-SLACK, SHORT_SLACK = 0.35, 4.0
+SLACK, SHORT_SLACK = 0.75, 4.0
 UNDEFINED = "und"
 _PAD = 1
 _LETTER = np.array([chr(c).isalpha() for c in range(65536)])
@@ -234,7 +235,7 @@ class LanguageModels:
         for j, name in enumerate(self.languages):
             own = entropy[(best == j) & (right == j), j]
             if own.size:
-                self.bounds[name] = float(own.max()) + SLACK
+                self.bounds[name] = float(own.max()) + SLACK * max(0.5, -self.floor - float(own.max()))
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text",
@@ -273,3 +274,9 @@ def predict(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", tex
     """(doc_id, lang_pred, score, rejected, entropy) of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
     return map_texts(docs, lambda: shared.value.predict, "lang_pred string, score double, rejected boolean, entropy double", id_col, text_col)
+
+
+def keep_known(docs: DataFrame, models: LanguageModels, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that the models reject."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    return keep_rows(docs, lambda: lambda texts: [not r for r in shared.value.predict(texts)["rejected"]], text_col)

@@ -197,5 +197,5 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, n: int = WO
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each class."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_anti").select(*docs.columns)
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone.hint("shuffle_hash"), id_col, "left_anti").select(*docs.columns)
