@@ -14,7 +14,7 @@ by twice the item's length it is 1 for a whole copy and falls with every edit.
 The items are read in blocks of at most about ``BLOCK_WORDS`` words, and every
 block is held against all documents, so what is broadcast never grows with the
 data.  Defined results: null and empty texts hold nothing; an item of fewer
-than three words is one seed of all its words and needs that seed alone; equal
+than three words is found in texts of just those words; equal
 items are all reported; rows that repeat an id and text are one result.
 """
 from __future__ import annotations
