@@ -11,7 +11,7 @@ from curbcast.session import local_session
 
 HEADLINE = ["join_1_merchant_kernel", "grd_3_probability_heat", "srt_1_rank_parking", "cov_3_greedy_spots", "join_7_nearest_parking",
             "join_10_staging_ring", "flt_5_open_now", "dsp_9_batched_dispatch", "join_12_sensor_as_of", "str_5_heading_update",
-            "rte_10_navigation_snapshot", "ml_6_synthetic_rows"]
+            "rte_10_navigation_snapshot"]
 
 
 def main() -> None:

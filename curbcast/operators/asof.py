@@ -23,7 +23,8 @@ def asof_latest(left: DataFrame, right: DataFrame, key: str, ts: str, payload: S
 
     Both sides are unioned; a right row is placed in its bucket of one
     tolerance width and the next one, so every answer is inside one
-    (key, bucket) window.
+    (key, bucket) window.  Of right rows with one key and time the one with the
+    greatest payload, field by field, is taken.
     """
     sec = F.col(ts).cast("timestamp").cast("double")
     pay = F.struct(F.col(ts).alias(right_ts), *[F.col(c) for c in payload])
@@ -33,7 +34,7 @@ def asof_latest(left: DataFrame, right: DataFrame, key: str, ts: str, payload: S
     kept = [c for c in left.columns if c not in (key, ts)]
     l = left.select(key, ts, F.struct(*kept).alias("_row"), _bucket(ts, tolerance_s).alias("_b"), F.lit(1).alias("_side"))
     u = l.unionByName(r, allowMissingColumns=True)
-    w = (Window.partitionBy(key, "_b").orderBy(F.asc(ts), F.asc("_side"))
+    w = (Window.partitionBy(key, "_b").orderBy(F.asc(ts), F.asc("_side"), F.asc("_pay"))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     m = u.withColumn("_m", F.last("_pay", ignorenulls=True).over(w)).where(F.col("_side") == 1)
     age = sec - F.col(f"_m.{right_ts}").cast("timestamp").cast("double")
@@ -42,6 +43,12 @@ def asof_latest(left: DataFrame, right: DataFrame, key: str, ts: str, payload: S
                     *[F.when(fresh, F.col(f"_m.{c}")).alias(c) for c in [right_ts, *payload]])
 
 
+def _with_tails(rows: DataFrame, tails: DataFrame, key: str) -> DataFrame:
+    """Join a bucket's summary to its rows; rows of a null key or time have one too."""
+    t = tails.select(F.col(key).alias("_key"), F.col("_b").alias("_bucket"), "_tail")
+    return rows.join(t, rows[key].eqNullSafe(t["_key"]) & rows["_b"].eqNullSafe(t["_bucket"])).drop("_key", "_bucket")
+
+
 def previous_row(df: DataFrame, key: str, ts: str, tie: str, cols: Sequence[str], bucket_s: float = DAY) -> DataFrame:
     """Adds ``prev_<col>`` from the preceding row of the key (by ts, tie)."""
     b = df.withColumn("_b", _bucket(ts, bucket_s))
@@ -50,7 +57,7 @@ def previous_row(df: DataFrame, key: str, ts: str, tie: str, cols: Sequence[str]
     inner = b.withColumn("_p", F.lag(pay).over(w)).withColumn("_rn", F.row_number().over(w))
     tails = b.groupBy(key, "_b").agg(F.max_by(pay, F.struct(ts, tie)).alias("_tail"))
     tails = tails.withColumn("_tail", F.lag("_tail").over(Window.partitionBy(key).orderBy("_b")))
-    out = inner.join(tails, [key, "_b"])
+    out = _with_tails(inner, tails, key)
     p = F.when(F.col("_rn") == 1, F.col("_tail")).otherwise(F.col("_p"))
     return out.withColumn("_prev", p).select(*df.columns, *[F.col(f"_prev.{c}").alias(f"prev_{c}") for c in cols])
 
@@ -65,7 +72,7 @@ def carry_forward(df: DataFrame, key: str, ts: str, tie: str, value: str, out: s
         F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(ts, tie))).alias("_tail"))
     wb = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     tails = tails.withColumn("_tail", F.last("_tail", ignorenulls=True).over(wb))
-    return inner.join(tails, [key, "_b"]).withColumn(out, F.coalesce("_in", "_tail")).select(*df.columns, out)
+    return _with_tails(inner, tails, key).withColumn(out, F.coalesce("_in", "_tail")).select(*df.columns, out)
 
 
 def weather_for(rows: DataFrame, weather: DataFrame, max_age_s: float = 600.0) -> DataFrame:

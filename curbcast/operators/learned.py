@@ -21,21 +21,6 @@ QUALITY_WEIGHTS = {
 }
 ARRIVAL_CALIBRATOR = (1.04, -0.96, 0.02)
 QUALITY_CALIBRATOR = (1.02, -0.98, -0.01)
-# Weights of the synthetic truth and of the synthetic legacy scorer.
-TRUTH_ARRIVAL_WEIGHTS = {
-    "intercept": -2.25, "merchant_signal": 2.85, "proximity_signal": 1.55, "competition_signal": -2.05,
-    "support_score": 1.35, "residential_share": 0.82, "horizon_log": 1.02, "demand_x_proximity": 1.55,
-    "demand_x_support": 0.92, "competition_x_demand": -1.05, "lunch": 0.12, "dinner": 0.4,
-    "late_dinner": 0.2, "late_night": -0.25, "post_midnight": -0.35, "weekend": 0.1, "weekend_dinner": 0.18,
-}
-TRUTH_QUALITY_WEIGHTS = {
-    "intercept": -1.05, "income_signal": 2.6, "proximity_signal": 0.98, "competition_signal": -0.4,
-    "support_score": 0.52, "residential_share": -0.18, "late_night": -0.62, "dinner": 0.16,
-    "weekend": 0.05, "income_x_proximity": 1.25,
-}
-LEGACY_ARRIVAL_WEIGHTS = {"intercept": -1.75, "merchant_signal": 2.1, "proximity_signal": 0.9,
-                          "competition_signal": -1.15, "residential_share": 0.15, "horizon_log": 0.55}
-LEGACY_QUALITY_WEIGHTS = {"intercept": -0.65, "income_signal": 1.6, "proximity_signal": 0.6, "late_night": -0.25}
 LN2 = 0.6931471805599453
 
 
@@ -116,9 +101,7 @@ def with_learned(df: DataFrame, sig_i, sig_m, sig_r, sig_d, support, residential
 def _prepared_samples(samples: DataFrame, keys: Sequence[str], label: str, weight: str | None) -> DataFrame:
     w = F.greatest(F.lit(0.0), positive_or(weight, 1.0)) if weight else F.lit(1.0)
     x = [F.nanvl(F.coalesce(F.col(k).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(k) for k in keys]
-    # Equal samples are folded into one row with a count before they are cached.
-    return (samples.select(*x, clamp01_zero(label).alias("_y"), w.alias("_w"))
-            .groupBy(*keys, "_y", "_w").agg(F.count(F.lit(1)).alias("_n")))
+    return samples.select(*x, clamp01_zero(label).alias("_y"), w.alias("_w"))
 
 
 def train_logistic(samples: DataFrame, feature_keys: Sequence[str], label: str = "label",
@@ -135,13 +118,13 @@ def train_logistic(samples: DataFrame, feature_keys: Sequence[str], label: str =
     weights = {k: float(init.get(k, 0.0)) for k in ["intercept", *keys]}
     rows = _prepared_samples(samples, keys, label, weight).persist()
     try:
-        n = rows.agg(F.sum("_n")).first()[0] or 0
+        n = rows.count()
         if not n:
             return weights, 0.0
 
         def error() -> Column:
             z = linear(weights, {k: F.col(k) for k in keys})
-            return (sigmoid(z) - F.col("_y")) * F.col("_w") * F.col("_n")
+            return (sigmoid(z) - F.col("_y")) * F.col("_w")
 
         for _ in range(iterations):
             g = rows.select(error().alias("_e"), *keys).agg(
@@ -152,30 +135,12 @@ def train_logistic(samples: DataFrame, feature_keys: Sequence[str], label: str =
                 step[k] = max(0.0, v) if k in positive else min(0.0, v) if k in negative else v
             weights = step
         p = safe_probability(sigmoid(linear(weights, {k: F.col(k) for k in keys})))
-        loss = -(F.col("_y") * F.log(p) + (1.0 - F.col("_y")) * F.log(1.0 - p)) * F.col("_w") * F.col("_n")
+        loss = -(F.col("_y") * F.log(p) + (1.0 - F.col("_y")) * F.log(1.0 - p)) * F.col("_w")
         return weights, rows.agg(F.sum(loss)).first()[0] / n
     finally:
         rows.unpersist()
 
 
-def train_logistic_bounded(samples: DataFrame, feature_keys: Sequence[str], label: str = "label",
-                           iterations: int = 100, l2: float = 0.02, positive: Sequence[str] = (),
-                           negative: Sequence[str] = ()) -> dict[str, float]:
-    """Same optimum by Spark ML's bounded LBFGS, for large sample tables."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.linalg import DenseMatrix
-    keys = list(feature_keys)
-    data = VectorAssembler(inputCols=keys, outputCol="_x").transform(
-        samples.select(*keys, F.col(label).cast("double").alias("_y")))
-    inf = float("inf")
-    fit = LogisticRegression(
-        featuresCol="_x", labelCol="_y", regParam=2 * l2, elasticNetParam=0.0, standardization=False, maxIter=iterations,
-        lowerBoundsOnCoefficients=DenseMatrix(1, len(keys), [0.0 if k in positive else -inf for k in keys]),
-        upperBoundsOnCoefficients=DenseMatrix(1, len(keys), [0.0 if k in negative else inf for k in keys])).fit(data)
-    return {"intercept": float(fit.intercept), **{k: float(c) for k, c in zip(keys, fit.coefficients)}}
-
-
 def fit_beta_calibrator(samples: DataFrame, probability: str = "raw_probability", label: str = "label",
                         weight: str | None = None, iterations: int = 250, learning_rate: float = 0.15,
                         l2: float = 0.005) -> dict[str, float]:
@@ -210,87 +175,3 @@ def log_loss(df: DataFrame, probability="probability", label="label", weight=Non
     w = F.greatest(F.lit(0.0), positive_or(weight, 1.0)) if weight is not None else F.lit(1.0)
     loss = -(y * F.log(p) + (1.0 - y) * F.log(1.0 - p)) * w
     return df.groupBy(*by).agg(F.coalesce(F.sum(loss) / F.count(F.lit(1)), F.lit(0.0)).alias("log_loss"))
-
-
-# --- synthetic evaluation rows ---------------------------------------------
-
-_MASK = 4294967295
-_STEP = 0x6D2B79F5
-DRAWS_PER_ROW = 11
-
-
-def _mul32(a: Column, b: Column) -> Column:
-    """Low 32 bits of a product of two 32-bit values held in BIGINT."""
-    low = a * b.bitwiseAND(F.lit(65535))
-    high = (a * F.shiftright(b, 16)).bitwiseAND(F.lit(65535))
-    return (low.bitwiseAND(F.lit(_MASK)) + F.shiftleft(high, 16)).bitwiseAND(F.lit(_MASK))
-
-
-def add_uniform_draws(df: DataFrame, row_ix: str, seed, draws: Sequence[int], prefix: str = "_u") -> DataFrame:
-    """Numbered draws of each row, uniform in [0, 1).
-
-    The generator's state grows by a constant, so any draw of any row is a pure
-    function of its position and the rows can be made in parallel.  Each mixing
-    step is its own projection level, so no expression is repeated.
-    """
-    m = F.lit(_MASK)
-    s = F.when(col(seed) == 0, F.lit(1)).otherwise(col(seed)).cast("bigint").bitwiseAND(m)
-    c = lambda tag, j: F.col(f"_{tag}{j}")
-
-    def state(j: int) -> Column:
-        pos = (F.col(row_ix).cast("bigint") * DRAWS_PER_ROW + j).bitwiseAND(m)
-        return (s + _mul32(pos, F.lit(_STEP).cast("bigint"))).bitwiseAND(m)
-
-    df = df.withColumns({f"_s{j}": state(j) for j in draws})
-    df = df.withColumns({f"_a{j}": c("s", j).bitwiseXOR(F.shiftright(c("s", j), 15)) for j in draws}
-                        | {f"_b{j}": c("s", j).bitwiseOR(F.lit(1)) for j in draws})
-    df = df.withColumns({f"_v{j}": _mul32(c("a", j), c("b", j)) for j in draws})
-    df = df.withColumns({f"_a{j}": c("v", j).bitwiseXOR(F.shiftright(c("v", j), 7)) for j in draws}
-                        | {f"_b{j}": c("v", j).bitwiseOR(F.lit(61)) for j in draws})
-    df = df.withColumns({f"_w{j}": c("v", j).bitwiseXOR((c("v", j) + _mul32(c("a", j), c("b", j))).bitwiseAND(m)) for j in draws})
-    df = df.withColumns({f"{prefix}{j}": c("w", j).bitwiseXOR(F.shiftright(c("w", j), 14)) / F.lit(4294967296.0) for j in draws})
-    return df.drop(*[f"_{tag}{j}" for tag in "sabvw" for j in draws])
-
-
-def synthetic_predictions(rows: DataFrame, seed, row_ix: str = "row_ix") -> DataFrame:
-    """Evaluation rows with context, truth, legacy and learned predictions.
-
-    ``rows`` supplies the row numbers (for example ``spark.range``); columns
-    are computed without any shuffle.
-    """
-    names = ["morning", "lunch", "afternoon", "dinner", "late_dinner", "late_night", "post_midnight"]
-    u = {n: f"_u{n}" for n in range(1, DRAWS_PER_ROW + 1)}
-    df = add_uniform_draws(rows, row_ix, seed, list(u))
-    c = F.col
-    df = df.withColumn("bucket_name", F.element_at(F.array(*[F.lit(x) for x in names]),
-                                                   (F.floor(c(u[1]) * 7.0) + 1).cast("int")))
-    df = df.withColumns({
-        "is_weekend": c(u[2]) < 0.32,
-        "sig_m": clamp01_zero(F.pow(c(u[3]), F.lit(0.72))),
-        "sig_r": clamp01_zero(F.pow(c(u[4]), F.lit(0.85))),
-        "sig_i": clamp01_zero(0.12 + 0.74 * c(u[5]) + F.when(c("bucket_name") == "dinner", 0.08).otherwise(0.0)),
-        "residential_share": clamp01_zero(
-            F.when(c("bucket_name") == "dinner", 0.34)
-            .when(c("bucket_name").isin("late_night", "post_midnight"), 0.42).otherwise(0.2) + (c(u[6]) - 0.5) * 0.28),
-        "horizon_min": 3.0 + F.floor(c(u[10]) * 24.0).cast("double"),
-    })
-    df = df.withColumn("sig_d", clamp01_zero(0.15 + 0.65 * c("sig_m") * c(u[7]) + 0.15 * c("residential_share")
-                                             + (c(u[8]) - 0.5) * 0.18))
-    df = df.withColumn("support_score", clamp01_zero(0.1 + 0.58 * c("sig_m") + 0.18 * c("sig_r")
-                                                     + 0.15 * (1.0 - c("sig_d")) + (c(u[9]) - 0.5) * 0.16))
-    fa, fq = feature_columns("sig_i", "sig_m", "sig_r", "sig_d", "support_score", "residential_share",
-                             "horizon_min", "bucket_name", "is_weekend")
-    df = df.withColumns({
-        "truth_p_any": sigmoid(linear(TRUTH_ARRIVAL_WEIGHTS, fa)),
-        "truth_quality": sigmoid(linear(TRUTH_QUALITY_WEIGHTS, fq)),
-        "legacy_p_any": sigmoid(linear(LEGACY_ARRIVAL_WEIGHTS, fa)),
-        "legacy_quality": sigmoid(linear(LEGACY_QUALITY_WEIGHTS, fq)),
-    })
-    df = with_learned(df, "sig_i", "sig_m", "sig_r", "sig_d", "support_score", "residential_share", "horizon_min", "bucket_name",
-                      "is_weekend", "legacy_p_any", "legacy_quality")
-    df = df.withColumns({
-        "truth_p_good": clamp01_zero(c("truth_p_any") * (0.25 + 0.75 * c("truth_quality"))),
-        "legacy_p_good": clamp01_zero(c("legacy_p_any") * (0.25 + 0.75 * c("legacy_quality"))),
-        "learned_p_good": clamp01_zero(c("learned_p_any") * (0.25 + 0.75 * c("learned_quality"))),
-    })
-    return df.withColumn("label", F.when(c(u[11]) < c("truth_p_good"), 1.0).otherwise(0.0)).drop(*u.values())

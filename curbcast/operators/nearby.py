@@ -18,9 +18,13 @@ def _cells(lat, lon, size_m, band) -> tuple[Column, Column]:
     one-degree latitude band plus the radius reaches, so a cell is never
     narrower than ``size_m``."""
     row = F.floor(col(lat) * METERS_PER_DEGREE / size_m)
+    return row, F.floor(col(lon) / _reach(size_m, band))
+
+
+def _reach(size_m, band) -> Column:
+    """Degrees of longitude of a cell."""
     edge = F.least(F.lit(89.9), F.greatest(F.abs(band), F.abs(band + 1.0)) + size_m / 110000.0)
-    c = F.floor(col(lon) * METERS_PER_DEGREE * F.cos(F.radians(edge)) / size_m)
-    return row, c
+    return size_m / (METERS_PER_DEGREE * F.cos(F.radians(edge)))
 
 
 def cell_pairs(anchors: DataFrame, places: DataFrame, radius_m: float | None = None,
@@ -28,28 +32,31 @@ def cell_pairs(anchors: DataFrame, places: DataFrame, radius_m: float | None = N
     """All (anchor, place) pairs within a radius, with exact ``distance_m``.
 
     Anchors carry ``lat, lon``; place coordinates come back as ``p_lat, p_lon``.
-    With ``radius_col`` the radius may differ per view (constant within a key).
-    The cell is 0.5 % wider than the radius: the metre-per-degree constant of
-    the cells and the sphere of the distance differ by 0.11 %.
+    With ``radius_col`` every place has its own radius; cells are as wide as the
+    largest of the key.  Places near the 180th meridian also stand a turn away,
+    so that pairs across it meet.  The cell is 0.5 % wider than the radius: the
+    metre-per-degree constant of the cells and the sphere of the distance differ
+    by 0.11 %.
     """
-    size = (F.col(radius_col) if radius_col else F.lit(float(radius_m))) * 1.005 + 1.0
+    size = (F.col("_size_r") if radius_col else F.lit(float(radius_m))) * 1.005 + 1.0
     reserved = {"lat", "lon"}
     p = places.select(*[c for c in places.columns if c not in reserved],
                       F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
     if radius_col:
         sizes = places.groupBy(*keys).agg(F.max(radius_col).alias("_size_r"))
-        a = anchors.join(sizes, list(keys))
-        a_size = F.col("_size_r") * 1.005 + 1.0
+        a, p = anchors.join(sizes, list(keys)), p.join(sizes, list(keys))
     else:
-        a, a_size = anchors, size
+        a = anchors
     # A place near a band edge is reachable from both bands: it is repeated per
     # band it may be seen from, anchors stay in their own band.
     p = p.withColumn("_band", F.explode(F.array_distinct(F.array(
         F.floor(F.col("p_lat") - size / 110000.0), F.floor(F.col("p_lat")), F.floor(F.col("p_lat") + size / 110000.0)))))
-    pr, pc = _cells("p_lat", "p_lon", size, F.col("_band"))
-    p = p.withColumn("_cy", pr).withColumn("_cx", pc)
+    turn = F.when(F.abs("p_lon") > 180.0 - _reach(size, F.col("_band")), F.array(F.col("p_lon"), F.col("p_lon") - 360.0 * F.signum("p_lon")))
+    p = p.withColumn("_lon", F.explode(F.coalesce(turn, F.array("p_lon"))))
+    pr, pc = _cells("p_lat", "_lon", size, F.col("_band"))
+    p = p.withColumn("_cy", pr).withColumn("_cx", pc).drop("_lon", "_size_r")
     a = a.withColumn("_band", F.floor("lat"))
-    ar, ac = _cells("lat", "lon", a_size, F.col("_band"))
+    ar, ac = _cells("lat", "lon", size, F.col("_band"))
     steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     a = (a.withColumn("_cy0", ar).withColumn("_cx0", ac)
          .withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps))

@@ -55,6 +55,34 @@ def in_views(places: DataFrame, views: DataFrame) -> DataFrame:
     return places.join(box, "view_id").where(in_box("lat", "lon")).drop("south", "west", "north", "east")
 
 
+def place_in_views(places: DataFrame, views: DataFrame) -> DataFrame:
+    """Every (view, place) with the place inside the view's box, by position alone.
+
+    A place may lie in several boxes.  A box is put on the grid whose cells are
+    as wide as the power of two above its longer side, so it covers at most four
+    cells; places take a cell on each grid that is in use (a few).  The box test
+    is the residual of that equi join.  A box whose west is east of its east
+    crosses the 180th meridian and is taken as two.  Rows without finite
+    coordinates lie in no box.  ``places`` must not carry ``view_id``.
+    """
+    box = views.select("view_id", "south", "west", "north", "east")
+    halves = F.when(F.col("west") > F.col("east"), F.array(F.struct(F.col("west").alias("w"), F.lit(180.0).alias("e")), F.struct(F.lit(-180.0).alias("w"), F.col("east").alias("e")))).otherwise(
+        F.array(F.struct(F.col("west").alias("w"), F.col("east").alias("e"))))
+    box = box.withColumn("_h", F.explode(halves)).select("view_id", "south", "north", F.col("_h.w").alias("west"), F.col("_h.e").alias("east"))
+    side = F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west"), F.lit(1e-6))
+    box = box.withColumn("_level", F.ceil(F.log2(side)).cast("int"))
+    levels = [r["_level"] for r in box.select("_level").where("_level is not null").distinct().collect()]     # at most thirty
+
+    def cell(x: str, level: Column) -> Column:
+        return F.floor(F.col(x) / F.pow(F.lit(2.0), level)).cast("bigint")
+
+    box = box.withColumn("_cy", F.explode(F.sequence(cell("south", F.col("_level")), cell("north", F.col("_level")))))
+    box = box.withColumn("_cx", F.explode(F.sequence(cell("west", F.col("_level")), cell("east", F.col("_level")))))
+    p = places.where(is_finite("lat") & is_finite("lon")).withColumn("_level", F.explode(F.array(*[F.lit(n) for n in sorted(levels)]).cast("array<int>")))
+    p = p.withColumn("_cy", cell("lat", F.col("_level"))).withColumn("_cx", cell("lon", F.col("_level")))
+    return p.join(box, ["_level", "_cy", "_cx"]).where(in_box("lat", "lon")).drop("_level", "_cy", "_cx", "south", "west", "north", "east")
+
+
 def driver_assignable(capacity="capacity", lat="lat", lon="lon") -> Column:
     return (col(capacity) >= 1) & is_finite(lat) & is_finite(lon)
 

@@ -10,6 +10,7 @@ cluster.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -94,20 +95,28 @@ def upper_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "upper
     """Number of group rows with a value <= own value, without a group sort.
 
     Rows are counted per distinct value and bucket first; only histogram rows
-    and the distinct values of one bucket are ordered.
+    and the distinct values of one bucket are ordered.  A null key is a group;
+    a null value has a null rank.
     """
     keys = list(keys)
     v = F.col(value)
+
+    def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+        """Equi join in which nulls of the keys are equal."""
+        r = right.select(*[F.col(c).alias(f"_k_{c}") for c in on], *[c for c in right.columns if c not in on])
+        same = [left[c].eqNullSafe(r[f"_k_{c}"]) for c in on]
+        return left.join(r, reduce(lambda a, b: a & b, same), how).drop(*[f"_k_{c}" for c in on])
+
     shape = df.groupBy(*keys).agg(F.count(value).alias(total), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    binned = df.join(shape, keys).withColumn("_b", _bucket(v, F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
-    per_value = binned.groupBy(*keys, "_b", value).agg(F.count(F.lit(1)).alias("_c"))
+    binned = joined(df, shape, keys).withColumn("_b", _bucket(v, F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    per_value = binned.where(v.isNotNull()).groupBy(*keys, "_b", value).agg(F.count(F.lit(1)).alias("_c"))
     hist = per_value.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
     w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.select(*keys, "_b", F.coalesce(F.sum("_bc").over(w), F.lit(0)).alias("_before"))
     wv = Window.partitionBy(*keys, "_b").orderBy(value)
-    ranked = per_value.join(hist, [*keys, "_b"]).select(
+    ranked = joined(per_value, hist, [*keys, "_b"]).select(
         *keys, value, (F.col("_before") + F.sum("_c").over(wv)).alias(out))
-    return binned.drop("_b").join(ranked, [*keys, value])
+    return joined(binned.drop("_b"), ranked, [*keys, value], "left")
 
 
 def percentile_of(rank, total) -> Column:

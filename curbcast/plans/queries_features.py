@@ -303,18 +303,32 @@ def _(t: Tables) -> DataFrame:
     return df.select("doc_id", *[r6("q_" + a, b) for a, b in names.items()])
 
 
-@query("ml_3_train_logistic")
-def _(t: Tables) -> DataFrame:
-    """Weights after 25 projected steps on the labelled documents."""
+def _descent(a: str, b: str, rate: str, l2: str, steps: int, weight: str, step_a: str = "{}", step_b: str = "{}") -> dict[str, str]:
+    """Full-batch projected gradient over two features as a recursion over its steps."""
+    error = f"({sig('g.w0 + g.wa * a + g.wb * b')} - y) * w"
+    rows = f"SELECT {a} AS a, {b} AS b, label AS y, {weight} AS w FROM predictions_v"
+    move = lambda k, s: s.format(f"w{k} - {rate} * (g{k} / n + 2 * {l2} * w{k})")
+    fit = (f"WITH RECURSIVE g(i, w0, wa, wb) AS (SELECT 0, 0e0, 0e0, 0e0 UNION ALL SELECT i + 1, w0 - {rate} * g0 / n, {move('a', step_a)}, {move('b', step_b)} "
+           f"FROM (SELECT g.*, x.* FROM g, LATERAL (SELECT sum({error}) AS g0, sum({error} * a) AS ga, sum({error} * b) AS gb, count(*) AS n FROM samples) x) z WHERE i < {steps}) SELECT * FROM g WHERE i = {steps}")
+    p = f"greatest(1e-6, least(1 - 1e-6, {sig('w0 + wa * a + wb * b')}))"
+    loss = f"SELECT sum(-(y * ln({p}) + (1 - y) * ln(1 - {p})) * w) / count(*) AS loss FROM samples, fit"
+    return {"samples": rows, "fit": fit, "loss": loss}
+
+
+@query("ml_3_train_logistic", f"SELECT 'intercept' AS name, {rc('w0', 'value')} FROM fit UNION ALL SELECT 'p', {r('wa')} FROM fit UNION ALL SELECT 'anti', {r('wb')} FROM fit UNION ALL SELECT 'average_loss', {r('loss')} FROM loss",
+       _descent("probability", "1 - probability", "2e-1", "2e-2", 400, "weight", "greatest(0e0, {})", "least(0e0, {})"))
+def _(t: Tables) -> DataFrame:
+    """Weights after 400 projected steps on the labelled documents."""
     rows = t.predictions.withColumns({"p": F.col("probability"), "anti": 1.0 - F.col("probability")})
-    w, loss = learned.train_logistic(rows, ["p", "anti"], weight="weight", iterations=25, positive=["p"], negative=["anti"])
-    return t.spark.createDataFrame([(k, float(v)) for k, v in {**w, "average_loss": loss}.items()], "name string, value double")
+    w, loss = learned.train_logistic(rows, ["p", "anti"], weight="weight", positive=["p"], negative=["anti"])
+    return t.spark.createDataFrame([(k, float(v)) for k, v in {**w, "average_loss": loss}.items()], "name string, value double").select("name", r6("value"))
 
 
-@query("ml_4_beta_calibrator")
+@query("ml_4_beta_calibrator", f"SELECT 'bias' AS name, {rc('w0', 'value')} FROM fit UNION ALL SELECT 'alpha', {r('wa')} FROM fit UNION ALL SELECT 'beta', {r('wb')} FROM fit UNION ALL SELECT 'average_loss', {r('loss')} FROM loss",
+       _descent(f"ln({_P})", f"ln(1 - {_P})", "1.5e-1", "5e-3", 250, "1e0"))
 def _(t: Tables) -> DataFrame:
-    fit = learned.fit_beta_calibrator(t.predictions, "probability", iterations=25)
-    return t.spark.createDataFrame([(k, float(v)) for k, v in fit.items()], "name string, value double")
+    fit = learned.fit_beta_calibrator(t.predictions, "probability")
+    return t.spark.createDataFrame([(k, float(v)) for k, v in fit.items()], "name string, value double").select("name", r6("value"))
 
 
 _ECE = "SELECT lang, least(floor(probability * 10), 9) AS b, count(*) AS n, sum(probability) AS sp, sum(label) AS sy FROM predictions_v GROUP BY ALL"
@@ -342,36 +356,3 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     p = t.predictions
     return learned.calibration_error(p).join(learned.brier_score(p), F.lit(True)).join(learned.log_loss(p, weight="weight"), F.lit(True)).select(r6("ece"), r6("brier"), r6("log_loss"))
-
-
-_M = 4294967295
-
-
-def _mul(a: str, b: str) -> str:
-    return f"((((({a}) * (({b}) & 65535)) & {_M}) + ((((({a}) * (({b}) >> 16)) & 65535)) << 16)) & {_M})"
-
-
-def _draws() -> str:
-    """All 11 draws of each row, with 16-bit split products."""
-    levels = "SELECT row_ix, j, (42 + " + _mul("(row_ix * 11 + j) & 4294967295", "1831565813") + f") & {_M} AS s FROM (SELECT o_orderkey AS row_ix, unnest(range(1, 12)) AS j FROM orders) a"
-    v1 = f"SELECT row_ix, j, {_mul('xor(s, s >> 15)', 's | 1')} AS v FROM ({levels}) b"
-    v2 = f"SELECT row_ix, j, xor(v, (v + {_mul('xor(v, v >> 7)', 'v | 61')}) & {_M}) AS v FROM ({v1}) c"
-    u = f"SELECT row_ix, j, xor(v, v >> 14) / 4294967296e0 AS u FROM ({v2}) d"
-    return "SELECT row_ix, " + ", ".join(f"max(CASE WHEN j = {j} THEN u END) AS u{j}" for j in range(1, 12)) + f" FROM ({u}) e GROUP BY row_ix"
-
-
-_SYN = {
-    "draws": _draws(),
-    "syn1": f"SELECT *, {c01('1.2e-1 + 7.4e-1 * u5 + CASE WHEN bname = ' + chr(39) + 'dinner' + chr(39) + ' THEN 8e-2 ELSE 0e0 END')} AS sig_i, {c01('pow(u3, 7.2e-1)')} AS sig_m, {c01('pow(u4, 8.5e-1)')} AS sig_r, CASE WHEN u2 < 3.2e-1 THEN 1e0 ELSE 0e0 END AS weekend, 3 + floor(u10 * 24) AS horizon, "
-            + c01("CASE WHEN bname = 'dinner' THEN 3.4e-1 WHEN bname IN ('late_night', 'post_midnight') THEN 4.2e-1 ELSE 2e-1 END + (u6 - 5e-1) * 2.8e-1") + " AS res_share FROM (SELECT *, (['morning','lunch','afternoon','dinner','late_dinner','late_night','post_midnight'])[CAST(floor(u1 * 7) AS BIGINT) + 1] AS bname FROM draws) x",
-    "syn2": f"SELECT *, {c01('1e-1 + 5.8e-1 * sig_m + 1.8e-1 * sig_r + 1.5e-1 * (1 - sig_d) + (u9 - 5e-1) * 1.6e-1')} AS sup FROM (SELECT *, {c01('1.5e-1 + 6.5e-1 * sig_m * u7 + 1.5e-1 * res_share + (u8 - 5e-1) * 1.8e-1')} AS sig_d FROM syn1) x",
-    "syn3": f"SELECT *, {sig('-1.75e0 + 2.1e0 * sig_m + 9e-1 * sig_r - 1.15e0 * sig_d + 1.5e-1 * res_share + 5.5e-1 * ln(1 + horizon / 10)')} AS base_a, {sig('-6.5e-1 + 1.6e0 * sig_i + 6e-1 * sig_r - 2.5e-1 * CASE WHEN bname IN (' + chr(39) + 'late_night' + chr(39) + ', ' + chr(39) + 'post_midnight' + chr(39) + ') THEN 1e0 ELSE 0e0 END')} AS base_q FROM syn2",
-    "syn4": learned_sql("syn3"),
-}
-
-
-@query("ml_6_synthetic_rows", f"SELECT row_ix, bname AS bucket_name, u2 < 3.2e-1 AS is_weekend, horizon AS horizon_min, {rc('sig_m')}, {rc('sig_r')}, {rc('sig_i')}, {rc('sig_d')}, {rc('sup', 'support_score')}, {rc('res_share', 'residential_share')}, {rc(c01('base_a * (2.5e-1 + 7.5e-1 * base_q)'), 'legacy_p_good')}, {rc(c01('l_any * (2.5e-1 + 7.5e-1 * l_quality)'), 'learned_p_good')} FROM syn4", _SYN)
-def _(t: Tables) -> DataFrame:
-    rows = t.base("orders").select(F.col("o_orderkey").alias("row_ix"))
-    return learned.synthetic_predictions(rows, 42).select("row_ix", "bucket_name", "is_weekend", "horizon_min", *[r6(c) for c in (
-        "sig_m", "sig_r", "sig_i", "sig_d", "support_score", "residential_share", "legacy_p_good", "learned_p_good")])

@@ -1,10 +1,11 @@
 """Registered queries: landed payload sources, scans, unions, audit sink."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..checkpoints import stage_path
 from ..operators import predicates
+from ..operators.stats import upper_rank
 from ..sources import places as src
 from ..sources import routes as rsrc
 from ..sources import sinks, weather
@@ -185,9 +186,20 @@ def _(t: Tables) -> DataFrame:
     return t.merchants.select("view_id", "id", F.col("ingest_ix").alias("p_partkey")).join(t.part.select("p_partkey", "p_name"), "p_partkey").select("view_id", "id", "p_name")
 
 
-@query("srt_5_sorted_samples", "SELECT p_type, string_agg(p_partkey, ',' ORDER BY p_retailprice, p_partkey) AS head FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice, p_partkey) AS rn FROM part) x WHERE rn <= 50 GROUP BY p_type")
+@query("srt_5_sorted_samples", "SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice, p_partkey) AS place FROM part")
 def _(t: Tables) -> DataFrame:
-    from ..operators.rank import top_per_group
-    top = top_per_group(t.part.select("p_type", "p_partkey", "p_retailprice"), ["p_type"], [F.asc("p_retailprice"), F.asc("p_partkey")], 50)
-    return top.groupBy("p_type").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("p_partkey").cast("string").alias("k")))).alias("s")).select(
-        "p_type", F.array_join(F.transform("s", lambda x: x["k"]), ",").alias("head"))
+    """Place of every part in its type's sample sorted by price, without sorting a type in one task."""
+    ranked = upper_rank(t.part.select("p_type", "p_partkey", "p_retailprice"), ["p_type"], "p_retailprice")
+    equal = Window.partitionBy("p_type", "p_retailprice")
+    place = F.col("upper_rank") - F.count("*").over(equal) + F.row_number().over(equal.orderBy("p_partkey"))
+    return ranked.select("p_type", "p_partkey", place.alias("place"))
+
+
+_WIDE = "SELECT view_id, south - 4e-2 AS south, north + 4e-2 AS north, west - 4e-2 AS west, east + 4e-2 AS east FROM views_v"
+
+
+@query("src_1_places_by_position", "SELECT v.view_id, m.id FROM merchants_v m JOIN wide v ON m.lat BETWEEN v.south AND v.north AND m.lon BETWEEN v.west AND v.east", {"wide": _WIDE})
+def _(t: Tables) -> DataFrame:
+    """Merchants in overlapping boxes; no view id is given."""
+    wide = t.views.select("view_id", *[(F.col(c) + F.lit(d)).alias(c) for c, d in (("south", -0.04), ("north", 0.04), ("west", -0.04), ("east", 0.04))])
+    return predicates.place_in_views(t.merchants.drop("view_id"), wide).select("view_id", "id")

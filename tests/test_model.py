@@ -7,11 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from curbcast.functions import geo
-from curbcast.operators import coverage, dispatch, kernel, learned, nearby, stats
+from curbcast.operators import asof, coverage, dispatch, kernel, learned, nearby, predicates, stats
 from curbcast.operators.blocks import block_join
 from curbcast.operators.hours import open_at
 from curbcast.operators.score import score_points
 from curbcast.operators.grid import grid_nodes
+from curbcast.sources import places as place_sources
 from curbcast.streaming import folds
 
 MERCHANTS = [(34.1060, -117.5930, "restaurant", "sushi", "Sushi Place"), (34.1070, -117.5920, "fast_food", "burger", "Burger Joint"),
@@ -192,13 +193,6 @@ def test_training_matches_plain_loop(spark):
     assert [got["intercept"], got["a"], got["b"]] == pytest.approx(w, rel=1e-9) and loss > 0
 
 
-def test_learned_beats_legacy_on_synthetic_rows(spark):
-    df = learned.synthetic_predictions(spark.range(600).withColumnRenamed("id", "row_ix"), 42).cache()
-    ece = {m: learned.calibration_error(df, f"{m}_p_good").first()["ece"] for m in ("legacy", "learned")}
-    brier = {m: learned.brier_score(df, f"{m}_p_good").first()["brier"] for m in ("legacy", "learned")}
-    assert ece["learned"] < ece["legacy"] and brier["learned"] < brier["legacy"]
-
-
 def test_heading_examples(spark):
     one = spark.range(1)
 
@@ -234,3 +228,54 @@ def test_nearest_parking_across_cells(spark):
         if c[0][0] <= 480:
             want[n] = c[0][2]
     assert got == want
+
+
+def test_pairs_across_the_meridian_and_with_mixed_radii(spark):
+    rnd = random.Random(12)
+    a = [(1, f"a{i}", rnd.uniform(-66, 66), rnd.choice([179.99, -179.99]) + rnd.uniform(-0.0099, 0.0099)) for i in range(80)]
+    p = [(1, f"p{i}", x[2] + rnd.uniform(-0.002, 0.002), (x[3] + rnd.uniform(-0.012, 0.012) + 180) % 360 - 180, rnd.choice([5.0, 300.0, 900.0])) for i, x in enumerate(a)]
+    anchors = spark.createDataFrame(a, "view_id int, point_id string, lat double, lon double")
+    places = spark.createDataFrame(p, "view_id int, id string, lat double, lon double, r double")
+    want = {(x[1], y[1]) for x in a for y in p if dist(x[2], x[3], y[2], y[3]) <= y[4] + 0.5}
+    got = [(r["point_id"], r["id"]) for r in nearby.cell_pairs(anchors, places, radius_col="r").collect()]
+    assert set(got) == want and len(got) == len(want) and any(abs(x[3] - y[3]) > 300 for x in a for y in p if (x[1], y[1]) in want)
+    want = {(x[1], y[1]) for x in a for y in p if dist(x[2], x[3], y[2], y[3]) <= 900.5}
+    assert {(r["point_id"], r["id"]) for r in nearby.cell_pairs(anchors, places, 900.0).collect()} == want
+
+
+def test_places_in_boxes_by_position(spark):
+    rnd = random.Random(13)
+    p = [(f"p{i}", rnd.uniform(-80, 80), rnd.uniform(-180, 180)) for i in range(300)] + [("n", None, 1.0), ("c", 0.0, 0.0), ("m", 10.0, 180.0)]
+    v = []
+    for i in range(40):
+        h, s, w = 10 ** rnd.uniform(-2, 1.8), rnd.uniform(-80, 60), rnd.uniform(-180, 180)
+        v.append((i, s, w, s + h, (w + h + 180) % 360 - 180))
+    v += [(100, 0.0, 0.0, 0.0, 0.0), (101, -90.0, -180.0, 90.0, 180.0), (102, -1.0, 170.0, 20.0, -170.0)]
+    def inside(b, y, x):
+        return y is not None and b[1] <= y <= b[3] and (b[2] <= x <= b[4] if b[2] <= b[4] else x >= b[2] or x <= b[4])
+    got = [(r["view_id"], r["id"]) for r in predicates.place_in_views(spark.createDataFrame(p, "id string, lat double, lon double"),
+                                                                   spark.createDataFrame(v, "view_id int, south double, west double, north double, east double")).collect()]
+    want = {(b[0], q[0]) for b in v for q in p if inside(b, q[1], q[2])}
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_box_and_kind_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([("a", 1.0, 2.0, "cafe")], "id string, lat double, lon double, amenity string").write.parquet(str(tmp_path / "p"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", 4000)
+    df = place_sources.scan_places(spark.read.parquet(str(tmp_path / "p")), place_sources.is_merchant(), 0.0, 0.0, 5.0, 5.0)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters"):]
+    assert "GreaterThanOrEqual(lat,0.0)" in pushed and "LessThanOrEqual(lon,5.0)" in pushed and "In(amenity" in pushed and df.count() == 1
+
+
+def test_asof_keeps_null_keys_and_orders_ties(spark):
+    rows = [(None, 1.0, 1, 5), (1, 2.0, 2, None), (1, None, 3, 7), (1, 3.0, 4, 8), (None, 2.0, 5, None)]
+    df = spark.createDataFrame(rows, "k int, t double, id int, v int").withColumn("ts", F.col("t").cast("timestamp"))
+    assert {r["id"]: r["c"] for r in asof.carry_forward(df, "k", "ts", "id", "v", "c").collect()}[5] == 5
+    prev = {r["id"]: r["prev_v"] for r in asof.previous_row(df, "k", "ts", "id", ["v"]).collect()}
+    assert len(prev) == 5 and prev[5] == 5 and prev[1] is None
+    right = spark.createDataFrame([(1, 1.0, n) for n in (3, 9, 4)], "k int, t double, x int").withColumn("ts", F.col("t").cast("timestamp"))
+    assert asof.asof_latest(df.where("id = 2").drop("t"), right, "k", "ts", ["x"], 10.0).first()["x"] == 9
+    ranks = {(r["k"], r["v"]): (r["upper_rank"], r["group_rows"]) for r in stats.upper_rank(df, ["k"], "v").collect()}
+    assert ranks == {(None, 5): (1, 1), (None, None): (None, 1), (1, None): (None, 2), (1, 7): (1, 2), (1, 8): (2, 2)}
