@@ -19,33 +19,43 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class FoldProcessor(StatefulProcessor):
     """Runs one step per key over its rows in event-time order.
 
-    Rows of a micro-batch are handled chunk by chunk; state is one small row
-    with an optional time to live.
+    All rows of a key in a micro-batch are sorted together, however Arrow cuts
+    them; the source's rate limit bounds them.  State is one small row.  It
+    ends ``expire_ms`` of event time after the key's newest row, or with a
+    processing-time lifetime ``ttl_ms``.
     """
 
-    def __init__(self, key: str, order: Sequence[str], inputs: Sequence[str], out_names: Sequence[str],
-                 state_ddl: str, step_factory: Callable[[], Step], ttl_ms: int | None = None):
-        self.key, self.order, self.inputs = key, list(order), list(inputs)
-        self.out_names, self.state_ddl, self.step_factory, self.ttl_ms = list(out_names), state_ddl, step_factory, ttl_ms
+    def __init__(self, key: str, order: Sequence[str], inputs: Sequence[str], out_names: Sequence[str], state_ddl: str,
+                 step_factory: Callable[[], Step], ts: str = "ts", ttl_ms: int | None = None, expire_ms: int | None = None):
+        self.key, self.order, self.inputs, self.ts = key, list(order), list(inputs), ts
+        self.out_names, self.state_ddl, self.step_factory, self.ttl_ms, self.expire_ms = list(out_names), state_ddl, step_factory, ttl_ms, expire_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.step = self.step_factory()
+        self.step, self.handle = self.step_factory(), handle
         self.state = handle.getValueState("fold", self.state_ddl, self.ttl_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         state = tuple(self.state.get()) if self.state.exists() else None
-        for pdf in rows:
-            pdf = pdf.sort_values(self.order, kind="stable")
-            outs = []
-            for row in pdf[self.inputs].itertuples(index=False, name=None):
-                state, out = self.step(state, row)
-                outs.append(out)
-            extra = pd.DataFrame(outs, columns=self.out_names, index=pdf.index, dtype=object)
-            yield pd.concat([pdf, extra], axis=1)
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
+        outs = []
+        for row in pdf[self.inputs].itertuples(index=False, name=None):
+            state, out = self.step(state, row)
+            outs.append(out)
+        yield pd.concat([pdf, pd.DataFrame(outs, columns=self.out_names, index=pdf.index, dtype=object)], axis=1)
         if state is None:
             self.state.clear()
         else:
             self.state.update(state)
+        if self.expire_ms is not None:
+            ends = int(pdf[self.ts].max().timestamp() * 1000) + self.expire_ms
+            for timer in list(self.handle.listTimers()):
+                ends = max(ends, timer)
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(ends)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
@@ -53,15 +63,24 @@ class FoldProcessor(StatefulProcessor):
 
 def fold_stream(df: DataFrame, key: str, order: Sequence[str], inputs: Sequence[str], outputs: str, state_ddl: str,
                 step_factory: Callable[[], Step], watermark: str | None = "10 minutes", ts: str = "ts",
-                ttl_ms: int | None = None) -> DataFrame:
-    """Streaming form of ``fold_sorted``.  Rows older than the watermark are
-    dropped; state needs the RocksDB provider."""
+                ttl_ms: int | None = None, expire_ms: int | None = None) -> DataFrame:
+    """Streaming form of ``fold_sorted``; state needs the RocksDB provider.
+
+    With a watermark, rows older than it are dropped and ``expire_ms`` may end
+    quiet keys.  ``ttl_ms`` is a lifetime in processing time, which event time
+    excludes: with it there is no watermark.
+    """
+    if ttl_ms is not None and expire_ms is not None:
+        raise ValueError("state ends either by event time or by a lifetime")
+    if expire_ms is not None and watermark is None:
+        raise ValueError("expiry by event time needs a watermark")
     out = _parse_datatype_string(outputs)
     schema = StructType([*df.schema.fields, *[StructField(f.name, f.dataType, True) for f in out.fields]])
-    src = df.withWatermark(ts, watermark) if watermark else df
+    late = watermark is not None and ttl_ms is None
+    src = df.withWatermark(ts, watermark) if late else df
     return src.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=FoldProcessor(key, order, inputs, [f.name for f in out.fields], state_ddl, step_factory, ttl_ms),
-        outputStructType=schema, outputMode="Append", timeMode="None")
+        statefulProcessor=FoldProcessor(key, order, inputs, [f.name for f in out.fields], state_ddl, step_factory, ts, ttl_ms, expire_ms),
+        outputStructType=schema, outputMode="Append", timeMode="EventTime" if late else "ProcessingTime" if ttl_ms is not None else "None")
 
 
 def history_stream(events: DataFrame) -> DataFrame:
