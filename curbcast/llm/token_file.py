@@ -14,8 +14,10 @@ all, ordered by text; null ids come first.
 """
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import Batches, Frames, crc32, pick, small_batches
 
 BLOCK_IDS = 1 << 20          # ids of a block, unless one document has more
-CACHE_UNITS = 300_000        # remembered units of a worker; a full memory starts anew
+CACHE_UNITS = 1_200_000       # remembered units of a worker; a full memory starts anew
 SAMPLE = 64                  # documents between two sampled positions of the high bits
 
 
@@ -112,6 +114,9 @@ def _tokenizer(path: str):
 
 
 _BEYOND_LATIN = re.compile("[^\x00-ɏ]")
+# Letters and then punctuation: always two pre-tokens, as long as no apostrophe is near
+# and no letter ends in a mark when lower-cased, as only U+0130 does.
+_WORD_THEN_MARKS = re.compile(r"([^\W\d_İ]+)([!-&(-/:-@\[-`{-~]+)\Z")
 
 
 class UnitEncoder:
@@ -125,6 +130,27 @@ class UnitEncoder:
 
     def __init__(self, path: str):
         self.tokenizer, self.known = _tokenizer(path), {"": b""}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        suffix = model.get("end_of_word_suffix")
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)       # ids that end a word
+        self.ends[[i for token, i in model["vocab"].items() if suffix and token.endswith(suffix)]] = True
+
+    def _encode_words(self, words: list[str]) -> None:
+        """Words of letters alone, many in one text; their ids part where a word ends."""
+        for i in range(0, len(words), 2000):
+            part = words[i:i + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[np.minimum(ids, self.ends.size - 1)]) + 1
+            if cuts.size == len(part):
+                raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+                self.known.update(zip(part, (raw[a:b] for a, b in zip([0, *cuts], cuts))))
+            else:                      # lower-casing has put marks between letters
+                self._encode_each(part)
+
+    def _encode_each(self, units: list[str]) -> None:
+        for unit, e in zip(units, self.tokenizer.encode_batch_fast(units, add_special_tokens=False)):
+            self.known[unit] = array("I", e.ids).tobytes()
 
     def units(self, text: str | None) -> list[str]:
         if not text:
@@ -140,10 +166,19 @@ class UnitEncoder:
         if len(self.known) + len(new) > CACHE_UNITS:
             self.known = {"": b""}
             new = list(set().union(*rows).difference(self.known))
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            for unit, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[unit] = np.array(e.ids, "<u4").tobytes()
+        pairs, whole = [], set()
+        for unit in new:
+            if m := _WORD_THEN_MARKS.match(unit):
+                pairs.append((unit, m[1], m[2]))
+                whole.update(m.groups())
+            else:
+                whole.add(unit)
+        whole.difference_update(self.known)
+        words = [u for u in whole if u.isalpha()]
+        self._encode_words(words)
+        self._encode_each(list(whole.difference(words)))
+        for unit, word, marks in pairs:
+            self.known[unit] = self.known[word] + self.known[marks]
         get = self.known.__getitem__
         return [b"".join(map(get, r)) for r in rows]
 
@@ -212,4 +247,5 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                 yield pd.DataFrame(out)
 
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<bigint>" if with_ids else "")
-    return blocks.join(bases, "part").mapInPandas(documents, schema)
+    # As many rows as the write had tasks, which the session's settings bound.
+    return blocks.join(F.broadcast(bases), "part").mapInPandas(documents, schema)
