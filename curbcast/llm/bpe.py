@@ -30,8 +30,9 @@ from ..checkpoints import stage
 from .common import map_texts, pick
 
 LEXICON_UNITS = 60_000      # most frequent units compiled into the automaton
-CACHE_UNITS = 300_000       # remembered units of a worker; a full memory starts anew
+CACHE_UNITS = 600_000       # remembered units of a worker; a full memory starts anew
 _NO_MERGE = 1 << 30
+LONGEST_GRID = 200          # bytes of a pre-token merged in a grid
 LONGEST_UNIT = 64           # bytes of a lexicon unit
 
 # Fixed pattern of the vocabulary's pre-tokeniser.
@@ -73,29 +74,79 @@ class Vocabulary:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[ids[a], ids[b]] = rank
             self.merged.append(ids[a + b])
-        self.known: dict[str, list[int]] = {}
+        self._arrays()
         self.text_of = [str(i) for i in range(len(self.bytes_of))]
 
-    def merge(self, raw: bytes) -> list[int]:
-        """Exact BPE of one pre-token: the lowest-ranked, leftmost pair first."""
-        ids = [self.first[b] for b in raw]
-        get = self.merges.get
-        if len(ids) > 200:
-            return self._merge_long(ids)
-        if len(ids) < 2:
-            return ids
-        found = [get(p, _NO_MERGE) for p in zip(ids, ids[1:])]
-        while (rank := min(found)) < _NO_MERGE:
-            at = found.index(rank)
-            ids[at] = self.merged[rank]
-            del ids[at + 1], found[at]
-            if not found:
-                break
-            if at:
-                found[at - 1] = get((ids[at - 1], ids[at]), _NO_MERGE)
-            if at < len(found):
-                found[at] = get((ids[at], ids[at + 1]), _NO_MERGE)
-        return ids
+    def _arrays(self) -> None:
+        """Merge ranks by pair for numpy: of two bytes directly, of two ids by binary search."""
+        pairs = np.array(list(self.merges), np.int64).reshape(-1, 2)
+        keys, ranks = pairs[:, 0] << 32 | pairs[:, 1], np.array(list(self.merges.values()), np.int32)
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = keys[order], ranks[order]
+        self.first_ids, self.merged_ids = np.array(self.first, np.int32), np.array(self.merged, np.int32)
+        both = np.array(self.first, np.int64)
+        self.byte_ranks = self.ranks(np.repeat(both, 256), np.tile(both, 256)).reshape(256, 256)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << 32 | right.astype(np.int64)
+        at = np.minimum(np.searchsorted(self.pair_keys, key), max(0, self.pair_keys.size - 1))
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], _NO_MERGE).astype(np.int32) if self.pair_keys.size else np.full(key.size, _NO_MERGE, np.int32)
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """Exact BPE of many pre-tokens together: ids of each as packed 32-bit integers.
+
+        In every round each word merges its lowest-ranked, leftmost pair; words
+        of like length share a grid.  Very long ones are merged one by one.
+        """
+        out: list[bytes] = [b""] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        for at in range(0, len(order), 2048):
+            part = order[at:at + 2048]
+            while part and len(words[part[-1]]) > LONGEST_GRID:
+                i = part.pop()
+                out[i] = np.array(self._merge_long([self.first[b] for b in words[i]]), np.int32).tobytes()
+            if part:
+                for i, raw in zip(part, self._merge_grid([words[i] for i in part])):
+                    out[i] = raw
+        return out
+
+    def _merge_grid(self, words: list[bytes]) -> list[bytes]:
+        n, width = len(words), max(1, len(words[-1]))
+        size = np.array([len(w) for w in words])
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
+        inside = np.arange(width) < size[:, None]
+        ids = np.where(inside, self.first_ids[raw], -1)
+        # One more column, so that a shift always has something to read.
+        ids = np.concatenate((ids, np.full((n, 1), -1, ids.dtype)), 1)
+        rank = np.full((n, width + 1), _NO_MERGE, np.int32)
+        if width > 1:
+            rank[:, :width - 1] = np.where(inside[:, 1:], self.byte_ranks[raw[:, :-1], raw[:, 1:]], _NO_MERGE)
+        live, columns, done = np.arange(n), np.arange(width + 1), [b""] * n
+        while live.size:
+            at = rank.argmin(1)
+            row = np.arange(live.size)
+            low = rank[row, at]
+            ready = low == _NO_MERGE
+            if ready.any():
+                for i, r, k in zip(live[ready].tolist(), ids[ready].astype(np.int32), size[live[ready]].tolist()):
+                    done[i] = r[:k].tobytes()
+                keep = ~ready
+                live, ids, rank, at, low = live[keep], ids[keep], rank[keep], at[keep], low[keep]
+                row = np.arange(live.size)
+                if not live.size:
+                    break
+            # The merged pair becomes its first place; what follows moves up by one.
+            place = np.minimum(columns + (columns > at[:, None]), width)
+            ids = np.take_along_axis(ids, place, 1)
+            ids[row, at] = self.merged_ids[low]
+            rank = np.take_along_axis(rank, np.minimum(columns + (columns >= at[:, None]), width), 1)
+            size[live] -= 1
+            for left in (at - 1, at):
+                ok = (left >= 0) & (left + 1 < size[live])
+                rank[row[ok], left[ok]] = self.ranks(ids[row[ok], left[ok]], ids[row[ok], left[ok] + 1])
+                end = (left >= 0) & ~ok
+                rank[row[end], left[end]] = _NO_MERGE
+        return done
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same over a linked list and a heap, for runs of any length."""
@@ -119,17 +170,11 @@ class Vocabulary:
                 heapq.heappush(heap, (f, before[i], ids[before[i]], new))
         return [x for x in ids if x >= 0]
 
-    def encode_unit(self, unit: str) -> list[int]:
-        ids: list[int] = []
-        for word in _LATIN.findall(unit) if not _BEYOND.search(unit) else _ANY.findall(unit):
-            known = self.known.get(word)
-            if known is None:
-                known = self.merge(word.encode("utf-8", "replace"))
-                if len(self.known) >= CACHE_UNITS:
-                    self.known.clear()
-                self.known[word] = known
-            ids += known
-        return ids
+
+
+def words_of(unit: str) -> list[str]:
+    """The pre-tokens of a unit."""
+    return _LATIN.findall(unit) if not _BEYOND.search(unit) else _ANY.findall(unit)
 
 
 def units(text: str) -> list[str]:
@@ -251,49 +296,59 @@ class Lexicon:
 
 
 class Codec:
-    """Texts to ids and back, for one worker."""
+    """Texts to ids and back, for one worker.  Ids of a unit are kept as packed 32-bit integers."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
-        self.vocabulary, self.lexicon, self.known = vocabulary, lexicon, {"": []}
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
+        self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.known: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
         marks = sorted(map(re.escape, vocabulary.special), key=len, reverse=True)
         self.marks = re.compile("(" + "|".join(marks) + ")") if marks else None
 
-    def _learn(self, new: list[str]) -> None:
-        if len(self.known) + len(new) > CACHE_UNITS:
-            self.known = {"": []}
-        found = self.lexicon.look_up([u.encode("utf-8", "replace") for u in new]) if self.lexicon else [-1] * len(new)
-        for unit, at in zip(new, found):
-            if at >= 0:
-                self.known[unit] = self.lexicon.ids[self.lexicon.offsets[at]:self.lexicon.offsets[at + 1]].tolist()
-            else:
-                self.known[unit] = self.vocabulary.encode_unit(unit)
+    def merge_units(self, wanted: list[str]) -> list[bytes]:
+        """Ids of units by exact merging."""
+        cut = [words_of(u) for u in wanted]
+        new = list({w for words in cut for w in words}.difference(self.words))
+        if len(self.words) + len(new) > CACHE_UNITS:
+            self.words = {}
+            new = list({w for words in cut for w in words})
+        self.words.update(zip(new, self.vocabulary.merge_many([w.encode("utf-8", "replace") for w in new])))
+        return [b"".join(map(self.words.__getitem__, words)) for words in cut]
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def _learn(self, new: list[str]) -> None:
+        rest = new
+        if self.lexicon:
+            found = self.lexicon.look_up([u.encode("utf-8", "replace") for u in new]).tolist()
+            ids, offsets = self.lexicon.ids, self.lexicon.offsets
+            self.known.update((u, ids[offsets[at]:offsets[at + 1]].tobytes()) for u, at in zip(new, found) if at >= 0)
+            rest = [u for u, at in zip(new, found) if at < 0]
+        self.known.update(zip(rest, self.merge_units(rest)))
+
+    def encode_packed(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as packed 32-bit integers."""
         rows, out = [], []
         for text in texts:
             special = self.marks and text and any(m in text for m in self.vocabulary.special)
-            rows.append([units(s) if i % 2 == 0 else self.vocabulary.special[s] for i, s in enumerate(self.marks.split(text))] if special else [units(text or "")])
-        wanted = set()
+            rows.append([units(s) if i % 2 == 0 else np.array([self.vocabulary.special[s]], np.int32).tobytes() for i, s in enumerate(self.marks.split(text))]
+                        if special else [units(text or "")])
+        wanted: set[str] = set()
         for row in rows:
             for part in row:
-                if not isinstance(part, int):
+                if not isinstance(part, bytes):
                     wanted.update(part)
         new = list(wanted.difference(self.known))
         if len(self.known) + len(new) > CACHE_UNITS:
-            self.known, new = {"": []}, list(wanted)
+            self.known, new = {"": b""}, list(wanted)
         if new:
             self._learn(new)
+        get = self.known.__getitem__
         for row in rows:
-            ids: list[int] = []
-            for part in row:
-                if isinstance(part, int):
-                    ids.append(part)
-                else:
-                    for unit in map(self.known.__getitem__, part):
-                        ids += unit
-            out.append(ids)
+            out.append(b"".join(part if isinstance(part, bytes) else b"".join(map(get, part)) for part in row))
         return out
 
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        return [np.frombuffer(raw, np.int32).tolist() for raw in self.encode_packed(texts)]
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -333,7 +388,7 @@ def build_lexicon(docs: DataFrame, vocabulary: str, most: int = LEXICON_UNITS, t
     words = sorted(" " + r.unit for r in frequent_units(docs, most, text_col).collect())
     vocab = _vocabulary(vocabulary)
     kept = [w for w in words if len(w.encode("utf-8", "replace")) <= LONGEST_UNIT and not w[1].isspace()]
-    arrays = compile_lexicon([w.encode("utf-8", "replace") for w in kept], [vocab.encode_unit(w) for w in kept])
+    arrays = compile_lexicon([w.encode("utf-8", "replace") for w in kept], [np.frombuffer(raw, np.int32).tolist() for raw in Codec(vocab).merge_units(kept)])
     path = os.path.join(tempfile.mkdtemp(), f"lexicon-{uuid.uuid4().hex}.bin")
     save_lexicon(arrays, path)
     spark.sparkContext.addFile(path)
