@@ -138,9 +138,9 @@ class UnitEncoder:
 
     def _encode_words(self, words: list[str]) -> None:
         """Words of letters alone, many in one text; their ids part where a word ends."""
-        for i in range(0, len(words), 2000):
-            part = words[i:i + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        parts = [words[i:i + 200] for i in range(0, len(words), 200)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
             cuts = np.flatnonzero(self.ends[np.minimum(ids, self.ends.size - 1)]) + 1
             if cuts.size == len(part):
                 raw, cuts = ids.tobytes(), (4 * cuts).tolist()
@@ -162,10 +162,10 @@ class UnitEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         rows = [self.units(t) for t in texts]
-        new = list(set().union(*rows).difference(self.known)) if rows else []
+        wanted = set().union(*rows)
+        new = wanted.difference(self.known)
         if len(self.known) + len(new) > CACHE_UNITS:
-            self.known = {"": b""}
-            new = list(set().union(*rows).difference(self.known))
+            self.known, new = {"": b""}, wanted.difference([""])
         pairs, whole = [], set()
         for unit in new:
             if m := _WORD_THEN_MARKS.match(unit):
