@@ -144,10 +144,11 @@ def _compared(units: DataFrame, window: int) -> DataFrame:
 def covered_ranges(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(key, ranges): repeated byte ranges of every text that has some; ``texts`` has key, id and text."""
     found = stage(_anchored(texts.select("key", "text").where("text is not null"), window, gram), "anchors")
-    again = found.groupBy("gram").agg(F.count("*").alias("met")).where("met > 1").select("gram")
+    # Written tables, so that a join can split a gram that very many rows hold.
+    again = stage(found.groupBy("gram").agg(F.count("*").alias("met")).where("met > 1").select("gram"), "grams")
     found = stage(found.join(again, "gram"), "repeated")
     kinds = stage(found.groupBy("gram", "segment").agg(F.count("*").alias("met"), F.min(F.struct("key", "place", "first", "last")).alias("one")), "kinds")
-    mixed = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
+    mixed = stage(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram"), "mixed")
     # One row of each different segment, with its bytes from one row of the text.
     ones = kinds.join(mixed, "gram").select(F.col("one.key").alias("key"), F.struct("gram", "segment", "one.place", "one.first", "one.last").alias("place"))
     ones = ones.groupBy("key").agg(F.collect_list("place").alias("places"))
