@@ -105,24 +105,23 @@ def local_clock(instant, tz=None) -> tuple[Column, Column]:
     return F.weekday(t), F.hour(t) * 60 + F.minute(t)
 
 
-def open_at(places: DataFrame, instants: DataFrame, text: str = "opening_hours",
-            keys: tuple[str, ...] = ("view_id", "id")) -> DataFrame:
+def open_at(places: DataFrame, instants: DataFrame, text: str = "opening_hours") -> DataFrame:
     """``places`` x the instants of their view, with ``is_open``.
 
-    ``instants``: view_id, osm_day, minute.  The interval table meets the
-    instants on (view, day) with the minute range as residual; the verdict is
-    one aggregate and joins back by left join, so places without a concerned
-    rule stay and are open.
+    ``instants``: view_id, osm_day, minute.  The verdict is made once for each
+    (text, day, minute), from the intervals of the distinct texts, and joins
+    back by left join, so places without a concerned rule stay and are open.
     """
     inst = instants.select("view_id", F.col("osm_day").cast("int").alias("osm_day"), F.col("minute").cast("int").alias("minute"))
-    iv = hour_intervals(hour_rules(places, text, keys), keys)
-    hits = iv.join(inst, ["view_id", "osm_day"])
-    verdict = hits.groupBy(*keys, "osm_day", "minute").agg(
+    texts = places.select(F.trim(F.col(text)).alias("_text_key")).where("_text_key is not null").distinct()
+    iv = hour_intervals(hour_rules(texts.withColumn("_hours", F.col("_text_key")), "_hours", ("_text_key",)), ("_text_key",))
+    hits = iv.join(inst.select("osm_day", "minute").distinct(), "osm_day")
+    verdict = hits.groupBy("_text_key", "osm_day", "minute").agg(
         F.max((F.col("minute") >= F.col("start_min")) & (F.col("minute") < F.col("end_min"))).alias("_covers"))
-    asked = places.join(inst, "view_id")
-    joined = asked.join(verdict.withColumn("_relevant", F.lit(True)), [*keys, "osm_day", "minute"], "left")
+    asked = places.withColumn("_text_key", F.trim(F.col(text))).join(inst, "view_id")
+    joined = asked.join(verdict.withColumn("_relevant", F.lit(True)), ["_text_key", "osm_day", "minute"], "left")
     return joined.withColumn("is_open", F.when(F.col("_relevant").isNull(), F.lit(True)).otherwise(
-        F.coalesce("_covers", F.lit(False)))).drop("_relevant", "_covers")
+        F.coalesce("_covers", F.lit(False)))).drop("_relevant", "_covers", "_text_key")
 
 
 def filter_open(places: DataFrame, instants: DataFrame, text: str = "opening_hours") -> DataFrame:

@@ -15,9 +15,6 @@ from ..functions.text import (distance_delta_text, distance_text, duration_delta
                               points_delta_text, range_text)
 from .places import signal_label
 
-STEP_TYPE = ("ARRAY<STRUCT<name: STRING, distance: DOUBLE, driving_side: STRING, coordinates: ARRAY<ARRAY<DOUBLE>>, "
-             "maneuver: STRUCT<type: STRING, modifier: STRING, instruction: STRING, exit: INT, bearing_before: DOUBLE, "
-             "bearing_after: DOUBLE>, intersections: ARRAY<STRUCT<lanes: ARRAY<STRING>, entry: ARRAY<BOOLEAN>>>>>")
 ARRIVAL_ENTER_M, ARRIVAL_EXIT_M = 260.0, 420.0
 REROUTE_SECONDS, REROUTE_METERS = 18.0, 60.0
 

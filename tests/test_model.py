@@ -1,5 +1,6 @@
 """Invariants and fixed examples of the scorer, hours, learned model and folds."""
 import itertools
+import json
 import math
 import random
 
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 from curbcast.functions import geo
 from curbcast.operators import asof, coverage, dispatch, kernel, learned, nearby, predicates, stats
 from curbcast.operators.blocks import block_join
-from curbcast.operators.hours import open_at
+from curbcast.operators.hours import local_clock, open_at
 from curbcast.operators.score import score_points
 from curbcast.operators.grid import grid_nodes
-from curbcast.sources import places as place_sources
+from curbcast.sources import places as place_sources, sinks
 from curbcast.streaming import folds
 
 MERCHANTS = [(34.1060, -117.5930, "restaurant", "sushi", "Sushi Place"), (34.1070, -117.5920, "fast_food", "burger", "Burger Joint"),
@@ -279,3 +280,27 @@ def test_asof_keeps_null_keys_and_orders_ties(spark):
     assert asof.asof_latest(df.where("id = 2").drop("t"), right, "k", "ts", ["x"], 10.0).first()["x"] == 9
     ranks = {(r["k"], r["v"]): (r["upper_rank"], r["group_rows"]) for r in stats.upper_rank(df, ["k"], "v").collect()}
     assert ranks == {(None, 5): (1, 1), (None, None): (None, 1), (1, None): (None, 2), (1, 7): (1, 2), (1, 8): (2, 2)}
+
+
+def test_feature_files_are_read_back(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.5, 2.5, 0.25), ("b", -3.0, 4.0, 0.5)], "id string, lat double, lon double, p_good double")
+    for name, features, key in (("heat", sinks.heat_features(df), "intensity"), ("places", sinks.place_features(df), "id"),
+                                ("circles", df.select(sinks.circle_feature("lat", "lon", F.lit(20.0)).alias("value")), "accuracyMeters")):
+        sinks.write_features(features, str(tmp_path / name))
+        got = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / name)).collect()]
+        assert len(got) == 2 and all(g["type"] == "Feature" and key in g["properties"] for g in got)
+        if name == "circles":
+            assert all(len(g["geometry"]["coordinates"][0]) == 49 for g in got)
+        else:
+            assert sorted(g["geometry"]["coordinates"] for g in got) == [[2.5, 1.5], [4.0, -3.0]]
+
+
+def test_local_clock_of_an_instant_and_a_zone(spark):
+    from datetime import datetime
+    from zoneinfo import ZoneInfo
+    rows = [("2024-03-10 09:59:00", "America/Los_Angeles"), ("2024-03-10 10:01:00", "America/Los_Angeles"), ("2024-12-31 23:30:00", "Asia/Kolkata"), ("2024-01-01 00:10:00", "UTC")]
+    day, minute = local_clock("t", "z")
+    got = spark.createDataFrame(rows, "s string, z string").withColumn("t", F.col("s").cast("timestamp")).select("s", "z", day.alias("d"), minute.alias("m")).collect()
+    for r in got:
+        local = datetime.fromisoformat(r["s"]).replace(tzinfo=ZoneInfo("UTC")).astimezone(ZoneInfo(r["z"]))
+        assert (r["d"], r["m"]) == (local.weekday(), local.hour * 60 + local.minute)
