@@ -28,7 +28,7 @@ def _all_places(t: Tables) -> DataFrame:
     m = t.merchants.select("view_id", "id", "lat", "lon", _tags(amenity=c("amenity"), cuisine=c("cuisine"), name=c("name"), opening_hours=c("opening_hours")).alias("tags"))
     p = t.parking.select("view_id", "id", "lat", "lon", F.when(c("ingest_ix") % 3 == 0, _tags(parking=F.lit("surface"), amenity=F.when(c("ingest_ix") % 2 == 0, "parking")))
                          .otherwise(_tags(amenity=F.lit("parking"))).alias("tags"))
-    h = t.residential.select("view_id", "id", "lat", "lon", _tags(building=c("building"), landuse=c("landuse"), dgm_weight=c("place_weight")).alias("tags"))
+    h = t.residential.select("view_id", "id", "lat", "lon", _tags(building=c("building"), landuse=c("landuse"), anchor_weight=c("place_weight")).alias("tags"))
     return m.unionByName(p).unionByName(h)
 
 
@@ -75,7 +75,7 @@ def _(t: Tables) -> DataFrame:
 
 def _census_docs(t: Tables) -> DataFrame:
     c = F.col
-    anchor = F.struct(F.concat(F.lit("census-tract/"), c("ingest_ix").cast("string")).alias("id"), c("lat"), c("lon"), _tags(source=F.lit("census"), dgm_weight=c("place_weight")).alias("tags"))
+    anchor = F.struct(F.concat(F.lit("census-tract/"), c("ingest_ix").cast("string")).alias("id"), c("lat"), c("lon"), _tags(source=F.lit("census"), anchor_weight=c("place_weight")).alias("tags"))
     v = t.views.select("view_id", *[F.col(x).alias(f"v_{x}") for x in ("south", "west", "north", "east")])
     declared = F.when(c("view_id") % 2 == 0, F.struct((c("v_south") + 0.02).alias("south"), c("v_west").alias("west"), c("v_north").alias("north"), c("v_east").alias("east")))
     return t.residential.join(v, "view_id").select("view_id", F.to_json(F.struct(F.struct(F.lit("demo tracts").alias("dataset")).alias("source"), declared.alias("bounds"), F.array(anchor).alias("anchors"))).alias("payload"))
@@ -85,7 +85,7 @@ def _census_docs(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     a = src.census_anchors(_census_docs(t), carry=("view_id",))
     got = src.census_in_views(a, t.clamped_views, src.dataset_bounds(a, ("view_id",)))
-    return got.select("view_id", "id", F.col("tags")["dgm_weight"].alias("weight"))
+    return got.select("view_id", "id", F.col("tags")["anchor_weight"].alias("weight"))
 
 
 _BOUNDS = f"SELECT h.view_id, {rc('CASE WHEN h.view_id % 2 = 0 THEN min(v.south) + 2e-2 ELSE min(h.lat) END', 'south')}, {rc('CASE WHEN h.view_id % 2 = 0 THEN min(v.west) ELSE min(h.lon) END', 'west')}, {rc('CASE WHEN h.view_id % 2 = 0 THEN max(v.north) ELSE max(h.lat) END', 'north')}, {rc('CASE WHEN h.view_id % 2 = 0 THEN max(v.east) ELSE max(h.lon) END', 'east')} FROM residential_v h JOIN views_v v ON v.view_id = h.view_id GROUP BY h.view_id"

@@ -14,7 +14,7 @@ CENSUS_TYPE = ("STRUCT<generatedAt: STRING, source: STRUCT<dataset: STRING>, "
                "anchors: ARRAY<STRUCT<id: STRING, lat: DOUBLE, lon: DOUBLE, tags: MAP<STRING, STRING>>>>")
 # Tag keys of the input data and the columns they become.
 PROMOTED = {"amenity": "amenity", "cuisine": "cuisine", "name": "name", "brand": "brand", "opening_hours": "opening_hours",
-            "building": "building", "landuse": "landuse", "dgm_weight": "place_weight"}
+            "building": "building", "landuse": "landuse"}
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -40,9 +40,9 @@ def way_or_lon() -> Column:
     return F.col("lon").isNotNull() | F.startswith(F.col("id"), F.lit("way/"))
 
 
-def promote_tags(places: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
-    """Well-known tags as columns."""
-    return places.select("*", *[F.col("tags")[tag].alias(name) for tag, name in (names or PROMOTED).items()])
+def promote_tags(places: DataFrame, names: dict[str, str] | None = None, weight_tag: str = "anchor_weight") -> DataFrame:
+    """Well-known tags as columns; ``weight_tag`` is the input file's key of an anchor's own weight."""
+    return places.select("*", *[F.col("tags")[tag].alias(name) for tag, name in ((names or PROMOTED) | {weight_tag: "place_weight"}).items()])
 
 
 def is_merchant(amenity: Column | str = "amenity") -> Column:
