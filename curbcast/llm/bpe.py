@@ -389,6 +389,7 @@ def build_lexicon(docs: DataFrame, vocabulary: str, most: int = LEXICON_UNITS, t
     vocab = _vocabulary(vocabulary)
     kept = [w for w in words if len(w.encode("utf-8", "replace")) <= LONGEST_UNIT and not w[1].isspace()]
     arrays = compile_lexicon([w.encode("utf-8", "replace") for w in kept], [np.frombuffer(raw, np.int32).tolist() for raw in Codec(vocab).merge_units(kept)])
+    # The driver's own file; Spark's file server brings it to every executor's working folder.
     path = os.path.join(tempfile.mkdtemp(), f"lexicon-{uuid.uuid4().hex}.bin")
     save_lexicon(arrays, path)
     spark.sparkContext.addFile(path)
