@@ -30,7 +30,7 @@ from ..checkpoints import stage
 from .common import map_texts, pick
 
 LEXICON_UNITS = 60_000      # most frequent units compiled into the automaton
-CACHE_UNITS = 600_000       # remembered units of a worker; a full memory starts anew
+CACHE_UNITS = 450_000       # remembered units of a worker; a full memory starts anew
 _NO_MERGE = 1 << 30
 LONGEST_GRID = 200          # bytes of a pre-token merged in a grid
 LONGEST_UNIT = 64           # bytes of a lexicon unit
