@@ -23,6 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -152,20 +153,25 @@ class UnitEncoder:
         for unit, e in zip(units, self.tokenizer.encode_batch_fast(units, add_special_tokens=False)):
             self.known[unit] = array("I", e.ids).tobytes()
 
-    def units(self, text: str | None) -> list[str]:
+    def plain(self, text: str | None) -> str:
+        """The text with single spaces for line ends, lower-cased where that is safe."""
         if not text:
-            return [""]
+            return ""
         if "<|" not in text and not _BEYOND_LATIN.search(text):
             text = text.lower()
-        return text.replace("\n", " ").split(" ")
+        return text.replace("\n", " ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        rows = [self.units(t) for t in texts]
-        wanted = set().union(*rows)
-        new = wanted.difference(self.known)
+        if not texts:
+            return []
+        # Arrow cuts and numbers the units; Python sees each different one once.
+        rows = pc.split_pattern(pa.array([self.plain(t) for t in texts], pa.large_string()), " ")
+        flat = rows.flatten().dictionary_encode()
+        wanted = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = set(wanted).difference(self.known)
         if len(self.known) + len(new) > CACHE_UNITS:
-            self.known, new = {"": b""}, wanted.difference([""])
+            self.known, new = {"": b""}, set(wanted).difference([""])
         pairs, whole = [], set()
         for unit in new:
             if m := _WORD_THEN_MARKS.match(unit):
@@ -179,8 +185,14 @@ class UnitEncoder:
         self._encode_each(list(whole.difference(words)))
         for unit, word, marks in pairs:
             self.known[unit] = self.known[word] + self.known[marks]
-        get = self.known.__getitem__
-        return [b"".join(map(get, r)) for r in rows]
+        raws = list(map(self.known.__getitem__, wanted))
+        ids, size = np.frombuffer(b"".join(raws), "<u4"), np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+        number = flat.indices.to_numpy()
+        times, first = size[number], (np.cumsum(size) - size)[number]
+        ends = np.concatenate(([0], np.cumsum(times)))
+        ids = ids[np.repeat(first - ends[:-1], times) + np.arange(ends[-1])]
+        cuts = ends[rows.offsets.to_numpy() - rows.offsets[0].as_py()]
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -208,7 +220,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
         from pyspark import TaskContext
         part, encoder, end = TaskContext.get().partitionId(), unit_encoder(vocabulary), np.array([end_id], "<u4").tobytes()
         ids, raws, held, block, start = [], [], 0, 0, 0
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 1024):
             for key, raw in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
                 ids.append(key)
                 raws.append(raw + end)
