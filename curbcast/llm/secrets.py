@@ -3,7 +3,9 @@
 Three base patterns are matched leftmost and without overlap, each for itself.
 The method adds values that follow a credential word (``pwd``, ``passphrase``,
 ``client_secret``, ``authorization: bearer`` and others) in a form the base
-patterns miss.  Such a value counts when guessing it would be dear: the least
+patterns miss, and whole values of which a base span holds only a part (base
+spans stay as they are).  A value ends at white space or a closing character,
+and in quotes at the closing quote.  It counts when guessing it would be dear: the least
 cost, over all cuts into known words, dates, repeats, keyboard walks and
 brute-force spans, is found by dynamic programming in log10 guesses.
 
@@ -37,7 +39,9 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CONTEXT_WORDS = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key",
                  "private_key", "credential", "credentials", "authorization", "bearer")
 CONTEXT = re.compile(r"(?<![A-Za-z])(?:" + "|".join(sorted(map(re.escape, CONTEXT_WORDS), key=len, reverse=True)) + r")(?![A-Za-z])"
-                     r"(?:[\"']?[\x20\t]*(?:=>|:=|[:=])[\x20\t]*|[\x20\t]+is[\x20\t]+|[\"']?[\x20\t]*:[\x20\t]*bearer[\x20\t]+)[\"'`]?([^\s\"'`<>,;]{6,})", re.I | re.A)
+                     r"(?:[\"']?[\x20\t]*(?:=>|:=|[:=])[\x20\t]*|[\x20\t]+is[\x20\t]+|[\"']?[\x20\t]*:[\x20\t]*bearer[\x20\t]+)(?:[\"'`](?=[^\s]{6})|[\"'`]?(?=[^\s\"'`<>,;]{6}))", re.I | re.A)
+OPEN_VALUE = re.compile(r"[^\s\"'`<>,;]+")          # a value without quotes, or whose quote is never closed
+QUOTED_VALUE = {q: re.compile(rf"[^\s{q}]+(?={q})") for q in "\"'`"}
 
 # Fixed word list of the cost model, most common first.
 WORDS = ("password letmein admin welcome login monkey dragon master shadow sunshine princess football baseball iloveyou superman batman trustno1 "
@@ -148,17 +152,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _value_end(text: str, start: int) -> int:
+    """Where the value that begins at ``start`` ends: at its closing quote, else before closing punctuation."""
+    if start and (quoted := QUOTED_VALUE.get(text[start - 1])) and (m := quoted.match(text, start)):
+        return m.end()
+    end = m.end() if (m := OPEN_VALUE.match(text, start)) else start
+    while end > start and text[end - 1] in ".)]}!?":
+        end -= 1
+    return end
+
+
 def guess_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Values in credential context that are dear to guess and overlap no base span."""
+    """Values in credential context that are dear to guess and that no base span holds whole."""
     lower = text.lower()
     if not any(w in lower for w in CONTEXT_WORDS):
         return []
-    found = []
-    for m in CONTEXT.finditer(text):
-        start, end = m.span(1)
-        while end > start and text[end - 1] in ".)]}!?":
-            end -= 1
-        if end - start >= 6 and not any(a < end and start < b for a, _, b in base) and guess_cost(text[start:end]) >= LEAST_GUESSES:
+    # The fixed pattern also finds words inside longer names; its values are followed to their ends too.
+    starts = {m.end() for m in CONTEXT.finditer(text)} | {ASSIGN.match(text, a).start(2) for a, kind, _ in base if kind == 0}
+    found, end = [], 0
+    for start in sorted(starts):
+        if start < end:                    # inside the value before it
+            continue
+        end = _value_end(text, start)
+        if end - start >= 6 and not any(a <= start and end <= b for a, _, b in base) and guess_cost(text[start:end]) >= LEAST_GUESSES:
             found.append((start, 3, end))
     return found
 

@@ -117,6 +117,19 @@ def test_mask(odd):
     assert secrets.mask_secrets(odd).count() == odd.count()
 
 
+def test_values_are_found_whole():
+    for value in ("Tr0ub4dor&3horse!", "Zx81kQ2v$9Lp", "hunter2hunter2#%x", "abcdefgh1,Zq;9<x", "pa55-w0rd.Zk@example*7"):
+        for before, after in (('password = "', '"'), ("dbpassword='", "' x"), ("api_key: `", "`, next")):
+            text = before + value + after
+            base = secrets.base_spans(text)
+            assert base == brute_spans(text) and [text[a:b] for a, _, b in secrets.guess_spans(text, base)] == [value]
+            assert secrets.mask(text).endswith("[secret]" + after) and value[8:] not in secrets.mask(text)
+    assert secrets.mask("token=Zx81kQ2v$9Lp, and more") == "[secret], and more"
+    held = 'token: "abcdefgh12345"'                        # a base span holds it whole
+    assert secrets.guess_spans(held, secrets.base_spans(held)) == []
+    assert len(secrets.guess_spans("token=" * 50_000 + "!", [])) == 1
+
+
 # --- language
 
 @pytest.fixture(scope="module")
