@@ -1,12 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Seeds are the word trigrams of the test items.  One pass over all documents
-finds the seeds of every text (a sorted array of seed hashes, with the items
-and offsets of each), counts how many texts hold each seed, and cuts out the
-stretch of words around seeds of one item that lie together.  Of an item's
-seeds the quarter that most texts hold is common; a stretch is aligned if it
-holds two seeds and one of them is rare.  Rarity is relative within an item, so
-a test item that very many documents copy keeps its rare seeds.
+"""Benchmark decontamination: n-gram seeds without loss, then Smith-Waterman alignment.
+
+Seeds are word pairs of the test items, next to each other or with one word
+between.  In an alignment of score 2 * least * n or more (n words in the item),
+least * n - 1 or more of the steps from one matched word to the next hold at most
+one edit: each other step holds two or more, and the edits cost less than the
+matches bring.  Such a step is a seed in both texts, and all of them lie within
+(3 - 2 * least) * n words of the text.  So a stretch of a text is aligned with
+an item exactly if it holds that many places of the item's seeds (``need``), and
+no copy that reaches ``least`` is passed over, however common its words are.
+Rarity only saves work: seeds of an item that most items hold are common as long
+as they stand at fewer than ``need`` of its places in all, so that a copy always
+holds one of the others.
 
 The local alignment of words scores matches 2, mismatches and gaps -1; divided
 by twice the item's length it is 1 for a whole copy and falls with every edit.
@@ -14,7 +18,8 @@ by twice the item's length it is 1 for a whole copy and falls with every edit.
 The items are read in blocks of at most about ``BLOCK_WORDS`` words, and every
 block is held against all documents, so what is broadcast never grows with the
 data.  Defined results: null and empty texts hold nothing; an item of fewer
-than three words is found in texts of just those words; equal
+than three words is found where all its words stand, one of a single word in
+texts of just that word; equal
 items are all reported; rows that repeat an id and text are one result.
 """
 from __future__ import annotations
@@ -26,11 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..checkpoints import stage
-from .common import U64, Batches, pick, shingles, small_batches, word_hashes
+from .common import U64, Batches, mix64, pick, small_batches, word_hashes
 
-SEED_WORDS = 3
-COMMON_SHARE = 0.25
+FILTER_BITS = 20
 LEAST_SCORE = 0.4
 BLOCK_WORDS = 200_000
 MATCH, MISS, GAP = 2, 1, 1
@@ -41,50 +44,80 @@ def words_of(text: str | None) -> np.ndarray:
     return word_hashes(_NOT_WORD.sub(" ", text.lower()) if text else None)
 
 
+def pairs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the word pairs at distances one and two; a single word is paired with nothing."""
+    if words.size == 1:
+        words = np.append(words, U64(0))
+    found = [mix64(words[:-d] * U64(0x9E3779B97F4A7C15) + words[d:]) for d in (1, 2)]
+    return np.concatenate([np.arange(g.size) for g in found]), np.concatenate(found)
+
+
 class Seeds:
-    """Sorted seed hashes with their (item, offset) postings, and the items' words."""
-
-    def __init__(self, items: list[tuple], n: int = SEED_WORDS):
-        self.n, self.ids, self.words = n, [i for i, _ in items], [words_of(t) for _, t in items]
-        grams = [shingles(w, n) for w in self.words]
-        owner = np.repeat(np.arange(len(grams)), [g.size for g in grams])
-        offset = np.concatenate([np.arange(g.size) for g in grams]) if grams else np.empty(0, int)
-        flat = np.concatenate(grams) if grams else np.empty(0, U64)
+    """Sorted seed hashes with the items that hold them, and the items' words."""
+
+    def __init__(self, items: list[tuple], least: float = LEAST_SCORE):
+        self.ids, self.words = [i for i, _ in items], [words_of(t) for _, t in items]
+        self.length = np.array([w.size for w in self.words], int)
+        self.need = np.maximum(1, np.ceil(least * self.length - 1e-9).astype(int) - 1)
+        self.reach = np.ceil((3 - 2 * least) * self.length).astype(int) + 2
+        grams = [np.unique(pairs(w)[1], return_counts=True) for w in self.words]
+        owner = np.repeat(np.arange(len(grams)), [g.size for g, _ in grams])
+        flat = np.concatenate([g for g, _ in grams]) if grams else np.empty(0, U64)
         order = np.argsort(flat, kind="stable")
-        self.owner, self.offset = owner[order], offset[order]
+        self.owner = owner[order]
+        times = np.concatenate([t for _, t in grams])[order] if grams else np.empty(0, int)
         self.keys, self.begin = np.unique(flat[order], return_index=True)
         self.size = np.diff(np.append(self.begin, flat.size))
+        # From the seed that most items hold downwards, seeds are common while their places stay below `need`.
+        down = np.lexsort((-np.repeat(self.size, self.size), self.owner))
+        places = np.cumsum(times[down])
+        before = np.append(0, places)[np.searchsorted(self.owner[down], self.owner[down])]
+        self.rare = np.zeros(flat.size, bool)
+        self.rare[down] = places - before >= self.need[self.owner[down]]
+        self.filter = np.zeros(1 << FILTER_BITS, bool)
+        self.filter[(self.keys >> U64(64 - FILTER_BITS)).astype(np.int64)] = True
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, seed numbers) of the seeds in a text."""
-        grams = shingles(words, self.n)
-        if not grams.size or not self.keys.size:
+        if not words.size or not self.keys.size:
             return np.empty(0, int), np.empty(0, int)
+        places, grams = pairs(words)
+        some = np.flatnonzero(self.filter[(grams >> U64(64 - FILTER_BITS)).astype(np.int64)])
+        places, grams = places[some], grams[some]
         at = np.minimum(np.searchsorted(self.keys, grams), self.keys.size - 1)
-        places = np.flatnonzero(self.keys[at] == grams)
-        return places, at[places]
+        met = self.keys[at] == grams
+        return places[met], at[met]
 
     def stretches(self, words: np.ndarray, places: np.ndarray, seeds: np.ndarray) -> list[tuple]:
-        """(item, start, end, seeds) where seeds of one item lie together."""
+        """(item, start, end, seeds) where enough seeds of one item lie together."""
         times = self.size[seeds]
         posting = np.repeat(self.begin[seeds] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        item, offset = self.owner[posting], self.offset[posting]
-        place, seed = np.repeat(places, times), np.repeat(seeds, times)
+        item, which = self.owner[posting], np.repeat(np.arange(places.size), times)
+        count = np.bincount(item, minlength=len(self.ids))
+        able = (count >= self.need) & (np.bincount(item[self.rare[posting]], minlength=len(self.ids)) > 0)
+        some = able[item]
+        item, which = item[some], which[some]
+        if not item.size:
+            return []
+        place, seed = places[which], seeds[which]
         order = np.lexsort((place, item))
-        item, offset, place, seed = item[order], offset[order], place[order], seed[order]
-        length = np.array([w.size for w in self.words])[item]
-        cuts = np.flatnonzero((np.diff(item) != 0) | (np.diff(place) > length[1:])) + 1
+        item, place, seed = item[order], place[order], seed[order]
+        new = np.append(True, (np.diff(item) != 0) | (np.diff(place) != 0))
+        at = np.flatnonzero(new)                            # the first of every item and place
+        last = np.arange(at.size) + self.need[item[at]] - 1
+        full = np.flatnonzero(last < at.size)
+        end = at[last[full]]
+        full_at, reach = at[full], self.reach[item[at[full]]]
+        good = (item[end] == item[full_at]) & (place[end] - place[full_at] <= reach)
+        full_at, end, reach = full_at[good], end[good], reach[good]
+        if not full_at.size:
+            return []
+        cuts = np.flatnonzero((np.diff(item[full_at]) != 0) | (place[full_at[1:]] - place[end[:-1]] > 2 * reach[1:])) + 1
         out = []
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), item.size]):
-            n = int(length[a])
-            need = min(2, n - self.n + 1)
-            if len(set(zip(place[a:b].tolist()))) < need:
-                continue
-            slack = n // 4 + 4
-            start = max(0, int((place[a:b] - offset[a:b]).min()) - slack)
-            end = min(words.size, int((place[a:b] - offset[a:b]).max()) + n + slack)
-            start, end = max(start, int(place[a]) - n - slack), min(end, int(place[b - 1]) + n + slack)
-            out.append((int(item[a]), start, end, np.unique(seed[a:b])))
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), full_at.size]):
+            far = int(reach[a])
+            first, final = int(full_at[a]), int(end[b - 1])
+            out.append((int(item[first]), max(0, int(place[first]) - far), min(words.size, int(place[final]) + far + 1), int(np.unique(seed[first:final + 1]).size)))
         return out
 
 
@@ -111,13 +144,12 @@ def aligned(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
 
 
 def _found(docs: DataFrame, shared) -> DataFrame:
-    """Stretches (doc_id, item, start, words, seeds), and counts of seeds (seeds, texts)."""
-    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("item int, start int, words binary, seeds array<int>, texts bigint")])
+    """Stretches (doc_id, item, start, words, seeds)."""
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("item int, start int, words binary, seeds int")])
     arrow = to_arrow_schema(schema)
 
     def find(batches: Batches) -> Batches:
         seeds = shared.value
-        counts = np.zeros(seeds.keys.size, np.int64)
         for batch in small_batches(batches):
             rows = []
             ids = batch.column(0)
@@ -126,17 +158,11 @@ def _found(docs: DataFrame, shared) -> DataFrame:
                 places, numbers = seeds.hits(words)
                 if not places.size:
                     continue
-                counts[np.unique(numbers)] += 1
                 for item, start, end, own in seeds.stretches(words, places, numbers):
-                    rows.append((k, item, start, words[start:end].tobytes(), own.tolist()))
+                    rows.append((k, item, start, words[start:end].tobytes(), own))
             if rows:
                 at, *columns = zip(*rows)
-                arrays = [ids.take(pa.array(at)), *[pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:5])], pa.nulls(len(rows), pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=arrow.names)
-        met = np.flatnonzero(counts)
-        if met.size:
-            none = [pa.nulls(met.size, f.type) for f in list(arrow)[:4]]
-            yield pa.RecordBatch.from_arrays([*none, pa.array([[int(m)] for m in met], arrow.field("seeds").type), pa.array(counts[met])], names=arrow.names)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *[pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:])]], names=arrow.names)
     return docs.mapInArrow(find, schema)
 
 
@@ -152,30 +178,22 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE,
     out = spark.createDataFrame([], schema)
     for block in range(blocks):
         held = sorted(((r.item_id, r.text) for r in tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()), key=lambda r: (r[0] is None, r))
-        seeds = Seeds([r for r in held if words_of(r[1]).size])
+        seeds = Seeds([r for r in held if words_of(r[1]).size], least)
         shared = spark.sparkContext.broadcast(seeds)       # a block, of bounded size
-        found = stage(_found(rows, shared), "seeds")
-        counts = {r.seed: r.texts for r in found.where("texts is not null").groupBy(F.col("seeds")[0].alias("seed")).agg(F.sum("texts").alias("texts")).collect()}
-        rare: set[tuple[int, int]] = set()
-        for item in range(len(seeds.ids)):
-            own = sorted({int(s) for s in np.searchsorted(seeds.keys, shingles(seeds.words[item], seeds.n))}, key=lambda s: (counts.get(s, 0), s))
-            rare |= {(item, s) for s in own[:max(1, len(own) - int(len(own) * COMMON_SHARE))]}
-        rare_shared = spark.sparkContext.broadcast(frozenset(rare))
+        found = _found(rows, shared)
 
         def score(batches: Batches) -> Batches:
-            seeds, rare = shared.value, rare_shared.value
+            seeds = shared.value
             for batch in small_batches(batches):
                 rows = []
                 for k, (item, start, words, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("item", "start", "words", "seeds")))):
-                    if not any((item, s) in rare for s in own):
-                        continue
                     value, a, b = aligned(seeds.words[item], np.frombuffer(words, U64))
                     if value >= least:
-                        rows.append((k, seeds.ids[item], value, start + a, start + b, len(own)))
+                        rows.append((k, seeds.ids[item], value, start + a, start + b, own))
                 if rows:
                     at, *columns = zip(*rows)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *[pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:])]], names=arrow.names)
-        out = out.unionByName(found.where("item is not null").repartition(F.xxhash64("doc_id", "item", "start")).mapInArrow(score, schema))
+        out = out.unionByName(found.repartition(F.xxhash64("doc_id", "item", "start")).mapInArrow(score, schema))
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("start")).alias("start"), "end", "seeds")).alias("best"))
     return best.select("doc_id", "item_id", "best.score", (-F.col("best.start")).alias("start"), "best.end", "best.seeds")
 

@@ -104,6 +104,28 @@ def test_decontamination(spark):
     assert {r.doc_id for r in clean.collect()} == {1, 2, 3}
 
 
+def test_decontamination_equals_alignment_of_everything(spark):
+    """Every copy whose alignment reaches the score is found, also where its seeds are few, common or gapped."""
+    rng, items = np.random.default_rng(8), [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()][:16]
+    filler, rows = " ".join(f"fill{i}er" for i in range(60)), []
+    for i, text in items:
+        words = text.split()
+        for share in (0.2, 0.25, 0.3, 0.35):
+            rows += [" ".join(w if rng.random() >= share else f"new{rng.integers(1e9)}" for w in words) for _ in range(4)]
+        rows += [" ".join(words[:len(words) // 2]), " ".join(f"{w} gap{k}" for k, w in enumerate(words)), " ".join(w for k, w in enumerate(words) if k % 2 == 0)]
+        rows += [" ".join(w for k, w in enumerate(words) if k % 3), " ".join(words[::-1])]
+    rows += [rows[2]] * 50 + ["a b a b x a b", "a b c a b d a b"]
+    items += [(900, "a b a b a b a b"), (901, "x y z"), (902, "same same same same same same")]
+    rows += ["same same same", "x q y z"]
+    table = [(d, f"{filler} {t} {filler}") for d, t in enumerate(rows)]
+    docs, tests = spark.createDataFrame(table, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    held = [(i, decontaminate.words_of(t)) for i, t in items]
+    want = {(d, i): s for d, t in table for i, w in held if (s := decontaminate.align(w, decontaminate.words_of(t))[0] / (2 * w.size)) >= decontaminate.LEAST_SCORE}
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs, tests).collect()}
+    assert got == want and len(want) > 200
+    assert {r.doc_id for r in decontaminate.clean(docs, tests).collect()} == {d for d, _ in table} - {d for d, _ in want}
+
+
 def test_alignment_equals_plain_dynamic_programming():
     rng = np.random.default_rng(3)
     for _ in range(200):
