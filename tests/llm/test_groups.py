@@ -1,11 +1,12 @@
 """Operators on groups of rows, against brute force."""
 import hashlib
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from curbcast.llm import decontaminate, licenses, ngram_join, suffix_array, suffix_dedup, vectors
+from curbcast.llm import decontaminate, license_texts, licenses, ngram_join, suffix_array, suffix_dedup, vectors
 from curbcast.llm import queries as Q
 from curbcast.llm.common import components
 
@@ -231,3 +232,26 @@ def test_licenses(spark):
     assert licenses.scan(table.limit(0)).count() == 0
     root = spark.createDataFrame([("LICENSE", "Released under the MIT License"), ("a/b", "x")], "path string, text string")
     assert {r.path: r.license for r in licenses.scan(root).collect()} == {"LICENSE": "MIT", "a/b": "MIT"}
+
+
+def wrapped(text, mark="", width=76):
+    return "\n".join(f"{mark} {line}".strip() for line in textwrap.wrap(text, width))
+
+
+def test_license_blocks(spark):
+    """Whole headers and licences in lines of 80 columns; the deciding words stand in other lines than the trigger."""
+    gnu = ("This {t} is free software: you can redistribute it and/or modify it under the terms of the GNU {n} as published by the Free Software Foundation, either version {v} of the License, or "
+           "(at your option) any later version.", "This {t} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+           "FITNESS FOR A PARTICULAR PURPOSE.  See the GNU {n} for more details.", "You should have received a copy of the GNU {n} along with this {t}.  If not, see <http://www.gnu.org/licenses/>.")
+    names = {"GPL-2.0": ("General Public License", 2), "GPL-3.0": ("General Public License", 3), "LGPL-3.0": ("Lesser General Public License", 3), "AGPL-3.0": ("Affero General Public License", 3)}
+    rows = [(f"{k}/{m or 'plain'}/{t}", "\n".join([f"{m} Copyright (C) 2019 Jane Roe".strip(), m] + [p for part in gnu for p in (wrapped(part.format(n=n, v=v, t=t), m), m)]) + "\n\nimport os\nrun(os.environ)\n" * 9, k)
+            for k, (n, v) in names.items() for m in ("", "#", "//") for t in ("program", "library")]
+    for k in ("BSD-2-Clause", "BSD-3-Clause", "MIT", "Apache-2.0", "ISC"):
+        text = license_texts.BLOCKS[k][0].replace("Copyright (c) ", "")
+        rows += [(f"{k}/{m or 'plain'}", f"{m} Copyright (c) 2020, The Example Authors\n{m}\n{wrapped(text, m)}\n\ncode here\n", k) for m in ("", "*", "--")]
+    rows.append(("GPL-3.0/LICENSE", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <http://fsf.org/>\n"
+                 " Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n                            Preamble\n\n"
+                 "  The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n", "GPL-3.0"))
+    table = spark.createDataFrame([r[:2] for r in rows], "path string, text string")
+    got = {r.path: r.license for r in licenses.scan(table).collect()}
+    assert got == {p: k for p, _, k in rows}
