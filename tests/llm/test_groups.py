@@ -255,3 +255,16 @@ def test_license_blocks(spark):
     table = spark.createDataFrame([r[:2] for r in rows], "path string, text string")
     got = {r.path: r.license for r in licenses.scan(table).collect()}
     assert got == {p: k for p, _, k in rows}
+
+
+def test_license_files_speak(spark):
+    mit = "\n\n".join(("Copyright (c) 2020 Jane Roe", wrapped(license_texts.BLOCKS["MIT"][0].replace("MIT License Copyright (c) ", ""))))
+    bsd = "\n\nBSD text\n\n" + wrapped(license_texts.BLOCKS["BSD-3-Clause"][0])
+    prose = "Some plain words of an ordinary text that goes on. " * 20
+    rows = [("m/LICENSE", mit), ("m/a/b.py", "x"), ("b/notice-text", bsd), ("b/x.py", "x"), ("c/COPYING.md", f"# Project\n\nReleased under the MIT License.\n{prose}"), ("c/d/e/x.py", "x"),
+            ("o/1.txt", f"Released under the MIT License.\n{prose}"), ("o/2.txt", "x"), ("n/licenses.py", f"Released under the MIT License.\n{prose}"), ("n/a/LICENSE", "nothing"), ("n/a/x", "x"),
+            ("j/1.txt", "Released under the MIT License.\n" + "\u6f22\u5b57\u4eee\u540d" * 200), ("j/2.txt", "x"),
+            ("t/head", "Copyright 2020 The Example Authors\n\nLicensed under the Apache License, Version 2.0."), ("t/u/x.py", "x")]
+    got = {r.path: (r.license, r.from_dir) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {p: got[p] for p in ("m/a/b.py", "b/x.py", "c/d/e/x.py", "t/u/x.py")} == {"t/u/x.py": ("Apache-2.0", "t"), "m/a/b.py": ("MIT", "m"), "b/x.py": ("BSD-3-Clause", "b"), "c/d/e/x.py": ("MIT", "c")}
+    assert all(got[p] == (None, None) for p in ("o/2.txt", "n/a/x", "n/a/LICENSE", "j/2.txt")) and got["o/1.txt"] == got["j/1.txt"] == ("MIT", None)
