@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..checkpoints import stage_path
-from . import bpe, decontaminate, language, licenses, ngram_join, secrets, suffix_dedup, token_file, toxicity, vectors
+from . import bpe, decontaminate, language, licenses, ngram_join, repair, secrets, suffix_dedup, token_file, toxicity, vectors
 from .common import crc_part, table
 
 END_ID = 2
@@ -104,9 +104,62 @@ FROM files f LEFT JOIN own o USING (path) LEFT JOIN speaking s ON s.dir = f.dir
 """
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+# crc32 of a text over its UTF-8 bytes, by the table of the reflected polynomial.
+CRC_SQL = """
+crc_table AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM (SELECT unnest(range(256))::BIGINT AS i)))"""
+
+
+def crc_sql(text: str) -> str:
+    """SQL of the crc32 of a VARCHAR expression, with ``crc_table`` in scope."""
+    data = f"list_transform(range(0, strlen({text})), lambda k: ('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295], {data}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+hit AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS hit FROM conversations, crc_table),
+damaged AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN hit = 1 THEN '' WHEN hit = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM hit, unnest(CASE WHEN hit = 0 THEN []::INT[] WHEN hit = 3 THEN [1, 2] ELSE [1] END)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+trimmed AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS time FROM numbered),
+faulty AS (SELECT *, CASE WHEN core = '' THEN 'b' WHEN time > 1 THEN 'd' WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault, left(role, 1) AS initial FROM trimmed),
+moves(q, inserted, q2) AS (VALUES ('', '', ''), ('s', '', 's'), ('u', '', 'u'), ('a', '', 'a'), ('', 'I', 'u'), ('s', 'I', 'u'), ('u', 'I', 'a'), ('a', 'I', 'u'), ('', 'II', 'a'), ('s', 'II', 'a'), ('u', 'II', 'u'), ('a', 'II', 'a')),
+kept(q, initial) AS (VALUES ('', 's'), ('', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+edits AS (
+  SELECT m.q, m.inserted || 'D' AS letters, 2 * len(m.inserted) + 3 AS cost, m.q2 AS after, NULL::VARCHAR AS initial FROM moves m UNION ALL
+  SELECT m.q, m.inserted || 'R', 2 * len(m.inserted) + 2, CASE m.q2 WHEN 'u' THEN 'a' ELSE 'u' END, NULL::VARCHAR FROM moves m UNION ALL
+  SELECT m.q, m.inserted || 'K', 2 * len(m.inserted), k.initial, k.initial FROM moves m JOIN kept k ON k.q = m.q2),
+ways(conv_id, i, q, way) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, '', '0000000' FROM conversations UNION ALL
+  SELECT w.conv_id, f.i, e.after, min(printf('%07d', left(w.way, 7)::INT + e.cost + CASE WHEN f.fault = 't' AND right(e.letters, 1) <> 'D' THEN 1 ELSE 0 END) || substr(w.way, 8) || e.letters)
+  FROM ways w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 JOIN edits e ON e.q = w.q AND (e.initial IS NULL OR e.initial = f.initial)
+  WHERE f.fault NOT IN ('b', 'd') OR right(e.letters, 1) = 'D' GROUP BY w.conv_id, f.i, e.after),
+counts AS (SELECT conv_id, count(*) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated FROM faulty GROUP BY conv_id),
+pairs AS (SELECT conv_id, initial || lead(initial) OVER (PARTITION BY conv_id ORDER BY i) AS pair FROM faulty),
+illegal AS (SELECT conv_id, count(*) AS illegal FROM pairs WHERE pair NOT IN ('su', 'ua', 'au') GROUP BY conv_id),
+best AS (SELECT w.conv_id, min(printf('%07d', left(w.way, 7)::INT + 2 * len(m.inserted)) || substr(w.way, 8) || m.inserted) AS way
+  FROM ways w LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id JOIN moves m ON m.q = w.q WHERE w.i = coalesce(c.n, 0) AND m.q2 IN ('', 'a') GROUP BY w.conv_id),
+letters AS (SELECT conv_id, unnest(range(8, len(way) + 1)) AS spot, way FROM best),
+placed AS (SELECT conv_id, spot, substr(way, spot, 1) AS letter, count(*) FILTER (substr(way, spot, 1) <> 'I') OVER (PARTITION BY conv_id ORDER BY spot) AS i FROM letters),
+output AS (SELECT p.conv_id, p.spot, p.letter, f.role, f.text, row_number() OVER (PARTITION BY p.conv_id ORDER BY p.spot) AS place
+  FROM placed p LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i WHERE p.letter <> 'D'),
+lead_role AS (SELECT conv_id, max(CASE WHEN place = 1 AND letter = 'K' AND left(role, 1) = 's' THEN 1 ELSE 0 END) AS s FROM output GROUP BY conv_id),
+repaired AS (SELECT o.conv_id, string_agg(CASE WHEN letter = 'K' THEN role ELSE CASE WHEN (place - s) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY spot) AS whole
+  FROM output o JOIN lead_role l ON l.conv_id IS NOT DISTINCT FROM o.conv_id GROUP BY o.conv_id)
+SELECT b.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated, coalesce(i.illegal, 0) AS illegal,
+  left(b.way, 7)::BIGINT AS cost, substr(b.way, 8) AS audit, sha256(coalesce(r.whole, '')) AS repaired_sha256
+FROM best b LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN illegal i ON i.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn) and not name.endswith("_sql")}
 
 
 def oracles() -> dict[str, str]:
-    return {"op6_vector_duplicates": OP6_SQL, "op10_license_scan": op10_sql()}
+    return {"op6_vector_duplicates": OP6_SQL, "op10_license_scan": op10_sql(), "op11_repair": OP11_SQL}
