@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..checkpoints import stage_path
-from . import bpe, decontaminate, language, licenses, ngram_join, repair, secrets, suffix_dedup, token_file, toxicity, vectors
+from . import bpe, decontaminate, language, licenses, ngram_join, relational_bpe, repair, secrets, suffix_dedup, token_file, toxicity, vectors
 from .common import crc_part, table
 
 END_ID = 2
@@ -108,6 +108,10 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(table(spark, sf_dir, "conversations"))
 
 
+def op13_relational_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 # crc32 of a text over its UTF-8 bytes, by the table of the reflected polynomial.
 CRC_SQL = """
 crc_table AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
