@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..checkpoints import stage_path
-from . import bpe, decontaminate, language, licenses, ngram_join, relational_bpe, repair, secrets, suffix_dedup, token_file, toxicity, vectors
+from . import bpe, decontaminate, language, licenses, ngram_join, relational_bpe, repair, secrets, spelling, suffix_dedup, token_file, toxicity, vectors
 from .common import crc_part, table
 
 END_ID = 2
@@ -108,6 +108,10 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(table(spark, sf_dir, "conversations"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_relational_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -161,9 +165,28 @@ FROM best b LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id LEFT
 """
 
 
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+hashed AS (SELECT run, times, {crc_sql("(coalesce(doc_id::VARCHAR, '') || ':' || run)")} AS h FROM (SELECT doc_id, run, count(*) AS times FROM runs GROUP BY ALL), crc_table),
+damaged AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, times FROM hashed),
+words AS (SELECT word, sum(times)::BIGINT AS n FROM damaged WHERE length(word) >= {spelling.LEAST_LENGTH} GROUP BY word HAVING sum(times) >= {spelling.LEAST_COUNT}),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+masks AS (SELECT word, i, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS mask FROM places),
+shorter AS (SELECT DISTINCT word, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM places),
+dropped AS (SELECT s.word, w.word AS near FROM shorter s JOIN words w ON w.word = s.less),
+pairs AS (SELECT a.word, b.word AS near FROM masks a JOIN masks b ON a.mask = b.mask AND a.word <> b.word UNION ALL SELECT word, near FROM dropped UNION ALL SELECT near, word FROM dropped),
+ranked AS (SELECT p.word, p.near, m.n AS near_n, count(*) OVER (PARTITION BY p.word) AS n_near, row_number() OVER (PARTITION BY p.word ORDER BY m.n DESC, p.near) AS place FROM pairs p JOIN words m ON m.word = p.near),
+forms AS (SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.near_n >= 2 * w.n THEN r.near END AS form, CASE WHEN r.near_n >= 2 * w.n THEN r.near_n END AS form_n FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.place = 1),
+follow(word, spot) AS (SELECT word, word FROM words UNION ALL SELECT f.word, n.form FROM follow f JOIN forms n ON n.word = f.spot WHERE n.form IS NOT NULL),
+ends AS (SELECT f.word, f.spot AS root FROM follow f JOIN forms n ON n.word = f.spot WHERE n.form IS NULL)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM forms f JOIN ends e USING (word)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn) and not name.endswith("_sql")}
 
 
 def oracles() -> dict[str, str]:
-    return {"op6_vector_duplicates": OP6_SQL, "op10_license_scan": op10_sql(), "op11_repair": OP11_SQL}
+    return {"op6_vector_duplicates": OP6_SQL, "op10_license_scan": op10_sql(), "op11_repair": OP11_SQL, "op12_spelling": OP12_SQL}
