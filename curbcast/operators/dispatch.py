@@ -1,9 +1,10 @@
 """Driver-order dispatch: costs, optional matching and batching per market.
 
-Everything but the matching itself is a DataFrame: normalised inputs, pair
-costs, best singles, savings, batch candidates and the final report.  Markets
-whose pair count fits one task are matched by a small numpy step over sorted rows; larger
-markets are matched by an auction that runs as Spark rounds.
+Normalised inputs, pair costs, best singles, savings, batches and the final
+report are DataFrames.  The matching minimises whole micro-minutes, with ties
+decided by ids, so a market has one result: one whose cells fit a task is matched
+by a small numpy step over sorted rows, a larger one by an auction with a falling
+step whose bidders are spread over tasks in Spark rounds, and both agree.
 """
 from __future__ import annotations
 
@@ -21,9 +22,11 @@ from .blocks import block_join, spread
 from .predicates import driver_assignable, order_assignable
 
 EPS = 1e-9
+MICRO = 1_000_000           # costs are matched in whole micro-minutes
+TIE = 4093                  # a prime: range of the last tie weight
 # Cost multiplier by motion state.
 MOTION = {"parked": 0.85, "slow": 1.0, "driving_away": 1.25, "high_speed": 1.4}
-LOCAL_PAIR_LIMIT = 250_000
+TASK_CELLS = 250_000         # cells of a market that one task matches or bids for
 
 
 @dataclass(frozen=True)
@@ -198,20 +201,40 @@ def order_savings(orders: DataFrame, seeds: DataFrame, params: DispatchParams |
 
 # --- matching ---------------------------------------------------------------
 
-def _shortest_path_matching(c: np.ndarray) -> np.ndarray:
-    """Column of each row in a minimum-cost matching of a matrix with
+def _exact(weights: np.ndarray, top: int) -> np.ndarray:
+    """64-bit integers where sums of a few weights fit them, Python's otherwise."""
+    return weights.astype(np.int64) if top < 1 << 60 else weights.astype(object)
+
+
+def _weights(micro: np.ndarray, driver: np.ndarray, order: np.ndarray, drivers: int, orders: int) -> tuple[np.ndarray, int]:
+    """Integer weights whose least sum is the least cost; then drivers and orders
+    with small ranks are matched first, and who gets whom goes by a number mixed
+    from both ranks.  Also the largest weight."""
+    pairs = min(drivers, orders)
+    size, mixed = drivers + orders + 1, TIE * pairs + 1
+    unit = pairs * ((drivers * size + orders) * mixed + mixed) + 1
+    top = (int(micro.max(initial=0)) + 1) * unit
+    kind = np.int64 if top < 1 << 60 else object
+    driver, order = driver.astype(kind), order.astype(kind)
+    return micro.astype(kind) * unit + (driver * size + order) * mixed + (driver * 7919 + order * 104_729 + driver * order * 31) % TIE, top
+
+
+def _shortest_path_matching(c: np.ndarray, top: int) -> np.ndarray:
+    """Column of each row in the minimum matching of an integer matrix with
     rows <= columns (successive shortest augmenting paths)."""
     n, m = c.shape
-    u, v = np.zeros(n), np.zeros(m)
+    far = 8 * top + 8
+    c = _exact(c, 2 * far)
+    u, v = np.zeros(n, c.dtype), np.zeros(m, c.dtype)
     row_of = np.full(m, -1)
     for i in range(n):
-        dist, prev, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
-        row, col, base = i, -1, 0.0
+        dist, prev, done = np.full(m, far, c.dtype), np.full(m, -1), np.zeros(m, bool)
+        row, col, base = i, -1, 0
         while True:
             step = base + c[row] - u[row] - v
             better = ~done & (step < dist)
             dist[better], prev[better] = step[better], col
-            col = int(np.argmin(np.where(done, np.inf, dist)))
+            col = int(np.argmin(np.where(done, far, dist)))
             base, done[col] = dist[col], True
             if row_of[col] < 0:
                 break
@@ -230,15 +253,22 @@ def _shortest_path_matching(c: np.ndarray) -> np.ndarray:
     return out
 
 
-def _match_cells(d: np.ndarray, o: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+NO_PAIR = int(UNREACHABLE) * MICRO
+
+
+def _match_cells(d: np.ndarray, o: np.ndarray, micro: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Matched (driver, order) ids of one market's cost cells."""
     drivers, di = np.unique(d, return_inverse=True)
     orders, oi = np.unique(o, return_inverse=True)
-    grid = np.full((len(drivers), len(orders)), UNREACHABLE)
-    grid[di, oi] = c
+    grid = np.full((len(drivers), len(orders)), NO_PAIR)
+    grid[di, oi] = micro
+    weights, top = _weights(grid, np.arange(len(drivers))[:, None], np.arange(len(orders))[None, :], len(drivers), len(orders))
     if len(drivers) <= len(orders):
-        return drivers, orders[_shortest_path_matching(grid)]
-    return drivers[_shortest_path_matching(grid.T)], orders
+        i, j = np.arange(len(drivers)), _shortest_path_matching(weights, top)
+    else:
+        i, j = _shortest_path_matching(weights.T, top), np.arange(len(orders))
+    met = grid[i, j] < NO_PAIR
+    return drivers[i[met]], orders[j[met]]
 
 
 def _match_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,7 +277,7 @@ def _match_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rest = None
 
     def solve(pdf: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
-        m, d, o, c = (pdf[x].to_numpy() for x in ("market_id", "driver_id", "order_id", "total_cost"))
+        m, d, o, c = (pdf[x].to_numpy() for x in ("market_id", "driver_id", "order_id", "micro"))
         parts = [(m[i], *_match_cells(d[i:j].astype(str), o[i:j].astype(str), c[i:j])) for i, j in zip(bounds[:-1], bounds[1:])]
         return pd.DataFrame({"market_id": np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]),
                              "driver_id": np.concatenate([p[1] for p in parts]).astype(object),
@@ -265,69 +295,139 @@ def _match_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield solve(rest, np.array([0, len(rest)]))
 
 
-def match_orders(pairs: DataFrame, local_pair_limit: int = LOCAL_PAIR_LIMIT, epsilon: float = 1e-4) -> DataFrame:
+def match_orders(pairs: DataFrame, task_cells: int = TASK_CELLS) -> DataFrame:
     """Minimum-cost matching per market (unmatched only when sides differ in
-    size): market_id, driver_id, order_id.
+    size or a pair is missing): market_id, driver_id, order_id.
 
-    A market goes to one task only while its pair count is within
-    ``local_pair_limit``; larger ones are matched by :func:`auction_matching`,
-    whose total cost is within ``epsilon`` per matched row of the minimum.
+    ``task_cells`` decides where a market is matched, never the result.
     """
     market_type = dict(pairs.dtypes)["market_id"]
-    keyed = pairs.select("market_id", "driver_id", "order_id", "total_cost").where(F.col("total_cost") < UNREACHABLE)
-    sizes = keyed.groupBy("market_id").agg(F.count(F.lit(1)).alias("_pairs"))
-    small = keyed.join(sizes.where(F.col("_pairs") <= local_pair_limit).select("market_id"), "market_id")
+    keyed = pairs.where(F.col("total_cost") < UNREACHABLE).select(
+        "market_id", "driver_id", "order_id", F.floor(F.col("total_cost") * MICRO + 0.5).cast("long").alias("micro"))
+    sizes = keyed.groupBy("market_id").agg(F.count(F.lit(1)).alias("_cells"))
+    big = sizes.where(F.col("_cells") > task_cells).select("market_id")
+    small = keyed.join(sizes.where(F.col("_cells") <= task_cells).select("market_id"), "market_id")
     out = spread(small, "market_id").sortWithinPartitions("market_id").mapInPandas(
         _match_sorted, f"market_id {market_type}, driver_id string, order_id string")
-    big = sizes.where(F.col("_pairs") > local_pair_limit).select("market_id")
     if big.limit(1).count() == 0:
         return out
-    return out.unionByName(auction_matching(keyed.join(big, "market_id"), epsilon))
+    return out.unionByName(auction_matching(keyed.join(big, "market_id"), task_cells))
+
+
+FREE, STAYS_OUT, ELSEWHERE = -2, -1, -3     # owners of an item: none, a place left empty, a bidder of another block
 
 
-def auction_matching(pairs: DataFrame, epsilon: float = 1e-4, max_rounds: int = 100_000) -> DataFrame:
-    """Auction as Spark rounds: every free row of the shorter side bids for its
-    best column, every column keeps its highest bid.
+def _bid(benefit: np.ndarray, price: np.ndarray, held: np.ndarray, free: list[int], places: int, step: int) -> None:
+    """Bids of one block, one after another, until nobody in it is free.
 
-    All markets advance together.  A round is one aggregate over the pairs of
-    free bidders and one over the bids; prices and owners are checkpointed.
+    ``held`` and ``price`` are changed in place.  ``places`` are items that must
+    stay without bidder; they go to the cheapest items, together, so that at the
+    end no empty item is dearer than the cheapest one by more than the step.
     """
-    d = pairs.groupBy("market_id").agg(F.count_distinct("driver_id").alias("_d"), F.count_distinct("order_id").alias("_o"))
-    flip = F.col("_d") > F.col("_o")
-    cells = pairs.join(d, "market_id").select(
-        "market_id", flip.alias("flip"), F.when(flip, F.col("order_id")).otherwise(F.col("driver_id")).alias("bidder"),
-        F.when(flip, F.col("driver_id")).otherwise(F.col("order_id")).alias("item"), (-F.col("total_cost")).alias("value"))
-    free = cells.select("market_id", "bidder").distinct()
-    owned = None
-    for _ in range(max_rounds):
-        open_cells = cells.join(free, ["market_id", "bidder"])
-        if owned is not None:
-            open_cells = open_cells.join(owned.select("market_id", "item", "price"), ["market_id", "item"], "left")
-            open_cells = open_cells.withColumn("price", F.coalesce("price", F.lit(0.0)))
-        else:
-            open_cells = open_cells.withColumn("price", F.lit(0.0))
-        net = F.struct((F.col("value") - F.col("price")).alias("net"), "item", "price")
-        best = open_cells.groupBy("market_id", "bidder").agg(F.max(net).alias("b1"))
-        rest = open_cells.join(best, ["market_id", "bidder"]).where(F.col("item") != F.col("b1.item"))
-        second = rest.groupBy("market_id", "bidder").agg(F.max(F.col("value") - F.col("price")).alias("n2"))
-        bids = best.join(second, ["market_id", "bidder"], "left").select(
-            "market_id", F.col("b1.item").alias("item"), "bidder",
-            (F.col("b1.price") + F.col("b1.net") - F.coalesce("n2", F.col("b1.net")) + epsilon).alias("price"))
-        won = bids.groupBy("market_id", "item").agg(F.max(F.struct("price", "bidder")).alias("w")).select(
-            "market_id", "item", F.col("w.bidder").alias("bidder"), F.col("w.price").alias("price"))
-        owned = won if owned is None else won.unionByName(
-            owned.join(won.select("market_id", "item"), ["market_id", "item"], "left_anti"))
-        owned = stage(owned)
-        free = cells.select("market_id", "bidder").distinct().join(
-            owned.select("market_id", "bidder"), ["market_id", "bidder"], "left_anti")
-        if free.limit(1).count() == 0:
-            break
-    else:
-        raise RuntimeError("auction did not finish")
-    flips = cells.select("market_id", "flip").distinct()
-    out = owned.join(flips, "market_id")
-    return out.select("market_id", F.when(F.col("flip"), F.col("item")).otherwise(F.col("bidder")).alias("driver_id"),
-                      F.when(F.col("flip"), F.col("bidder")).otherwise(F.col("item")).alias("order_id"))
+    low = -int(abs(benefit).max(initial=0)) - int(abs(price).max(initial=0)) - 1
+    while free or places:
+        while free:
+            i = free.pop()
+            net = benefit[i] - price
+            j = int(np.argmax(net))
+            best, net[j] = net[j], low * 4
+            price[j] += (best - net.max() if net.size > 1 else 0) + step
+            before, held[j] = held[j], i
+            if before >= 0:
+                free.append(int(before))
+            elif before == STAYS_OUT:
+                places += 1
+        if places:
+            open_items = np.flatnonzero(held != STAYS_OUT)
+            ranked = open_items[np.argsort(price[open_items], kind="stable")]
+            level = price[ranked[places]] + step
+            taken = ranked[:places]
+            free = [int(i) for i in held[taken] if i >= 0]
+            held[taken] = STAYS_OUT
+            out = held == STAYS_OUT
+            price[out] = np.maximum(price[out], level)
+            places = 0
+
+
+def _block_bids(phase: int):
+    def run(key, cells: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        if items.empty or cells.empty:
+            return pd.DataFrame({"market_id": [], "item": [], "price": np.array([], object), "owner": []})
+        items = items.sort_values("item")
+        first = items.iloc[0]
+        bidders, goods, flip = int(first["bidders"]), int(first["items"]), bool(first["flip"])
+        drivers, orders = (goods, bidders) if flip else (bidders, goods)
+        names, row = np.unique(cells["bidder"].to_numpy(), return_inverse=True)
+        micro = np.full((names.size, goods), NO_PAIR)
+        micro[row, cells["item"].to_numpy()] = cells["micro"].to_numpy()
+        who, what = names[:, None], np.arange(goods)[None, :]
+        weights, _ = _weights(micro, what if flip else who, who if flip else what, drivers, orders)
+        # Every market's steps fall from a fifth of its range to one; benefits are
+        # scaled so that with the last step the matching is the best one.
+        _, top = _weights(np.array([int(first["top"])]), np.zeros(1, int), np.zeros(1, int), drivers, orders)
+        reach = top * (goods + 1)
+        benefit = -_exact(weights.astype(object) * (goods + 1), 8 * reach * goods)
+        price = _exact(np.array([int(p) for p in items["price"]], object), 8 * reach * goods)
+        owner = items["owner"].to_numpy()
+        at = np.searchsorted(names, owner)
+        local = (owner >= 0) & (at < names.size) & (names[np.minimum(at, names.size - 1)] == owner)
+        held = np.where(local, at, np.where(owner >= 0, ELSEWHERE, owner)).astype(int)
+        free = sorted(set(range(names.size)) - set(held[local].tolist()))
+        places = goods - bidders - int((owner == STAYS_OUT).sum()) if key[1] == 0 else 0
+        before = price.copy()
+        _bid(benefit, price, held, free, places, max(1, reach // 5 ** (phase + 1)))
+        moved = np.flatnonzero(price != before)
+        who = np.where(held[moved] >= 0, names[np.maximum(held[moved], 0)], held[moved])
+        return pd.DataFrame({"market_id": first["market_id"], "item": moved, "price": np.array([str(p) for p in price[moved]], object), "owner": who})
+    return run
+
+
+def auction_matching(pairs: DataFrame, block_cells: int = TASK_CELLS) -> DataFrame:
+    """Auction with a falling step, all markets together, as Spark rounds.
+
+    ``pairs``: market_id, driver_id, order_id, micro.  The shorter side bids.  A
+    round hands every block of bidders its cells and all prices of its market;
+    the block's free bidders bid until each holds an item, and an item goes to
+    the highest bid over all blocks.  Bids against prices that have risen
+    meanwhile are only too low, so late news costs a round, not the result.
+    When nobody is free the step falls and everybody bids anew; with the last
+    step of one, on weights scaled by the number of items, the matching is the
+    minimum.  Prices and owners are written tables; the driver sees one flag.
+    """
+    number = lambda side: F.row_number().over(Window.partitionBy("market_id").orderBy(side)) - 1
+    d = pairs.select("market_id", "driver_id").distinct().withColumn("driver", number("driver_id"))
+    o = pairs.select("market_id", "order_id").distinct().withColumn("order", number("order_id"))
+    market = (d.groupBy("market_id").agg(F.count(F.lit(1)).alias("nd")).join(o.groupBy("market_id").agg(F.count(F.lit(1)).alias("no")), "market_id")
+              .join(pairs.groupBy("market_id").agg(F.max("micro").alias("high"), F.count(F.lit(1)).alias("cells")), "market_id"))
+    market = market.select("market_id", (F.col("nd") > F.col("no")).alias("flip"), F.least("nd", "no").alias("bidders"), F.greatest("nd", "no").alias("items"),
+                           F.when(F.col("cells") < F.col("nd") * F.col("no"), F.lit(NO_PAIR)).otherwise(F.col("high")).alias("top"))
+    market = stage(market.withColumn("rows", F.greatest(F.lit(1), F.floor(F.lit(block_cells) / F.col("items"))).cast("long")), "markets")
+    either = lambda a, b: F.when(F.col("flip"), F.col(a)).otherwise(F.col(b))
+    cells = pairs.join(d, ["market_id", "driver_id"]).join(o, ["market_id", "order_id"]).join(market, "market_id").select(
+        "market_id", F.floor(either("order", "driver") / F.col("rows")).cast("long").alias("block"), either("order", "driver").cast("long").alias("bidder"),
+        either("driver", "order").cast("long").alias("item"), "micro", "driver_id", "order_id")
+    cells = stage(cells, "cells")
+    blocks = stage(cells.select("market_id", "block").distinct(), "blocks")
+    state = market.select("market_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("items") - 1)).alias("item"))
+    state = stage(state.select("market_id", "item", F.lit(0).cast("decimal(38,0)").alias("price"), F.lit(FREE).cast("long").alias("owner")), "prices")
+    # Steps until the range of the scaled weights of every market has fallen to one.
+    reach = market.agg(F.max((F.col("top").cast("double") + 1) * F.pow(F.col("bidders") + F.col("items") + 1.0, F.lit(5)) * TIE)).first()[0]
+    phases = int(np.ceil(np.log(reach) / np.log(5))) + 1
+    schema = f"market_id {dict(pairs.dtypes)['market_id']}, item long, price string, owner long"
+    for phase in range(phases):
+        state = state.withColumn("owner", F.lit(FREE).cast("long"))
+        while True:
+            open_markets = state.where(F.col("owner") == FREE).select("market_id").distinct()
+            offered = state.join(open_markets, "market_id").join(market.drop("rows"), "market_id").join(blocks, "market_id")
+            bids = cells.join(open_markets, "market_id").select("market_id", "block", "bidder", "item", "micro").groupBy("market_id", "block").cogroup(
+                offered.withColumn("price", F.col("price").cast("string")).groupBy("market_id", "block")).applyInPandas(_block_bids(phase), schema)
+            won = bids.groupBy("market_id", "item").agg(F.max(F.struct(F.col("price").cast("decimal(38,0)").alias("price"), "owner")).alias("won"))
+            state = stage(state.join(won, ["market_id", "item"], "left").select(
+                "market_id", "item", F.coalesce("won.price", "price").alias("price"), F.coalesce("won.owner", "owner").alias("owner")), "prices")
+            if not state.where(F.col("owner") == FREE).limit(1).count():
+                break
+    met = state.where(F.col("owner") >= 0).select("market_id", "item", F.col("owner").alias("bidder"))
+    return cells.join(met, ["market_id", "item", "bidder"]).select("market_id", "driver_id", "order_id")
 
 
 # --- batching ---------------------------------------------------------------
@@ -336,7 +436,7 @@ def batch_candidates(pairs: DataFrame, orders: DataFrame, matched: DataFrame, pa
     """(seed, second order) pairs that beat serving both orders singly.
 
     The test does not depend on who holds the second order, so all of it is
-    relational; only the order of taking is left to :func:`take_batches`.
+    relational; the order of taking is left to :func:`take_batches`.
     """
     p = (params or DispatchParams()).clean()
     c = pairs.select("market_id", "driver_id", "order_id", "order_ix", "capacity", "total_cost").where(
@@ -356,41 +456,45 @@ def batch_candidates(pairs: DataFrame, orders: DataFrame, matched: DataFrame, pa
         "market_id", "driver_id", "order_id", "other_order_id", "other_ix", "owner_id", "savings", "other_cost")
 
 
-def _take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walk candidates in (market, seed, second order) order; each driver takes
-    the first one it may.  State is kept for the current market only."""
-    market, taken, busy, gone = None, set(), set(), set()
-    for pdf in batches:
-        keep = []
-        for i, (m, d, other, owner) in enumerate(zip(pdf["market_id"], pdf["driver_id"], pdf["other_order_id"], pdf["owner_id"])):
-            if m != market:
-                market, taken, busy, gone = m, set(), set(), set()
-            if d in gone or d in busy or other in taken or (owner is not None and owner in busy):
-                continue
-            taken.add(other)
-            busy.add(d)
-            if owner is not None:
-                gone.add(owner)
-            keep.append(i)
-        yield pdf.iloc[keep]
-
-
 def take_batches(candidates: DataFrame) -> DataFrame:
-    """Resolve who takes which second order, in driver order per market."""
-    cols = candidates.select("market_id", "driver_id", "order_id", "other_order_id", "other_ix", "owner_id", "savings", "other_cost")
-    ordered = spread(cols, "market_id").sortWithinPartitions("market_id", "driver_id", "order_id", "other_order_id", "other_ix")
-    return ordered.mapInPandas(_take, cols.schema)
+    """Who takes which second order: seeds decide in driver order within a
+    market, and each takes its first candidate that is still to be had.
+
+    A seed decides once no earlier undecided seed of its market touches an order
+    that it touches (its own or a candidate's), so all seeds without such a
+    conflict decide in one round, of every market together.  An order is gone
+    once taken; its owner may lose it only while the owner has taken none; a
+    driver whose order was taken takes none.
+    """
+    seed = F.struct("driver_id", "order_id")
+    left = stage(candidates.select("market_id", "driver_id", "order_id", "other_order_id", "other_ix", "owner_id", "savings", "other_cost"), "candidates")
+    schema = left.schema
+    taken: DataFrame | None = None
+    while left.limit(1).count():
+        touched = left.select("market_id", seed.alias("seed"), F.explode(F.array("order_id", "other_order_id")).alias("touched"))
+        first = touched.groupBy("market_id", "touched").agg(F.min("seed").alias("first"))
+        ready = touched.join(first, ["market_id", "touched"]).groupBy("market_id", "seed").agg(F.min(F.col("first") == F.col("seed")).alias("ready")).where("ready")
+        ready = stage(ready.select("market_id", "seed.driver_id", "seed.order_id"), "ready")
+        pick = F.min(F.struct("other_order_id", "other_ix", "owner_id", "savings", "other_cost")).alias("pick")
+        chosen = stage(left.join(ready, ["market_id", "driver_id", "order_id"]).groupBy("market_id", "driver_id", "order_id").agg(pick)
+                       .select("market_id", "driver_id", "order_id", "pick.*"), "taken")
+        taken = chosen if taken is None else taken.unionByName(chosen)
+        lost = chosen.where(F.col("owner_id").isNotNull()).select("market_id", F.col("owner_id").alias("driver_id"))
+        gone = ready.select("market_id", "driver_id").unionByName(lost).distinct()
+        left = left.join(gone, ["market_id", "driver_id"], "left_anti").join(chosen.select("market_id", "other_order_id"), ["market_id", "other_order_id"], "left_anti")
+        left = stage(left.join(chosen.select("market_id", F.col("driver_id").alias("owner_id")), ["market_id", "owner_id"], "left_anti").select(*schema.names), "candidates")
+    return left if taken is None else taken.select(*schema.names)
 
 
 def assign_orders(drivers: DataFrame, orders: DataFrame, params: DispatchParams | None = None,
-                  local_pair_limit: int = LOCAL_PAIR_LIMIT) -> dict[str, DataFrame]:
+                  task_cells: int = TASK_CELLS) -> dict[str, DataFrame]:
     """Whole dispatch.  Returns assignments, unassigned_drivers,
     unassigned_orders and diagnostics DataFrames."""
     p = (params or DispatchParams()).clean()
     d, o = normalize_drivers(drivers), normalize_orders(orders)
     d, o = stage(d, "drivers"), stage(o, "orders")
     pairs = stage(pair_costs(d, o, p), "pairs")
-    matched = stage(match_orders(pairs, local_pair_limit))
+    matched = stage(match_orders(pairs, task_cells))
     parts = ["pickup_minutes", "delivery_minutes", "parking_friction", "customer_wait_minutes", "prep_penalty"]
     detail = pairs.select("market_id", "driver_id", "order_id", "total_cost", "motion_multiplier", *parts)
     base = matched.join(detail, ["market_id", "driver_id", "order_id"])

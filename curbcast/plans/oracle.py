@@ -225,7 +225,7 @@ FROM (SELECT *, (south + north) / 2 AS cy, (west + east) / 2 AS cx, {dist('south
     "pick3": "SELECT * FROM (SELECT c.view_id, c.id, c.p_good, c.utility, sum(greatest(0e0, c.cov - u.cur)) AS gain, row_number() OVER (PARTITION BY c.view_id ORDER BY sum(greatest(0e0, c.cov - u.cur)) DESC, c.p_good DESC, c.utility DESC, c.ingest_ix) AS rn FROM cover c JOIN cur2 u ON u.view_id = c.view_id AND u.node = c.node AND u.source_type = c.source_type JOIN pick1 p ON p.view_id = c.view_id AND p.id <> c.id JOIN pick2 s ON s.view_id = c.view_id AND s.id <> c.id GROUP BY c.view_id, c.id, c.p_good, c.utility, c.ingest_ix) t WHERE rn = 1",
     "picks": "SELECT view_id, id, 1 AS pick, utility, gain, p_good FROM pick1 UNION ALL SELECT view_id, id, 2, utility, gain, p_good FROM pick2 UNION ALL SELECT view_id, id, 3, utility, gain, p_good FROM pick3",
 }
-RECURSIVE = ("grid_rows", "grid_cols")
+RECURSIVE = ("grid_rows", "grid_cols", "dispatch_dp", "batch_walk")
 
 
 def compose(body: str, extra: dict[str, str] | None = None) -> str:

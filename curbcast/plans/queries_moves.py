@@ -377,14 +377,55 @@ query("dsp_7_route_savings", _SAVE_Q, _SAVE)(lambda t: _savings(t).select("marke
 query("join_6_savings_pairs", _SAVE_Q, _SAVE)(lambda t: _savings(t).select("market_id", "order_id", "other_order_id", r6("savings")))
 
 
+# The matching by dynamic programming over a market's orders and the set of its used drivers, on the same integer weights.
+_TIE = dispatch.TIE
+_MATCH = {
+    **_SAVE,
+    "dranked": "SELECT market_id, id, row_number() OVER (PARTITION BY market_id ORDER BY id) - 1 AS dk, count(*) OVER (PARTITION BY market_id) AS nd FROM dd WHERE market_id IN (SELECT market_id FROM oo)",
+    "oranked": "SELECT market_id, id, row_number() OVER (PARTITION BY market_id ORDER BY id) - 1 AS ok, count(*) OVER (PARTITION BY market_id) AS num FROM oo WHERE market_id IN (SELECT market_id FROM dd)",
+    "cweight": f"""SELECT market_id, dk, ok, nd, num, CAST(floor(total * 1e6 + 5e-1) AS HUGEINT) * (k * ((nd * size + num) * mixed + mixed) + 1) + (dk * size + ok) * mixed + (dk * 7919 + ok * 104729 + dk * ok * 31) % {_TIE} AS w
+  FROM (SELECT c.market_id, d.dk, o.ok, d.nd, o.num, c.total, least(d.nd, o.num) AS k, d.nd + o.num + 1 AS size, {_TIE} * least(d.nd, o.num) + 1 AS mixed FROM cc c JOIN dranked d ON d.market_id = c.market_id AND d.id = c.driver_id JOIN oranked o ON o.market_id = c.market_id AND o.id = c.order_id) x""",
+    "dispatch_dp": """SELECT DISTINCT market_id, 0::BIGINT AS step, 0::BIGINT AS used, 0::HUGEINT AS w, '' AS picks FROM cweight UNION ALL
+  SELECT market_id, step, used, min(w), arg_min(picks, w) FROM (
+    SELECT p.market_id, p.step + 1 AS step, p.used, p.w, p.picks FROM dispatch_dp p JOIN oranked o ON o.market_id = p.market_id AND o.ok = p.step UNION ALL
+    SELECT p.market_id, p.step + 1, p.used | (1::BIGINT << c.dk), p.w + c.w, p.picks || c.dk || '=' || c.ok || ';' FROM dispatch_dp p JOIN cweight c ON c.market_id = p.market_id AND c.ok = p.step WHERE (p.used >> c.dk) & 1 = 0) GROUP BY market_id, step, used""",
+    "best_match": "SELECT p.market_id, arg_min(p.picks, p.w) AS picks FROM dispatch_dp p JOIN (SELECT DISTINCT market_id, nd, num FROM cweight) s ON s.market_id = p.market_id WHERE p.step = s.num AND bit_count(p.used) = least(s.nd, s.num) GROUP BY p.market_id",
+    "match_pairs": """SELECT c.market_id, c.driver_id, c.order_id, c.total, c.capacity FROM (SELECT market_id, CAST(string_split(pick, '=')[1] AS BIGINT) AS dk, CAST(string_split(pick, '=')[2] AS BIGINT) AS ok
+  FROM (SELECT market_id, unnest(string_split(rtrim(picks, ';'), ';')) AS pick FROM best_match) y) m JOIN dranked d ON d.market_id = m.market_id AND d.dk = m.dk JOIN oranked o ON o.market_id = m.market_id AND o.ok = m.ok
+  JOIN cc c ON c.market_id = m.market_id AND c.driver_id = d.id AND c.order_id = o.id""",
+}
+# Batches as a walk over a market's seeds in driver order, with lists of what is taken, busy and gone.
+_BATCH = {
+    **_MATCH,
+    "best_one": "SELECT market_id, order_id, min(total) AS best FROM cc GROUP BY market_id, order_id",
+    "batch_seeds": "SELECT market_id, driver_id, order_id, row_number() OVER (PARTITION BY market_id ORDER BY driver_id, order_id) AS place FROM match_pairs WHERE capacity >= 2",
+    "batch_cand": """SELECT s.market_id, s.place, s.driver_id, s.order_id, c.order_id AS other, w.driver_id AS owner, v.savings, c.total AS other_total FROM batch_seeds s
+  JOIN sv v ON v.market_id = s.market_id AND v.order_id = s.order_id JOIN cc c ON c.market_id = s.market_id AND c.driver_id = s.driver_id AND c.order_id = v.other_order_id
+  JOIN best_one b ON b.market_id = c.market_id AND b.order_id = c.order_id LEFT JOIN match_pairs w ON w.market_id = c.market_id AND w.order_id = c.order_id WHERE c.total - 5e-1 * v.savings < b.best - 1e-9""",
+    "batch_walk": """SELECT DISTINCT market_id, 0::BIGINT AS place, '' AS seed_driver, []::VARCHAR[] AS taken, []::VARCHAR[] AS busy, []::VARCHAR[] AS gone, NULL::VARCHAR AS other FROM batch_seeds UNION ALL
+  SELECT market_id, place, driver_id, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, CASE WHEN pick IS NULL THEN busy ELSE list_append(busy, driver_id) END, CASE WHEN loser IS NULL THEN gone ELSE list_append(gone, loser) END, pick FROM (
+    SELECT r.market_id, s.place, s.driver_id, r.taken, r.busy, r.gone, min(c.other) AS pick, arg_min_null(c.owner, c.other) AS loser
+    FROM batch_walk r JOIN batch_seeds s ON s.market_id = r.market_id AND s.place = r.place + 1
+    LEFT JOIN batch_cand c ON c.market_id = s.market_id AND c.place = s.place AND NOT list_contains(r.gone, s.driver_id) AND NOT list_contains(r.taken, c.other) AND (c.owner IS NULL OR NOT list_contains(r.busy, c.owner))
+    GROUP BY r.market_id, s.place, s.driver_id, r.taken, r.busy, r.gone) z""",
+    "batches": "SELECT b.market_id, b.driver_id, b.order_id, b.other, b.owner, b.savings, b.other_total FROM batch_walk w JOIN batch_cand b ON b.market_id = w.market_id AND b.place = w.place AND b.other = w.other",
+    "assigned": """SELECT m.market_id, m.driver_id, m.order_id, b.other, b.savings, m.total AS first_total, b.other_total FROM match_pairs m LEFT JOIN batches b ON b.market_id = m.market_id AND b.driver_id = m.driver_id
+  WHERE NOT EXISTS (SELECT 1 FROM batches x WHERE x.market_id = m.market_id AND x.owner = m.driver_id)""",
+}
+_USED = "(SELECT market_id, order_id FROM assigned UNION ALL SELECT market_id, other FROM assigned WHERE other IS NOT NULL)"
+_COUNTS = f"""SELECT k.market_id, (SELECT count(*) FROM drivers_v x WHERE x.market_id = k.market_id) AS driver_count, (SELECT count(*) FROM orders_v x WHERE x.market_id = k.market_id) AS order_count,
+  (SELECT count(*) FROM {_USED} x WHERE x.market_id = k.market_id) AS matched_count, (SELECT count(*) FROM assigned x WHERE x.market_id = k.market_id AND x.other IS NOT NULL) AS batched_count, true AS batching_enabled
+FROM (SELECT market_id FROM drivers_v UNION SELECT market_id FROM orders_v) k"""
+
+
 def _matched(t: Tables) -> DataFrame:
     return once(t, "_matched", lambda: dispatch.match_orders(_pairs(t)))
 
 
-@query("dsp_8_matching")
+@query("dsp_8_matching", f"SELECT market_id, driver_id, order_id, {rc('total', 'total_cost')} FROM match_pairs", _MATCH)
 def _(t: Tables) -> DataFrame:
-    m = _matched(t).join(_pairs(t).select("market_id", "driver_id", "order_id", "total_cost"), ["market_id", "driver_id", "order_id"])
-    return m.groupBy("market_id").agg(F.count(F.lit(1)).alias("matched"), F.sum("total_cost").alias("total_cost")).select("market_id", "matched", r6("total_cost"))
+    return _matched(t).join(_pairs(t).select("market_id", "driver_id", "order_id", "total_cost"), ["market_id", "driver_id", "order_id"]).select(
+        "market_id", "driver_id", "order_id", r6("total_cost"))
 
 
 def _dispatch(t: Tables) -> dict[str, DataFrame]:
@@ -393,23 +434,37 @@ def _dispatch(t: Tables) -> dict[str, DataFrame]:
     return t.__dict__["_dispatch"]
 
 
-@query("dsp_9_batched_dispatch")
+_PART = lambda c: f"{r(f'a.{c} + coalesce(b.{c}, 0)')}"
+
+
+@query("dsp_9_batched_dispatch", f"""SELECT s.market_id, s.driver_id, CASE WHEN s.other IS NULL THEN s.order_id ELSE s.order_id || ',' || s.other END AS order_ids,
+  {rc('s.first_total + coalesce(s.other_total, 0) - 5e-1 * coalesce(s.savings, 0)', 'total_cost')}, {r('a.pickup + coalesce(b.pickup, 0)')} AS pickup_minutes, {r('a.delivery + coalesce(b.delivery, 0)')} AS delivery_minutes,
+  {_PART('parking_friction')} AS parking_friction, {_PART('customer_wait_min')} AS customer_wait_minutes, {_PART('prep')} AS prep_penalty, a.mult AS motion_multiplier, {r('coalesce(s.savings, 0)')} AS shared_route_savings
+FROM assigned s JOIN cc a ON a.market_id = s.market_id AND a.driver_id = s.driver_id AND a.order_id = s.order_id LEFT JOIN cc b ON b.market_id = s.market_id AND b.driver_id = s.driver_id AND b.order_id = s.other""", _BATCH)
 def _(t: Tables) -> DataFrame:
-    return _dispatch(t)["assignments"].select("market_id", "driver_id", "order_ids", r6("total_cost"), "components")
+    part = lambda c: r6(f"components.{c}")
+    return _dispatch(t)["assignments"].select("market_id", "driver_id", F.concat_ws(",", "order_ids").alias("order_ids"), r6("total_cost"), *map(part, (
+        "pickup_minutes", "delivery_minutes", "parking_friction", "customer_wait_minutes", "prep_penalty", "shared_route_savings")), F.col("components.motion_multiplier").alias("motion_multiplier"))
 
 
-@query("dsp_10_dispatch_report", "SELECT d.market_id, (SELECT count(*) FROM drivers_v x WHERE x.market_id = d.market_id) AS driver_count, (SELECT count(*) FROM orders_v x WHERE x.market_id = d.market_id) AS order_count FROM (SELECT market_id FROM drivers_v UNION SELECT market_id FROM orders_v) d")
+@query("dsp_10_dispatch_report", f"""SELECT c.*, coalesce((SELECT string_agg(x.id, ',' ORDER BY x.id) FROM drivers_v x WHERE x.market_id = c.market_id AND NOT EXISTS (SELECT 1 FROM assigned a WHERE a.market_id = x.market_id AND a.driver_id = x.id)), '') AS unassigned_drivers,
+  coalesce((SELECT string_agg(x.id, ',' ORDER BY x.id) FROM orders_v x WHERE x.market_id = c.market_id AND NOT EXISTS (SELECT 1 FROM {_USED} a WHERE a.market_id = x.market_id AND a.order_id = x.id)), '') AS unassigned_orders FROM ({_COUNTS}) c""", _BATCH)
 def _(t: Tables) -> DataFrame:
-    return _dispatch(t)["diagnostics"].select("market_id", "driver_count", "order_count")
+    out = _dispatch(t)
+    listed = lambda df, name, to: df.groupBy("market_id").agg(F.concat_ws(",", F.sort_array(F.collect_list(name))).alias(to))
+    report = out["diagnostics"].join(listed(out["unassigned_drivers"], "driver_id", "unassigned_drivers"), "market_id", "left")
+    return report.join(listed(out["unassigned_orders"], "order_id", "unassigned_orders"), "market_id", "left").fillna("", ["unassigned_drivers", "unassigned_orders"])
 
 
-@query("agg_17_dispatch_diagnostics")
+@query("agg_17_dispatch_diagnostics", _COUNTS, _BATCH)
 def _(t: Tables) -> DataFrame:
     return _dispatch(t)["diagnostics"]
 
 
-query("join_15_unassigned_orders")(lambda t: _dispatch(t)["unassigned_orders"])
-query("set_3_unassigned_drivers")(lambda t: _dispatch(t)["unassigned_drivers"])
+query("join_15_unassigned_orders", f"SELECT o.market_id, o.id AS order_id FROM orders_v o WHERE NOT EXISTS (SELECT 1 FROM {_USED} a WHERE a.market_id = o.market_id AND a.order_id = o.id)", _BATCH)(
+    lambda t: _dispatch(t)["unassigned_orders"])
+query("set_3_unassigned_drivers", "SELECT d.market_id, d.id AS driver_id FROM drivers_v d WHERE NOT EXISTS (SELECT 1 FROM assigned a WHERE a.market_id = d.market_id AND a.driver_id = d.id)", _BATCH)(
+    lambda t: _dispatch(t)["unassigned_drivers"])
 
 
 @query("dsp_11_single_cost_report", f"SELECT d.market_id, d.id AS driver_id, o.id AS order_id, {r('c.total')} AS total_cost, c.total IS NOT NULL AS matched FROM drivers_v d JOIN orders_v o ON o.market_id = d.market_id LEFT JOIN cc c ON c.market_id = d.market_id AND c.driver_id = d.id AND c.order_id = o.id", _DSP)
@@ -422,7 +477,7 @@ def _(t: Tables) -> DataFrame:
     return rank.stable_order(_orders(t), ["market_id"], "order_id", "ingest_ix").select("market_id", "order_id", big("position"))
 
 
-@query("srt_6_seed_order")
+@query("srt_6_seed_order", "SELECT market_id, driver_id, order_id, row_number() OVER (PARTITION BY market_id ORDER BY driver_id, order_id) AS position FROM match_pairs", _MATCH)
 def _(t: Tables) -> DataFrame:
     return rank.stable_order(_matched(t), ["market_id"], "driver_id", "order_id").select("market_id", "driver_id", "order_id", big("position"))
 

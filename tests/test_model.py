@@ -4,6 +4,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,10 +161,58 @@ def test_matching_is_minimal(spark, nd, no):
     ds, os_ = sorted({k[0] for k in cost}), sorted({k[1] for k in cost})
     small, large, flip = (ds, os_, False) if nd <= no else (os_, ds, True)
     best = min(sum(cost[(b, a) if flip else (a, b)] for a, b in zip(small, perm)) for perm in itertools.permutations(large, len(small)))
-    for limit, tol in ((10_000, 1e-9), (0, 0.05 * len(small))):
-        m = dispatch.match_orders(pairs, local_pair_limit=limit, epsilon=0.05).collect()
-        assert len(m) == len(small) and len({r["driver_id"] for r in m}) == len({r["order_id"] for r in m}) == len(small)
-        assert sum(cost[(r["driver_id"], r["order_id"])] for r in m) == pytest.approx(best, abs=tol)
+    m = dispatch.match_orders(pairs).collect()
+    assert len(m) == len(small) and len({r["driver_id"] for r in m}) == len({r["order_id"] for r in m}) == len(small)
+    assert sum(cost[(r["driver_id"], r["order_id"])] for r in m) == pytest.approx(best, abs=1e-5)
+
+
+def _pairs_of(spark, costs):
+    rows = [(k, f"d{i:03d}", f"o{j:03d}", float(c)) for k, m in enumerate(costs) for i, row in enumerate(m) for j, c in enumerate(row) if c is not None]
+    return spark.createDataFrame(rows, "market_id bigint, driver_id string, order_id string, total_cost double")
+
+
+def test_matching_is_the_same_in_one_task_and_in_rounds(spark):
+    rnd = random.Random(8)
+    costs = [[[rnd.choice([0.0, 1.0, 2.5]) for _ in range(no)] for _ in range(nd)] for nd, no in ((1, 1), (3, 3), (2, 5), (5, 2), (4, 4), (6, 7))]    # ties
+    costs += [[[rnd.random() * 100 for _ in range(14)] for _ in range(9)], [[9.0, None, 3.0], [None, None, 2.0], [5.0, 1.0, 4.0]]]
+    pairs = _pairs_of(spark, costs).cache()
+    whole = {tuple(r) for r in dispatch.match_orders(pairs).collect()}
+    assert {tuple(r) for r in dispatch.match_orders(pairs, task_cells=20).collect()} == whole
+    assert len(whole) == 1 + 3 + 2 + 2 + 4 + 6 + 9 + 3
+    assert {(0, "d000", "o000"), (7, "d000", "o000"), (7, "d001", "o002"), (7, "d002", "o001")} <= whole
+
+
+def test_large_market_finishes_in_rounds(spark):
+    rng = np.random.default_rng(4)
+    grid = rng.random((300, 300)) * 60
+    pairs = _pairs_of(spark, [grid.tolist()]).cache()
+    total = lambda rows: sum(grid[int(r["driver_id"][1:]), int(r["order_id"][1:])] for r in rows)
+    alone, rounds = (dispatch.match_orders(pairs, task_cells=n).collect() for n in (90_000, 89_999))
+    assert {tuple(r) for r in alone} == {tuple(r) for r in rounds} and len(alone) == 300
+    assert total(alone) <= min(sum(grid[i, (i + k) % 300] for i in range(300)) for k in range(300))
+
+
+def test_batches_equal_a_walk_in_driver_order(spark):
+    rnd = random.Random(6)
+    rows = []
+    for market in range(40):
+        drivers = [f"d{i}" for i in range(rnd.randint(1, 9))]
+        orders = [f"o{i}" for i in range(len(drivers) + rnd.randint(0, 4))]
+        owner = dict(zip(rnd.sample(orders, len(drivers)), drivers))
+        own = {d: o for o, d in owner.items()}
+        for d in drivers:
+            rows += [(market, d, own[d], o, i, owner.get(o), rnd.random(), rnd.random()) for i, o in enumerate(orders) if o != own[d] and rnd.random() < 0.5]
+    got = dispatch.take_batches(spark.createDataFrame(rows, "market_id bigint, driver_id string, order_id string, other_order_id string, other_ix bigint, owner_id string, savings double, other_cost double"))
+    taken, busy, gone, want = set(), set(), set(), []
+    for m, d, o, other, ix, owner, s, c in sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3], r[4])):
+        if (m, d) in gone or (m, d) in busy or (m, other) in taken or (m, owner) in busy:
+            continue
+        taken.add((m, other))
+        busy.add((m, d))
+        gone.add((m, owner))
+        want.append((m, d, o, other, ix, owner, s, c))
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect()) and len(want) > 60
+    assert dispatch.take_batches(got.limit(0)).count() == 0
 
 
 def test_dispatch_accounts_for_every_row(spark):
