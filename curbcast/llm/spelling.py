@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..checkpoints import stage
+from ..operators.blocks import spread
 from .common import pick
 
 LEAST_LENGTH, LEAST_COUNT = 5, 3
@@ -73,11 +74,14 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     keyed = stage(vocabulary.withColumn("r", reduced("word", SYMBOLS)), "words")
     sizes = stage(keyed.groupBy("r").agg(F.count("*").alias("size")), "reduced")
     cool = sizes.where(F.col("size") <= MOST_WORDS).select("r")
-    met = cool.select("r", F.explode(neighbourhood("r", SYMBOLS)).alias("s")).join(cool.select(F.col("r").alias("s")), "s")
+    # Two reduced words would meet from both; the lesser one's neighbourhood is enough.
+    met = spread(cool, "r").select("r", F.explode(neighbourhood("r", SYMBOLS)).alias("s")).where("s >= r").join(cool.select(F.col("r").alias("s")), "s")
     left = keyed.select("r", "word", "n")
     right = keyed.select(F.col("r").alias("s"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     one_edit = F.levenshtein("word", "near", 1) == 1
-    plain = met.join(left, "r").join(right, "s").where(one_edit).select("word", "n", "near", "near_n")
+    plain = met.join(left, "r").join(right, "s").where(one_edit)
+    ways = F.array(F.struct("word", "n", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
+    plain = plain.select(F.explode(F.when(F.col("r") == F.col("s"), F.slice(ways, 1, 1)).otherwise(ways)).alias("pair")).select("pair.*")
     # Words behind a hot reduced word, against all words, over the finer alphabet; both directions.
     hot = keyed.join(sizes.where(F.col("size") > MOST_WORDS).select("r"), "r").select("word", "n", reduced("word", FINE_SYMBOLS).alias("f"))
     fine = hot.select("word", "n", F.explode(neighbourhood("f", FINE_SYMBOLS)).alias("f"))
