@@ -97,7 +97,8 @@ met AS (SELECT path, unit, template, license, sum(value * CAST(weight AS DOUBLE)
 scored AS (SELECT path, unit, license, max(round(dot / length, 6)) AS cosine FROM met JOIN lengths USING (path, unit) WHERE round(dot / length, 6) >= {licenses.LEAST_COSINE} GROUP BY ALL),
 best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY path, unit ORDER BY cosine DESC, license) = 1),
 own AS (SELECT path, license, cosine FROM best QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, unit, license) = 1),
-heads AS (SELECT f.dir, b.license, count(*) AS n FROM best b JOIN files f USING (path) WHERE b.unit = 0 GROUP BY ALL),
+noted AS (SELECT path, sum(length(regexp_replace(line, '[^\\p{{L}}\\p{{N}}]', '', 'g'))) AS letters FROM units GROUP BY path),
+heads AS (SELECT f.dir, o.license, count(*) AS n FROM own o JOIN files f USING (path) JOIN noted USING (path) WHERE noted.letters / length(regexp_replace(f.text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= {licenses.LEAST_SHARE} GROUP BY ALL),
 speaking AS (SELECT dir, license FROM heads QUALIFY row_number() OVER (PARTITION BY dir ORDER BY n DESC, license) = 1)
 SELECT f.doc_id, f.path, coalesce(o.license, s.license) AS license, o.cosine, o.license IS NOT NULL AS own, CASE WHEN o.license IS NULL THEN s.dir END AS from_dir
 FROM files f LEFT JOIN own o USING (path) LEFT JOIN speaking s ON s.dir = f.dir
