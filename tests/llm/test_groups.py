@@ -36,6 +36,24 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint"), spark).count() == 0
 
 
+# --- repeated and null ids
+
+def test_rows_of_one_id_stay_apart(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, base, "x"), (5, base, "y"), (5, "a text that nothing else is like at all", "z"), (None, base, "n"), (7, None, "t"), (5, base, "again")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, tag string")
+    assert sorted(r.tag for r in ngram_join.one_of_each(docs).collect()) == ["n", "t", "x", "z"]
+    items = spark.createDataFrame([(1, base)], "item_id bigint, text string")
+    assert sorted(r.tag for r in decontaminate.clean(docs, items).collect()) == ["t", "z"]
+
+
+def test_short_items_and_unspaced_scripts(spark):
+    items = spark.createDataFrame([(1, "abracadabra"), (2, "今天天气很好我们去公园"), (3, "open sesame"), (4, None), (5, "")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "hello there abracadabra world"), (2, "他说：今天天气很好，我们去公园。然后回家"), (3, "say open sesame twice"), (4, "nothing of it"), (5, "昨天下雨"), (6, None), (7, "abracadabras")], "doc_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()} == {(1, 1), (2, 2), (3, 3)}
+    assert {r.doc_id for r in decontaminate.clean(docs, items).collect()} == {4, 5, 6, 7}
+
+
 # --- n-gram join
 
 def brute_classes(rows, n=5, least=0.8):

@@ -99,21 +99,75 @@ def test_secrets_equal_brute_force(spark, docs, odd):
         assert secrets.base_spans(text) == brute_spans(text)
 
 
+RANKS = secrets.word_ranks()
+
+
 def test_guess_cost():
-    cost = secrets.guess_cost
+    cost = lambda v: secrets.guess_cost(v, RANKS)
     assert cost("password") < cost("P@ssw0rd") < cost("qwertyuiop") < cost("x9$Kq2!vLp")
     assert cost("aaaaaaaaaaaa") < 4 and cost("2024-01-31") < 6 and cost("") == 0
     assert cost("k7Qz" * 40) > 0 and cost("z" * 100_000) > 0
+    # Repeats and words of any length stay cheap, and the bound holds at every length.
+    assert cost("a" * 64) < cost("a" * 200) < 5 and cost("password" * 8) < cost("password" * 20) < 5
+    assert cost("qwertyuiopasdfg" + "letmein") < cost("x9$Kq2!vLpZ0rT") < cost("x9$Kq2!vLpZ0rT" * 2)
     # Never dearer than brute force over the whole value.
-    for v in ("hunter2", "correcthorse", "a1b2c3", "Zx81"):
+    for v in ("hunter2", "correcthorse", "a1b2c3", "Zx81", "Zx8-" * 30, "q0" * 90):
         assert cost(v) <= len(v) * np.log10(secrets._charset(v)) + 0.31
-    spans = secrets.guess_spans(t := "pwd is x9$Kq2!vLpZ; pwd is password1", [])
+    spans = secrets.guess_spans(t := "pwd is x9$Kq2!vLpZ; pwd is password1", [], RANKS)
     assert [t[a:b] for a, _, b in spans] == ["x9$Kq2!vLpZ"]
 
 
+def test_guess_cost_equals_all_cuts():
+    """The linear form against every span at every cut."""
+    random.seed(12)
+    parts = ["password", "qwerty", "asdf", "1234", "aaaa", "xyzxyz", "Zk", "9", "2021", "dragon", "!", "abcde"]
+
+    def slow(v):
+        n = len(v)
+        walks, series, repeats = secrets._runs(v)
+        known, brute = [0.0] + [np.inf] * n, [np.inf] * (n + 1)
+        single = np.log10(max(10, secrets._charset(v)))
+        for j in range(1, n + 1):
+            brute[j] = min(brute[j - 1] + single, known[j - 1] + single + 0.3)
+            for i in range(j):
+                span, k, costs = v[i:j], j - i, []
+                for form, extra in ((span.lower(), 0.0), (span.lower().translate(secrets.LEET), 0.5)):
+                    if form in RANKS and k >= 3:
+                        costs.append(RANKS[form] + extra + (0.3 if span != span.lower() else 0))
+                if 4 <= k <= 10 and secrets._DATE.match(span):
+                    costs.append(np.log10(365 * 120) if k > 6 else np.log10(120 * 12) if k > 4 else np.log10(120))
+                near = secrets._neighbours()
+                if k >= 3 and all(b in near.get(a, "") for a, b in zip(span.lower(), span.lower()[1:])):
+                    costs.append(np.log10(47) + k * np.log10(2.3))
+                if k >= 3 and any(all(ord(b) - ord(a) == d for a, b in zip(span, span[1:])) for d in (1, -1)):
+                    costs.append(np.log10(52 * k))
+                costs += [secrets.guess_cost(span[:z], RANKS) + np.log10(k // z) for z in range(1, min(secrets.LONGEST_BLOCK, k // 2) + 1) if k % z == 0 and span == span[:z] * (k // z)]
+                for c in costs:
+                    known[j] = min(known[j], min(known[i], brute[i]) + c + 0.3)
+        return min(known[n], brute[n])
+
+    for _ in range(60):
+        v = "".join(random.choice(parts) for _ in range(random.randint(1, 6)))
+        assert secrets.guess_cost(v, RANKS) == pytest.approx(slow(v), abs=1e-9), v
+
+
+def test_prose_is_left_alone(spark):
+    """Words of the corpus are no secrets, in any language; what stands as a value does not teach the model."""
+    prose = ["The token is broken again.", "my password is required here", "Das token is vertraulich, sagt der Bericht.", "The secret is happiness and patience."]
+    filler = "broken required vertraulich sagt bericht happiness patience again here " * 6
+    leaked = [(100 + k, "password: zqxvwkjhgf!a token is zqxvwkjhgfb") for k in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(prose)] + [(50, filler)] + leaked, "doc_id bigint, text string")
+    words = secrets.corpus_words(docs)
+    assert {"broken", "vertraulich", "happiness"} <= set(words) and not any(w.startswith("zqx") for w in words)
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(docs).collect()}
+    assert [masked[i] for i in range(4)] == prose and masked[50] == filler
+    assert all("zqxv" not in masked[d] for d, _ in leaked)
+    assert secrets.corpus_words(docs.limit(0)) == []
+
+
 def test_mask(odd):
     rows = {r.doc_id: r for r in secrets.mask_secrets(odd).collect()}
-    assert rows[11].text == "[secret] and pwd is [secret]" and rows[3].text is None and rows[11].key == "?" and secrets.mask("no") == "no"
+    assert rows[11].text == "[secret] and pwd is [secret]" and rows[3].text is None and rows[11].key == "?" and secrets.mask("no", RANKS) == "no"
     assert secrets.mask_secrets(odd).count() == odd.count()
 
 
@@ -122,12 +176,12 @@ def test_values_are_found_whole():
         for before, after in (('password = "', '"'), ("dbpassword='", "' x"), ("api_key: `", "`, next")):
             text = before + value + after
             base = secrets.base_spans(text)
-            assert base == brute_spans(text) and [text[a:b] for a, _, b in secrets.guess_spans(text, base)] == [value]
-            assert secrets.mask(text).endswith("[secret]" + after) and value[8:] not in secrets.mask(text)
-    assert secrets.mask("token=Zx81kQ2v$9Lp, and more") == "[secret], and more"
+            assert base == brute_spans(text) and [text[a:b] for a, _, b in secrets.guess_spans(text, base, RANKS)] == [value]
+            assert secrets.mask(text, RANKS).endswith("[secret]" + after) and value[8:] not in secrets.mask(text, RANKS)
+    assert secrets.mask("token=Zx81kQ2v$9Lp, and more", RANKS) == "[secret], and more"
     held = 'token: "abcdefgh12345"'                        # a base span holds it whole
-    assert secrets.guess_spans(held, secrets.base_spans(held)) == []
-    assert len(secrets.guess_spans("token=" * 50_000 + "!", [])) == 1
+    assert secrets.guess_spans(held, secrets.base_spans(held), RANKS) == []
+    assert len(secrets.guess_spans("token=" * 50_000 + "!", [], RANKS)) == 1
 
 
 # --- language
@@ -261,3 +315,17 @@ def test_queries_return_their_columns(spark):
     want = {"op5_language_id": {"doc_id", "held_out", "lang_pred", "score"}, "op9_toxicity": {"doc_id", "held_out", "score", "predicted"}}
     for name, columns in want.items():
         assert columns <= set(Q.queries()[name](spark, DATA).columns)
+
+
+def test_token_files_fit_any_vocabulary(spark, docs, odd, tmp_path):
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    assert token_file.bytes_an_id(vocabulary, 2) == 2 and token_file.bytes_an_id(vocabulary, 70_000) == 4
+    for name, table, end in (("a", docs, 2), ("b", odd, 70_000)):
+        path = str(tmp_path / name)
+        token_file.write_token_files(table, path, vocabulary, end, block_ids=500)
+        rows = token_file.read_token_files(spark, path, with_ids=True).collect()
+        assert all(r.ids[-1] == end for r in rows) and len(rows) == table.count()
+        some = [r.doc_id for r in rows if r.doc_id is not None][::3]
+        want = sorted((r.doc_id, list(r.ids)) for r in rows if r.doc_id in set(some))
+        got = sorted((r.doc_id, list(r.ids)) for r in token_file.look_up(spark, path, [*some, -5, 10**9]).collect())
+        assert got == want
