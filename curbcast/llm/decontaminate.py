@@ -17,10 +17,10 @@ by twice the item's length it is 1 for a whole copy and falls with every edit.
 
 The items are read in blocks of at most about ``BLOCK_WORDS`` words, and every
 block is held against all documents, so what is broadcast never grows with the
-data.  Defined results: null and empty texts hold nothing; an item of fewer
-than three words is found where all its words stand, one of a single word in
-texts of just that word; equal
-items are all reported; rows that repeat an id and text are one result.
+data.  Defined results: null and empty texts hold nothing; an item of one or two
+words is found where all its words stand; in scripts without spaces every letter
+is a word; equal items are all reported; rows that repeat an id and text are one
+result; cleaning goes by the text, so a null or repeated id changes nothing.
 """
 from __future__ import annotations
 
@@ -38,17 +38,21 @@ LEAST_SCORE = 0.4
 BLOCK_WORDS = 200_000
 MATCH, MISS, GAP = 2, 1, 1
 _NOT_WORD = re.compile(r"[\W_]+")
+# Scripts written without spaces: Thai, Lao, Tibetan, Burmese, Khmer, kana and Han; a letter is a word there.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def words_of(text: str | None) -> np.ndarray:
+    if text and _UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \g<0> ", text)
     return word_hashes(_NOT_WORD.sub(" ", text.lower()) if text else None)
 
 
-def pairs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the word pairs at distances one and two; a single word is paired with nothing."""
-    if words.size == 1:
-        words = np.append(words, U64(0))
+def pairs(words: np.ndarray, alone: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the word pairs at distances one and two, and of every word ``alone``."""
     found = [mix64(words[:-d] * U64(0x9E3779B97F4A7C15) + words[d:]) for d in (1, 2)]
+    if alone:
+        found.append(mix64(words + U64(1)))
     return np.concatenate([np.arange(g.size) for g in found]), np.concatenate(found)
 
 
@@ -60,7 +64,9 @@ class Seeds:
         self.length = np.array([w.size for w in self.words], int)
         self.need = np.maximum(1, np.ceil(least * self.length - 1e-9).astype(int) - 1)
         self.reach = np.ceil((3 - 2 * least) * self.length).astype(int) + 2
-        grams = [np.unique(pairs(w)[1], return_counts=True) for w in self.words]
+        # The seed of an item of one word is that word.
+        self.alone = bool((self.length == 1).any())
+        grams = [np.unique(pairs(w, w.size == 1)[1], return_counts=True) for w in self.words]
         owner = np.repeat(np.arange(len(grams)), [g.size for g, _ in grams])
         flat = np.concatenate([g for g, _ in grams]) if grams else np.empty(0, U64)
         order = np.argsort(flat, kind="stable")
@@ -81,7 +87,7 @@ class Seeds:
         """(places, seed numbers) of the seeds in a text."""
         if not words.size or not self.keys.size:
             return np.empty(0, int), np.empty(0, int)
-        places, grams = pairs(words)
+        places, grams = pairs(words, self.alone)
         some = np.flatnonzero(self.filter[(grams >> U64(64 - FILTER_BITS)).astype(np.int64)])
         places, grams = places[some], grams[some]
         at = np.minimum(np.searchsorted(self.keys, grams), self.keys.size - 1)
@@ -200,5 +206,6 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE,
 
 def clean(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a test item."""
-    held = contaminated(docs, items, least, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(held.hint("shuffle_hash"), id_col, "left_anti").select(*docs.columns)
+    keyed = docs.select(F.md5(F.col(text_col).cast("binary")).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    held = contaminated(keyed, items, least, "id", "text").select("doc_id").distinct().hint("shuffle_hash")
+    return docs.join(held, F.md5(F.col(text_col).cast("binary")) == held["doc_id"], "left_anti").select(*docs.columns)
