@@ -58,7 +58,7 @@ def signature(grams: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, grams, key, labels, sketch); key is null for a text without words."""
+    """(doc_id, text_key, grams, key, labels, sketch); key is null for a text without words."""
     def sign(batches: Batches) -> Batches:
         for batch in small_batches(batches):
             rows = []
@@ -71,9 +71,10 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
                 labels = signature(grams)
                 rows.append((grams.size, key, labels.tobytes(), np.packbits(labels & 1).tobytes()))
             columns = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]],
-                                             names=["doc_id", "grams", "key", "labels", "sketch"])
-    return docs.mapInArrow(sign, "doc_id bigint, grams int, key binary, labels binary, sketch binary")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]],
+                                             names=["doc_id", "text_key", "grams", "key", "labels", "sketch"])
+    keyed = docs.select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("text_key"))
+    return keyed.mapInArrow(sign, "doc_id bigint, text_key string, grams int, key binary, labels binary, sketch binary")
 
 
 def _candidates(units: DataFrame, shortest: int, least: float) -> DataFrame:
@@ -167,8 +168,9 @@ def _verified(units: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, recall: float = RECALL, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_links, kept): the smallest id of the class, other documents linked directly, and whether the row is its class's one."""
+                    text_col: str = "text", with_text_key: bool = False) -> DataFrame:
+    """(doc_id, class_id, n_links, kept[, text_key]): the smallest id of the class, other documents linked directly, and whether
+    the row is its class's one; ``text_key`` tells rows of one id apart by their text."""
     spark, rows = docs.sparkSession, pick(docs, doc_id=id_col, text=text_col)
     signed = stage(_signed(rows, n), "signed")
     usable = signed.where("key is not null and doc_id is not null")
@@ -189,13 +191,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, n: int = WO
     counts = links.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
     classes = components(links.where("b is not null").select("a", "b"), spark).withColumnRenamed("node", "rep")
     known = reps.select("key", "rep", "copies").join(counts, "rep", "left").join(classes, "rep", "left")
-    found = usable.select("doc_id", "key").join(known, "key")
-    found = found.select("doc_id", F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    alone = signed.where("key is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    named = ["text_key"] if with_text_key else []
+    found = usable.select("doc_id", "key", *named).join(known, "key")
+    found = found.select("doc_id", *named, F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    alone = signed.where("key is null or doc_id is null").select("doc_id", *named, F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    found = found.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    return found.select("doc_id", "class_id", "n_links", "kept", *named)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each class."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone.hint("shuffle_hash"), id_col, "left_anti").select(*docs.columns)
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, with_text_key=True).where("not kept").select(F.col("doc_id").alias("gone_id"), "text_key").distinct()
+    same = (F.col(id_col) == F.col("gone_id")) & (F.md5(F.col(text_col).cast("binary")) == gone["text_key"])
+    return docs.join(gone.hint("shuffle_hash"), same, "left_anti").select(*docs.columns)

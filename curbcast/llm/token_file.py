@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from bisect import bisect_left
 from array import array
 from functools import lru_cache
 
@@ -209,13 +210,20 @@ def _block(part: int, block: int, start: int, ids: list, raws: list[bytes], widt
             "first_id": first, "ids": flat.astype(f"<u{width}").tobytes(), **EliasFano.of(ends).cells("ends"), **EliasFano.of(known - first).cells("docs")}
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, width: int = 2, block_ids: int = BLOCK_IDS,
+def bytes_an_id(vocabulary: str, end_id: int) -> int:
+    """The width that holds every id of the vocabulary and the end id."""
+    return 2 if max([end_id, *_tokenizer(vocabulary).get_vocab().values()]) < 1 << 16 else 4
+
+
+def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, width: int | None = None, block_ids: int = BLOCK_IDS,
                       id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode all documents and write them in ascending id order.
 
     One range shuffle of the texts; blocks are cut as a sorted partition
     streams by, so memory is a batch and a block.
     """
+    width = width or bytes_an_id(vocabulary, end_id)
+
     def blocks(batches: Batches) -> Batches:
         from pyspark import TaskContext
         part, encoder, end = TaskContext.get().partitionId(), unit_encoder(vocabulary), np.array([end_id], "<u4").tobytes()
@@ -261,3 +269,32 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<bigint>" if with_ids else "")
     # As many rows as the write had tasks, which the session's settings bound.
     return blocks.join(F.broadcast(bases), "part").mapInPandas(documents, schema)
+
+
+def look_up(spark: SparkSession, path: str, wanted: list[int]) -> DataFrame:
+    """(doc_id, ids) of the documents with the ids of a short list, without unpacking a block.
+
+    A block's ids ascend, so ``select`` on its two sequences finds a document by
+    bisection and then the two ends between which its ids lie.
+    """
+    wanted = sorted(set(wanted))
+
+    def find(frames: Frames) -> Frames:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                docs, ends = EliasFano.from_cells(row, "docs"), EliasFano.from_cells(row, "ends")
+                at = bisect_left(wanted, row.first_id)
+                out: dict[str, list] = {"doc_id": [], "ids": []}
+                while docs.n and at < len(wanted) and wanted[at] <= row.first_id + docs.select(docs.n - 1):
+                    k = bisect_left(range(docs.n), wanted[at] - row.first_id, key=docs.select)
+                    while k < docs.n and docs.select(k) == wanted[at] - row.first_id:
+                        place = int(row.null_ids) + k
+                        begin = ends.select(place - 1) if place else 0
+                        out["doc_id"].append(wanted[at])
+                        out["ids"].append(np.frombuffer(row.ids, f"<u{row.width}")[begin:ends.select(place)].astype(np.int64).tolist())
+                        k += 1
+                    at += 1
+                if out["doc_id"]:
+                    yield pd.DataFrame(out)
+
+    return spark.read.schema(BLOCKS).parquet(path).mapInPandas(find, "doc_id bigint, ids array<bigint>")
