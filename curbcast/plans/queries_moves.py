@@ -11,7 +11,7 @@ from ..streaming import folds, jobs, readings
 from .oracle import c01, dist, heading, octant, pmod, r, rc, rint
 from .queries_field import _FRICTION, _NEAR_STEPS, _RANKED, _ranked_lots, _ring_sql, lots, once, scored_merchants
 from .registry import big, query, r6
-from .tables import Tables
+from .tables import TABLES, Tables
 
 H = 3600.0  # events of one device are hours apart, so tolerances are hours here
 HEADING = 6 * H
@@ -71,7 +71,10 @@ def _(t: Tables) -> DataFrame:
     return _sensor(t).select("event_id", r6(F.when(fresh, age), "age_s", 3), fresh.alias("is_fresh"))
 
 
-@query("str_4_heading_fusion", f"SELECT event_id, CASE WHEN is_fresh THEN s_heading WHEN gps_heading IS NOT NULL THEN {pmod('gps_heading')} ELSE CAST(event_id % 360 AS DOUBLE) END AS effective_heading, CASE WHEN is_fresh THEN 'sensor' WHEN gps_heading IS NOT NULL THEN 'gps' ELSE 'bearing' END AS heading_source FROM fresh", _ASOF)
+_FUSION_SQL = f"SELECT event_id, CASE WHEN is_fresh THEN s_heading WHEN gps_heading IS NOT NULL THEN {pmod('gps_heading')} ELSE CAST(event_id % 360 AS DOUBLE) END AS effective_heading, CASE WHEN is_fresh THEN 'sensor' WHEN gps_heading IS NOT NULL THEN 'gps' ELSE 'bearing' END AS heading_source FROM fresh"
+
+
+@query("str_4_heading_fusion", _FUSION_SQL, _ASOF)
 def _(t: Tables) -> DataFrame:
     acc = readings.accepted_readings(_readings(t)).select("device_id", "ts", F.col("heading").alias("sensor_heading"))
     f = _fixes(t).select("event_id", "device_id", "ts", F.col("gps_heading").alias("stored_heading"),
@@ -146,8 +149,11 @@ def _(t: Tables) -> DataFrame:
 _EMIT = f"(s.gps IS NOT NULL AND (p.e_gps IS NULL OR abs({pmod('s.gps - p.e_gps + 540')} - 180) >= 60 OR {dist('s.lat', 's.lon', 'p.e_lat', 'p.e_lon')} >= 6e3 OR abs(s.speed - p.e_speed) >= 1))"
 
 
-@query("str_8_change_gate", _recursive("s.gps IS NOT NULL AS emitted, s.gps AS e_gps, s.lat AS e_lat, s.lon AS e_lon, s.speed AS e_speed",
-       f"{_EMIT}, CASE WHEN s.gps IS NULL THEN NULL WHEN {_EMIT} THEN s.gps ELSE p.e_gps END, CASE WHEN {_EMIT} THEN s.lat ELSE p.e_lat END, CASE WHEN {_EMIT} THEN s.lon ELSE p.e_lon END, CASE WHEN {_EMIT} THEN s.speed ELSE p.e_speed END", "event_id, emitted"), _SEQ)
+_CHANGE_SQL = _recursive("s.gps IS NOT NULL AS emitted, s.gps AS e_gps, s.lat AS e_lat, s.lon AS e_lon, s.speed AS e_speed",
+       f"{_EMIT}, CASE WHEN s.gps IS NULL THEN NULL WHEN {_EMIT} THEN s.gps ELSE p.e_gps END, CASE WHEN {_EMIT} THEN s.lat ELSE p.e_lat END, CASE WHEN {_EMIT} THEN s.lon ELSE p.e_lon END, CASE WHEN {_EMIT} THEN s.speed ELSE p.e_speed END", "event_id, emitted")
+
+
+@query("str_8_change_gate", _CHANGE_SQL, _SEQ)
 def _(t: Tables) -> DataFrame:
     return folds.fold_sorted(_fold_in(t), "device_id", ["ts", "event_id"], ["gps_heading", "lat", "lon", "speed"], "emitted BOOLEAN", lambda: folds.change_step(60.0, 6000.0, 1.0)).select("event_id", "emitted")
 
@@ -157,10 +163,13 @@ _TAU = 6 * H * 1000
 _BLEND = pmod(f"p.stored + ({pmod(_TGT + ' - p.stored + 540')} - 180) * (1 - exp(-CASE WHEN p.last_t IS NULL THEN {_TAU} ELSE (s.t - p.last_t) * 1000 END / {_TAU}))")
 
 
-@query("str_5_heading_update", _recursive(
+_UPDATE_SQL = _recursive(
     f"CASE WHEN s.is_fresh THEN NULL ELSE {_TGT} END AS stored, CASE WHEN s.is_fresh THEN NULL WHEN s.gps IS NOT NULL THEN 'gps' WHEN s.course IS NOT NULL THEN 'course' END AS source, CASE WHEN NOT s.is_fresh AND {_TGT} IS NOT NULL THEN s.t END AS last_t",
     f"CASE WHEN s.is_fresh THEN p.stored WHEN {_TGT} IS NULL THEN NULL WHEN p.stored IS NULL THEN {_TGT} ELSE {_BLEND} END, CASE WHEN s.is_fresh THEN p.source WHEN s.gps IS NOT NULL THEN 'gps' WHEN s.course IS NOT NULL THEN 'course' END, CASE WHEN s.is_fresh OR {_TGT} IS NULL THEN p.last_t ELSE s.t END",
-    f"event_id, {r('stored', 4)} AS stored_heading, source AS stored_source"), _SEQ)
+    f"event_id, {r('stored', 4)} AS stored_heading, source AS stored_source")
+
+
+@query("str_5_heading_update", _UPDATE_SQL, _SEQ)
 def _(t: Tables) -> DataFrame:
     return folds.fold_sorted(_fold_in(t), "device_id", ["ts", "event_id"], ["t", "gps_heading", "course", "sensor_age"], "stored_heading DOUBLE, stored_source STRING",
                              lambda: folds.heading_step(HEADING, float(_TAU))).select("event_id", r6("stored_heading", digits=4), "stored_source")
@@ -171,24 +180,33 @@ _SM_ARC = pmod(f"({_SM_TGT}) - p.sm + 540") + " - 180"
 _SM = pmod(f"p.sm + ({_SM_ARC}) * CASE WHEN s.is_fresh THEN least(8.2e-1, 6.8e-1 + least(1.2e-1, abs({_SM_ARC}) / 360)) ELSE 1 - exp(-((s.t - p.last_t) * 1000) / {_TAU}) END")
 
 
-@query("str_6_circular_smoothing", _recursive(
+_SMOOTH_SQL = _recursive(
     f"{_SM_TGT} AS sm, CASE WHEN ({_SM_TGT}) IS NOT NULL THEN s.t END AS last_t",
-    f"CASE WHEN ({_SM_TGT}) IS NULL THEN NULL WHEN p.sm IS NULL THEN {_SM_TGT} ELSE {_SM} END, CASE WHEN ({_SM_TGT}) IS NULL THEN p.last_t ELSE s.t END", f"event_id, {r('sm', 4)} AS smoothed"), _SEQ)
+    f"CASE WHEN ({_SM_TGT}) IS NULL THEN NULL WHEN p.sm IS NULL THEN {_SM_TGT} ELSE {_SM} END, CASE WHEN ({_SM_TGT}) IS NULL THEN p.last_t ELSE s.t END", f"event_id, {r('sm', 4)} AS smoothed")
+
+
+@query("str_6_circular_smoothing", _SMOOTH_SQL, _SEQ)
 def _(t: Tables) -> DataFrame:
     df = _fold_in(t).withColumns({"target": F.coalesce("sensor_heading", "gps_heading"), "source": F.when(F.col("sensor_heading").isNotNull(), "sensor").otherwise("gps")})
     return folds.fold_sorted(df, "device_id", ["ts", "event_id"], ["t", "target", "source"], "smoothed DOUBLE",
                              lambda: folds.smoothing_step(gps_tau_ms=float(_TAU))).select("event_id", r6("smoothed", digits=4))
 
 
-@query("str_9_arrival_mode", _recursive("CASE WHEN s.remaining_m <= 260 THEN 'arrival' ELSE 'driver' END AS mode",
-       "CASE WHEN p.mode = 'driver' AND s.remaining_m <= 260 THEN 'arrival' WHEN p.mode = 'arrival' AND s.remaining_m >= 420 THEN 'driver' ELSE p.mode END", "event_id, mode"), _SEQ)
+_MODE_SQL = _recursive("CASE WHEN s.remaining_m <= 260 THEN 'arrival' ELSE 'driver' END AS mode",
+       "CASE WHEN p.mode = 'driver' AND s.remaining_m <= 260 THEN 'arrival' WHEN p.mode = 'arrival' AND s.remaining_m >= 420 THEN 'driver' ELSE p.mode END", "event_id, mode")
+
+
+@query("str_9_arrival_mode", _MODE_SQL, _SEQ)
 def _(t: Tables) -> DataFrame:
     """Between the two limits the last decisive row counts, so a carry-forward says it all."""
     d = _fixes(t).withColumn("decisive", F.when(F.col("remaining_m") <= 260, "arrival").when(F.col("remaining_m") >= 420, "driver"))
     return asof.carry_forward(d, "device_id", "ts", "event_id", "decisive", "m").select("event_id", F.coalesce("m", F.lit("driver")).alias("mode"))
 
 
-@query("str_13_no_repeats", "SELECT event_id, instruction IS DISTINCT FROM lag(instruction) OVER (PARTITION BY device_id ORDER BY ts, event_id) AS said FROM fixes_v WHERE instruction IS NOT NULL")
+_SAID_SQL = "SELECT event_id, instruction IS DISTINCT FROM lag(instruction) OVER (PARTITION BY device_id ORDER BY ts, event_id) AS said FROM fixes_v WHERE instruction IS NOT NULL"
+
+
+@query("str_13_no_repeats", _SAID_SQL)
 def _(t: Tables) -> DataFrame:
     d = t.local_fixes.where(F.col("instruction").isNotNull())
     p = asof.previous_row(d, "device_id", "ts", "event_id", ["instruction"])
@@ -212,12 +230,15 @@ def _run(df: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
-@query("src_11_fix_stream", "SELECT event_id, user_id AS device_id, greatest(5e0 + event_id % 60, 12e0) AS accuracy_m FROM events WHERE event_type NOT IN ('click', 'view')")
+def _from_events(t: Tables, events: DataFrame, name: str) -> DataFrame:
+    """A derived table over a stream of raw events, by its registered text."""
+    events.createOrReplaceTempView("landed_events")
+    return t.spark.sql(TABLES[name].replace("FROM events", "FROM landed_events").replace("VARCHAR(20)", "STRING"))
+
+
+@query("src_11_fix_stream", f"SELECT event_id, device_id, {rc('lat')}, {rc('lon')}, greatest(accuracy, 12e0) AS accuracy_m, accuracy <= 45 AS shows_circle, {pmod('gps_heading')} AS gps_heading, CASE WHEN speed IS NOT NULL THEN {r('greatest(speed, 0e0)')} END AS speed FROM fixes_v")
 def _(t: Tables) -> DataFrame:
-    s = _event_stream(t).where(~F.col("event_type").isin("click", "view")).select(
-        "event_id", F.col("user_id").alias("device_id"), "ts", F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), (5 + F.col("event_id") % 60).cast("double").alias("accuracy"),
-        F.lit(None).cast("double").alias("gps_heading"), F.col("value").alias("speed"))
-    return _run(readings.normalize_fixes(s)).select("event_id", "device_id", "accuracy_m")
+    return _run(readings.normalize_fixes(_from_events(t, _event_stream(t), "fixes_v"))).select("event_id", "device_id", r6("lat"), r6("lon"), "accuracy_m", "shows_circle", "gps_heading", r6("speed"))
 
 
 @query("src_12_reading_stream", "SELECT event_id, heading, heading_source FROM reads", _READ)
@@ -241,6 +262,76 @@ def _(t: Tables) -> DataFrame:
     return _run(out).select("event_id", "accepted")
 
 
+# --- ordered streams -----------------------------------------------------------
+
+_DELAY, _JITTER = "2 hours", 3000      # how late a row may come, and how far rows are moved here, in seconds
+
+
+def _shuffled_run(t: Tables, name: str, job, slices: int = 4) -> DataFrame:
+    """Run a job over raw events that land slice by slice and out of order.
+
+    A row lands with the slice of its time moved by up to fifty minutes either
+    way; a last heartbeat moves the watermark past everything.  One checkpoint
+    and one output serve all runs, each of which is a micro-batch of its own.
+    """
+    spark = t.spark
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    events, landed, out, ck = t.events, stage_path(spark, "events"), stage_path(spark, "stream"), stage_path(spark, "stream-ck")
+    moved = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 + F.pmod(F.xxhash64("event_id"), F.lit(2 * _JITTER)) - _JITTER
+    first, last = events.agg(F.min(moved), F.max(moved)).first()
+    part = F.least(F.lit(slices - 1), F.floor((moved - first) / max(1.0, last - first) * slices))
+    beat = events.limit(1)
+    for at in range(slices + 2):
+        if at < slices:
+            rows = events.where(part == at).repartition(2, F.xxhash64("event_id", "value"))
+        else:
+            late = F.timestamp_seconds(F.lit(last + (at - slices + 1) * 30 * 86400.0)).cast(events.schema["ts"].dataType)
+            rows = beat.withColumns({"event_id": F.lit(-1).cast(events.schema["event_id"].dataType), "user_id": F.lit(-1).cast(events.schema["user_id"].dataType), "event_type": F.lit("heartbeat"), "ts": late})
+        rows.write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(events.schema).parquet(landed).withColumn("ts", F.col("ts").cast("timestamp"))
+        df = job(stream)
+        df.writeStream.format("parquet").option("checkpointLocation", ck).option("path", out).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
+def _navigation(t: Tables) -> DataFrame:
+    def job(events: DataFrame) -> DataFrame:
+        fixes = readings.normalize_fixes(_from_events(t, events, "fixes_v")).withColumns({"is_fix": F.lit(True), "sensor_heading": F.lit(None).cast("double"), "map_bearing": (F.col("event_id") % 360).cast("double")})
+        raw = _from_events(t, events.where("event_type <> 'heartbeat'"), "readings_v")
+        sensor = readings.accepted_readings(readings.orientation_readings(raw)).select("event_id", "device_id", "ts", F.col("heading").alias("sensor_heading")).withColumn("is_fix", F.lit(False))
+        rows = fixes.unionByName(sensor, allowMissingColumns=True).withColumn("t", F.unix_micros("ts") / 1e6).select("event_id", "device_id", "ts", *folds.NAVIGATION_ROW)
+        # At one instant readings come before fixes.
+        return jobs.ordered_fold(rows, "device_id", ["ts", "is_fix", "event_id"], folds.NAVIGATION_ROW, folds.NAVIGATION, lambda: folds.navigation_step(
+            HEADING, float(_TAU), float(_TAU), reroute=(3000.0, 3 * H), change=(60.0, 6000.0, 1.0)), _DELAY, 86400.0)
+    return once(t, "_navigation", lambda: _shuffled_run(t, "navigation", job))
+
+
+def _as_stream(name: str, batch: str, steps: dict[str, str], cols, where: str = "true") -> None:
+    """The batch query's oracle, answered by the ordered stream; heartbeats have no event."""
+    query(name, batch, steps)(lambda t: _navigation(t).where("event_id >= 0").where(where).select("event_id", *cols()))
+
+
+_as_stream("str_2_course_stream", _COURSE_SQL, _PREV, lambda: [r6("course"), r6("moved_m", digits=3)])
+_as_stream("str_4_heading_fusion_stream", _FUSION_SQL, _ASOF, lambda: ["effective_heading", F.col("effective_source").alias("heading_source")])
+_as_stream("str_5_heading_update_stream", _UPDATE_SQL, _SEQ, lambda: [r6("stored_heading", digits=4), "stored_source"])
+_as_stream("str_6_circular_smoothing_stream", _SMOOTH_SQL, _SEQ, lambda: [r6("smoothed", digits=4)])
+_as_stream("str_8_change_gate_stream", _CHANGE_SQL, _SEQ, lambda: ["emitted"])
+_as_stream("str_9_arrival_mode_stream", _MODE_SQL, _SEQ, lambda: ["mode"])
+_as_stream("str_10_speed_carry_forward_stream", _CARRY, {}, lambda: [F.col("carried_speed").alias("carried")])
+_as_stream("str_13_no_repeats_stream", _SAID_SQL, {}, lambda: ["said"], where="instruction IS NOT NULL")
+
+
+@query("str_12_stale_stream", f"SELECT device_id, ts AS last_at, ts + INTERVAL {int(HEADING)} SECOND AS stale_at FROM (SELECT DISTINCT device_id, date_trunc('millisecond', ts) AS ts, date_trunc('millisecond', lead(ts) OVER (PARTITION BY device_id ORDER BY ts)) AS next_ts FROM accepted) x WHERE next_ts IS NULL OR epoch_ms(next_ts) - epoch_ms(ts) > {int(HEADING) * 1000}", _READ)
+def _(t: Tables) -> DataFrame:
+    """Readings that no other followed in time; the last one of a device is told by a timer alone."""
+    def job(events: DataFrame) -> DataFrame:
+        beat = events.where("event_type = 'heartbeat'").select(F.col("user_id").alias("device_id"), "ts")
+        sensor = readings.accepted_readings(readings.orientation_readings(_from_events(t, events, "readings_v"))).select("device_id", "ts")
+        return jobs.stale_readings(sensor.unionByName(beat), limit_s=HEADING, delay=_DELAY, bucket_s=86400.0)
+    out = _shuffled_run(t, "stale", job).where("device_id >= 0")
+    return out.select("device_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("last_at", "stale_at")])
+
+
 # --- history -------------------------------------------------------------------
 
 _HIST = "SELECT user_id, place_id, count(*) FILTER (kind = 'open') AS open_count, count(*) FILTER (kind = 'route') AS route_count, min(ts) AS first_seen_at, max(ts) AS last_opened_at, max(CASE WHEN kind = 'route' THEN ts END) AS last_route_at, arg_max(title, ts) AS title FROM history_v GROUP BY user_id, place_id"
@@ -272,7 +363,7 @@ def _history_store(t: Tables, stream: bool) -> DataFrame:
         return t.spark.read.parquet(out).select("user_id", "place_id", "open_count", "route_count")
     e = _event_stream(t).select("event_id", "user_id", (F.col("event_id") % 50).alias("place_id"), F.when(F.col("event_type") == "purchase", "route").otherwise("open").alias("kind"), "ts")
     jobs.write_history_stream(e, out, stage_path(t.spark, "history-ck"), 20).awaitTermination()
-    return t.spark.read.parquet(jobs.latest_version(t.spark, out)).select("user_id", "place_id", "open_count", "route_count")
+    return t.spark.read.parquet(out).select("user_id", "place_id", "open_count", "route_count")
 
 
 @query("prj_27_familiarity", f"SELECT user_id, place_id, CASE WHEN route_count >= 6 OR open_count >= 14 THEN 'Highly familiar' WHEN route_count >= 2 OR open_count >= 5 THEN 'Familiar' ELSE 'Fresh read' END AS familiarity, CASE WHEN s < 3600 THEN greatest(1, {rint('s / 60')}) || ' min ago' WHEN s < 86400 THEN greatest(1, {rint('s / 3600')}) || ' hr ago' ELSE greatest(1, {rint('s / 86400')}) || ' day ago' END AS opened_text FROM (SELECT *, epoch(TIMESTAMP '2024-02-01 00:00:00') - epoch(last_opened_at) AS s FROM hist) x", {"hist": _HIST})

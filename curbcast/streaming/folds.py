@@ -136,6 +136,51 @@ def repeat_step() -> Step:
     return step
 
 
+def _bearing(a_lat, a_lon, b_lat, b_lon) -> float:
+    a, b, turn = math.radians(a_lat), math.radians(b_lat), math.radians(b_lon - a_lon)
+    y, x = math.sin(turn) * math.cos(b), math.cos(a) * math.sin(b) - math.sin(a) * math.cos(b) * math.cos(turn)
+    return math.degrees(math.atan2(y, x)) % 360.0
+
+
+# Outputs of ``navigation_step``, and what it reads from a row.
+NAVIGATION = ("course DOUBLE, moved_m DOUBLE, effective_heading DOUBLE, effective_source STRING, stored_heading DOUBLE, stored_source STRING, "
+              "smoothed DOUBLE, accepted BOOLEAN, emitted BOOLEAN, mode STRING, carried_speed DOUBLE, said BOOLEAN")
+NAVIGATION_ROW = ("is_fix", "t", "lat", "lon", "gps_heading", "speed", "remaining_m", "instruction", "sensor_heading", "map_bearing")
+
+
+def navigation_step(max_sensor_age_s: float = 2.2, tau_ms: float = 300.0, gps_tau_ms: float = 140.0, least_move_m: float = 1.5, reroute: tuple[float, float] = (30.0, 4.0),
+                    change: tuple[float, float, float] = (0.12, 0.25, 0.05)) -> Step:
+    """Everything a device's live state needs, in one walk over its fixes and
+    accepted sensor readings.
+
+    A reading only updates the newest sensor heading and has no output.  A fix
+    yields course and distance from the fix before it, the fused heading (fresh
+    sensor, else the fix's own, else the map's bearing), the stored and smoothed
+    headings, both gates, the arrival mode, the last known speed and whether its
+    instruction is said.
+    """
+    steps = (heading_step(max_sensor_age_s, tau_ms), smoothing_step(gps_tau_ms=gps_tau_ms), reroute_step(*reroute), change_step(*change), arrival_step(), repeat_step())
+
+    def step(state, row):
+        is_fix, t, lat, lon, gps, speed, remaining, text, sensor, bearing = (_none(x) for x in row)
+        seen, before, spoken_speed, *parts = state if state is not None else (None, None, None, *[None] * len(steps))
+        if not is_fix:
+            return ((t, sensor), before, spoken_speed, *parts), None
+        age = t - seen[0] if seen is not None else None
+        fresh = age is not None and age <= max_sensor_age_s
+        gps = gps % 360.0 if gps is not None else None
+        moved = _dist(*before, lat, lon) if before is not None else None
+        course = _bearing(*before, lat, lon) if before is not None and moved >= least_move_m else None
+        speed = max(0.0, speed) if speed is not None else None
+        inputs = ((t, gps, course if gps is None else None, age), (t, seen[1] if fresh else gps, "sensor" if fresh else "gps"), (t, lat, lon), (gps, lat, lon, speed), (remaining,), (text,))
+        parts, outs = zip(*(one(part, given) for one, part, given in zip(steps, parts, inputs)))
+        spoken_speed = speed if speed is not None else spoken_speed
+        fused = (seen[1], "sensor") if fresh else (gps, "gps") if gps is not None else (bearing % 360.0, "bearing") if bearing is not None else (None, None)
+        (stored, source), (smoothed,), (accepted,), (emitted,), (mode,), (said,) = outs
+        return (seen, (lat, lon), spoken_speed, *parts), (course, moved, *fused, stored, source, smoothed, accepted, emitted, mode, spoken_speed, said)
+    return step
+
+
 def _out_schema(df: DataFrame, outputs: str) -> StructType:
     return StructType([*df.schema.fields, *[StructField(f.name, f.dataType, True) for f in _parse_datatype_string(outputs).fields]])
 

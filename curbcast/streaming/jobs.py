@@ -1,16 +1,19 @@
 """Structured Streaming jobs built from the same steps as the batch folds."""
 from __future__ import annotations
 
+import base64
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from ..operators.places import place_history
+from ..checkpoints import stage
 from .folds import Step
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -83,50 +86,221 @@ def fold_stream(df: DataFrame, key: str, order: Sequence[str], inputs: Sequence[
         outputStructType=schema, outputMode="Append", timeMode="EventTime" if late else "ProcessingTime" if ttl_ms is not None else "None")
 
 
-def history_stream(events: DataFrame) -> DataFrame:
-    """Streaming place history (update mode)."""
-    return place_history(events)
+def _pack(value: Any) -> str:
+    return base64.b64encode(pickle.dumps(value)).decode()
 
 
-def write_history_stream(events: DataFrame, target: str, checkpoint: str, limit: int = 240, available_now: bool = True) -> StreamingQuery:
-    """Keep the newest entries per user in a table.
+def _unpack(text: str) -> Any:
+    return pickle.loads(base64.b64decode(text))
+
+
+class OrderedProcessor(StatefulProcessor):
+    """Rows of a key in event-time order across micro-batches.
 
-    Each micro-batch carries whole entries of the changed (user, place) keys.
-    It is merged with the table by key, the newest entry wins, and the result
-    is written to a new version folder before the pointer moves, so a failed
-    batch leaves the last version readable and a replayed batch is idempotent.
+    Rows wait in map state, one entry a time bucket, until the watermark passes
+    the bucket's end and its timer fires; then nothing older can come, and the
+    bucket is sorted and handed on.  Python holds one Arrow chunk or one bucket,
+    whatever a micro-batch brings; state holds what the watermark's delay and a
+    bucket's length let wait.
     """
-    from ..operators.places import retain_newest
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch.withColumn("_prio", F.lit(1))
-        version = f"{target}/v={batch_id}"
-        last = latest_version(batch.sparkSession, target, before=batch_id)
-        if last is not None:
-            old = spark.read.parquet(last).withColumn("_prio", F.lit(0))
-            new = new.unionByName(old, allowMissingColumns=True)
-        cols = [c for c in new.columns if c not in ("user_id", "place_id", "_prio")]
-        merged = new.groupBy("user_id", "place_id").agg(F.max_by(F.struct(*cols), "_prio").alias("_r")).select(
-            "user_id", "place_id", "_r.*")
-        retain_newest(merged, limit).write.mode("overwrite").parquet(version)
-
-    w = history_stream(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(merge)
-    return (w.trigger(availableNow=True) if available_now else w).start()
 
+    def __init__(self, order: Sequence[str], ts: str, bucket_ms: int):
+        self.order, self.ts, self.bucket_ms = list(order), ts, bucket_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "bucket LONG", "chunks STRING")
+        self.state = handle.getValueState("state", "packed STRING")
+
+    def walk(self, key: Any, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
+
+    def quiet(self, key: Any, now: int) -> Iterator[pd.DataFrame]:
+        """A timer fired and no bucket was due."""
+        return iter([])
 
-def latest_version(spark, target: str, before: int | None = None) -> str | None:
-    """Newest complete version folder of a versioned table."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    best = None
-    for s in fs.listStatus(path):
-        name = s.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
-            n = int(name[2:])
-            if (before is None or n < before) and (best is None or n > best):
-                best = n
-    return None if best is None else f"{target}/v={best}"
+    def get(self) -> Any:
+        return _unpack(self.state.get()[0]) if self.state.exists() else None
+
+    def put(self, value: Any) -> None:
+        if value is None:
+            self.state.clear()
+        else:
+            self.state.update((_pack(value),))
+
+    def ms_of(self, rows: pd.DataFrame) -> pd.Series:
+        return rows[self.ts].map(lambda x: int(x.timestamp() * 1000))
+
+    def waiting_rows(self, bucket: int) -> pd.DataFrame:
+        chunks = self.waiting.getValue((bucket,))[0].split(",")
+        return pd.concat([_unpack(c) for c in chunks], ignore_index=True)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        for chunk in rows:
+            for bucket, part in chunk.groupby(self.ms_of(chunk) // self.bucket_ms):
+                at = (int(bucket),)
+                if self.waiting.containsKey(at):
+                    self.waiting.updateValue(at, (self.waiting.getValue(at)[0] + "," + _pack(part),))
+                else:
+                    self.waiting.updateValue(at, (_pack(part),))
+                    self.handle.registerTimer((int(bucket) + 1) * self.bucket_ms)
+        return iter([])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        due = sorted(b for (b,) in self.waiting.keys() if (b + 1) * self.bucket_ms <= now)
+        for bucket in due:
+            rows = self.waiting_rows(bucket).sort_values(self.order, kind="stable")
+            self.waiting.removeKey((bucket,))
+            yield from self.walk(key, rows)
+        if not due:
+            yield from self.quiet(key, now)
+
+    def close(self) -> None:
+        pass
+
+
+class OrderedFold(OrderedProcessor):
+    """A step over a key's rows in order; rows without output are dropped.
+
+    ``expire_ms`` of event time after its newest row a key's state ends.
+    """
+
+    def __init__(self, order: Sequence[str], inputs: Sequence[str], out_names: Sequence[str], step_factory: Callable[[], Step], ts: str, bucket_ms: int, expire_ms: int | None):
+        super().__init__(order, ts, bucket_ms)
+        self.inputs, self.out_names, self.step_factory, self.expire_ms = list(inputs), list(out_names), step_factory, expire_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.step = self.step_factory()
+
+    def walk(self, key: Any, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        newest, state = self.get() or (None, None)
+        stamps = self.ms_of(rows).tolist()
+        outs = []
+        for at, row in zip(stamps, rows[self.inputs].itertuples(index=False, name=None)):
+            if self.expire_ms is not None and newest is not None and at - newest > self.expire_ms:
+                state = None
+            state, out = self.step(state, row)
+            newest = at
+            outs.append(out)
+        self.put((newest, state))
+        if self.expire_ms is not None:
+            self.handle.registerTimer(newest + self.expire_ms + 1)
+        kept = [out is not None for out in outs]
+        if any(kept):
+            held = rows[kept]
+            yield pd.concat([held, pd.DataFrame([o for o in outs if o is not None], columns=self.out_names, index=held.index, dtype=object)], axis=1)
+
+    def quiet(self, key: Any, now: int) -> Iterator[pd.DataFrame]:
+        held = self.get()
+        if self.expire_ms is not None and held is not None and now > held[0] + self.expire_ms and next(iter(self.waiting.keys()), None) is None:
+            self.put(None)
+        return iter([])
+
+
+def ordered_fold(df: DataFrame, key: str, order: Sequence[str], inputs: Sequence[str], outputs: str, step_factory: Callable[[], Step], delay: str = "10 minutes",
+                 bucket_s: float = 60.0, ts: str = "ts", expire_s: float | None = None) -> DataFrame:
+    """Streaming form of ``fold_sorted`` that keeps order however rows arrive.
+
+    Rows at most ``delay`` late are put in their place; later ones are dropped.  A
+    row comes out once the watermark has passed the end of its time bucket, so
+    the latency is the delay and a bucket.
+    """
+    out = _parse_datatype_string(outputs)
+    schema = StructType([*df.schema.fields, *[StructField(f.name, f.dataType, True) for f in out.fields]])
+    fold = OrderedFold(order, inputs, [f.name for f in out.fields], step_factory, ts, int(bucket_s * 1000), None if expire_s is None else int(expire_s * 1000))
+    return df.withWatermark(ts, delay).groupBy(key).transformWithStateInPandas(statefulProcessor=fold, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+class StaleProcessor(OrderedProcessor):
+    """A row for every reading that no other follows in time."""
+
+    def __init__(self, key: str, ts: str, limit_ms: int, bucket_ms: int):
+        super().__init__([ts], ts, bucket_ms)
+        self.key, self.limit_ms = key, limit_ms
+
+    def row(self, key: Any, last: int) -> pd.DataFrame:
+        at = lambda ms: pd.Timestamp(ms, unit="ms")
+        return pd.DataFrame({self.key: [key[0]], "last_at": [at(last)], "stale_at": [at(last + self.limit_ms)]})
+
+    def walk(self, key: Any, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        last, told = self.get() or (None, True)
+        for at in self.ms_of(rows).tolist():
+            if not told and at - last > self.limit_ms:
+                yield self.row(key, last)
+            last, told = at, False
+        self.put((last, told))
+        self.handle.registerTimer(last + self.limit_ms + 1)
+
+    def quiet(self, key: Any, now: int) -> Iterator[pd.DataFrame]:
+        last, told = self.get() or (None, True)
+        if told or now <= last + self.limit_ms:
+            return
+        # The newest reading is stale unless one that still waits came in time.
+        ahead = [int(self.ms_of(self.waiting_rows(b)).min()) for (b,) in self.waiting.keys() if b * self.bucket_ms <= last + self.limit_ms]
+        if not ahead or min(ahead) - last > self.limit_ms:
+            self.put((last, True))
+            yield self.row(key, last)
+
+
+def stale_readings(readings: DataFrame, key: str = "device_id", ts: str = "ts", limit_s: float = 2.2, delay: str = "10 seconds", bucket_s: float = 10.0) -> DataFrame:
+    """(key, last_at, stale_at): one row when a key's newest reading turns stale,
+    set off by a timer, so it needs no further row of that key."""
+    schema = StructType([readings.schema[key], *_parse_datatype_string("last_at TIMESTAMP, stale_at TIMESTAMP").fields])
+    stale = StaleProcessor(key, ts, int(limit_s * 1000), int(bucket_s * 1000))
+    return readings.select(key, ts).withWatermark(ts, delay).groupBy(key).transformWithStateInPandas(statefulProcessor=stale, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+# --- history -----------------------------------------------------------------
+
+HISTORY_PARTS = 64
+
+
+def merge_history(batch: DataFrame, batch_id: int, target: str, limit: int, parts: int = HISTORY_PARTS) -> None:
+    """Add a micro-batch of raw events to the history table.
+
+    The table is laid out by a hash of the user and only the parts with a user of
+    this batch are read and written again.  Every row carries the batch that
+    wrote its part, so a batch that is run again leaves finished parts alone.
+    """
+    from ..operators.places import place_history, retain_newest
+    spark = batch.sparkSession
+    part = F.pmod(F.xxhash64("user_id"), F.lit(parts)).cast("int")
+    new = stage(place_history(batch).withColumn("part", part), "history")
+    changed = [r.part for r in new.select("part").distinct().collect()]      # at most ``parts``
+    if not changed:
+        return
+    old = read_history(spark, target, new)
+    if old is not None:
+        old = stage(old.where(F.col("part").isin(changed)), "history")
+        done = [r.part for r in old.where(F.col("batch") >= batch_id).select("part").distinct().collect()]
+        new, old = new.where(~F.col("part").isin(done)), old.where(~F.col("part").isin(done)).drop("batch")
+        new = new.unionByName(old, allowMissingColumns=True)
+    merged = combine_history(new)
+    kept = stage(retain_newest(merged, limit).withColumns({"batch": F.lit(batch_id).cast("long"), "part": part}), "history")
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(target)
+
+
+def combine_history(entries: DataFrame) -> DataFrame:
+    """Entries of one (user, place) added up."""
+    keep = {"open_count": F.sum("open_count"), "route_count": F.sum("route_count"), "first_seen_at": F.min("first_seen_at"), "last_opened_at": F.max("last_opened_at"), "last_route_at": F.max("last_route_at")}
+    rest = [c for c in entries.columns if c not in (*keep, "user_id", "place_id", "part")]
+    newest = [F.max_by(c, "last_opened_at").alias(c) for c in rest]
+    return entries.groupBy("user_id", "place_id").agg(*[c.alias(name) for name, c in keep.items()], *newest)
+
+
+def read_history(spark, target: str, like: DataFrame) -> DataFrame | None:
+    """The history table, or nothing before its first batch."""
+    try:
+        return spark.read.schema(StructType([*like.drop("part").schema.fields, *_parse_datatype_string("batch LONG, part INT").fields])).parquet(target)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+
+
+def write_history_stream(events: DataFrame, target: str, checkpoint: str, limit: int = 240, available_now: bool = True) -> StreamingQuery:
+    """Keep the newest entries per user in a table; the stream itself holds no state."""
+    w = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, batch_id: merge_history(batch, batch_id, target, limit))
+    return (w.trigger(availableNow=True) if available_now else w).start()

@@ -84,3 +84,73 @@ def test_lifetime_runs(spark, tmp_path):
     assert run(spark, tmp_path, [rows], ttl_ms=3_600_000) == batch(spark, rows)
     with pytest.raises(ValueError):
         jobs.fold_stream(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), "k", ["ts"], ["t"], "ok BOOLEAN", "t DOUBLE", folds.reroute_step, ttl_ms=1, expire_ms=1)
+
+
+# --- ordered folds, stale readings and the history table
+
+def land(spark, path, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def run_slices(spark, tmp_path, slices, schema, job, name):
+    """Each slice is a run of the same query: a micro-batch of its own."""
+    src = str(tmp_path / "in")
+    for rows in slices:
+        land(spark, src, rows, schema)
+        df = job(spark.readStream.schema(schema).parquet(src))
+        q = df.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    return spark.read.schema(df.schema).parquet(str(tmp_path / "out"))
+
+
+def test_order_across_micro_batches(spark, tmp_path, small_chunks):
+    """Rows that land a micro-batch too late are still walked in their place."""
+    rows = fixes(60)
+    slices = [[r for r in rows if (r[0] + 7 * (r[0] % 3)) // 25 == k] for k in range(4)]
+    assert all(max(a[0] for a in x) > min(b[0] for b in y) for x, y in zip(slices, slices[1:]) if x and y)
+    for s in slices:
+        random.Random(2).shuffle(s)
+    beats = [[(-1, "beat", T0 + timedelta(hours=h), 0.0, 34.0, -117.0)] for h in (5, 9)]
+    out = run_slices(spark, tmp_path, [s for s in slices if s] + beats, SCHEMA, lambda s: jobs.ordered_fold(
+        s, "k", ["ts", "id"], ["t", "lat", "lon"], "ok BOOLEAN", folds.reroute_step, "2 minutes", 10.0), "ordered")
+    assert {r["id"]: r["ok"] for r in out.where("id >= 0").collect()} == batch(spark, rows)
+
+
+def test_ordered_state_expires(spark, tmp_path):
+    rows = [(0, "k0", T0, 0.0, 34.0, -117.0), (1, "k0", T0 + timedelta(seconds=30), 30.0, 34.0, -117.0), (2, "k0", T0 + timedelta(minutes=30), 1800.0, 34.0, -117.0)]
+    beats = [[(-1, "beat", T0 + timedelta(hours=h), 0.0, 34.0, -117.0)] for h in (5, 9)]
+    out = run_slices(spark, tmp_path, [rows, *beats], SCHEMA, lambda s: jobs.ordered_fold(
+        s, "k", ["ts", "id"], ["t", "lat", "lon"], "ok BOOLEAN", folds.reroute_step, "1 minute", 10.0, expire_s=60.0), "expiry")
+    assert {r["id"]: r["ok"] for r in out.where("id >= 0").collect()} == {0: True, 1: False, 2: True}
+
+
+def test_a_timer_tells_stale_readings(spark, tmp_path):
+    at = lambda ms: T0 + timedelta(milliseconds=ms)
+    first = [("a", at(0)), ("a", at(2000)), ("a", at(9000)), ("b", at(500))]
+    late = [("a", at(10_500)), ("a", at(3000)), ("other", at(60_000))]
+    out = run_slices(spark, tmp_path, [first, late, [("other", at(3_600_000))], [("other", at(7_200_000))]], "device_id string, ts timestamp",
+                     lambda s: jobs.stale_readings(s, limit_s=2.2, delay="10 seconds", bucket_s=5.0), "stale")
+    got = sorted((r.device_id, round((r.last_at.timestamp() - T0.timestamp()) * 1000)) for r in out.collect() if r.device_id != "other")
+    assert got == [("a", 3000), ("a", 10_500), ("b", 500)]
+
+
+def test_history_rewrites_changed_parts_only(spark, tmp_path):
+    from curbcast.operators.places import place_history, retain_newest
+    schema = "event_id bigint, user_id bigint, place_id bigint, kind string, ts timestamp, title string"
+    rnd = random.Random(3)
+    rows = [(i, rnd.randrange(30), rnd.randrange(6), rnd.choice(["open", "route"]), T0 + timedelta(minutes=i), f"t{i}") for i in range(300)]
+    target = str(tmp_path / "table")
+    for n, part in enumerate((rows[:200], rows[200:])):
+        jobs.merge_history(spark.createDataFrame(part, schema), n, target, 240, 8)
+    again = spark.createDataFrame(rows[200:], schema)
+    jobs.merge_history(again, 1, target, 240, 8)                    # a batch that is run again changes nothing
+    cols = ["user_id", "place_id", "open_count", "route_count", "first_seen_at", "last_opened_at", "last_route_at", "title"]
+    want = place_history(spark.createDataFrame(rows, schema)).select(cols)
+    assert sorted(map(str, spark.read.parquet(target).select(cols).collect())) == sorted(map(str, want.collect()))
+    one = [(900, 3, 1, "open", T0 + timedelta(days=2), "new")]
+    before = {r.part for r in spark.read.parquet(target).where("batch = 1").select("part").distinct().collect()}
+    jobs.merge_history(spark.createDataFrame(one, schema), 2, target, 2, 8)
+    table = spark.read.parquet(target)
+    assert table.where("batch = 2").select("part").distinct().count() == 1 and table.where("batch < 2").count() > 0 and before
+    mine = table.where("user_id = 3").collect()
+    assert len(mine) == 2 and max(r.last_opened_at for r in mine) == max(r.last_opened_at for r in table.collect())
