@@ -174,18 +174,26 @@ _score_query("prj_17_full_score", lambda: [r6("p_good"), r6("p_any"), r6("qualit
              f"CASE WHEN model = 'glm' THEN {r('blend')} ELSE 1e0 END AS model_blend, CASE WHEN model = 'glm' THEN {r('conf')} ELSE 1e0 END AS model_confidence")
 
 
-@query("prj_21_score_labels", f"""SELECT view_id, id, CASE WHEN p_good >= 7.5e-1 THEN 'Excellent' WHEN p_good >= 5.8e-1 THEN 'Good' WHEN p_good >= 4.2e-1 THEN 'Decent' WHEN p_good >= 2.5e-1 THEN 'Thin' ELSE 'Weak' END AS signal,
+# Whole labels; the texts are fixed values.
+_N = "CAST(CAST(floor(effective_merchants + 5e-1) AS BIGINT) AS VARCHAR)"
+_PCT = lambda x: f"{rint(f'({x}) * 100')} || '%'"
+
+
+@query("prj_21_score_labels", f"""SELECT view_id, id, CASE WHEN p_good >= 7.5e-1 THEN 'Excellent area — strong local demand support' WHEN p_good >= 5.8e-1 THEN 'Good area — solid nearby demand' WHEN p_good >= 4.2e-1 THEN 'Decent area — moderate demand support'
+  WHEN p_good >= 2.5e-1 THEN 'Thin area — demand support is limited' ELSE 'Weak area — very little nearby demand support' END AS signal_label,
  '~' || {rint('expected_dist')} || 'm ' || CASE WHEN floor(expected_dist + 5e-1) <= 250 THEN 'to nearest merchant — very quick pickup' WHEN floor(expected_dist + 5e-1) <= 500 THEN 'avg pickup — short drive' WHEN floor(expected_dist + 5e-1) <= 900 THEN 'avg pickup — moderate drive' ELSE 'avg pickup — longer drive' END AS pickup_label,
- CASE WHEN mer_share >= 6.8e-1 THEN 'Merchant-led' WHEN res_share >= 4.2e-1 THEN 'Residential cushion' ELSE 'Balanced mix' END AS demand_mix, CASE WHEN sig_d >= 7e-1 THEN 'Heavy' WHEN sig_d >= 4.5e-1 THEN 'Moderate' ELSE 'Light' END AS crowding_label,
+ CASE WHEN mer_share >= 6.8e-1 THEN 'Merchant-led' WHEN res_share >= 4.2e-1 THEN 'Residential cushion' ELSE 'Balanced mix' END AS demand_mix,
+ CASE WHEN mer_share >= 6.8e-1 THEN {_PCT('mer_share')} || ' of the field is coming from nearby restaurants right now.' WHEN res_share >= 4.2e-1 THEN {_PCT('res_share')} || ' of the field is home-driven, which usually smooths out spikes.'
+  ELSE {_PCT('mer_share')} || ' merchant pull and ' || {_PCT('res_share')} || ' residential support are both contributing.' END AS demand_mix_detail,
+ CASE WHEN sig_d >= 7e-1 THEN 'Heavy' WHEN sig_d >= 4.5e-1 THEN 'Moderate' ELSE 'Light' END AS crowding_label,
  CASE WHEN floor(effective_merchants + 5e-1) >= 6 AND stability_width <= 1.6e-1 THEN 'deep' WHEN floor(effective_merchants + 5e-1) >= 3 THEN 'enough' ELSE 'thin' END AS support_depth,
- CASE WHEN floor(effective_merchants + 5e-1) < 1.5 OR stability_width > 3.4e-1 THEN 'Shaky' WHEN floor(effective_merchants + 5e-1) < 3 OR stability_width > 2.4e-1 THEN 'Somewhat' WHEN floor(effective_merchants + 5e-1) < 6 OR stability_width > 1.6e-1 THEN 'Fairly' ELSE 'Very' END AS stability,
- CASE WHEN floor(effective_merchants + 5e-1) < 2 OR p_good_high - p_good_low >= 2.8e-1 THEN 'Wide' WHEN floor(effective_merchants + 5e-1) < 4 OR p_good_high - p_good_low >= 1.8e-1 THEN 'Moderate' ELSE 'Tighter' END AS band,
+ CASE WHEN floor(effective_merchants + 5e-1) < 1.5 OR stability_width > 3.4e-1 THEN 'Shaky — only ~' || {_N} || ' merchant(s) contributing, score could swing a lot' WHEN floor(effective_merchants + 5e-1) < 3 OR stability_width > 2.4e-1 THEN 'Somewhat reliable — ~' || {_N} || ' merchants, but still limited'
+  WHEN floor(effective_merchants + 5e-1) < 6 OR stability_width > 1.6e-1 THEN 'Fairly stable — ~' || {_N} || ' merchants backing this score' ELSE 'Very stable — ~' || {_N} || ' merchants, score is well-supported' END AS stability_label,
+ CASE WHEN floor(effective_merchants + 5e-1) < 2 OR p_good_high - p_good_low >= 2.8e-1 THEN 'Wide range — limited support behind this estimate (about ' || {_N} || ' effective merchants).' WHEN floor(effective_merchants + 5e-1) < 4 OR p_good_high - p_good_low >= 1.8e-1 THEN 'Moderate range — the estimate has some support, but conditions can still move it.'
+  ELSE 'Tighter range — the visible merchant field is giving a steadier estimate.' END AS band_label,
  {rint('p_good_low * 100')} || '% - ' || {rint('p_good_high * 100')} || '%' AS range_text FROM parking_scores""")
 def _(t: Tables) -> DataFrame:
-    first = lambda c: F.substring_index(c, " ", 1)
-    return places.add_score_labels(lots(t)).select(
-        "view_id", "id", first("signal_label").alias("signal"), "pickup_label", "demand_mix", "crowding_label", "support_depth",
-        first("stability_label").alias("stability"), first("band_label").alias("band"), "range_text")
+    return places.add_score_labels(lots(t)).select("view_id", "id", "signal_label", "pickup_label", "demand_mix", "demand_mix_detail", "crowding_label", "support_depth", "stability_label", "band_label", "range_text")
 
 
 @query("prj_22_competition_pressure", f"SELECT view_id, id, {rc('p', 'pressure')}, CASE WHEN p >= 7.2e-1 THEN 'High' WHEN p >= 4.2e-1 THEN 'Moderate' ELSE 'Low' END AS label FROM (SELECT *, {c01('6.8e-1 * ' + c01('sig_d') + ' + 3.2e-1 * ' + c01('nearby_merchants / 8e0'))} AS p FROM parking_scores) x")
@@ -491,11 +499,15 @@ def _(t: Tables) -> DataFrame:
     return s.select("view_id", "point_id", "title", r6("p_good"), F.array_join(F.transform("likely", lambda x: x["id"]), ",").alias("likely_ids"))
 
 
-@query("prj_28_place_comparison", f"""SELECT view_id, point_id, b_id AS b_point_id, CASE WHEN abs(mins) >= 2 THEN 'drive' WHEN pts < 4 AND abs(gap) >= 120 THEN 'pickup' WHEN pts < 4 THEN 'tie' ELSE 'score' END AS decided_by, p_good >= b_p AS current_leads FROM
- (SELECT m.view_id, m.point_id, m.p_good, b.point_id AS b_id, b.p_good AS b_p, {rint('(m.ds - b.ds) / 60')} AS mins, {rint('abs(m.p_good - b.p_good) * 100')} AS pts, floor(b.expected_dist + 5e-1) - floor(m.expected_dist + 5e-1) AS gap FROM ds m JOIN (SELECT * FROM ds QUALIFY row_number() OVER (PARTITION BY view_id ORDER BY ingest_ix) = 1) b ON b.view_id = m.view_id WHERE m.point_id <> b.point_id) x""",
+@query("prj_28_place_comparison", f"""SELECT view_id, point_id, b_id AS b_point_id, CASE WHEN abs(mins) >= 2 THEN 'drive' WHEN pts < 4 AND abs(gap) >= 120 THEN 'pickup' WHEN pts < 4 THEN 'tie' ELSE 'score' END AS decided_by, p_good >= b_p AS current_leads,
+ CASE WHEN abs(mins) >= 2 THEN CASE WHEN mins < 0 THEN title ELSE b_title END || ' is about ' || CAST(abs(mins) AS VARCHAR) || ' min faster to drive than ' || CASE WHEN mins < 0 THEN b_title ELSE title END || ' from your current position.'
+  WHEN pts < 4 AND abs(gap) >= 120 THEN title || ' and ' || b_title || ' are close on raw score. ' || CASE WHEN gap > 0 THEN title ELSE b_title END || ' has the quicker pickup field right now.'
+  WHEN pts < 4 THEN title || ' and ' || b_title || ' are close on raw field score. Use pickup speed and route convenience to break the tie.'
+  ELSE CASE WHEN p_good > b_p THEN title ELSE b_title END || ' projects about ' || CAST(pts AS VARCHAR) || ' points stronger than ' || CASE WHEN p_good > b_p THEN b_title ELSE title END || ' on the current 10-minute field.' END AS summary FROM
+ (SELECT m.view_id, m.point_id, m.p_good, b.point_id AS b_id, b.p_good AS b_p, coalesce(m.name, 'Food place') AS title, coalesce(b.name, 'Food place') AS b_title, {rint('(m.ds - b.ds) / 60')} AS mins, {rint('abs(m.p_good - b.p_good) * 100')} AS pts, floor(b.expected_dist + 5e-1) - floor(m.expected_dist + 5e-1) AS gap FROM ds m JOIN (SELECT * FROM ds QUALIFY row_number() OVER (PARTITION BY view_id ORDER BY ingest_ix) = 1) b ON b.view_id = m.view_id WHERE m.point_id <> b.point_id) x""",
        {"ds": "SELECT *, CASE WHEN ingest_ix % 2 = 0 THEN 3e2 + (ingest_ix % 9) * 5e1 END AS ds FROM merchant_scores"})
 def _(t: Tables) -> DataFrame:
     s = scored_merchants(t).withColumn("title", F.coalesce("name", F.lit("Food place"))).withColumn(
         "drive_seconds", F.when(F.col("ingest_ix") % 2 == 0, 300.0 + (F.col("ingest_ix") % 9) * 50.0))
     base = s.groupBy("view_id").agg(F.min_by(F.struct("point_id", "title", "p_good", "expected_dist_m", "drive_seconds"), "ingest_ix").alias("b")).select("view_id", "b.*")
-    return places.compare_places(s, base).select("view_id", "point_id", "b_point_id", "decided_by", "current_leads")
+    return places.compare_places(s, base).select("view_id", "point_id", "b_point_id", "decided_by", "current_leads", "summary")

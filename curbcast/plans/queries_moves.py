@@ -402,9 +402,22 @@ def _orders(t: Tables) -> DataFrame:
     return once(t, "_norders", lambda: dispatch.normalize_orders(t.orders_derived))
 
 
-@query("prj_29_sanitized_inputs", "SELECT market_id, id AS driver_id, CASE lower(motion_state) WHEN 'parked' THEN 'parked' WHEN 'driving_away' THEN 'driving_away' WHEN 'high_speed' THEN 'high_speed' ELSE 'slow' END AS motion_state, CAST(capacity AS BIGINT) AS capacity, capacity >= 1 AS assignable FROM drivers_v")
+_DIRTY = {"alpha": float("nan"), "beta": -3.0, "mean_city_speed_mps": 0.01, "savings_weight": float("inf"), "late_penalty_weight": 2.5}
+_CLEAN = {"alpha": "1e0", "beta": "0e0", "mean_city_speed_mps": "1e-1", "savings_weight": "5e-1", "late_penalty_weight": "2.5e0", "pickup_buffer_min": "2e0"}
+
+
+@query("prj_29_sanitized_inputs", f"""SELECT market_id, 'driver' AS side, id, CASE lower(motion_state) WHEN 'parked' THEN 'parked' WHEN 'driving_away' THEN 'driving_away' WHEN 'high_speed' THEN 'high_speed' ELSE 'slow' END AS motion_state, CAST(capacity AS BIGINT) AS capacity, capacity >= 1 AS assignable,
+ heading_deg, speed_mps, available_at_min, NULL::DOUBLE AS prep_time_min, NULL::DOUBLE AS parking_friction, NULL::DOUBLE AS customer_wait_min, {rc('lat', 'lat')}, {rc('lon', 'lon')}, {', '.join(f'{v} AS {k}' for k, v in _CLEAN.items())} FROM drivers_v UNION ALL
+SELECT market_id, 'order', id, NULL, NULL, dropoff_lat IS NOT NULL, NULL, NULL, created_at_min, prep_time_min, parking_friction, customer_wait_min, {r('pickup_lat')}, {r('pickup_lon')}, {', '.join(_CLEAN.values())} FROM orders_v""")
 def _(t: Tables) -> DataFrame:
-    return _drivers(t).select("market_id", "driver_id", "motion_state", big("capacity"), "assignable")
+    """Drivers and orders after sanitising, with the parameters that hopeless ones become."""
+    p = dispatch.DispatchParams(**_DIRTY).clean()
+    none = lambda kind: F.lit(None).cast(kind)
+    d = _drivers(t).select("market_id", F.lit("driver").alias("side"), F.col("driver_id").alias("id"), "motion_state", big("capacity"), "assignable", "heading_deg", "speed_mps", "available_at_min",
+                           none("double").alias("prep_time_min"), none("double").alias("parking_friction"), none("double").alias("customer_wait_min"), r6("lat"), r6("lon"))
+    o = _orders(t).select("market_id", F.lit("order").alias("side"), F.col("order_id").alias("id"), none("string").alias("motion_state"), none("bigint").alias("capacity"), "assignable", none("double").alias("heading_deg"),
+                          none("double").alias("speed_mps"), F.col("created_at_min").alias("available_at_min"), "prep_time_min", "parking_friction", "customer_wait_min", r6("pickup_lat", "lat"), r6("pickup_lon", "lon"))
+    return d.unionByName(o).withColumns({k: F.lit(getattr(p, k)) for k in _CLEAN})
 
 
 @query("dsp_1_normalized_orders", f"SELECT market_id, id AS order_id, {rc('pickup_lat')}, prep_time_min, parking_friction, dropoff_lat IS NOT NULL AS assignable FROM orders_v")
@@ -703,8 +716,17 @@ def _(t: Tables) -> DataFrame:
     return routes.reroute_delta(_snapshot(t)).select("route_id", "delta_headline", "delta_tone")
 
 
-@query("rte_12_destinations", f"SELECT q.point_id, CASE WHEN m.merchant_id IS NULL THEN 'spot' ELSE 'restaurant' END AS destination_kind, coalesce(p.name, 'Selected spot') AS destination_title FROM routes_v q LEFT JOIN (SELECT q.view_id, q.point_id, arg_min(m.id, m.ingest_ix) AS merchant_id FROM routes_v q JOIN merchants_v m ON m.view_id = q.view_id AND {dist('q.lat', 'q.lon', 'm.lat', 'm.lon')} <= 40 GROUP BY ALL) m ON m.view_id = q.view_id AND m.point_id = q.point_id LEFT JOIN merchants_v p ON p.view_id = q.view_id AND p.id = m.merchant_id")
+_AT = f"(SELECT q.view_id, q.point_id, arg_min(m.id, m.ingest_ix) AS merchant_id FROM routes_v q JOIN merchants_v m ON m.view_id = q.view_id AND {dist('q.lat', 'q.lon', 'm.lat', 'm.lon')} <= 40 GROUP BY ALL)"
+
+
+@query("rte_12_destinations", f"""SELECT q.point_id, CASE WHEN q.route_id % 5 = 0 THEN 'saved' WHEN m.merchant_id IS NULL THEN 'spot' ELSE 'restaurant' END AS destination_kind,
+ coalesce(CASE WHEN q.route_id % 7 = 0 THEN 'Typed title' END, CASE WHEN q.route_id % 5 = 0 AND q.route_id % 10 = 0 THEN 'Saved ' || CAST(q.route_id AS VARCHAR) END, p.name, 'Selected spot') AS destination_title,
+ CASE WHEN q.route_id % 3 = 0 THEN (q.route_id % 100) / 1e2 WHEN q.route_id % 5 = 0 THEN (q.route_id % 50) / 5e1 END AS destination_p_good
+FROM routes_v q LEFT JOIN {_AT} m ON m.view_id = q.view_id AND m.point_id = q.point_id LEFT JOIN merchants_v p ON p.view_id = q.view_id AND p.id = m.merchant_id""")
 def _(t: Tables) -> DataFrame:
-    q = t.routes.select("view_id", "point_id", "lat", "lon", F.lit("").alias("title"))
-    none = scored_merchants(t).select("view_id", "point_id", "p_good")
-    return routes.resolve_destinations(q, t.merchants, none).select("point_id", "destination_kind", "destination_title")
+    """Every third route's point has a fresh score, every fifth a given state, some of them with a title."""
+    rid = F.col("route_id")
+    q = t.routes.select("view_id", "point_id", "lat", "lon", F.when(rid % 7 == 0, "Typed title").otherwise("").alias("title"))
+    fresh = t.routes.where(rid % 3 == 0).select("view_id", "point_id", ((rid % 100) / 100.0).alias("p_good"))
+    given = t.routes.where(rid % 5 == 0).select("view_id", "point_id", F.lit("saved").alias("given_kind"), F.when(rid % 10 == 0, F.concat(F.lit("Saved "), rid.cast("string"))).alias("given_title"), ((rid % 50) / 50.0).alias("given_p_good"))
+    return routes.resolve_destinations(q, t.merchants, fresh, given).select("point_id", "destination_kind", "destination_title", "destination_p_good")
