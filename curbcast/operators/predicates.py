@@ -104,3 +104,15 @@ def accuracy_radius(accuracy) -> Column:
 
 def shows_accuracy_circle(accuracy) -> Column:
     return accuracy_radius(accuracy) <= 45.0
+
+
+def cells_of(views: DataFrame, degrees: float) -> list[tuple[int, int]]:
+    """The layout cells that the boxes of the views touch; never more than the globe has."""
+    box = views.where(is_finite("south") & is_finite("north") & is_finite("west") & is_finite("east"))
+    crossing = F.col("west") > F.col("east")
+    spans = F.when(crossing, F.array(F.struct(F.col("west").alias("w"), F.lit(180.0).alias("e")), F.struct(F.lit(-180.0).alias("w"), F.col("east").alias("e")))).otherwise(
+        F.array(F.struct(F.col("west").alias("w"), F.col("east").alias("e"))))
+    at = lambda c: F.floor(c / degrees).cast("int")
+    rows = box.select("south", "north", F.explode(spans).alias("s")).select(
+        F.explode(F.sequence(at(F.col("south")), at(F.col("north")))).alias("y"), "s").select("y", F.explode(F.sequence(at(F.col("s.w")), at(F.col("s.e")))).alias("x"))
+    return sorted((r["y"], r["x"]) for r in rows.distinct().collect())

@@ -203,6 +203,33 @@ def _(t: Tables) -> DataFrame:
     return asof.carry_forward(d, "device_id", "ts", "event_id", "decisive", "m").select("event_id", F.coalesce("m", F.lit("driver")).alias("mode"))
 
 
+_CHOICE = {**_SEQ, "choices": "SELECT *, CASE event_id % 11 WHEN 3 THEN 'overview' WHEN 5 THEN 'arrival' WHEN 7 THEN 'driver' WHEN 9 THEN 'free' END AS chosen, CASE WHEN event_id % 13 <> 0 THEN remaining_m END AS route_m FROM seq"}
+_MODE_OF = "CASE WHEN {m} = 'driver' AND s.route_m <= 260 THEN 'arrival' WHEN {m} = 'arrival' AND {a} AND s.route_m >= 420 THEN 'driver' ELSE {m} END"
+_AUTO_OF = "CASE WHEN {m} = 'driver' AND s.route_m <= 260 THEN true WHEN {m} = 'arrival' AND {a} AND s.route_m >= 420 THEN true ELSE {a} END"
+_CHOSEN = {"m": "coalesce(s.chosen, p.mode)", "a": "(s.chosen IS NULL AND p.auto)"}
+_CHOSEN_FIRST = {"m": "coalesce(s.chosen, 'driver')", "a": "false"}
+
+
+@query("str_9_camera_modes", _recursive(f"{_MODE_OF.format(**_CHOSEN_FIRST)} AS mode, {_AUTO_OF.format(**_CHOSEN_FIRST)} AS auto", f"{_MODE_OF.format(**_CHOSEN)}, {_AUTO_OF.format(**_CHOSEN)}", "event_id, mode, auto").replace(" seq s", " choices s"), _CHOICE)
+def _(t: Tables) -> DataFrame:
+    """Modes chosen by hand, the automatic flag, and rows without a route."""
+    e = F.col("event_id") % 11
+    df = _fold_in(t).withColumns({"chosen": F.when(e == 3, "overview").when(e == 5, "arrival").when(e == 7, "driver").when(e == 9, "free"), "route_m": F.when(F.col("event_id") % 13 != 0, F.col("remaining_m"))})
+    return folds.fold_sorted(df, "device_id", ["ts", "event_id"], ["route_m", "chosen"], "mode STRING, auto BOOLEAN", folds.mode_step).select("event_id", "mode", "auto")
+
+
+_FUSED = "CASE WHEN s.is_fresh THEN s.s_heading ELSE s.gps END"
+_PASS = f"(({_FUSED}) IS NOT NULL AND (s.is_fresh OR p.e_gps IS NULL OR abs({pmod(f'({_FUSED}) - p.e_gps + 540')} - 180) >= 60 OR {dist('s.lat', 's.lon', 'p.e_lat', 'p.e_lon')} >= 6e3 OR abs(s.speed - p.e_speed) >= 1))"
+
+
+@query("str_8_change_gate_fused", _recursive(f"({_FUSED}) IS NOT NULL AS emitted, {_FUSED} AS e_gps, s.lat AS e_lat, s.lon AS e_lon, s.speed AS e_speed",
+       f"{_PASS}, CASE WHEN ({_FUSED}) IS NULL THEN NULL WHEN {_PASS} THEN {_FUSED} ELSE p.e_gps END, CASE WHEN {_PASS} THEN s.lat ELSE p.e_lat END, CASE WHEN {_PASS} THEN s.lon ELSE p.e_lon END, CASE WHEN {_PASS} THEN s.speed ELSE p.e_speed END", "event_id, emitted"), _SEQ)
+def _(t: Tables) -> DataFrame:
+    """The change gate over fused headings: a sensor heading passes always."""
+    df = _fold_in(t).withColumns({"fused": F.coalesce("sensor_heading", "gps_heading"), "source": F.when(F.col("sensor_heading").isNotNull(), "sensor").otherwise("gps")})
+    return folds.fold_sorted(df, "device_id", ["ts", "event_id"], ["fused", "lat", "lon", "speed", "source"], "emitted BOOLEAN", lambda: folds.change_step(60.0, 6000.0, 1.0)).select("event_id", "emitted")
+
+
 _SAID_SQL = "SELECT event_id, instruction IS DISTINCT FROM lag(instruction) OVER (PARTITION BY device_id ORDER BY ts, event_id) AS said FROM fixes_v WHERE instruction IS NOT NULL"
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..checkpoints import stage_path
 from ..operators import predicates
+from ..operators.hours import local_clock
 from ..operators.stats import upper_rank
 from ..sources import places as src
 from ..sources import routes as rsrc
@@ -203,3 +204,40 @@ def _(t: Tables) -> DataFrame:
     """Merchants in overlapping boxes; no view id is given."""
     wide = t.views.select("view_id", *[(F.col(c) + F.lit(d)).alias(c) for c, d in (("south", -0.04), ("north", 0.04), ("west", -0.04), ("east", 0.04))])
     return predicates.place_in_views(t.merchants.drop("view_id"), wide).select("view_id", "id")
+
+
+def _laid_out(t: Tables) -> str:
+    """All places, without any view id, laid out by cell."""
+    if "_laid_out" not in t.__dict__:
+        path = stage_path(t.spark, "places")
+        src.lay_out(_all_places(t).drop("view_id"), path)
+        t.__dict__["_laid_out"] = path
+    return t.__dict__["_laid_out"]
+
+
+def _wide_views(t: Tables) -> DataFrame:
+    return t.views.select("view_id", *[(F.col(c) + F.lit(d)).alias(c) for c, d in (("south", -0.04), ("north", 0.04), ("west", -0.04), ("east", 0.04))])
+
+
+_BY_PLACE = "SELECT v.view_id, m.id FROM {} m JOIN wide v ON m.lat BETWEEN v.south AND v.north AND m.lon BETWEEN v.west AND v.east"
+
+
+@query("src_2_parking_by_position", _BY_PLACE.format("parking_v"), {"wide": _WIDE})
+def _(t: Tables) -> DataFrame:
+    return src.read_in_views(t.spark, _laid_out(t), _wide_views(t), src.is_parking()).select("view_id", "id")
+
+
+@query("src_3_homes_by_position", _BY_PLACE.format("residential_v") + " WHERE m.building IS NOT NULL OR m.landuse = 'residential'", {"wide": _WIDE})
+def _(t: Tables) -> DataFrame:
+    home = src.is_residential(F.col("tags")["building"], F.col("tags")["landuse"])
+    return src.read_in_views(t.spark, _laid_out(t), _wide_views(t), home).select("view_id", "id")
+
+
+@query("flt_5_local_clock", """SELECT event_id, (dayofweek(local) + 6) % 7 AS weekday, hour(local) * 60 + minute(local) AS minute FROM (SELECT event_id, CAST(ts AS TIMESTAMP) + CASE event_id % 4 WHEN 0 THEN INTERVAL 0 MINUTE WHEN 1 THEN INTERVAL 330 MINUTE
+ WHEN 2 THEN INTERVAL 540 MINUTE ELSE INTERVAL (-420) MINUTE END AS local FROM events) x""")
+def _(t: Tables) -> DataFrame:
+    """Weekday and minute of day of every event in its own zone (zones without summer time)."""
+    zones = F.array(*[F.lit(z) for z in ("UTC", "Asia/Kolkata", "Asia/Tokyo", "America/Phoenix")])
+    e = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), zones[(F.col("event_id") % 4).cast("int")].alias("zone"))
+    day, minute = local_clock("ts", "zone")
+    return e.select("event_id", big(day, "weekday"), big(minute, "minute"))

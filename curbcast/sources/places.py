@@ -107,3 +107,34 @@ def union_anchors(map_anchors: DataFrame, census: DataFrame) -> DataFrame:
 
 __all__ = ["read_payloads", "flatten_elements", "promote_tags", "is_merchant", "is_parking", "is_residential",
            "scan_places", "census_anchors", "dataset_bounds", "census_in_views", "union_anchors"]
+
+
+CELL_DEGREES = 5.0          # at most 2 700 cells on the globe
+
+
+def lay_out(places: DataFrame, path: str, degrees: float = CELL_DEGREES) -> None:
+    """Write places by grid cell, so that a reader of some views opens their cells only."""
+    at = lambda name: F.floor(F.col(name) / degrees).cast("int")
+    laid = places.where(is_finite("lat") & is_finite("lon")).withColumns({"cell_y": at("lat"), "cell_x": at("lon")})
+    laid.repartition("cell_y", "cell_x").write.partitionBy("cell_y", "cell_x").parquet(path)
+
+
+def read_in_views(spark: SparkSession, path: str, views: DataFrame, predicate: Column, degrees: float = CELL_DEGREES) -> DataFrame:
+    """(view_id, place) of a kind in the boxes of views, from a table that ``lay_out`` wrote.
+
+    The cells of all boxes are a partition filter; the kind and the hull of the
+    boxes reach the scan, and the boxes themselves are met by position.
+    """
+    from ..operators.predicates import cells_of, place_in_views
+    cells = cells_of(views, degrees)
+    hull = views.agg(F.min("south"), F.max("north")).first()
+    rows: dict[int, list[int]] = {}
+    for y, x in cells:
+        rows.setdefault(y, []).append(x)
+    wanted = F.lit(False)
+    for y, xs in rows.items():
+        wanted = wanted | ((F.col("cell_y") == y) & F.col("cell_x").isin(xs))
+    found = spark.read.parquet(path).where(wanted & predicate)
+    if hull[0] is not None:
+        found = found.where(F.col("lat").between(hull[0], hull[1]))
+    return place_in_views(found.drop("cell_y", "cell_x"), views)

@@ -50,14 +50,15 @@ def reroute_step(min_m: float = 30.0, min_s: float = 4.0) -> Step:
 
 
 def change_step(min_deg: float = 0.12, min_m: float = 0.25, min_mps: float = 0.05) -> Step:
-    """Emit a row that differs enough from the last emitted one.
-    Row: (heading, lat, lon, speed); output: (emitted,)."""
+    """Emit a row that differs enough from the last emitted one; a heading from
+    the sensor is always emitted.
+    Row: (heading, lat, lon, speed[, source]); output: (emitted,)."""
     def step(state, row):
-        h, lat, lon, v = (_none(x) for x in row)
+        h, lat, lon, v = (_none(x) for x in row[:4])
         v = max(0.0, v) if v is not None else 0.0
         if h is None:
             return None, (False,)
-        if state is not None:
+        if state is not None and row[4:] != ("sensor",):
             turn = abs((h - state[0] + 540.0) % 360.0 - 180.0)
             if turn < min_deg and _dist(lat, lon, state[1], state[2]) < min_m and abs(v - state[3]) < min_mps:
                 return state, (False,)
@@ -126,6 +127,32 @@ def arrival_step(enter_m: float = 260.0, exit_m: float = 420.0) -> Step:
     return step
 
 
+# Modes that a route never leaves by itself.
+MANUAL_MODES = ("overview", "free", "browse")
+
+
+def mode_step(enter_m: float = 260.0, exit_m: float = 420.0) -> Step:
+    """Camera mode of a route with its automatic flag.
+
+    Row: (remaining_m, chosen); output: (mode, auto).  A chosen mode is set by
+    hand.  Then the route may enter arrival by itself, and leave it again only
+    if it entered by itself; without a route, and in overview, free and browse,
+    nothing changes.
+    """
+    def step(state, row):
+        remaining, chosen = _none(row[0]), row[1]
+        mode, auto = state if state is not None else ("driver", False)
+        if chosen is not None:
+            mode, auto = chosen, False
+        if remaining is not None and mode not in MANUAL_MODES:
+            if mode == "driver" and remaining <= enter_m:
+                mode, auto = "arrival", True
+            elif mode == "arrival" and auto and remaining >= exit_m:
+                mode, auto = "driver", True
+        return (mode, auto), (mode, auto)
+    return step
+
+
 def repeat_step() -> Step:
     """Say an instruction only when it differs from the last one said.
     Row: (text,); output: (said,)."""

@@ -344,6 +344,21 @@ def test_feature_files_are_read_back(spark, tmp_path):
             assert sorted(g["geometry"]["coordinates"] for g in got) == [[2.5, 1.5], [4.0, -3.0]]
 
 
+def test_views_open_only_their_cells(spark, tmp_path):
+    rnd = random.Random(21)
+    rows = [(f"p{i}", rnd.uniform(-80, 80), rnd.uniform(-180, 180), i % 2) for i in range(800)] + [("e", 10.0, 179.9, 1), ("w", 10.0, -179.9, 1), ("n", None, 3.0, 1)]
+    place_sources.lay_out(spark.createDataFrame(rows, "id string, lat double, lon double, kind int"), str(tmp_path / "cells"))
+    views = [(1, 30.0, 41.0, -20.0, 12.0), (2, -12.0, 1.0, 100.0, 101.0), (3, 5.0, 15.0, 178.0, -178.0)]
+    got = place_sources.read_in_views(spark, str(tmp_path / "cells"), spark.createDataFrame(views, "view_id int, south double, north double, west double, east double"), F.col("kind") == 1)
+    inside = lambda w, e, x: w <= x <= e if w <= e else x >= w or x <= e
+    want = {(v, i) for v, s, n, w, e in views for i, la, lo, k in rows if la is not None and k == 1 and s <= la <= n and inside(w, e, lo)}
+    assert {(r["view_id"], r["id"]) for r in got.collect()} == want and (3, "e") in want and (3, "w") in want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters"):].split("]")[0]
+    assert "cell_y" in filters and "cell_x" in filters
+    assert len(predicates.cells_of(spark.createDataFrame(views, "view_id int, south double, north double, west double, east double"), 5.0)) < 40
+
+
 def test_local_clock_of_an_instant_and_a_zone(spark):
     from datetime import datetime
     from zoneinfo import ZoneInfo
