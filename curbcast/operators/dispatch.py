@@ -474,13 +474,14 @@ def take_batches(candidates: DataFrame) -> DataFrame:
         touched = left.select("market_id", seed.alias("seed"), F.explode(F.array("order_id", "other_order_id")).alias("touched"))
         first = touched.groupBy("market_id", "touched").agg(F.min("seed").alias("first"))
         ready = touched.join(first, ["market_id", "touched"]).groupBy("market_id", "seed").agg(F.min(F.col("first") == F.col("seed")).alias("ready")).where("ready")
-        ready = stage(ready.select("market_id", "seed.driver_id", "seed.order_id"), "ready")
+        ready = ready.select("market_id", "seed.driver_id", "seed.order_id")
         pick = F.min(F.struct("other_order_id", "other_ix", "owner_id", "savings", "other_cost")).alias("pick")
         chosen = stage(left.join(ready, ["market_id", "driver_id", "order_id"]).groupBy("market_id", "driver_id", "order_id").agg(pick)
                        .select("market_id", "driver_id", "order_id", "pick.*"), "taken")
         taken = chosen if taken is None else taken.unionByName(chosen)
         lost = chosen.where(F.col("owner_id").isNotNull()).select("market_id", F.col("owner_id").alias("driver_id"))
-        gone = ready.select("market_id", "driver_id").unionByName(lost).distinct()
+        # What is left of a seed's candidates may all be had, so every seed that decides takes one.
+        gone = chosen.select("market_id", "driver_id").unionByName(lost).distinct()
         left = left.join(gone, ["market_id", "driver_id"], "left_anti").join(chosen.select("market_id", "other_order_id"), ["market_id", "other_order_id"], "left_anti")
         left = stage(left.join(chosen.select("market_id", F.col("driver_id").alias("owner_id")), ["market_id", "owner_id"], "left_anti").select(*schema.names), "candidates")
     return left if taken is None else taken.select(*schema.names)

@@ -1,4 +1,7 @@
-"""Place attributes, labels, comparison, friction and familiarity."""
+"""Place attributes, labels, comparison, friction and familiarity.
+
+The sentences and limits of the labels are fixed values.
+"""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F

@@ -17,11 +17,6 @@ PROMOTED = {"amenity": "amenity", "cuisine": "cuisine", "name": "name", "brand":
             "building": "building", "landuse": "landuse"}
 
 
-def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Landed JSON documents, one per file: column ``payload``."""
-    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "payload")
-
-
 def flatten_elements(payloads: DataFrame, payload: str = "payload", carry: tuple[str, ...] = ()) -> DataFrame:
     """Map extract documents to places: nodes keep their position, ways use
     their centre, everything else is dropped; ids get a type prefix."""
@@ -105,10 +100,6 @@ def union_anchors(map_anchors: DataFrame, census: DataFrame) -> DataFrame:
     return map_anchors.unionByName(census, allowMissingColumns=True)
 
 
-__all__ = ["read_payloads", "flatten_elements", "promote_tags", "is_merchant", "is_parking", "is_residential",
-           "scan_places", "census_anchors", "dataset_bounds", "census_in_views", "union_anchors"]
-
-
 CELL_DEGREES = 5.0          # at most 2 700 cells on the globe
 
 
@@ -138,3 +129,7 @@ def read_in_views(spark: SparkSession, path: str, views: DataFrame, predicate: C
     if hull[0] is not None:
         found = found.where(F.col("lat").between(hull[0], hull[1]))
     return place_in_views(found.drop("cell_y", "cell_x"), views)
+
+
+__all__ = ["flatten_elements", "promote_tags", "is_merchant", "is_parking", "is_residential",
+           "scan_places", "census_anchors", "dataset_bounds", "census_in_views", "union_anchors", "lay_out", "read_in_views"]
