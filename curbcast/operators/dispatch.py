@@ -471,13 +471,13 @@ def take_batches(candidates: DataFrame) -> DataFrame:
     schema = left.schema
     taken: DataFrame | None = None
     while left.limit(1).count():
-        touched = left.select("market_id", seed.alias("seed"), F.explode(F.array("order_id", "other_order_id")).alias("touched"))
-        first = touched.groupBy("market_id", "touched").agg(F.min("seed").alias("first"))
-        ready = touched.join(first, ["market_id", "touched"]).groupBy("market_id", "seed").agg(F.min(F.col("first") == F.col("seed")).alias("ready")).where("ready")
-        ready = ready.select("market_id", "seed.driver_id", "seed.order_id")
-        pick = F.min(F.struct("other_order_id", "other_ix", "owner_id", "savings", "other_cost")).alias("pick")
-        chosen = stage(left.join(ready, ["market_id", "driver_id", "order_id"]).groupBy("market_id", "driver_id", "order_id").agg(pick)
-                       .select("market_id", "driver_id", "order_id", "pick.*"), "taken")
+        candidate = F.struct("other_order_id", "other_ix", "owner_id", "savings", "other_cost")
+        touches = F.array(F.struct(F.col("order_id").alias("touched"), F.when(F.lit(False), candidate).alias("candidate")),
+                          F.struct(F.col("other_order_id").alias("touched"), candidate.alias("candidate")))
+        each = left.select("market_id", seed.alias("seed"), F.explode(touches).alias("t")).select("market_id", "seed", "t.*")
+        first = F.min("seed").over(Window.partitionBy("market_id", "touched")) == F.col("seed")
+        chosen = each.withColumn("first", first).groupBy("market_id", "seed").agg(F.min("first").alias("ready"), F.min("candidate").alias("pick")).where("ready")
+        chosen = stage(chosen.select("market_id", "seed.*", "pick.*"), "taken")
         taken = chosen if taken is None else taken.unionByName(chosen)
         lost = chosen.where(F.col("owner_id").isNotNull()).select("market_id", F.col("owner_id").alias("driver_id"))
         # What is left of a seed's candidates may all be had, so every seed that decides takes one.
