@@ -1,7 +1,6 @@
 """Structured Streaming jobs built from the same steps as the batch folds."""
 from __future__ import annotations
 
-import base64
 import pickle
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
@@ -10,8 +9,9 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import LongType, StructField, StructType, _parse_datatype_string
 
 from ..checkpoints import stage
 from .folds import Step
@@ -86,117 +86,116 @@ def fold_stream(df: DataFrame, key: str, order: Sequence[str], inputs: Sequence[
         outputStructType=schema, outputMode="Append", timeMode="EventTime" if late else "ProcessingTime" if ttl_ms is not None else "None")
 
 
-def _pack(value: Any) -> str:
-    return base64.b64encode(pickle.dumps(value)).decode()
+# Devices share this many state entries, so that Python is called once a part, not once a device, of a micro-batch.
+PARTS = 512
 
 
-def _unpack(text: str) -> Any:
-    return pickle.loads(base64.b64decode(text))
+class OrderedRows:
+    """Rows of every key in event-time order across micro-batches.
 
-
-class OrderedProcessor(StatefulProcessor):
-    """Rows of a key in event-time order across micro-batches.
-
-    Rows wait in map state, one entry a time bucket, until the watermark passes
-    the bucket's end and its timer fires; then nothing older can come, and the
-    bucket is sorted and handed on.  Python holds one Arrow chunk or one bucket,
-    whatever a micro-batch brings; state holds what the watermark's delay and a
-    bucket's length let wait.
+    Rows wait in state until the watermark passes the end of their time bucket;
+    then nothing older can come, and a key's rows are sorted and walked.  Keys are
+    dealt to parts by hash and a part is one state entry, which reaches Python in
+    the same Arrow batches as the rows: a call costs far more than a row.  State
+    holds what came within the watermark's delay and a bucket, plus a micro-batch;
+    the source's rate limit bounds the latter.  Times are whole micro-seconds.
     """
 
-    def __init__(self, order: Sequence[str], ts: str, bucket_ms: int):
-        self.order, self.ts, self.bucket_ms = list(order), ts, bucket_ms
+    def __init__(self, key: str, inputs: Sequence[str], outputs: Sequence[str], bucket_ms: int):
+        self.columns, self.outputs, self.bucket_ms = [key, *inputs], list(outputs), bucket_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "bucket LONG", "chunks STRING")
-        self.state = handle.getValueState("state", "packed STRING")
-
-    def walk(self, key: Any, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def at(self, row: tuple) -> int:
         raise NotImplementedError
 
-    def quiet(self, key: Any, now: int) -> Iterator[pd.DataFrame]:
-        """A timer fired and no bucket was due."""
-        return iter([])
-
-    def get(self) -> Any:
-        return _unpack(self.state.get()[0]) if self.state.exists() else None
-
-    def put(self, value: Any) -> None:
-        if value is None:
-            self.state.clear()
-        else:
-            self.state.update((_pack(value),))
-
-    def ms_of(self, rows: pd.DataFrame) -> pd.Series:
-        return rows[self.ts].map(lambda x: int(x.timestamp() * 1000))
-
-    def waiting_rows(self, bucket: int) -> pd.DataFrame:
-        chunks = self.waiting.getValue((bucket,))[0].split(",")
-        return pd.concat([_unpack(c) for c in chunks], ignore_index=True)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        for chunk in rows:
-            for bucket, part in chunk.groupby(self.ms_of(chunk) // self.bucket_ms):
-                at = (int(bucket),)
-                if self.waiting.containsKey(at):
-                    self.waiting.updateValue(at, (self.waiting.getValue(at)[0] + "," + _pack(part),))
-                else:
-                    self.waiting.updateValue(at, (_pack(part),))
-                    self.handle.registerTimer((int(bucket) + 1) * self.bucket_ms)
-        return iter([])
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        due = sorted(b for (b,) in self.waiting.keys() if (b + 1) * self.bucket_ms <= now)
-        for bucket in due:
-            rows = self.waiting_rows(bucket).sort_values(self.order, kind="stable")
-            self.waiting.removeKey((bucket,))
-            yield from self.walk(key, rows)
-        if not due:
-            yield from self.quiet(key, now)
-
-    def close(self) -> None:
-        pass
+    def order(self, row: tuple) -> Any:
+        raise NotImplementedError
 
+    def walk(self, key: Any, rows: list[tuple], held: Any) -> tuple[list[tuple], Any]:
+        """Outputs of rows that are due, in order, and what the key keeps."""
+        raise NotImplementedError
 
-class OrderedFold(OrderedProcessor):
+    def rest(self, key: Any, held: Any, waiting: list[tuple], now: int) -> tuple[list[tuple], Any, int | None]:
+        """Outputs without further rows, what is kept, and when (ms) to look again."""
+        return [], held, None
+
+    def __call__(self, part: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        keys = pickle.loads(state.get[0]) if state.exists else {}
+        if not state.hasTimedOut:
+            for chunk in chunks:
+                for key, *row in zip(*(chunk[c].tolist() for c in self.columns)):
+                    keys.setdefault(key if key == key else None, ([], None))[0].append(tuple(row))
+        now = state.getCurrentWatermarkMs()
+        ended = now // self.bucket_ms * self.bucket_ms * 1000
+        outs, timers = [], []
+        for key, (waiting, held) in list(keys.items()):
+            due = sorted((row for row in waiting if self.at(row) < ended), key=self.order)
+            if due:
+                waiting = [row for row in waiting if self.at(row) >= ended]
+                found, held = self.walk(key, due, held)
+                outs += found
+            found, held, again = self.rest(key, held, waiting, now)
+            outs += found
+            if waiting:
+                timers.append((min(map(self.at, waiting)) // (self.bucket_ms * 1000) + 1) * self.bucket_ms)
+            if again is not None:
+                timers.append(again)
+            if waiting or held is not None:
+                keys[key] = (waiting, held)
+            else:
+                del keys[key]
+        if keys:
+            state.update((pickle.dumps(keys, protocol=5),))
+            if timers:
+                state.setTimeoutTimestamp(max(now + 1, min(timers)))
+        elif state.exists:
+            state.remove()
+        if outs:
+            yield pd.DataFrame(outs, columns=self.outputs, dtype=object)
+
+
+def _sortable(value: Any) -> tuple:
+    """Nulls last, as pandas sorts."""
+    return (True, 0) if value is None or value != value else (False, value)
+
+
+class OrderedFold(OrderedRows):
     """A step over a key's rows in order; rows without output are dropped.
 
     ``expire_ms`` of event time after its newest row a key's state ends.
     """
 
-    def __init__(self, order: Sequence[str], inputs: Sequence[str], out_names: Sequence[str], step_factory: Callable[[], Step], ts: str, bucket_ms: int, expire_ms: int | None):
-        super().__init__(order, ts, bucket_ms)
-        self.inputs, self.out_names, self.step_factory, self.expire_ms = list(inputs), list(out_names), step_factory, expire_ms
+    def __init__(self, key: str, columns: Sequence[str], order: Sequence[str], inputs: Sequence[str], outputs: Sequence[str], at: str, step_factory: Callable[[], Step], bucket_ms: int, expire_ms: int | None):
+        super().__init__(key, columns, outputs, bucket_ms)
+        ix = list(columns).index
+        self.at_ix, self.order_ix, self.input_ix = ix(at), [ix(c) for c in order], [ix(c) for c in inputs]
+        self.step_factory, self.expire_us = step_factory, None if expire_ms is None else expire_ms * 1000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.step = self.step_factory()
+    def at(self, row: tuple) -> int:
+        return row[self.at_ix]
 
-    def walk(self, key: Any, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        newest, state = self.get() or (None, None)
-        stamps = self.ms_of(rows).tolist()
-        outs = []
-        for at, row in zip(stamps, rows[self.inputs].itertuples(index=False, name=None)):
-            if self.expire_ms is not None and newest is not None and at - newest > self.expire_ms:
+    def order(self, row: tuple) -> list:
+        return [_sortable(row[i]) for i in self.order_ix]
+
+    def walk(self, key: Any, rows: list[tuple], held: Any) -> tuple[list[tuple], Any]:
+        step, (newest, state), outs = self.step_factory(), held or (None, None), []
+        for row in rows:
+            if self.expire_us is not None and newest is not None and self.at(row) - newest > self.expire_us:
                 state = None
-            state, out = self.step(state, row)
-            newest = at
-            outs.append(out)
-        self.put((newest, state))
-        if self.expire_ms is not None:
-            self.handle.registerTimer(newest + self.expire_ms + 1)
-        kept = [out is not None for out in outs]
-        if any(kept):
-            held = rows[kept]
-            yield pd.concat([held, pd.DataFrame([o for o in outs if o is not None], columns=self.out_names, index=held.index, dtype=object)], axis=1)
-
-    def quiet(self, key: Any, now: int) -> Iterator[pd.DataFrame]:
-        held = self.get()
-        if self.expire_ms is not None and held is not None and now > held[0] + self.expire_ms and next(iter(self.waiting.keys()), None) is None:
-            self.put(None)
-        return iter([])
+            state, out = step(state, tuple(row[i] for i in self.input_ix))
+            newest = self.at(row)
+            if out is not None:
+                outs.append((key, *row, *out))
+        return outs, (newest, state)
+
+    def rest(self, key: Any, held: Any, waiting: list[tuple], now: int) -> tuple[list[tuple], Any, int | None]:
+        if self.expire_us is None or held is None or waiting:
+            return [], held, None
+        ends = (held[0] + self.expire_us) // 1000 + 1
+        return ([], None, None) if now > ends else ([], held, ends)
+
+
+def _ordered(df: DataFrame, key: str, job: OrderedRows, outputs: StructType) -> DataFrame:
+    return df.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(PARTS))).groupBy("_part").applyInPandasWithState(job, outputs, "packed BINARY", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ordered_fold(df: DataFrame, key: str, order: Sequence[str], inputs: Sequence[str], outputs: str, step_factory: Callable[[], Step], delay: str = "10 minutes",
@@ -207,49 +206,52 @@ def ordered_fold(df: DataFrame, key: str, order: Sequence[str], inputs: Sequence
     row comes out once the watermark has passed the end of its time bucket, so
     the latency is the delay and a bucket.
     """
-    out = _parse_datatype_string(outputs)
-    schema = StructType([*df.schema.fields, *[StructField(f.name, f.dataType, True) for f in out.fields]])
-    fold = OrderedFold(order, inputs, [f.name for f in out.fields], step_factory, ts, int(bucket_s * 1000), None if expire_s is None else int(expire_s * 1000))
-    return df.withWatermark(ts, delay).groupBy(key).transformWithStateInPandas(statefulProcessor=fold, outputStructType=schema, outputMode="Append", timeMode="EventTime")
-
-
-class StaleProcessor(OrderedProcessor):
-    """A row for every reading that no other follows in time."""
-
-    def __init__(self, key: str, ts: str, limit_ms: int, bucket_ms: int):
-        super().__init__([ts], ts, bucket_ms)
-        self.key, self.limit_ms = key, limit_ms
-
-    def row(self, key: Any, last: int) -> pd.DataFrame:
-        at = lambda ms: pd.Timestamp(ms, unit="ms")
-        return pd.DataFrame({self.key: [key[0]], "last_at": [at(last)], "stale_at": [at(last + self.limit_ms)]})
-
-    def walk(self, key: Any, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        last, told = self.get() or (None, True)
-        for at in self.ms_of(rows).tolist():
-            if not told and at - last > self.limit_ms:
-                yield self.row(key, last)
-            last, told = at, False
-        self.put((last, told))
-        self.handle.registerTimer(last + self.limit_ms + 1)
-
-    def quiet(self, key: Any, now: int) -> Iterator[pd.DataFrame]:
-        last, told = self.get() or (None, True)
-        if told or now <= last + self.limit_ms:
-            return
+    out, at = _parse_datatype_string(outputs), f"{ts}_us"
+    given = StructType([StructField(at, LongType(), True) if f.name == ts else f for f in df.schema.fields if f.name != key])
+    schema = StructType([df.schema[key], *given.fields, *[StructField(f.name, f.dataType, True) for f in out.fields]])
+    of = lambda names: [at if c == ts else c for c in names]
+    fold = OrderedFold(key, given.names, of(order), of(inputs), schema.names, at, step_factory, int(bucket_s * 1000), None if expire_s is None else int(expire_s * 1000))
+    found = _ordered(df.withWatermark(ts, delay).withColumn(at, F.unix_micros(ts)), key, fold, schema)
+    return found.select(*[F.timestamp_micros(at).alias(ts) if c == ts else c for c in [*df.columns, *out.names]])
+
+
+class StaleReadings(OrderedRows):
+    """A row for every reading that no other follows in time; rows are (micro-seconds,)."""
+
+    def __init__(self, key: str, limit_ms: int, bucket_ms: int):
+        super().__init__(key, ["at"], [key, "last_ms"], bucket_ms)
+        self.limit_ms = limit_ms
+
+    def at(self, row: tuple) -> int:
+        return row[0]
+
+    order = at
+
+    def walk(self, key: Any, rows: list[tuple], held: Any) -> tuple[list[tuple], Any]:
+        (last, told), outs = held or (None, True), []
+        for (us,) in rows:
+            if not told and us // 1000 - last > self.limit_ms:
+                outs.append((key, last))
+            last, told = us // 1000, False
+        return outs, (last, told)
+
+    def rest(self, key: Any, held: Any, waiting: list[tuple], now: int) -> tuple[list[tuple], Any, int | None]:
+        last, told = held or (None, True)
+        if told:
+            return [], held, None
         # The newest reading is stale unless one that still waits came in time.
-        ahead = [int(self.ms_of(self.waiting_rows(b)).min()) for (b,) in self.waiting.keys() if b * self.bucket_ms <= last + self.limit_ms]
-        if not ahead or min(ahead) - last > self.limit_ms:
-            self.put((last, True))
-            yield self.row(key, last)
+        if waiting and min(waiting)[0] // 1000 - last <= self.limit_ms:
+            return [], held, None
+        return ([(key, last)], (last, True), None) if now > last + self.limit_ms else ([], held, last + self.limit_ms + 1)
 
 
 def stale_readings(readings: DataFrame, key: str = "device_id", ts: str = "ts", limit_s: float = 2.2, delay: str = "10 seconds", bucket_s: float = 10.0) -> DataFrame:
     """(key, last_at, stale_at): one row when a key's newest reading turns stale,
     set off by a timer, so it needs no further row of that key."""
-    schema = StructType([readings.schema[key], *_parse_datatype_string("last_at TIMESTAMP, stale_at TIMESTAMP").fields])
-    stale = StaleProcessor(key, ts, int(limit_s * 1000), int(bucket_s * 1000))
-    return readings.select(key, ts).withWatermark(ts, delay).groupBy(key).transformWithStateInPandas(statefulProcessor=stale, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    limit_ms = int(limit_s * 1000)
+    rows = readings.select(key, ts).withWatermark(ts, delay).withColumn("at", F.unix_micros(ts))
+    found = _ordered(rows, key, StaleReadings(key, limit_ms, int(bucket_s * 1000)), StructType([readings.schema[key], StructField("last_ms", LongType(), True)]))
+    return found.select(key, F.timestamp_millis("last_ms").alias("last_at"), F.timestamp_millis(F.col("last_ms") + limit_ms).alias("stale_at"))
 
 
 # --- history -----------------------------------------------------------------

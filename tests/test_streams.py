@@ -154,3 +154,22 @@ def test_history_rewrites_changed_parts_only(spark, tmp_path):
     assert table.where("batch = 2").select("part").distinct().count() == 1 and table.where("batch < 2").count() > 0 and before
     mine = table.where("user_id = 3").collect()
     assert len(mine) == 2 and max(r.last_opened_at for r in mine) == max(r.last_opened_at for r in table.collect())
+
+
+def test_many_devices_share_a_part(spark, tmp_path, monkeypatch):
+    """State entries and calls into Python are counted by parts, not by devices; each device keeps its own order and state."""
+    monkeypatch.setattr(jobs, "PARTS", 4)
+    rows = fixes(120, keys=40)
+    mixed = rows[:]
+    random.Random(5).shuffle(mixed)
+    schema, src = SCHEMA, str(tmp_path / "in")
+    beats = [[(-1, "beat", T0 + timedelta(hours=h), 0.0, 34.0, -117.0)] for h in (5, 9)]
+    counts = []
+    for part in (mixed[:60], mixed[60:], *beats):
+        land(spark, src, part, schema)
+        out = jobs.ordered_fold(spark.readStream.schema(schema).parquet(src), "k", ["ts", "id"], ["t", "lat", "lon"], "ok BOOLEAN", folds.reroute_step, "10 minutes", 10.0)
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        counts += [o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]]
+    got = {r["id"]: r["ok"] for r in spark.read.schema(out.schema).parquet(str(tmp_path / "out")).where("id >= 0").collect()}
+    assert got == batch(spark, rows) and 0 < max(counts) <= 4
