@@ -51,6 +51,12 @@ def normalize_heading(h) -> Column:
     return F.when(is_finite(d), F.pmod(d, F.lit(360.0)))
 
 
+def _full_turn(y: Column, x: Column) -> Column:
+    """Direction of (y, x) in [0, 360).  The turn is added to every angle, as the SQL
+    texts do it, so that the last bit and with it the rounding agree."""
+    return (F.degrees(F.atan2(y, x)) % 360.0 + 360.0) % 360.0
+
+
 def bearing_deg(lat1, lon1, lat2, lon2) -> Column:
     """Initial bearing in [0, 360); null for missing or coincident points."""
     p1, p2 = F.radians(col(lat1)), F.radians(col(lat2))
@@ -59,7 +65,7 @@ def bearing_deg(lat1, lon1, lat2, lon2) -> Column:
     x = F.cos(p1) * F.sin(p2) - F.sin(p1) * F.cos(p2) * F.cos(dl)
     degenerate = (F.abs(x) < 1e-12) & (F.abs(y) < 1e-12)
     ok = is_finite(lat1) & is_finite(lon1) & is_finite(lat2) & is_finite(lon2)
-    return F.when(ok & ~degenerate, F.pmod(F.degrees(F.atan2(y, x)), F.lit(360.0)))
+    return F.when(ok & ~degenerate, _full_turn(y, x))
 
 
 def course_deg(lat1, lon1, lat2, lon2, min_distance_m: float = 1.5) -> Column:
@@ -69,7 +75,7 @@ def course_deg(lat1, lon1, lat2, lon2, min_distance_m: float = 1.5) -> Column:
     dl = F.radians(col(lon2) - col(lon1))
     y = F.sin(dl) * F.cos(p2)
     x = F.cos(p1) * F.sin(p2) - F.sin(p1) * F.cos(p2) * F.cos(dl)
-    return F.when(far, F.pmod(F.degrees(F.atan2(y, x)), F.lit(360.0)))
+    return F.when(far, _full_turn(y, x))
 
 
 def heading_delta(a, b) -> Column:
