@@ -152,9 +152,10 @@ def side_phrase(side) -> Column:
 
 
 def add_route_steps(routes: DataFrame) -> DataFrame:
-    """Primary, arrival and final-turn steps, approach segment, instruction."""
-    df = routes.withColumns({"primary_step": primary_step(), "arrival_step": arrival_step(),
-                             "final_turn_step": final_turn_step(), "approach": approach_segment()})
+    """Primary, arrival and final-turn steps, approach segment (unless given), instruction."""
+    df = routes.withColumns({"primary_step": primary_step(), "arrival_step": arrival_step(), "final_turn_step": final_turn_step()})
+    if "approach" not in routes.columns:
+        df = df.withColumn("approach", approach_segment())
     c = F.col
     return df.withColumns({
         "instruction": step_instruction(c("primary_step")),
