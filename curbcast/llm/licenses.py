@@ -4,10 +4,11 @@ Texts are cut into units at line ends and sentence ends.  A unit that holds a
 licence word becomes a sparse TF-IDF vector over the templates' collection
 (words outside it have the greatest weight) and is compared with every template
 by a join on words; the best template from ``LEAST_COSINE`` on is its licence.
-The words that decide between like licences may stand in another unit, so the
-leading block of a text is compared as a whole too: its first one to
-``LEADING`` paragraphs, without comment marks, against whole headers, whole
-short licences and the title blocks of long licence files.  A block from
+The words that decide between like licences may stand in another unit, so
+blocks of a text are compared as a whole too: one to ``PARAGRAPHS``
+paragraphs from the first one and from every one with a licence word, without
+comment marks, against whole headers, whole short licences and the title
+blocks of long licence files.  A block from
 ``LEAST_BLOCK`` on decides; otherwise a file's own licence is that of its best
 unit.  The bodies of the long licences are not templates.
 
@@ -37,8 +38,7 @@ from .license_texts import BLOCKS
 
 LEAST_COSINE = 0.6
 LEAST_BLOCK = 0.75
-LEADING = 12                                      # paragraphs
-LEADING_CHARS = 6000                              # longer than any template
+PARAGRAPHS = 12                                   # of a block; a text has any number of blocks
 TRIGGER = r"(?i)licen[cs]|copyright|permission|redistribut|warrant|public domain|all rights reserved"
 
 # Notice texts of common licences.
@@ -66,7 +66,7 @@ TEMPLATES = {
 WORD = "[a-z]+|[0-9]+"
 
 
-LEAST_SHARE = 0.8                                 # of a text's letters in its leading block or in units with a licence word
+LEAST_SHARE = 0.8                                 # of a text's letters in its best block or in units with a licence word
 FILE_NAME = r"(?i)(?:^|/)(?:(?:un)?licen[cs]es?|copying|copyright)(?:[-_][^/.]*(?:[0-9][.][0-9]+)?)?(?:[.](?:txt|md|rst|html?|lesser|lib|mit|bsd|apache|a?l?gpl))?$"
 COMMENT = r"(?m)^[ \t]*(?:#+|//+|/\*+|\*+/|\*+|;+|--+|<!--|%+|dnl\b|REM\b)?[ \t]*"
 
@@ -116,16 +116,24 @@ def notices(files: DataFrame, least: float = LEAST_COSINE, path_col: str = "path
 
 
 def blocks(files: DataFrame, least: float = LEAST_BLOCK, path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """(path, license, cosine, letters) of the leading block that is most like a whole header or licence."""
+    """(path, license, cosine, letters) of the block, anywhere in the text, that is most like a whole header or licence.
+
+    A block is a run of one to ``PARAGRAPHS`` paragraphs from the text's first one
+    or from any that holds a licence word, as the first paragraph of every
+    template does.
+    """
     rows = pick(files, path=path_col, text=text_col).where(F.col("text").rlike(TRIGGER))
-    plain = F.regexp_replace(F.regexp_replace(F.substring("text", 1, LEADING_CHARS), "\r", ""), COMMENT, "")
+    plain = F.regexp_replace(F.regexp_replace("text", "\r", ""), COMMENT, "")
     parts = F.filter(F.split(plain, r"\n[ \t]*\n+"), lambda p: p.rlike("[A-Za-z0-9]"))
     rows = rows.select("path", parts.alias("parts")).where(F.size("parts") > 0)
-    leading = rows.select("path", "parts", F.explode(F.sequence(F.lit(1), F.least(F.size("parts"), F.lit(LEADING)))).alias("size"))
+    # Each row holds one start's paragraphs, so a text is not copied whole for every start.
+    starts = F.filter(F.sequence(F.lit(1), F.size("parts")), lambda i: (i == 1) | F.element_at("parts", i).rlike(TRIGGER))
+    runs = rows.select("path", F.explode(F.transform(starts, lambda i: F.slice("parts", i, F.lit(PARAGRAPHS)))).alias("run"))
+    lines = F.transform(F.sequence(F.lit(1), F.size("run")), lambda n: F.array_join(F.slice("run", F.lit(1), n), "\n"))
     # Rows that repeat a path stay apart by their text.
-    leading = leading.select("path", F.array_join(F.slice("parts", F.lit(1), F.col("size")), "\n").alias("line")).where(F.col("line").rlike(TRIGGER)).distinct()
-    leading = leading.withColumn("unit", F.xxhash64("line"))
-    found = _compared(leading, BLOCKS, least).join(leading, ["path", "unit"])
+    held = runs.select("path", F.explode(lines).alias("line")).where(F.col("line").rlike(TRIGGER)).distinct()
+    held = held.withColumn("unit", F.xxhash64("line"))
+    found = _compared(held, BLOCKS, least).join(held, ["path", "unit"])
     found = found.withColumn("letters", _letters(F.col("line")))
     best = found.groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license", "letters")).alias("best"))
     return best.select("path", F.col("best.license").alias("license"), (-F.col("best.c")).alias("cosine"), F.col("best.letters").alias("letters"))

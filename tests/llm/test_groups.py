@@ -286,3 +286,13 @@ def test_license_files_speak(spark):
     got = {r.path: (r.license, r.from_dir) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert {p: got[p] for p in ("m/a/b.py", "b/x.py", "c/d/e/x.py", "t/u/x.py")} == {"t/u/x.py": ("Apache-2.0", "t"), "m/a/b.py": ("MIT", "m"), "b/x.py": ("BSD-3-Clause", "b"), "c/d/e/x.py": ("MIT", "c")}
     assert all(got[p] == (None, None) for p in ("o/2.txt", "n/a/x", "n/a/LICENSE", "j/2.txt")) and got["o/1.txt"] == got["j/1.txt"] == ("MIT", None)
+
+
+def test_license_blocks_far_into_a_text(spark):
+    """A header is read as a whole wherever it stands: behind many paragraphs, letters and other notices."""
+    prose = "\n\n".join("Nothing in this part says anything of the kind. " * 8 + str(i) for i in range(40))
+    header = wrapped(license_texts.BLOCKS["AGPL-3.0"][0])
+    rows = [("far.txt", f"{prose}\n\n{header}\n\n{prose}"), ("last.txt", f"All rights reserved.\n\n{prose}\n\n{header}")]
+    assert all(t.index(header) > 12_000 for _, t in rows)
+    got = {r.path: r.license for r in licenses.blocks(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"far.txt": "AGPL-3.0", "last.txt": "AGPL-3.0"}
