@@ -153,6 +153,31 @@ class OrderedRows:
             yield pd.DataFrame(outs, columns=self.outputs, dtype=object)
 
 
+def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append", empty_batches: bool = True) -> StreamingQuery:
+    """Run a stateful stream over all that has landed and write its rows.
+
+    Every micro-batch opens and commits each task's state store, however few rows
+    it gets, so a stream runs with two state tasks a core and not with one a
+    shuffle partition; a checkpoint keeps the number it began with.  Without
+    ``empty_batches`` timers wait for the next micro-batch that has rows.
+    """
+    spark = df.sparkSession
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.shuffle.partitions": str(tasks),
+              "spark.sql.streaming.noDataMicroBatches.enabled": str(empty_batches).lower()}
+    before = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        # A query keeps the settings it starts with.
+        q = df.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", path).outputMode(mode).trigger(availableNow=True).start()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    q.awaitTermination()
+    return q
+
+
 def _sortable(value: Any) -> tuple:
     """Nulls last, as pandas sorts."""
     return (True, 0) if value is None or value != value else (False, value)

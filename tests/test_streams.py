@@ -173,3 +173,22 @@ def test_many_devices_share_a_part(spark, tmp_path, monkeypatch):
         counts += [o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]]
     got = {r["id"]: r["ok"] for r in spark.read.schema(out.schema).parquet(str(tmp_path / "out")).where("id >= 0").collect()}
     assert got == batch(spark, rows) and 0 < max(counts) <= 4
+
+
+def test_state_tasks_follow_the_cores(spark, tmp_path):
+    """Neither tasks without rows nor micro-batches without rows open state stores."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    try:
+        rows, progress = fixes(60), []
+        beats = [[(-1, "beat", T0 + timedelta(hours=h), 0.0, 34.0, -117.0)] for h in (5, 9)]
+        for part in (rows, *beats):
+            land(spark, str(tmp_path / "in"), part, SCHEMA)
+            out = jobs.ordered_fold(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), "k", ["ts", "id"], ["t", "lat", "lon"], "ok BOOLEAN", folds.reroute_step, "10 minutes", 10.0)
+            progress += jobs.run_available(out, str(tmp_path / "out"), str(tmp_path / "c"), empty_batches=False).recentProgress
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = {r["id"]: r["ok"] for r in spark.read.schema(out.schema).parquet(str(tmp_path / "out")).where("id >= 0").collect()}
+    stores = [o["numStateStoreInstances"] for p in progress for o in p["stateOperators"] if p["numInputRows"]]
+    assert got == batch(spark, rows) and len(stores) == 3 and max(stores) <= 2 * spark.sparkContext.defaultParallelism
