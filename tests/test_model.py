@@ -368,3 +368,16 @@ def test_local_clock_of_an_instant_and_a_zone(spark):
     for r in got:
         local = datetime.fromisoformat(r["s"]).replace(tzinfo=ZoneInfo("UTC")).astimezone(ZoneInfo(r["z"]))
         assert (r["d"], r["m"]) == (local.weekday(), local.hour * 60 + local.minute)
+
+
+def test_grid_axes_are_folded_once_a_view(spark):
+    """The fold of an axis stays above the step that makes views from places; a view without extent has no nodes."""
+    from curbcast.operators.grid import grid_nodes
+    places = spark.range(2000).selectExpr("id % 3 AS view_id").distinct()
+    views = places.selectExpr("view_id", "34.1 AS south", "CASE WHEN view_id = 2 THEN 34.0 ELSE 34.11 END AS north", "-117.6 AS west", "-117.59 AS east", "350.0 AS grid_step").selectExpr(
+        "view_id", "south + view_id / 10e0 AS south", "CASE WHEN view_id = 2 THEN 30e0 ELSE north + view_id / 10e0 END AS north", "CAST(west AS DOUBLE) AS west", "CAST(east AS DOUBLE) AS east", "grid_step")
+    nodes = grid_nodes(views)
+    plan = nodes._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    made = next(i for i, line in enumerate(plan) if "Aggregate [" in line)
+    assert not any("lambdafunction" in line for line in plan[made:])
+    assert {r.view_id: r["count"] for r in nodes.groupBy("view_id").count().collect()}.keys() == {0, 1}
