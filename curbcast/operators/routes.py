@@ -251,15 +251,13 @@ def arrival_readiness(profile: DataFrame) -> DataFrame:
         "readiness_items": items})
 
 
-def navigation_snapshot(routes: DataFrame, destinations: DataFrame, nearest: DataFrame, staging: DataFrame,
-                        micro: DataFrame) -> DataFrame:
-    """Route rows with everything known about their destination.
+def known_destinations(destinations: DataFrame, nearest: DataFrame, staging: DataFrame, micro: DataFrame) -> DataFrame:
+    """One row per scored destination with all that a route to it needs: friction
+    and pressure, nearest lot, best staging lot, best short-move lot.
 
-    ``routes`` carry view_id and point_id of their destination; the others are
-    keyed by (view_id, point_id): scored destinations (with friction columns),
-    nearest lot, best staging lot, best short-move lot.
+    All are keyed by (view_id, point_id).
     """
-    from .places import competition_pressure, pressure_detail, pressure_label
+    from .places import competition_pressure
     keys = ["view_id", "point_id"]
     c = F.col
     dest = destinations.select(*keys, c("p_good").alias("dest_p_good"), c("p_good_low").alias("dest_p_low"),
@@ -272,10 +270,17 @@ def navigation_snapshot(routes: DataFrame, destinations: DataFrame, nearest: Dat
                            c("distance_m").alias("stage_m"), c("direction").alias("stage_direction"))
     short = micro.select(*keys, c("lot_lat").alias("micro_lat"), c("lot_lon").alias("micro_lon"), c("suitability").alias("micro_suitability"),
                          c("distance_m").alias("micro_m"), c("direction").alias("micro_direction"))
-    df = add_route_steps(routes)
-    for side in (dest, near, stage, short):
-        df = df.join(side, keys, "left")
-    df = arrival_readiness(approach_profile(df))
+    df = dest
+    for side in (near, stage, short):
+        df = df.join(side, keys, "full")
+    return df
+
+
+def snapshot_of(routes: DataFrame) -> DataFrame:
+    """Everything said about routes that already carry what is known about their destination."""
+    from .places import pressure_detail, pressure_label
+    c = F.col
+    df = arrival_readiness(approach_profile(add_route_steps(routes)))
     return df.withColumns({
         "pressure_label": F.when(c("pressure").isNotNull(), pressure_label("pressure")),
         "arrival_summary": F.when(c("dest_p_good").isNotNull(), F.concat(
@@ -283,6 +288,17 @@ def navigation_snapshot(routes: DataFrame, destinations: DataFrame, nearest: Dat
         .otherwise("Route is active. Load or refresh the current field to unlock arrival scoring for this destination.")})
 
 
+def navigation_snapshot(routes: DataFrame, destinations: DataFrame, nearest: DataFrame, staging: DataFrame,
+                        micro: DataFrame) -> DataFrame:
+    """Route rows with everything known about their destination.
+
+    ``routes`` carry view_id and point_id of their destination.  The four sides
+    are put together first, because there are fewer destinations than routes.
+    """
+    known = known_destinations(destinations, nearest, staging, micro)
+    return snapshot_of(routes.join(known, ["view_id", "point_id"], "left"))
+
+
 def reroute_delta(snapshots: DataFrame, trip: str = "trip_id", ts: str = "ts", tie: str = "route_id") -> DataFrame:
     """Change of each route against the previous one of its trip.
 

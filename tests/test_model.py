@@ -381,3 +381,17 @@ def test_grid_axes_are_folded_once_a_view(spark):
     made = next(i for i, line in enumerate(plan) if "Aggregate [" in line)
     assert not any("lambdafunction" in line for line in plan[made:])
     assert {r.view_id: r["count"] for r in nodes.groupBy("view_id").count().collect()}.keys() == {0, 1}
+
+
+def test_route_texts_are_not_written_between_stages(spark, tmp_path, monkeypatch):
+    """Route queries write what is known about destinations, not whole routes with all their texts."""
+    from pathlib import Path
+    from curbcast import checkpoints
+    from curbcast.plans import queries_moves, registry
+    from curbcast.plans.tables import Tables
+    registry.load()
+    monkeypatch.setattr(checkpoints, "stage_root", lambda _: str(tmp_path))
+    rows = queries_moves._snapshot(Tables(spark, "/root/testdata/sf0.001")).select("route_id", "curbside_label").collect()
+    written = [spark.read.parquet(str(p)).columns for p in Path(tmp_path, "curbcast").iterdir()]
+    assert len(rows) == len({r.route_id for r in rows}) > 0
+    assert written and not any("route_id" in columns for columns in written)
