@@ -10,7 +10,7 @@ shuffled.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 BLOCK_ROWS = 8192
 BROADCAST_ROWS = 200_000
@@ -80,3 +80,13 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(n, *cols)
+
+
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that later steps read instead of computing them again.
+
+    A column of ``withColumn`` is put in place of its name wherever a later
+    projection or filter of the same chain reads it, so a costly one (a distance
+    of a pair) is computed many times a row.  A generated row ends the chain.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..checkpoints import stage
 from ..functions.geo import UNREACHABLE, clamp_latitude, clamp_longitude, haversine_or_unreachable
 from ..functions.scalar import clamp, finite_or
-from .blocks import block_join, spread
+from .blocks import block_join, computed, spread
 from .predicates import driver_assignable, order_assignable
 
 EPS = 1e-9
@@ -102,26 +102,44 @@ def order_legs(orders: DataFrame, p: DispatchParams) -> DataFrame:
         haversine_or_unreachable("pickup_lat", "pickup_lon", "dropoff_lat", "dropoff_lon"), p))
 
 
-def pair_costs(drivers: DataFrame, orders: DataFrame, params: DispatchParams | None = None) -> DataFrame:
-    """Cost of every assignable driver-order pair of a market, with components."""
-    p = (params or DispatchParams()).clean()
-    d = drivers.where("assignable").select("market_id", "driver_id", "lat", "lon", "motion_multiplier",
-                                           "available_at_min", "capacity", F.col("ingest_ix").alias("driver_ix"))
-    o = order_legs(orders.where("assignable"), p).drop("assignable").withColumnRenamed("ingest_ix", "order_ix")
-    pairs = block_join(d, o, ["market_id"], ["driver_id"], ["order_id"], block_rows=4096)
+def _driver_side(drivers: DataFrame) -> DataFrame:
+    return drivers.where("assignable").select("market_id", "driver_id", "lat", "lon", "motion_multiplier",
+                                              "available_at_min", "capacity", F.col("ingest_ix").alias("driver_ix"))
+
+
+def _order_side(orders: DataFrame, p: DispatchParams) -> DataFrame:
+    return order_legs(orders.where("assignable"), p).drop("assignable").withColumnRenamed("ingest_ix", "order_ix")
+
+
+def _priced(pairs: DataFrame, p: DispatchParams) -> DataFrame:
+    """Rows with the columns of both sides, and the components and total of their cost."""
     travel = _minutes(haversine_or_unreachable("lat", "lon", "pickup_lat", "pickup_lon"), p)
-    pairs = pairs.withColumn("pickup_minutes", cost(F.greatest(travel, F.col("available_at_min") - F.col("created_at_min"))))
+    pairs = computed(pairs, {"pickup_minutes": cost(F.greatest(travel, F.col("available_at_min") - F.col("created_at_min")))})
     arrive, ready = F.greatest(F.lit(0.0), F.col("pickup_minutes")), F.col("prep_time_min")
     prep = cost(p.early_penalty_weight * F.greatest(F.lit(0.0), ready - arrive)
                 + p.late_penalty_weight * F.greatest(F.lit(0.0), arrive - ready) * (1.0 / (1.0 + p.pickup_buffer_min)))
-    pairs = pairs.withColumn("prep_penalty", prep)
+    pairs = computed(pairs, {"prep_penalty": prep})
     base = cost(p.alpha * F.col("pickup_minutes") + p.beta * F.col("delivery_minutes")
                 + p.gamma * F.col("parking_friction") + p.delta * F.col("customer_wait_min"))
     total = cost(cost(base * F.col("motion_multiplier")) + F.col("prep_penalty"))
-    return pairs.select("market_id", "driver_id", "order_id", "driver_ix", "order_ix", "capacity",
-                        "pickup_minutes", "delivery_minutes", "parking_friction",
-                        F.col("customer_wait_min").alias("customer_wait_minutes"), "motion_multiplier",
-                        "prep_penalty", total.alias("total_cost"))
+    return computed(pairs, {"total_cost": total}).withColumnRenamed("customer_wait_min", "customer_wait_minutes")
+
+
+def pair_costs(drivers: DataFrame, orders: DataFrame, params: DispatchParams | None = None) -> DataFrame:
+    """Cost of every assignable driver-order pair of a market, with components."""
+    p = (params or DispatchParams()).clean()
+    pairs = block_join(_driver_side(drivers), _order_side(orders, p), ["market_id"], ["driver_id"], ["order_id"], block_rows=4096)
+    return _priced(pairs, p).select("market_id", "driver_id", "order_id", "driver_ix", "order_ix", "capacity",
+                                    "pickup_minutes", "delivery_minutes", "parking_friction", "customer_wait_minutes",
+                                    "motion_multiplier", "prep_penalty", "total_cost")
+
+
+def matched_costs(drivers: DataFrame, orders: DataFrame, matched: DataFrame, params: DispatchParams | None = None) -> DataFrame:
+    """Both sides' columns, cost components and total of given (market_id, driver_id, order_id) rows:
+    these few rows meet their sides again, so no pair has to be kept for it."""
+    p = (params or DispatchParams()).clean()
+    rows = matched.join(_driver_side(drivers), ["market_id", "driver_id"]).join(_order_side(orders, p), ["market_id", "order_id"])
+    return _priced(rows, p)
 
 
 def best_single_costs(pairs: DataFrame) -> DataFrame:
@@ -150,53 +168,53 @@ def single_cost_report(drivers: DataFrame, orders: DataFrame, params: DispatchPa
 
 # --- savings ----------------------------------------------------------------
 
+def displacement(orders: DataFrame) -> DataFrame:
+    """Orders with their pickup-to-dropoff displacement in metres (``vx``, ``vy``) and its length
+    ``vm``: once per order, not per pair."""
+    c = F.col
+    x = haversine_or_unreachable(c("pickup_lat"), c("pickup_lon"), c("pickup_lat"), c("dropoff_lon"))
+    y = haversine_or_unreachable(c("pickup_lat"), c("pickup_lon"), c("dropoff_lat"), c("pickup_lon"))
+    v = computed(orders, {"vx": x * F.when(c("dropoff_lon") >= c("pickup_lon"), 1.0).otherwise(-1.0),
+                          "vy": y * F.when(c("dropoff_lat") >= c("pickup_lat"), 1.0).otherwise(-1.0)})
+    return v.withColumn("vm", F.sqrt(c("vx") * c("vx") + c("vy") * c("vy")))
+
+
 def direction_similarity(a: str, b: str) -> Column:
-    """(cos + 1) / 2 between the pickup-to-dropoff displacements of two orders
-    (column prefixes a, b); 0 for a standing order."""
-    def vec(t: str) -> tuple[Column, Column]:
-        c = lambda n: F.col(f"{t}{n}")
-        x = haversine_or_unreachable(c("pickup_lat"), c("pickup_lon"), c("pickup_lat"), c("dropoff_lon"))
-        y = haversine_or_unreachable(c("pickup_lat"), c("pickup_lon"), c("dropoff_lat"), c("pickup_lon"))
-        return (x * F.when(c("dropoff_lon") >= c("pickup_lon"), 1.0).otherwise(-1.0),
-                y * F.when(c("dropoff_lat") >= c("pickup_lat"), 1.0).otherwise(-1.0))
-
-    ax, ay = vec(a)
-    bx, by = vec(b)
-    ma, mb = F.sqrt(ax * ax + ay * ay), F.sqrt(bx * bx + by * by)
-    ok = (ma > EPS) & (mb > EPS)
-    cosine = clamp(F.when(ok, (ax * bx + ay * by) / (ma * mb)).otherwise(F.lit(-1.0)), -1.0, 1.0)
+    """(cos + 1) / 2 between the displacements of two orders (column prefixes a, b);
+    0 for a standing order."""
+    c = F.col
+    ok = (c(f"{a}vm") > EPS) & (c(f"{b}vm") > EPS)
+    cosine = clamp(F.when(ok, (c(f"{a}vx") * c(f"{b}vx") + c(f"{a}vy") * c(f"{b}vy")) / (c(f"{a}vm") * c(f"{b}vm"))).otherwise(F.lit(-1.0)), -1.0, 1.0)
     return F.when(ok, (cosine + 1.0) / 2.0).otherwise(0.0)
 
 
-def shared_route_savings(a: str, b: str, p: DispatchParams) -> Column:
-    """Minutes saved when one driver carries both orders (prefixes a, b)."""
+def with_savings(pairs: DataFrame, a: str, b: str, p: DispatchParams) -> DataFrame:
+    """``direction_score`` and ``savings``: minutes saved when one driver carries both orders (prefixes a, b)."""
     c = F.col
-    gap_p = _minutes(haversine_or_unreachable(c(f"{a}pickup_lat"), c(f"{a}pickup_lon"), c(f"{b}pickup_lat"), c(f"{b}pickup_lon")), p)
-    gap_d = _minutes(haversine_or_unreachable(c(f"{a}dropoff_lat"), c(f"{a}dropoff_lon"), c(f"{b}dropoff_lat"), c(f"{b}dropoff_lon")), p)
+    gap = lambda x: _minutes(haversine_or_unreachable(c(f"{a}{x}_lat"), c(f"{a}{x}_lon"), c(f"{b}{x}_lat"), c(f"{b}{x}_lon")), p)
+    pairs = computed(pairs, {"_gap_p": gap("pickup"), "_gap_d": gap("dropoff"), "direction_score": direction_similarity(a, b)})
     da, db = c(f"{a}delivery_minutes"), c(f"{b}delivery_minutes")
-    sim, shorter = direction_similarity(a, b), F.least(da, db)
-    overlap = clamp(1.0 - gap_d / F.greatest(da + db, F.lit(EPS)), 0.0, 1.0)
-    return cost(F.exp(-gap_p / 4.0) * 2.0 + sim * 0.5 * shorter + overlap * sim * 0.75 * shorter)
+    sim, shorter = c("direction_score"), F.least(da, db)
+    overlap = clamp(1.0 - c("_gap_d") / F.greatest(da + db, F.lit(EPS)), 0.0, 1.0)
+    return computed(pairs, {"savings": cost(F.exp(-c("_gap_p") / 4.0) * 2.0 + sim * 0.5 * shorter + overlap * sim * 0.75 * shorter)})
 
 
-def _prefixed(orders: DataFrame, prefix: str) -> DataFrame:
-    cols = ["pickup_lat", "pickup_lon", "dropoff_lat", "dropoff_lon", "delivery_minutes", "order_id"]
-    return orders.select("market_id", *[F.col(c).alias(f"{prefix}{c}") for c in cols])
+ROUTE = ["pickup_lat", "pickup_lon", "dropoff_lat", "dropoff_lon", "delivery_minutes", "vx", "vy", "vm"]
 
 
-def order_savings(orders: DataFrame, seeds: DataFrame, params: DispatchParams | None = None) -> DataFrame:
+def order_savings(orders: DataFrame, seeds: DataFrame | None = None, params: DispatchParams | None = None) -> DataFrame:
     """Savings of each seed order with every other order of its market.
 
-    ``seeds``: market_id, order_id (at most one per matched driver).
+    ``seeds``: market_id, order_id (at most one per matched driver); without
+    them every assignable order is one.
     """
     p = (params or DispatchParams()).clean()
-    o = order_legs(orders.where("assignable"), p)
-    a = _prefixed(o.join(seeds.select("market_id", "order_id").distinct(), ["market_id", "order_id"]), "a_")
-    pairs = block_join(a, _prefixed(o, "b_"), ["market_id"], ["a_order_id"], ["b_order_id"], block_rows=4096)
-    pairs = pairs.where(F.col("a_order_id") != F.col("b_order_id"))
-    return pairs.select("market_id", F.col("a_order_id").alias("order_id"), F.col("b_order_id").alias("other_order_id"),
-                        direction_similarity("a_", "b_").alias("direction_score"),
-                        shared_route_savings("a_", "b_", p).alias("savings"))
+    o = displacement(order_legs(orders.where("assignable"), p))
+    prefixed = lambda df, t: df.select("market_id", *[F.col(c).alias(f"{t}{c}") for c in (*ROUTE, "order_id")])
+    a = o if seeds is None else o.join(seeds.select("market_id", "order_id").distinct(), ["market_id", "order_id"])
+    pairs = block_join(prefixed(a, "a_"), prefixed(o, "b_"), ["market_id"], ["a_order_id"], ["b_order_id"], block_rows=4096)
+    pairs = with_savings(pairs.where(F.col("a_order_id") != F.col("b_order_id")), "a_", "b_", p)
+    return pairs.select("market_id", F.col("a_order_id").alias("order_id"), F.col("b_order_id").alias("other_order_id"), "direction_score", "savings")
 
 
 # --- matching ---------------------------------------------------------------
@@ -257,7 +275,7 @@ NO_PAIR = int(UNREACHABLE) * MICRO
 
 
 def _match_cells(d: np.ndarray, o: np.ndarray, micro: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Matched (driver, order) ids of one market's cost cells."""
+    """Matched (driver, order) ranks of one market's cost cells."""
     drivers, di = np.unique(d, return_inverse=True)
     orders, oi = np.unique(o, return_inverse=True)
     grid = np.full((len(drivers), len(orders)), NO_PAIR)
@@ -277,11 +295,13 @@ def _match_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rest = None
 
     def solve(pdf: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
-        m, d, o, c = (pdf[x].to_numpy() for x in ("market_id", "driver_id", "order_id", "micro"))
-        parts = [(m[i], *_match_cells(d[i:j].astype(str), o[i:j].astype(str), c[i:j])) for i, j in zip(bounds[:-1], bounds[1:])]
+        # Ids become their ranks once for all markets of the batch.
+        m, c = pdf["market_id"].to_numpy(), pdf["micro"].to_numpy()
+        (d, drivers), (o, orders) = (pd.factorize(pdf[x].to_numpy(object), sort=True) for x in ("driver_id", "order_id"))
+        parts = [(m[i], *_match_cells(d[i:j], o[i:j], c[i:j])) for i, j in zip(bounds[:-1], bounds[1:])]
         return pd.DataFrame({"market_id": np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]),
-                             "driver_id": np.concatenate([p[1] for p in parts]).astype(object),
-                             "order_id": np.concatenate([p[2] for p in parts]).astype(object)})
+                             "driver_id": drivers[np.concatenate([p[1] for p in parts])],
+                             "order_id": orders[np.concatenate([p[2] for p in parts])]})
 
     for pdf in batches:
         if rest is not None:
@@ -306,10 +326,11 @@ def match_orders(pairs: DataFrame, task_cells: int = TASK_CELLS) -> DataFrame:
         "market_id", "driver_id", "order_id", F.floor(F.col("total_cost") * MICRO + 0.5).cast("long").alias("micro"))
     sizes = keyed.groupBy("market_id").agg(F.count(F.lit(1)).alias("_cells"))
     big = sizes.where(F.col("_cells") > task_cells).select("market_id")
-    small = keyed.join(sizes.where(F.col("_cells") <= task_cells).select("market_id"), "market_id")
+    some_big = big.limit(1).count() > 0
+    small = keyed.join(sizes.where(F.col("_cells") <= task_cells).select("market_id"), "market_id") if some_big else keyed
     out = spread(small, "market_id").sortWithinPartitions("market_id").mapInPandas(
         _match_sorted, f"market_id {market_type}, driver_id string, order_id string")
-    if big.limit(1).count() == 0:
+    if not some_big:
         return out
     return out.unionByName(auction_matching(keyed.join(big, "market_id"), task_cells))
 
@@ -432,27 +453,25 @@ def auction_matching(pairs: DataFrame, block_cells: int = TASK_CELLS) -> DataFra
 
 # --- batching ---------------------------------------------------------------
 
-def batch_candidates(pairs: DataFrame, orders: DataFrame, matched: DataFrame, params: DispatchParams | None = None) -> DataFrame:
+def batch_candidates(singles: DataFrame, orders: DataFrame, best: DataFrame, params: DispatchParams | None = None) -> DataFrame:
     """(seed, second order) pairs that beat serving both orders singly.
 
-    The test does not depend on who holds the second order, so all of it is
-    relational; the order of taking is left to :func:`take_batches`.
+    ``singles`` are the :func:`matched_costs`, ``best`` the :func:`best_single_costs`.
+    Seeds (a matched driver with room for two) meet the orders of their market and
+    are priced there.  The test does not depend on who holds the second order, so
+    all of it is relational; the order of taking is left to :func:`take_batches`.
     """
     p = (params or DispatchParams()).clean()
-    c = pairs.select("market_id", "driver_id", "order_id", "order_ix", "capacity", "total_cost").where(
-        F.col("total_cost") < UNREACHABLE)
-    seeds = matched.join(c.where(F.col("capacity") >= 2).select("market_id", "driver_id", "order_id"),
-                         ["market_id", "driver_id", "order_id"])
-    save = order_savings(orders, seeds, p)
-    cand = seeds.join(save, ["market_id", "order_id"])
-    cost2 = c.select("market_id", "driver_id", F.col("order_id").alias("other_order_id"),
-                     F.col("order_ix").alias("other_ix"), F.col("total_cost").alias("other_cost"))
-    best = best_single_costs(pairs).select("market_id", F.col("order_id").alias("other_order_id"), "best_single")
-    owner = matched.select("market_id", F.col("order_id").alias("other_order_id"), F.col("driver_id").alias("owner_id"))
-    cand = (cand.join(cost2, ["market_id", "driver_id", "other_order_id"])
-            .join(best, ["market_id", "other_order_id"]).join(owner, ["market_id", "other_order_id"], "left"))
-    gain = F.col("other_cost") - p.savings_weight * F.col("savings")
-    return cand.where(gain < F.col("best_single") - EPS).select(
+    seeds = displacement(singles.where((F.col("capacity") >= 2) & (F.col("total_cost") < UNREACHABLE)))
+    seeds = seeds.select("market_id", "driver_id", "lat", "lon", "motion_multiplier", "available_at_min", "order_id", *[F.col(c).alias(f"a_{c}") for c in ROUTE])
+    owner = singles.select("market_id", "order_id", F.col("driver_id").alias("owner_id"))
+    others = (displacement(_order_side(orders, p)).join(best.where("best_single is not null"), ["market_id", "order_id"])
+              .join(owner, ["market_id", "order_id"], "left").withColumnsRenamed({"order_id": "other_order_id", "order_ix": "other_ix"}))
+    seeds, others = stage(seeds, "seeds"), stage(others, "others")
+    cand = block_join(seeds, others, ["market_id"], ["driver_id"], ["other_order_id"], block_rows=4096)
+    cand = _priced(cand.where(F.col("order_id") != F.col("other_order_id")), p).withColumnRenamed("total_cost", "other_cost")
+    cand = with_savings(cand.where(F.col("other_cost") < UNREACHABLE), "a_", "", p)
+    return cand.where(F.col("other_cost") - p.savings_weight * F.col("savings") < F.col("best_single") - EPS).select(
         "market_id", "driver_id", "order_id", "other_order_id", "other_ix", "owner_id", "savings", "other_cost")
 
 
@@ -494,29 +513,27 @@ def assign_orders(drivers: DataFrame, orders: DataFrame, params: DispatchParams
     p = (params or DispatchParams()).clean()
     d, o = normalize_drivers(drivers), normalize_orders(orders)
     d, o = stage(d, "drivers"), stage(o, "orders")
-    pairs = stage(pair_costs(d, o, p), "pairs")
-    matched = stage(match_orders(pairs, task_cells))
+    cells = stage(pair_costs(d, o, p).select("market_id", "driver_id", "order_id", "total_cost"), "cells")
+    base = stage(matched_costs(d, o, stage(match_orders(cells, task_cells), "matched"), p), "singles")
     parts = ["pickup_minutes", "delivery_minutes", "parking_friction", "customer_wait_minutes", "prep_penalty"]
-    detail = pairs.select("market_id", "driver_id", "order_id", "total_cost", "motion_multiplier", *parts)
-    base = matched.join(detail, ["market_id", "driver_id", "order_id"])
     if p.batching_enabled:
-        taken = stage(take_batches(batch_candidates(pairs, o, matched, p)))
+        taken = stage(take_batches(batch_candidates(base, o, best_single_costs(cells), p)), "batches")
     else:
-        taken = stage(matched.select("*", F.lit(None).cast("string").alias("other_order_id"),
-                                           F.lit(None).cast("string").alias("owner_id"),
-                                           F.lit(None).cast("double").alias("savings")).where("false"))
-    second = detail.select("market_id", "driver_id", F.col("order_id").alias("other_order_id"),
-                           F.col("total_cost").alias("other_cost"), *[F.col(c).alias(f"other_{c}") for c in parts])
-    pick = taken.select("market_id", "driver_id", "other_order_id", "savings").join(
-        second, ["market_id", "driver_id", "other_order_id"])
+        taken = base.select("market_id", "driver_id", "order_id", F.lit(None).cast("string").alias("other_order_id"),
+                            F.lit(None).cast("string").alias("owner_id"), F.lit(None).cast("double").alias("savings")).where("false")
+    second = matched_costs(d, o, taken.select("market_id", "driver_id", F.col("other_order_id").alias("order_id"), "savings"), p)
+    pick = second.select("market_id", "driver_id", F.col("order_id").alias("other_order_id"), "savings",
+                         F.col("total_cost").alias("other_cost"), *[F.col(c).alias(f"other_{c}") for c in parts])
     lost = taken.where(F.col("owner_id").isNotNull()).select("market_id", F.col("owner_id").alias("driver_id"))
-    kept = base.join(lost, ["market_id", "driver_id"], "left_anti").join(pick, ["market_id", "driver_id"], "left")
+    kept = base.select("market_id", "driver_id", "order_id", "total_cost", "motion_multiplier", *parts).join(lost, ["market_id", "driver_id"], "left_anti").join(pick, ["market_id", "driver_id"], "left")
     zero = F.lit(0.0)
     total = cost(F.col("total_cost") + F.coalesce("other_cost", zero) - p.savings_weight * F.coalesce("savings", zero))
     comp = F.struct(*[cost(F.col(c) + F.coalesce(f"other_{c}", zero)).alias(c) for c in parts],
                     F.col("motion_multiplier"), F.coalesce("savings", zero).alias("shared_route_savings"))
     ids = F.when(F.col("other_order_id").isNotNull(), F.array("order_id", "other_order_id")).otherwise(F.array("order_id"))
     assignments = kept.select("market_id", "driver_id", ids.alias("order_ids"), total.alias("total_cost"), comp.alias("components"))
+    # The report reads them four times.
+    assignments = stage(assignments, "assignments")
     used = assignments.select("market_id", F.explode("order_ids").alias("order_id"))
     free_d = d.select("market_id", "driver_id").join(assignments.select("market_id", "driver_id"), ["market_id", "driver_id"], "left_anti")
     free_o = o.select("market_id", "order_id").join(used, ["market_id", "order_id"], "left_anti")
