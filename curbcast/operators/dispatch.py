@@ -3,7 +3,7 @@
 Normalised inputs, pair costs, best singles, savings, batches and the final
 report are DataFrames.  The matching minimises whole micro-minutes, with ties
 decided by ids, so a market has one result: one whose cells fit a task is matched
-by a small numpy step over sorted rows, a larger one by an auction with a falling
+by a numpy step over sorted rows, together with the markets of its shape, a larger one by an auction with a falling
 step whose bidders are spread over tasks in Spark rounds, and both agree.
 """
 from __future__ import annotations
@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..checkpoints import stage
@@ -27,6 +29,7 @@ TIE = 4093                  # a prime: range of the last tie weight
 # Cost multiplier by motion state.
 MOTION = {"parked": 0.85, "slow": 1.0, "driving_away": 1.25, "high_speed": 1.4}
 TASK_CELLS = 250_000         # cells of a market that one task matches or bids for
+STEP_CELLS = 100_000         # cells of small markets that are matched together
 
 
 @dataclass(frozen=True)
@@ -237,82 +240,139 @@ def _weights(micro: np.ndarray, driver: np.ndarray, order: np.ndarray, drivers:
     return micro.astype(kind) * unit + (driver * size + order) * mixed + (driver * 7919 + order * 104_729 + driver * order * 31) % TIE, top
 
 
-def _shortest_path_matching(c: np.ndarray, top: int) -> np.ndarray:
-    """Column of each row in the minimum matching of an integer matrix with
-    rows <= columns (successive shortest augmenting paths)."""
-    n, m = c.shape
+def _shortest_path_matchings(c: np.ndarray, top: int) -> np.ndarray:
+    """Column of each row in the minimum matching of every integer matrix of a
+    stack, rows <= columns (successive shortest augmenting paths, taken in all
+    matrices at once)."""
+    many, n, m = c.shape
     far = 8 * top + 8
     c = _exact(c, 2 * far)
-    u, v = np.zeros(n, c.dtype), np.zeros(m, c.dtype)
-    row_of = np.full(m, -1)
+    u, v = np.zeros((many, n), c.dtype), np.zeros((many, m), c.dtype)
+    row_of = np.full((many, m), -1)
     for i in range(n):
-        dist, prev, done = np.full(m, far, c.dtype), np.full(m, -1), np.zeros(m, bool)
-        row, col, base = i, -1, 0
-        while True:
-            step = base + c[row] - u[row] - v
-            better = ~done & (step < dist)
-            dist[better], prev[better] = step[better], col
-            col = int(np.argmin(np.where(done, far, dist)))
-            base, done[col] = dist[col], True
-            if row_of[col] < 0:
-                break
-            row = row_of[col]
-        for j in np.flatnonzero(done):
-            if j != col:
-                u[row_of[j]] += base - dist[j]
-            v[j] -= base - dist[j]
-        u[i] += base
-        while col >= 0:
-            back = prev[col]
-            row_of[col] = row_of[back] if back >= 0 else i
-            col = back
-    out = np.full(n, -1)
-    out[row_of[row_of >= 0]] = np.flatnonzero(row_of >= 0)
+        dist, prev, done = np.full((many, m), far, c.dtype), np.full((many, m), -1), np.zeros((many, m), bool)
+        row, col, base = np.full(many, i), np.full(many, -1), np.zeros(many, c.dtype)
+        on = np.arange(many)
+        while on.size:
+            step = (base[on] - u[on, row[on]])[:, None] + c[on, row[on]] - v[on]
+            better = ~done[on] & (step < dist[on])
+            reach = np.where(better, step, dist[on])
+            dist[on], prev[on] = reach, np.where(better, col[on, None], prev[on])
+            near = np.argmin(np.where(done[on], far, reach), axis=1)
+            col[on], base[on], row[on] = near, reach[np.arange(on.size), near], row_of[on, near]
+            done[on, near] = True
+            on = on[row[on] >= 0]
+        slack = np.where(done, base[:, None] - dist, 0)
+        v -= slack
+        done[np.arange(many), col] = False
+        at, j = np.nonzero(done)
+        u[at, row_of[at, j]] += slack[at, j]
+        u[:, i] += base
+        on = np.arange(many)
+        while on.size:
+            back = prev[on, col[on]]
+            row_of[on, col[on]] = np.where(back >= 0, row_of[on, back], i)
+            col[on] = back
+            on = on[back >= 0]
+    out = np.full((many, n), -1)
+    at, j = np.nonzero(row_of >= 0)
+    out[at, row_of[at, j]] = j
     return out
 
 
 NO_PAIR = int(UNREACHABLE) * MICRO
 
 
-def _match_cells(d: np.ndarray, o: np.ndarray, micro: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Matched (driver, order) ranks of one market's cost cells."""
-    drivers, di = np.unique(d, return_inverse=True)
-    orders, oi = np.unique(o, return_inverse=True)
-    grid = np.full((len(drivers), len(orders)), NO_PAIR)
-    grid[di, oi] = micro
-    weights, top = _weights(grid, np.arange(len(drivers))[:, None], np.arange(len(orders))[None, :], len(drivers), len(orders))
-    if len(drivers) <= len(orders):
-        i, j = np.arange(len(drivers)), _shortest_path_matching(weights, top)
-    else:
-        i, j = _shortest_path_matching(weights.T, top), np.arange(len(orders))
-    met = grid[i, j] < NO_PAIR
-    return drivers[i[met]], orders[j[met]]
-
-
-def _match_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Match market after market from rows sorted by market; only the market
-    that is still being read is kept (its size is within the pair limit)."""
-    rest = None
-
-    def solve(pdf: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
-        # Ids become their ranks once for all markets of the batch.
-        m, c = pdf["market_id"].to_numpy(), pdf["micro"].to_numpy()
-        (d, drivers), (o, orders) = (pd.factorize(pdf[x].to_numpy(object), sort=True) for x in ("driver_id", "order_id"))
-        parts = [(m[i], *_match_cells(d[i:j], o[i:j], c[i:j])) for i, j in zip(bounds[:-1], bounds[1:])]
-        return pd.DataFrame({"market_id": np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]),
-                             "driver_id": drivers[np.concatenate([p[1] for p in parts])],
-                             "order_id": orders[np.concatenate([p[2] for p in parts])]})
-
-    for pdf in batches:
-        if rest is not None:
-            pdf = pd.concat([rest, pdf], ignore_index=True)
-        m = pdf["market_id"].to_numpy()
-        starts = np.concatenate([[0], np.flatnonzero(m[1:] != m[:-1]) + 1])
-        rest = pdf.iloc[starts[-1]:]
-        if len(starts) > 1:
-            yield solve(pdf, starts)
-    if rest is not None and len(rest):
-        yield solve(rest, np.array([0, len(rest)]))
+def _match_grids(grids: np.ndarray) -> np.ndarray:
+    """(grid, driver, order) places of the matches of grids of one shape."""
+    _, nd, no = grids.shape
+    d, o = np.arange(nd)[:, None], np.arange(no)[None, :]
+    found = []
+    # Grids whose sums fit 64 bits are not held up by one whose sums do not.
+    high = grids.max(axis=(1, 2))
+    unit = _weights(np.zeros(1, int), d, o, nd, no)[1]
+    wide = (high + 1.0) * unit >= 2.0 ** 55
+    for some in (np.flatnonzero(~wide), np.flatnonzero(wide)):
+        if some.size:
+            weights, top = _weights(grids[some], d, o, nd, no)
+            if nd <= no:
+                i, j = np.broadcast_to(np.arange(nd), (some.size, nd)), _shortest_path_matchings(weights, top)
+            else:
+                i, j = _shortest_path_matchings(weights.transpose(0, 2, 1), top), np.broadcast_to(np.arange(no), (some.size, no))
+            found.append(np.stack([np.repeat(some, i.shape[1]), i.ravel(), j.ravel()]))
+    at, i, j = np.concatenate(found, axis=1)
+    met = grids[at, i, j] < NO_PAIR
+    return np.stack([at[met], i[met], j[met]])
+
+
+def _places(market: np.ndarray, side: np.ndarray, markets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ranks of one side within their market, and per market how many there are and
+    where its first one stands among all of them, whose values come last."""
+    keys, at = np.unique(market * (int(side.max()) + 1) + side, return_inverse=True)
+    size = np.bincount(keys // (int(side.max()) + 1), minlength=markets)
+    first = np.cumsum(size) - size
+    return at - first[market], size, first, keys % (int(side.max()) + 1)
+
+
+def _ranked(ids: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Ranks of ids by their bytes, and the ids by rank."""
+    found = ids.combine_chunks().dictionary_encode()
+    by_rank = pc.sort_indices(found.dictionary).to_numpy()
+    rank = np.empty(by_rank.size, np.int64)
+    rank[by_rank] = np.arange(by_rank.size)
+    return rank[found.indices.to_numpy()], found.dictionary.take(pa.array(by_rank))
+
+
+def _match_table(cells: pa.Table, market: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+    """Matches of whole markets, all of one shape together; ``market`` numbers the rows' markets."""
+    (d, drivers), (o, orders) = _ranked(cells["driver_id"]), _ranked(cells["order_id"])
+    (di, nd, d_first, d_of), (oi, no, o_first, o_of) = _places(market, d, starts.size), _places(market, o, starts.size)
+    micro = cells["micro"].to_numpy()
+    shape = nd * (int(no.max()) + 1) + no
+    by_shape = np.argsort(shape, kind="stable")
+    place = np.empty(starts.size, np.int64)
+    rows_by_shape = np.argsort(shape[market], kind="stable")
+    shapes, first = np.unique(shape[by_shape], return_index=True)
+    row_first = np.searchsorted(shape[market][rows_by_shape], shapes)
+    found = []
+    for k in range(shapes.size):
+        some = by_shape[first[k]:first[k + 1] if k + 1 < shapes.size else None]
+        rows = rows_by_shape[row_first[k]:row_first[k + 1] if k + 1 < shapes.size else None]
+        place[some] = np.arange(some.size)
+        grids = np.full((some.size, nd[some[0]], no[some[0]]), NO_PAIR)
+        grids[place[market[rows]], di[rows], oi[rows]] = micro[rows]
+        at, i, j = _match_grids(grids)
+        found.append(np.stack([some[at], d_of[d_first[some[at]] + i], o_of[o_first[some[at]] + j]]))
+    at, i, j = np.concatenate(found, axis=1)
+    ids = cells["market_id"].combine_chunks().take(pa.array(starts[at]))
+    return pa.RecordBatch.from_arrays([ids, drivers.take(pa.array(i)), orders.take(pa.array(j))], names=["market_id", "driver_id", "order_id"])
+
+
+def _match_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Match rows sorted by market, as many markets at a time as ``STEP_CELLS`` rows
+    hold; the market that is still being read is kept (its size is within the pair limit)."""
+    held, rows = [], 0
+
+    def solve(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, rows
+        cells = pa.Table.from_batches(held)
+        ids = cells["market_id"].combine_chunks().dictionary_encode().indices.to_numpy()
+        starts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
+        end = cells.num_rows if last else int(starts[-1])
+        if end:
+            market = np.repeat(np.arange(starts.size), np.diff(np.append(starts, cells.num_rows)))[:end]
+            yield _match_table(cells.slice(0, end), market, starts if last else starts[:-1])
+        held = cells.slice(end).to_batches()
+        rows = cells.num_rows - end
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= STEP_CELLS:
+            yield from solve(False)
+    if rows:
+        yield from solve(True)
 
 
 def match_orders(pairs: DataFrame, task_cells: int = TASK_CELLS) -> DataFrame:
@@ -328,7 +388,7 @@ def match_orders(pairs: DataFrame, task_cells: int = TASK_CELLS) -> DataFrame:
     big = sizes.where(F.col("_cells") > task_cells).select("market_id")
     some_big = big.limit(1).count() > 0
     small = keyed.join(sizes.where(F.col("_cells") <= task_cells).select("market_id"), "market_id") if some_big else keyed
-    out = spread(small, "market_id").sortWithinPartitions("market_id").mapInPandas(
+    out = spread(small, "market_id").sortWithinPartitions("market_id").mapInArrow(
         _match_sorted, f"market_id {market_type}, driver_id string, order_id string")
     if not some_big:
         return out
@@ -509,7 +569,11 @@ def take_batches(candidates: DataFrame) -> DataFrame:
 def assign_orders(drivers: DataFrame, orders: DataFrame, params: DispatchParams | None = None,
                   task_cells: int = TASK_CELLS) -> dict[str, DataFrame]:
     """Whole dispatch.  Returns assignments, unassigned_drivers,
-    unassigned_orders and diagnostics DataFrames."""
+    unassigned_orders and diagnostics DataFrames.
+
+    Who carries what is decided here, once, and kept as keys; only who reads the
+    assignments prices them.
+    """
     p = (params or DispatchParams()).clean()
     d, o = normalize_drivers(drivers), normalize_orders(orders)
     d, o = stage(d, "drivers"), stage(o, "orders")
@@ -521,24 +585,26 @@ def assign_orders(drivers: DataFrame, orders: DataFrame, params: DispatchParams
     else:
         taken = base.select("market_id", "driver_id", "order_id", F.lit(None).cast("string").alias("other_order_id"),
                             F.lit(None).cast("string").alias("owner_id"), F.lit(None).cast("double").alias("savings")).where("false")
+    lost = taken.where(F.col("owner_id").isNotNull()).select("market_id", F.col("owner_id").alias("driver_id"))
+    ids = F.when(F.col("other_order_id").isNotNull(), F.array("order_id", "other_order_id")).otherwise(F.array("order_id"))
+    decided = base.select("market_id", "driver_id", "order_id").join(lost, ["market_id", "driver_id"], "left_anti")
+    decided = decided.join(taken.select("market_id", "driver_id", "other_order_id"), ["market_id", "driver_id"], "left")
+    # The report reads them four times.
+    decided = stage(decided.select("market_id", "driver_id", ids.alias("order_ids")), "decided")
+    used = decided.select("market_id", F.explode("order_ids").alias("order_id"))
+    free_d = d.select("market_id", "driver_id").join(decided.select("market_id", "driver_id"), ["market_id", "driver_id"], "left_anti")
+    free_o = o.select("market_id", "order_id").join(used, ["market_id", "order_id"], "left_anti")
     second = matched_costs(d, o, taken.select("market_id", "driver_id", F.col("other_order_id").alias("order_id"), "savings"), p)
     pick = second.select("market_id", "driver_id", F.col("order_id").alias("other_order_id"), "savings",
                          F.col("total_cost").alias("other_cost"), *[F.col(c).alias(f"other_{c}") for c in parts])
-    lost = taken.where(F.col("owner_id").isNotNull()).select("market_id", F.col("owner_id").alias("driver_id"))
     kept = base.select("market_id", "driver_id", "order_id", "total_cost", "motion_multiplier", *parts).join(lost, ["market_id", "driver_id"], "left_anti").join(pick, ["market_id", "driver_id"], "left")
     zero = F.lit(0.0)
     total = cost(F.col("total_cost") + F.coalesce("other_cost", zero) - p.savings_weight * F.coalesce("savings", zero))
     comp = F.struct(*[cost(F.col(c) + F.coalesce(f"other_{c}", zero)).alias(c) for c in parts],
                     F.col("motion_multiplier"), F.coalesce("savings", zero).alias("shared_route_savings"))
-    ids = F.when(F.col("other_order_id").isNotNull(), F.array("order_id", "other_order_id")).otherwise(F.array("order_id"))
     assignments = kept.select("market_id", "driver_id", ids.alias("order_ids"), total.alias("total_cost"), comp.alias("components"))
-    # The report reads them four times.
-    assignments = stage(assignments, "assignments")
-    used = assignments.select("market_id", F.explode("order_ids").alias("order_id"))
-    free_d = d.select("market_id", "driver_id").join(assignments.select("market_id", "driver_id"), ["market_id", "driver_id"], "left_anti")
-    free_o = o.select("market_id", "order_id").join(used, ["market_id", "order_id"], "left_anti")
     return {"assignments": assignments, "unassigned_drivers": free_d, "unassigned_orders": free_o,
-            "diagnostics": dispatch_diagnostics(d, o, assignments, p)}
+            "diagnostics": dispatch_diagnostics(d, o, decided, p)}
 
 
 def dispatch_diagnostics(drivers: DataFrame, orders: DataFrame, assignments: DataFrame, params: DispatchParams) -> DataFrame:

@@ -1,4 +1,9 @@
 """What a dispatch writes and computes for each pair of a market."""
+import itertools
+import random
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from curbcast.operators import dispatch
@@ -51,3 +56,47 @@ def test_a_computed_column_is_computed_once(spark):
     df = computed(spark.range(4).withColumn("x", F.rand(1)), {"y": F.atan2("x", F.lit(3.0))})
     df = df.withColumn("z", F.col("y") * F.col("y") + F.col("y")).where(F.col("z") > F.col("y"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("ATAN2") == 1
+
+
+def _brute_force(cells):
+    """The matching of one market by trying all of them: weights as in ``_weights``, missing cells dearest."""
+    drivers, orders = sorted({d for d, _ in cells}), sorted({o for _, o in cells})
+    micro = np.array([[cells.get((d, o), dispatch.NO_PAIR) for o in orders] for d in drivers], object)
+    weights, _ = dispatch._weights(micro, np.arange(len(drivers))[:, None], np.arange(len(orders))[None, :], len(drivers), len(orders))
+    flip = len(drivers) > len(orders)
+    w = weights.T if flip else weights
+    best = min(itertools.permutations(range(w.shape[1]), w.shape[0]), key=lambda js: sum(int(w[i, j]) for i, j in enumerate(js)))
+    pairs = [(j, i) if flip else (i, j) for i, j in enumerate(best)]
+    return {(drivers[i], orders[j]) for i, j in pairs if (drivers[i], orders[j]) in cells}
+
+
+def test_markets_of_one_shape_are_matched_together(monkeypatch):
+    rnd, markets = random.Random(5), {}
+    for m in range(300):
+        # Every third market lacks cells, every fifth has costs whose weights pass 64 bits.
+        top = 10 ** 17 if m % 5 == 0 else 10 ** 8
+        cells = {(f"d{d}", f"o{o}"): rnd.randrange(top) for d in range(1 + m % 4) for o in range(1 + m % 5) if m % 3 or rnd.random() < 0.7}
+        if cells:
+            markets[m] = cells
+    table = pa.table({"market_id": [m for m, cells in markets.items() for _ in cells], "driver_id": [d for cells in markets.values() for d, _ in cells],
+                      "order_id": [o for cells in markets.values() for _, o in cells], "micro": [c for cells in markets.values() for c in cells.values()]})
+    calls, real = [], dispatch._shortest_path_matchings
+    monkeypatch.setattr(dispatch, "_shortest_path_matchings", lambda c, top: calls.append(len(c)) or real(c, top))
+    found = pa.Table.from_batches(list(dispatch._match_sorted(iter(table.to_batches(max_chunksize=97))))).to_pylist()
+    got = {m: {(r["driver_id"], r["order_id"]) for r in found if r["market_id"] == m} for m in markets}
+    assert got == {m: _brute_force(cells) for m, cells in markets.items()}
+    assert sum(calls) == len(markets) and len(calls) <= 2 * 20
+    # Cut anywhere, the result is the same.
+    monkeypatch.setattr(dispatch, "STEP_CELLS", 50)
+    again = pa.Table.from_batches(list(dispatch._match_sorted(iter(table.to_batches(max_chunksize=7))))).to_pylist()
+    assert sorted(map(str, again)) == sorted(map(str, found))
+
+
+def test_what_is_unassigned_prices_nothing(spark, monkeypatch):
+    t = queries_moves.Tables(spark, SMALL)
+    written = _staged(monkeypatch, dispatch)
+    out = dispatch.assign_orders(t.drivers, t.orders_derived)
+    assert out["unassigned_drivers"].count() > 0 and out["unassigned_orders"].count() > 0
+    assert "assignments" not in written and [df.columns for df in written["decided"]] == [["market_id", "driver_id", "order_ids"]]
+    for name in ("unassigned_drivers", "unassigned_orders", "diagnostics"):
+        assert "ATAN2" not in out[name]._jdf.queryExecution().optimizedPlan().toString()
