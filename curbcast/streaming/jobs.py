@@ -71,7 +71,8 @@ def fold_stream(df: DataFrame, key: str, order: Sequence[str], inputs: Sequence[
 
     With a watermark, rows older than it are dropped and ``expire_ms`` may end
     quiet keys.  ``ttl_ms`` is a lifetime in processing time, which event time
-    excludes: with it there is no watermark.
+    excludes: with it there is no watermark.  Without either, keys are dealt to
+    parts (:class:`DealtFold`) and Python is called once a part, not once a key.
     """
     if ttl_ms is not None and expire_ms is not None:
         raise ValueError("state ends either by event time or by a lifetime")
@@ -81,6 +82,9 @@ def fold_stream(df: DataFrame, key: str, order: Sequence[str], inputs: Sequence[
     schema = StructType([*df.schema.fields, *[StructField(f.name, f.dataType, True) for f in out.fields]])
     late = watermark is not None and ttl_ms is None
     src = df.withWatermark(ts, watermark) if late else df
+    if ttl_ms is None and expire_ms is None:
+        return _ordered(src, key, DealtFold(key, order, inputs, df.columns, [f.name for f in out.fields], step_factory), schema,
+                        GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout)
     return src.groupBy(key).transformWithStateInPandas(
         statefulProcessor=FoldProcessor(key, order, inputs, [f.name for f in out.fields], state_ddl, step_factory, ts, ttl_ms, expire_ms),
         outputStructType=schema, outputMode="Append", timeMode="EventTime" if late else "ProcessingTime" if ttl_ms is not None else "None")
@@ -90,6 +94,39 @@ def fold_stream(df: DataFrame, key: str, order: Sequence[str], inputs: Sequence[
 PARTS = 512
 
 
+class DealtFold:
+    """Runs one step per key over its rows of a micro-batch in order, for all keys of a part.
+
+    Keys are dealt to parts by hash and a part is one state entry, as in
+    :class:`OrderedRows`.  A part's rows of a micro-batch are sorted together; the
+    source's rate limit bounds them.
+    """
+
+    def __init__(self, key: str, order: Sequence[str], inputs: Sequence[str], columns: Sequence[str], out_names: Sequence[str], step_factory: Callable[[], Step]):
+        self.key, self.order, self.inputs = key, list(order), list(inputs)
+        self.columns, self.out_names, self.step_factory = list(columns), list(out_names), step_factory
+
+    def __call__(self, part: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = [] if state.hasTimedOut else [chunk for chunk in chunks if len(chunk)]
+        if not rows:
+            return
+        held = pickle.loads(state.get[0]) if state.exists else {}
+        pdf, step, outs = pd.concat(rows, ignore_index=True)[self.columns].sort_values(self.order, kind="stable"), self.step_factory(), []
+        for key, row in zip(pdf[self.key].tolist(), pdf[self.inputs].itertuples(index=False, name=None)):
+            key = key if key == key else None
+            kept, out = step(held.get(key), row)
+            outs.append(out)
+            if kept is None:
+                held.pop(key, None)
+            else:
+                held[key] = kept
+        if held:
+            state.update((pickle.dumps(held, protocol=5),))
+        elif state.exists:
+            state.remove()
+        yield pd.concat([pdf, pd.DataFrame(outs, columns=self.out_names, index=pdf.index, dtype=object)], axis=1)
+
+
 class OrderedRows:
     """Rows of every key in event-time order across micro-batches.
 
@@ -219,8 +256,8 @@ class OrderedFold(OrderedRows):
         return ([], None, None) if now > ends else ([], held, ends)
 
 
-def _ordered(df: DataFrame, key: str, job: OrderedRows, outputs: StructType) -> DataFrame:
-    return df.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(PARTS))).groupBy("_part").applyInPandasWithState(job, outputs, "packed BINARY", "append", GroupStateTimeout.EventTimeTimeout)
+def _ordered(df: DataFrame, key: str, job: OrderedRows | DealtFold, outputs: StructType, timeout: str = GroupStateTimeout.EventTimeTimeout) -> DataFrame:
+    return df.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(PARTS))).groupBy("_part").applyInPandasWithState(job, outputs, "packed BINARY", "append", timeout)
 
 
 def ordered_fold(df: DataFrame, key: str, order: Sequence[str], inputs: Sequence[str], outputs: str, step_factory: Callable[[], Step], delay: str = "10 minutes",

@@ -86,6 +86,16 @@ def test_lifetime_runs(spark, tmp_path):
         jobs.fold_stream(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), "k", ["ts"], ["t"], "ok BOOLEAN", "t DOUBLE", folds.reroute_step, ttl_ms=1, expire_ms=1)
 
 
+def test_many_keys_are_dealt_to_parts(spark, tmp_path, small_chunks):
+    """A call into Python takes a part of the keys; one call a key takes milliseconds each."""
+    rows = fixes(3600, keys=1500)
+    assert run(spark, tmp_path, [rows[:2000][::-1], rows[2000:][::-1]]) == batch(spark, rows)
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    out = jobs.fold_stream(stream, "k", ["ts", "id"], ["t", "lat", "lon"], "ok BOOLEAN", "t DOUBLE, lat DOUBLE, lon DOUBLE", folds.reroute_step)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandasWithState" in plan and "_part" in plan and "TransformWithState" not in plan
+
+
 # --- ordered folds, stale readings and the history table
 
 def land(spark, path, rows, schema):
